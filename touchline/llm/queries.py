@@ -8,17 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sentencepiece_codec
 from .common import documents
 from .token_counts import prefix_counts
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    made = sentencepiece_codec.encode(documents(spark, sf_dir), model)
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(sentencepiece_codec.decode("ids", model), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_counts": op4_token_counts}
+    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
