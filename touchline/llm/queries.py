@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec
+from . import langid, sentencepiece_codec
 from .common import documents
 from .token_counts import prefix_counts
 
@@ -29,8 +29,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts}
+    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
