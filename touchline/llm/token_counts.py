@@ -18,6 +18,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,7 +215,7 @@ def prefix_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         texts = cut.column(1).to_pylist()
         steps = [tables.steps(t) for t in texts]
         tokens = [int(np.frombuffer(s, dtype="<i2").sum(dtype=np.int64)) for s in steps]
-        n_bytes = pa.compute.binary_length(cut.column(1)).cast(pa.int64())
+        n_bytes = pc.binary_length(cut.column(1)).cast(pa.int64())
         return pa.RecordBatch.from_arrays([cut.column(0), n_bytes, pa.array(tokens, type=pa.int64()), pa.array(steps, type=pa.binary())], names=["doc_id", "n_bytes", "n_tokens", "prefix_deltas"])
 
     return map_text(df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")), ["doc_id", "text"], each, SCHEMA)
