@@ -65,3 +65,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole(text: str = "text"):
     """The text with null as the empty string."""
     return F.coalesce(F.col(text), F.lit("")).alias(text)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)

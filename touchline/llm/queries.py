@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sentencepiece_codec, substring_dedup, suffix_dedup
+from . import jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
 from .common import documents
 from .token_counts import prefix_counts
 
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -47,7 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op7_language_id": op7_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
