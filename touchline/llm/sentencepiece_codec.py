@@ -115,8 +115,14 @@ class Codec:
         if any(SPACE in t.lstrip(SPACE) for t in joined):
             self.stretch = re.compile(".+", re.DOTALL)
         else:
-            inside = "".join(map(re.escape, sorted(set("".join(joined)) - {SPACE})))
-            self.stretch = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]+" if inside else f"{SPACE}+|[^{SPACE}]+")
+            inside = set("".join(joined)) - {SPACE}
+            kinds_inside = [{c for c in inside if c.isalpha()}, {c for c in inside if not c.isalpha()}]
+            if any(len({c.isalpha() for c in t.lstrip(SPACE)}) > 1 for t in joined):
+                kinds_inside = [inside]
+            # no piece reaches from one class into the other, or past a mark that follows anything else
+            classes = ["".join(map(re.escape, sorted(k))) for k in kinds_inside if k]
+            other = "".join(classes)
+            self.stretch = re.compile("|".join([*(f"{SPACE}*[{k}]+" for k in classes), f"{SPACE}+", f"[^{other}{SPACE}]+"]))
         self.surface = [self.surface_of(t, k) for t, k in zip(texts, kinds, strict=True)]
         self.memo = StretchMemo(self)
 
