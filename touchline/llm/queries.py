@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
+from . import decontamination, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
 from .common import documents
 from .token_counts import prefix_counts
 
@@ -40,6 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,7 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
