@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
-from .common import documents
+from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
+from .common import documents, pages
 from .token_counts import prefix_counts
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(pages(spark, sf_dir))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     made = sentencepiece_codec.encode(documents(spark, sf_dir), model)
@@ -55,7 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
