@@ -67,11 +67,19 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit("")).alias(text)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """URI of the checkpoint folder that driver and executors share; one of our own only where none is set."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        found = context._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup
+from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup, warc
 from .common import documents, pages
 from .token_counts import prefix_counts
 
@@ -28,6 +28,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(pages(spark, sf_dir), spark)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
