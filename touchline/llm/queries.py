@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup, warc
+from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup, syncmers, warc
 from .common import documents, pages
 from .token_counts import prefix_counts
 
@@ -41,6 +41,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = syncmers.edited_fingerprints(documents(spark, sf_dir))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -63,7 +68,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_fingerprints": op6_fingerprints, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
