@@ -36,15 +36,24 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
         yield batch.slice(int(a), int(b - a))
 
 
-def map_text(df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 1) -> DataFrame:
-    """Applies `each` to bounded cuts of the chosen columns; every other column of df stays outside."""
+def map_text(df: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Applies `each` to bounded cuts of the chosen columns.
+
+    Every other column of df stays outside, but for those of `carry`, which
+    follow the row that `each` makes of theirs.
+    """
+    own = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in slices(batch, text):
-                yield each(cut)
+                made = each(cut.select(range(own)))
+                for k in range(own, cut.num_columns):
+                    made = made.append_column(carry[k - own], cut.column(k))
+                yield made
 
-    return df.select(*columns).mapInArrow(run, schema)
+    kinds = dict(df.dtypes)
+    return df.select(*columns, *carry).mapInArrow(run, ", ".join([schema, *(f"`{c}` {kinds[c]}" for c in carry)]))
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:

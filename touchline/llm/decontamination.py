@@ -9,6 +9,7 @@ have to be, and Myers' bit-parallel algorithm gives the edit distance there.
 from __future__ import annotations
 
 from collections import namedtuple
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -150,3 +151,24 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_c
 
     parts = [pass_over(b) for b in item_blocks(items, item_col, item_text_col)]
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], SCHEMA)
+
+
+def without_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item within rate x length edits; null texts stay."""
+    kept, place = docs, docs.columns.index(text_col)
+
+    def pass_over(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        made: list[Matcher] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not made:
+                    made.append(Matcher(block, rate))
+                clean = [not made[0].find(normal(text or "")) for text in batch.column(place).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    for block in item_blocks(items, item_col, item_text_col):
+        kept = pass_over(kept, block)
+    return kept

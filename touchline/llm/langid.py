@@ -241,8 +241,8 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score of every row.
+def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score of every row, and the columns of `carry`.
 
     `und` with score 0 where the text is null, has no letter, or nothing was
     learned. The prediction reads the text alone; other columns are left out and
@@ -260,8 +260,8 @@ def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_c
             score = np.where(letters, np.clip(mean.max(axis=1), 0, 1), 0.0)
         return pa.RecordBatch.from_arrays([cut.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
-    return map_text(rows, ["doc_id", "text", "letters"], each, "doc_id long, lang_pred string, score double")
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), whole(text_col).alias("__text"), *carry).withColumn("__letters", F.col("__text").rlike(r"\p{L}"))
+    return map_text(rows, ["__id", "__text", "__letters"], each, "doc_id long, lang_pred string, score double", carry=carry)
 
 
 def label_positions(df: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

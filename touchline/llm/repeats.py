@@ -134,11 +134,16 @@ class Units:
         raise NotImplementedError
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a slice in an order that holds whenever the slice is read."""
+def row_order(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """Ids, texts, and the order of a slice's rows that holds whenever the slice is read."""
     ids = np.asarray(table.column("doc_id").fill_null(NO_ID), dtype=np.int64)
     texts = [t.encode("utf-8") for t in table.column("text").to_pylist()]
-    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    return ids, texts, sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+
+
+def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of a slice in that order."""
+    ids, texts, order = row_order(table)
     return ids[order], [texts[i] for i in order]
 
 
@@ -155,13 +160,13 @@ def blocks(texts: list[bytes], units: Units) -> Iterator[Block]:
             first, size, values, raw = n + 1, 0, [], []
 
 
-def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
     """(slice, doc_id, text) rows, and the numbers of slices and groups, which follow the bytes of text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_SLICES, math.ceil(total / SLICE))
     deal = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(n)).cast("int")
-    return rows.select(deal.alias("slice"), "doc_id", "text"), n, max(LEAST_SLICES, n // 4)
+    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n, max(LEAST_SLICES, n // 4)
 
 
 def by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -309,11 +309,11 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, and ends: the byte of the UTF-8 text at which each piece ends, where the next begins.
 
     An end id has the text's end. Null and empty texts have no pieces but the
-    end id; repeated rows give repeated rows; other columns are left out.
+    end id; repeated rows give repeated rows; columns other than `carry` are left out.
     """
 
     def each(cut: pa.RecordBatch) -> pa.RecordBatch:
@@ -328,7 +328,8 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
         flat = [np.frombuffer(b"".join(x), dtype="<i4") for x in (ids, ends)]
         return pa.RecordBatch.from_arrays([cut.column(0), *(list_array(x, np.array(lengths), pa.int32()) for x in flat)], names=["doc_id", "ids", "ends"])
 
-    return map_text(df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")), ["doc_id", "text"], each, SCHEMA)
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), whole(text_col).alias("__text"), *carry)
+    return map_text(rows, ["__id", "__text"], each, SCHEMA, carry=carry)
 
 
 def decode(ids: str | Column, model: str) -> Column:

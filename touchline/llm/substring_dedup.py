@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix64
-from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, Units, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, sliced
+from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, Units, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, row_order, sliced
 
 WINDOW, GRAM = 20, 6
 MEMO = 800_000
@@ -57,15 +57,15 @@ def answers(table: pa.Table, kind) -> np.ndarray:
     return np.concatenate(data) if data else np.zeros(0, dtype=kind)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, n_repeats and the kept words joined by one space.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, n_repeats, the kept words joined by one space, and the columns of `carry`.
 
     A word goes if a window of `window` words that covers it also starts earlier:
     in a smaller doc_id, or in the same document before. A null id comes before
     all others; of rows with one id the one whose text sorts first is the
     earlier. Null texts have no words; other columns are left out.
     """
-    rows, _, groups = sliced(docs, id_col, text_col)
+    rows, _, groups = sliced(docs, id_col, text_col, carry)
     hot = repeated_anchors(rows, groups, WORDS, window, gram)
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -117,7 +117,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         return answer_table(out)
 
     def cut(key, table: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = ordered(table)
+        ids, texts, order = row_order(table)
+        ids, texts = ids[order], [texts[i] for i in order]
         spots = answers(told, SPOT)
         spots = spots[np.lexsort((spots["at"], spots["row"]))]
         begin = np.searchsorted(spots["row"], np.arange(len(texts) + 1))
@@ -139,9 +140,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
                 kept.append(b" ".join(words).decode("utf-8"))
             n_words.append(len(words))
         doc = pa.array(ids, mask=ids == NO_ID)
-        return pa.table([doc, *(pa.array(x, pa.int64()) for x in (n_words, n_removed, n_repeats)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "n_repeats", "kept"])
+        made = pa.table([doc, *(pa.array(x, pa.int64()) for x in (n_words, n_removed, n_repeats)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "n_repeats", "kept"])
+        for name in carry:
+            made = made.append_column(name, table.column(f"carry_{name}").take(pa.array(order, pa.int64())))
+        return made
 
+    kinds = dict(docs.dtypes)
     parts = rows.groupBy("slice")
     covered = parts.cogroup(hot.groupBy("slice")).applyInArrow(send, MESSAGE).groupBy("group").applyInArrow(subtree, ANSWER)
-    return parts.cogroup(covered.groupBy("slice")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, n_repeats long, kept string")
+    return parts.cogroup(covered.groupBy("slice")).applyInArrow(cut, ", ".join(["doc_id long, n_words long, n_removed long, n_repeats long, kept string", *(f"`{c}` {kinds[c]}" for c in carry)]))
 
