@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import mix64, whole
 
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0xA24BAED4963EE407
 #: UTF-8 bytes of a slice and of the block of it that is hashed at a time
-SLICE, BLOCK = 8 << 20, 1 << 20
+SLICE, BLOCK = 8 << 20, 256 << 10
 LEAST_SLICES = 48
 NO_ID = -(1 << 63)
 
@@ -160,18 +160,18 @@ def blocks(texts: list[bytes], units: Units) -> Iterator[Block]:
             first, size, values, raw = n + 1, 0, [], []
 
 
-def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
-    """(slice, doc_id, text) rows, and the numbers of slices and groups, which follow the bytes of text."""
+def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """(slice, doc_id, text) rows, and the number of slices, which follows the bytes of text; there are as many groups."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_SLICES, math.ceil(total / SLICE))
     deal = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(n)).cast("int")
-    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n, max(LEAST_SLICES, n // 4)
+    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n
 
 
 def by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of h by the group that leading bits of the hash choose."""
-    group = ((h >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
+    """Places of h by group. The hashes of anchors are small, as they are minima, so bits are mixed once more."""
+    group = ((mix64(h ^ np.uint64(BASE)) >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
     order = np.argsort(group, kind="stable")
     cuts = np.flatnonzero(np.diff(group[order])) + 1
     for part in np.split(order, cuts):
@@ -202,7 +202,7 @@ def repeated_anchors(rows: DataFrame, groups: int, units: Units, window: int, gr
         h, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0))
         h = h & ~np.uint64(1) | (counts > 1).astype(np.uint64)  # the last bit tells of a repeat in the slice
         own = table.column("slice")[0].as_py()
-        return message_table([(g, own, h[part].tobytes()) for g, part in by_group(h, groups)])
+        return message_table([(g, own, h[part].tobytes()) for g, part in by_group(h | np.uint64(1), groups)])
 
     def answer(table: pa.Table) -> pa.Table:
         data = [np.frombuffer(d, dtype=np.uint64) for d in table.column("data").to_pylist()]

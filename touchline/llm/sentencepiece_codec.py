@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import list_array, map_text, whole
 
 #: Stretches whose pieces a worker keeps; a full memo starts anew.
-MEMO = 500_000
+MEMO = 250_000
 SPACE = "▁"
 NONE = float("-inf")
 SCHEMA = "doc_id long, ids array<int>, ends array<int>"

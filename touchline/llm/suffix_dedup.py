@@ -19,7 +19,7 @@ from .substring_dedup import answers
 
 WINDOW, GRAM = 400, 32
 #: bytes of suffix heads that a group sorts at a time; heads of one anchor stay together
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 #: an anchor with the bytes of its windows: hash, row and byte of the first window, number of windows, place of the anchor after the first, whether all are known to be repeated
 HEAD = np.dtype([("hash", "<u8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2"), ("off", "<u2"), ("sure", "u1")])
 SPAN = np.dtype([("row", "<u4"), ("low", "<u4"), ("high", "<u4")])
@@ -108,9 +108,11 @@ def pack(heads: np.ndarray, raw: list[bytes]) -> bytes:
     return b"".join([len(heads).to_bytes(4, "little"), heads.tobytes(), *raw])
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+def unpack(data: bytes, window: int) -> tuple[np.ndarray, list[bytes]]:
     n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(data, dtype=HEAD, count=n, offset=4), data[4 + n * HEAD.itemsize :]
+    heads = np.frombuffer(data, dtype=HEAD, count=n, offset=4).copy()
+    ends = (np.cumsum(heads["n"].astype(np.int64) + window - 1) + 4 + n * HEAD.itemsize).tolist()
+    return heads, [data[a:z] for a, z in zip([4 + n * HEAD.itemsize, *ends], ends, strict=False)]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -176,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     null texts are empty; other columns are left out. What stays is binary, as a
     string may begin or end inside a character.
     """
-    rows, _, groups = sliced(docs, id_col, text_col)
+    rows, groups = sliced(docs, id_col, text_col)
     hot = repeated_anchors(rows, groups, BYTES, window, gram)
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
@@ -220,15 +222,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     def sort_group(table: pa.Table) -> pa.Table:
         out, heads, slices, raws = [], [], [], []
-        for own, data in zip(table.column("slice").to_pylist(), table.column("data").to_pylist(), strict=True):
+        for own, data in zip(table.column("slice").to_pylist(), table.column("data"), strict=True):
             if own < 0:
-                out.append((-1 - own, data))
+                out.append((-1 - own, data.as_py()))
                 continue
-            head, raw = unpack(data)
-            ends = np.cumsum(head["n"].astype(np.int64) + window - 1).tolist()
+            head, raw = unpack(data.as_py(), window)
             heads.append(head)
             slices.append(np.full(len(head), own, dtype=np.int64))
-            raws += [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+            raws += raw
         if heads:
             head, own = np.concatenate(heads), np.concatenate(slices)
             order = np.argsort(head["hash"], kind="stable")
