@@ -1 +1,479 @@
+"""Statistics, text, data quality, platform, validation and serving queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from touchline.functions import text as T
+from touchline.operators import platform as P
+from touchline.operators import quality as Q
+from touchline.operators import serving as V
+from touchline.operators import statistics as S
+from touchline.operators.measures import mean, per90, total
+from touchline.operators.windows import rank_average, spearman
+
+from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
+from .registry import query
+from .scans import LEADERBOARD_SQL, player_totals
+
+PAIR_SQL = f"{LEADERBOARD_SQL}, z AS (SELECT p.player, role, team, g * 90 / m AS x, h * 90 / m AS y FROM p JOIN a ON p.player = a.player)"
+
+
+def pairs(spark, sf_dir):
+    t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player")
+    return t.select("player", "role", "team", (F.col("xg") * 90 / F.col("mins")).alias("x"), (F.col("xa") * 90 / F.col("mins")).alias("y"))
+
+
+@query("m12_pearson", f"{PAIR_SQL} SELECT role, round(corr(x, y), 6) AS r, count(*) AS n FROM z GROUP BY role HAVING count(*) >= 3")
+def m12(spark, sf_dir):
+    return pairs(spark, sf_dir).groupBy("role").agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n")).filter("n >= 3")
+
+
+@query("m12_kendall", f"{PAIR_SQL} SELECT round(sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))), 6) AS tau, (SELECT count(*) FROM z) AS n FROM z a JOIN z b ON a.player < b.player")
+def m12k(spark, sf_dir):
+    return S.kendall(pairs(spark, sf_dir), "x", "y", "player").select(F.round("tau", 6).alias("tau"), "n")
+
+
+@query("m13_bootstrap")
+def m13(spark, sf_dir):
+    return S.bootstrap_correlation(pairs(spark, sf_dir), "x", "y", 500)
+
+
+@query("m14_leave_one_out", f"{PAIR_SQL}, l AS (SELECT a.player, corr(b.x, b.y) AS r FROM z a JOIN z b ON a.player <> b.player GROUP BY 1) SELECT round(min(r), 6) AS low, round(max(r), 6) AS high, round(max(r) - min(r), 6) AS spread FROM l")
+def m14(spark, sf_dir):
+    return S.leave_one_out(pairs(spark, sf_dir), "x", "y").select(*[F.round(c, 6).alias(c) for c in ("low", "high", "spread")])
+
+
+@query("m15_partial_spearman", f"{PAIR_SQL}, k AS (SELECT role, rank() OVER (ORDER BY x DESC) AS u, rank() OVER (ORDER BY y DESC) AS v FROM z), c AS (SELECT u - avg(u) OVER (PARTITION BY role) AS u, v - avg(v) OVER (PARTITION BY role) AS v FROM k) SELECT round(corr(u, v), 6) AS rho, count(*) AS n FROM c")
+def m15(spark, sf_dir):
+    return S.partial_spearman(pairs(spark, sf_dir), "x", "y", "role").select(F.round("rho", 6).alias("rho"), "n")
+
+
+@query("m17_cross_validation", f"{PAIR_SQL}, w AS (SELECT *, player % 5 AS k FROM z), l AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c FROM (SELECT DISTINCT k FROM w) f JOIN w ON w.k <> f.k GROUP BY 1) SELECT round(sqrt(avg(pow(y - (c + b * x), 2))), 6) AS rmse, round(sqrt(avg(pow(y - x, 2))), 6) AS naive, count(*) AS n FROM w JOIN l USING (k)")
+def m17(spark, sf_dir):
+    """Out-of-sample error of a line, five folds, against taking x for y (m17, m18)."""
+    rows = S.cross_validated(pairs(spark, sf_dir).withColumn("k", F.col("player") % 5), "x", "y", "k")
+
+    def rmse(p):
+        return F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col(p), 2))), 6)
+
+    return rows.agg(rmse("predicted").alias("rmse"), rmse("x").alias("naive"), F.count("*").alias("n"))
+
+
+@query("m19_permutation")
+def m19(spark, sf_dir):
+    return S.permutation(pairs(spark, sf_dir), "x", "y", 200)
+
+
+@query("m22_cluster_bootstrap")
+def m22(spark, sf_dir):
+    return S.bootstrap_correlation(pairs(spark, sf_dir), "x", "y", 300, cluster="team")
+
+
+@query("m25_team_correlation", f"{PAIR_SQL}, t AS (SELECT team, avg(x) AS x, avg(y) AS y FROM z GROUP BY 1) SELECT round(corr(x, y), 6) AS r, count(*) AS n FROM t")
+def m25(spark, sf_dir):
+    t = pairs(spark, sf_dir).groupBy("team").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return t.agg(F.round(F.corr("x", "y"), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query("m27_distribution_shift", f"{PAIR_SQL} SELECT round(abs(avg(y) - avg(x)) / abs(avg(x)), 6) AS mean_shift, round(abs(stddev_pop(y) - stddev_pop(x)) / stddev_pop(x), 6) AS sd_shift, round(abs(quantile_cont(y, 0.95) - quantile_cont(x, 0.95)) / quantile_cont(x, 0.95), 6) AS p95_shift FROM z")
+def m27(spark, sf_dir):
+    def shift(f):
+        return F.round(F.abs(f("y") - f("x")) / F.abs(f("x")), 6)
+
+    return pairs(spark, sf_dir).agg(shift(F.avg).alias("mean_shift"), shift(F.stddev_pop).alias("sd_shift"), shift(lambda c: F.percentile(c, F.lit(0.95))).alias("p95_shift"))
+
+
+@query("m28_relative_spread", f"WITH {FACTS_SQL}, q AS (SELECT player, season, CAST(sum(xg) AS DOUBLE) / count(*) AS v FROM f GROUP BY 1, 2) SELECT player, round((max(v) - min(v)) / abs(avg(v)), 6) AS spread FROM q GROUP BY 1")
+def m28(spark, sf_dir):
+    q = facts(spark, sf_dir).groupBy("player", "season").agg(mean("xg").alias("v"))
+    return q.groupBy("player").agg(F.round((F.max("v") - F.min("v")) / F.abs(F.avg("v")), 6).alias("spread"))
+
+
+@query("m29_severity", f"WITH {RUNS_SQL}, s AS (SELECT stage, avg(CAST(duration AS DOUBLE)) AS mu, stddev_pop(CAST(duration AS DOUBLE)) AS sd FROM r GROUP BY 1), z AS (SELECT run, abs((CAST(duration AS DOUBLE) - mu) / sd) AS z FROM r JOIN s USING (stage)) SELECT run, CASE WHEN z >= 4 THEN 'critical' ELSE 'warn' END AS severity, round(least(1, 0.5 + 0.5 * (z - 2.5) / 1.5), 6) AS trust FROM z WHERE z >= 2.5")
+def m29(spark, sf_dir):
+    d, w = F.col("duration").cast("double"), Window.partitionBy("stage")
+    z = runs(spark, sf_dir).withColumn("z", (d - F.avg(d).over(w)) / F.stddev_pop(d).over(w)).filter(F.abs("z") >= 2.5)
+    return z.select("run", P.severity(F.col("z")).alias("severity"), F.round(P.trust(F.col("z")), 6).alias("trust"))
+
+
+@query("m30_cohens_d", f"{PAIR_SQL}, q AS (SELECT quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM z) SELECT round((avg(y) FILTER (WHERE x >= hi) - avg(y) FILTER (WHERE x <= lo)) / sqrt((var_samp(y) FILTER (WHERE x >= hi) + var_samp(y) FILTER (WHERE x <= lo)) / 2), 6) AS d FROM z CROSS JOIN q")
+def m30(spark, sf_dir):
+    rows = pairs(spark, sf_dir)
+    edge = rows.agg(F.percentile("x", F.lit(0.25)).alias("lo"), F.percentile("x", F.lit(0.75)).alias("hi"))
+    top, low = F.when(F.col("x") >= F.col("hi"), F.col("y")), F.when(F.col("x") <= F.col("lo"), F.col("y"))
+    return rows.join(edge).agg(F.round((F.avg(top) - F.avg(low)) / F.sqrt((F.var_samp(top) + F.var_samp(low)) / 2), 6).alias("d"))
+
+
+@query("m32_above_expectation", f"WITH {FACTS_SQL}, a AS (SELECT player, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS v FROM f GROUP BY 1), b AS (SELECT player, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS v FROM f WHERE season = 2000 GROUP BY 1) SELECT player, round(b.v - a.v, 6) AS above FROM a JOIN b USING (player)")
+def m32(spark, sf_dir):
+    rows = facts(spark, sf_dir)
+    every = rows.groupBy("player").agg(per90("xg", "mins").alias("a"))
+    one = rows.filter("season = 2000").groupBy("player").agg(per90("xg", "mins").alias("b"))
+    return every.join(one, "player").select("player", F.round(F.col("b") - F.col("a"), 6).alias("above"))
+
+
+@query("m34_health", "WITH c AS (SELECT CASE WHEN event_type = 'error' AND value > 150 THEN 20 WHEN event_type = 'error' AND value > 140 THEN 5 ELSE 0 END AS d FROM events WHERE event_type = 'error' AND value BETWEEN 147 AND 155) SELECT CAST(greatest(0, least(100, 100 - coalesce(sum(d), 0))) AS BIGINT) AS score FROM c")
+def m34(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("event_type = 'error' and value between 147 and 155")
+    return Q.health(e.select(F.when(F.col("value") > 150, "critical").otherwise("high").alias("severity")), {"critical": 20, "high": 5})
+
+
+NAMES_SQL = "SELECT doc_id, substr(text, 1, 60) AS name FROM documents"
+
+
+@query("f2_unicode_fold")
+def f2(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_unicode(F.substring("text", 1, 60)).alias("name"))
+
+
+@query("f4_latin_fold", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(regexp_extract(text, '^[A-Za-zÀ-ÿ '' .-]+')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[''.]', '', 'g'), '[-\\s]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('en', 'fr', 'es') AND text IS NOT NULL")
+def f4(spark, sf_dir):
+    first = F.regexp_extract("text", "^[A-Za-zÀ-ÿ ' .-]+", 0)
+    return table(spark, sf_dir, "documents").filter("lang in ('en', 'fr', 'es') and text is not null").select("doc_id", T.fold_latin(first).alias("name"))
+
+
+@query("f6_slug", "SELECT p_partkey AS part, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def f6(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), T.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"))
+
+
+@query("f7_display_name", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 AND contains(lower(c_name), 'customer') THEN c_name ELSE c_name || ' ' || c_mktsegment END AS name FROM customer")
+def f7(spark, sf_dir):
+    last = F.when(F.col("c_custkey") % 3 == 1, F.lit("Customer")).when(F.col("c_custkey") % 3 == 2, F.col("c_mktsegment"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.display_name(F.col("c_name"), last).alias("name"))
+
+
+@query("f8_clean_name", "SELECT s_suppkey AS player, trim(replace(s_name, '#', '')) AS name FROM supplier")
+def f8(spark, sf_dir):
+    dirty = F.concat(F.lit(" "), F.replace(F.col("s_name"), F.lit("#"), F.lit("​")), F.lit("­ "))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player"), T.clean_name(dirty).alias("name"))
+
+
+@query("f10_season_arithmetic", "SELECT o_orderkey AS fixture, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS INT) AS start, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS label FROM orders")
+def f10(spark, sf_dir):
+    start = T.season_of(F.col("o_orderdate")).cast("int")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fixture"), start.alias("start"), T.season_label(start).alias("label"))
+
+
+@query("f11_age", "SELECT o_orderkey AS fixture, round(date_diff('day', DATE '1970-03-01', CAST(o_orderdate AS DATE)) / 365.25, 2) AS age FROM orders")
+def f11(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fixture"), T.age_in_years(F.lit("1970-03-01").cast("date"), F.to_date("o_orderdate")).alias("age"))
+
+
+@query("f12_age_hours", "SELECT event_id AS run, date_diff('second', ts, TIMESTAMP '2024-01-31 00:00:00') // 3600 AS hours FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3 DAY")
+def f12(spark, sf_dir):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").filter(F.col("ts") >= now - F.expr("interval 3 days"))
+    return e.select(F.col("event_id").alias("run"), F.floor(F.timestamp_diff("SECOND", F.date_trunc("second", "ts").cast("timestamp_ntz"), now) / 3600).cast("long").alias("hours"))
+
+
+@query("f13_role_from_positions", f"WITH {FACTS_SQL}, q AS (SELECT player, CASE WHEN opp % 4 = 0 THEN 'B' WHEN opp % 4 = 1 THEN 'D' WHEN opp % 4 = 2 THEN 'C' ELSE 'A' END AS bucket, sum(mins) AS m FROM f GROUP BY 1, 2), w AS (SELECT player, coalesce(sum(m) FILTER (WHERE bucket = 'B'), 0) AS b, coalesce(sum(m) FILTER (WHERE bucket = 'D'), 0) AS d, coalesce(sum(m) FILTER (WHERE bucket = 'C'), 0) AS c, coalesce(sum(m) FILTER (WHERE bucket = 'A'), 0) AS a FROM q GROUP BY 1), r AS (SELECT player, d + CASE WHEN c + a >= b THEN 0 ELSE b END AS d, c + CASE WHEN c + a >= b THEN b ELSE 0 END AS c, a FROM w) SELECT player, CASE WHEN greatest(d, c, a) < 200 THEN NULL WHEN d >= c AND d >= a THEN 'DEF' WHEN c >= a THEN 'MID' ELSE 'FWD' END AS role FROM r")
+def f13(spark, sf_dir):
+    """Role by minutes in position buckets; wing-backs count for the midfield where that and attack have as many minutes."""
+    side = F.when(F.col("opp") % 4 == 0, "B").when(F.col("opp") % 4 == 1, "D").when(F.col("opp") % 4 == 2, "C").otherwise("A")
+    w = facts(spark, sf_dir).groupBy("player").agg(*[F.coalesce(F.sum(F.when(side == k, F.col("mins"))), F.lit(0)).alias(k) for k in "BDCA"])
+    up = F.col("C") + F.col("A") >= F.col("B")
+    w = w.select("player", (F.col("D") + F.when(up, 0).otherwise(F.col("B"))).alias("d"), (F.col("C") + F.when(up, F.col("B")).otherwise(0)).alias("c"), F.col("A").alias("a"))
+    best = F.greatest("d", "c", "a")
+    return w.select("player", F.when(best < 200, None).when(F.col("d") == best, "DEF").when(F.col("c") == best, "MID").otherwise("FWD").alias("role"))
+
+
+@query("f15_role_precedence", f"WITH {PLAYERS_SQL} SELECT player, coalesce(CASE WHEN player % 13 = 0 THEN 'FWD' END, CASE WHEN player % 5 = 0 THEN 'MID' END, CASE WHEN player % 7 = 0 THEN 'DEF' END, role) AS role FROM p")
+def f15(spark, sf_dir):
+    k = F.col("player")
+    return players(spark, sf_dir).select("player", F.coalesce(F.when(k % 13 == 0, "FWD"), F.when(k % 5 == 0, "MID"), F.when(k % 7 == 0, "DEF"), F.col("role")).alias("role"))
+
+
+@query("f17_entity_resolution", f"WITH {PLAYERS_SQL}, q AS (SELECT lower(name) AS name, CASE WHEN player % 3 = 0 THEN NULL WHEN player % 3 = 1 THEN team ELSE team + 1 END AS team FROM p UNION ALL SELECT 'nobody', 1) SELECT q.name, q.team, CASE WHEN p.player IS NULL THEN NULL WHEN q.team IS NULL OR q.team = p.team THEN p.player END AS id, CASE WHEN p.player IS NULL THEN 'NOT_FOUND' WHEN q.team IS NULL OR q.team = p.team THEN 'OK' ELSE 'AMBIGUOUS' END AS status, CAST(CASE WHEN q.team = p.team THEN 1.0 WHEN p.player IS NOT NULL AND q.team IS NULL THEN 0.6 ELSE 0 END AS DOUBLE) AS confidence FROM q LEFT JOIN p ON q.name = lower(p.name)")
+def f17(spark, sf_dir):
+    p = players(spark, sf_dir)
+    k = F.col("player") % 3
+    asked = p.select(F.lower("name").alias("name"), F.when(k == 1, F.col("team")).when(k == 2, F.col("team") + 1).alias("team")).union(spark.createDataFrame([("nobody", 1)], "name string, team int"))
+    registry = p.select(F.col("player").alias("id"), "name", "team", F.col("player").alias("at"))
+    return Q.resolve_entities(asked, registry, F.lower)
+
+
+@query("f18_finite", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id < 500")
+def f18(spark, sf_dir):
+    from touchline.sources.sinks import clean
+
+    e = table(spark, sf_dir, "events").filter("event_id < 500")
+    bad = F.when(F.col("event_id") % 6 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return clean(e.select(F.col("event_id").alias("run"), bad.alias("value")))
+
+
+@query("f21_regex_extract", "SELECT page_id, list_transform(regexp_extract_all(url, '[0-9]+'), lambda s: CAST(s AS BIGINT)) AS numbers FROM pages")
+def f21(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("url", F.lit("([0-9]+)"), F.lit(1)).cast("array<bigint>").alias("numbers"))
+
+
+@query("d2_natural_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def d2(spark, sf_dir):
+    return Q.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("d3_foreign_keys", "SELECT 'orders.customer' AS code, 'critical' AS severity, count(*) AS n FROM orders WHERE o_custkey + 700 NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0 UNION ALL SELECT 'lineitem.orders', 'critical', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) HAVING count(*) > 0")
+def d3(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") + 700)
+    return Q.report([Q.finding(Q.orphans(o, "k", table(spark, sf_dir, "customer"), "c_custkey"), "orders.customer", "critical"), Q.finding(Q.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey"), "lineitem.orders", "critical")])
+
+
+@query("d4_duplicate_names", "SELECT lower(p_name) AS name, p_brand AS brand, count(DISTINCT p_partkey) AS ids FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_partkey) > 1")
+def d4(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name"), F.col("p_brand").alias("brand")).agg(F.countDistinct("p_partkey").alias("ids")).filter("ids > 1")
+
+
+@query("d7_aggregate_mismatch", f"WITH {FACTS_SQL}, s AS (SELECT player, sum(mins) AS m FROM f WHERE season = 1997 GROUP BY 1) SELECT p.player, CAST(p.player * 25 AS BIGINT) AS stated, CAST(coalesce(m, 0) AS BIGINT) AS summed FROM p LEFT JOIN s ON s.player = p.player WHERE abs(p.player * 25 - coalesce(m, 0)) > 30")
+def d7(spark, sf_dir):
+    p = players(spark, sf_dir).select("player", (F.col("player") * 25).alias("stated"))
+    return Q.aggregate_mismatch(p, facts(spark, sf_dir), "player", "stated", F.col("mins"), F.col("season") == 1997, 30)
+
+
+@query("d8_zero_games", f"WITH {PLAYERS_SQL} SELECT player FROM p WHERE balance < 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = player)")
+def d8(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"))
+    return players(spark, sf_dir).filter("balance < 0").join(lines, "player", "left_semi").select("player")
+
+
+@query("d9_round_size", f"WITH {FIXTURES_SQL} SELECT season, rnd, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) <> 180")
+def d9(spark, sf_dir):
+    return fixtures(spark, sf_dir).groupBy("season", "rnd").agg(F.count("*").alias("n")).filter("n <> 180")
+
+
+@query("d10_temporal", "SELECT 'shipped before order' AS code, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT 'future', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'")
+def d10(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    early = li.join(o, li["l_orderkey"] == o["o_orderkey"]).filter("l_shipdate < o_orderdate").agg(F.count("*").alias("n")).select(F.lit("shipped before order").alias("code"), "n")
+    return early.union(o.filter("o_orderdate >= timestamp_ntz '2001-06-01'").agg(F.count("*").alias("n")).select(F.lit("future"), "n"))
+
+
+@query("d13_metric_checks", f"{LEADERBOARD_SQL}, z AS (SELECT player, g * 90 / m AS x, h * 90 / m AS y FROM a WHERE m >= 300) SELECT 'xg90' AS field, count(*) FILTER (WHERE NOT x BETWEEN 9 AND 9.8) AS n FROM z UNION ALL SELECT 'xa90', count(*) FILTER (WHERE NOT y BETWEEN 7 AND 7.8) FROM z")
+def d13(spark, sf_dir):
+    t = player_totals(spark, sf_dir).filter("mins >= 300").select((F.col("xg") * 90 / F.col("mins")).alias("x"), (F.col("xa") * 90 / F.col("mins")).alias("y"))
+    return Q.out_of_range(t, {"xg90": ("x", 9, 9.8), "xa90": ("y", 7, 7.8)})
+
+
+@query("d17_homonym_repair", """WITH t AS (SELECT DISTINCT l_suppkey AS player, l_orderkey AS fixture, CAST(l_quantity AS INT) AS mins FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY fixture, mins ORDER BY player) AS k FROM t),
+ facts AS (SELECT player, fixture, mins FROM r UNION SELECT player + 1000, fixture, mins FROM r WHERE k = 1 AND fixture % 5 = 0) SELECT player % 1000 AS player, count(*) AS n FROM facts WHERE player < 1000 GROUP BY 1""")
+def d17(spark, sf_dir):
+    """Planted rows of somebody else are taken out; the true ones stay."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture"), F.col("l_quantity").cast("int").alias("mins")).distinct()
+    planted = t.withColumn("k", F.row_number().over(Window.partitionBy("fixture", "mins").orderBy("player"))).filter("k = 1 and fixture % 5 = 0").select((F.col("player") + 1000).alias("player"), "fixture", "mins")
+    return Q.remove_homonym_rows(t.union(planted), t).groupBy((F.col("player") % 1000).alias("player")).agg(F.count("*").alias("n"))
+
+
+@query("d18_orphan_repair", "SELECT l_suppkey AS player, count(DISTINCT l_orderkey) + CASE WHEN l_suppkey % 10 = 3 THEN 1 ELSE 0 END AS n FROM lineitem GROUP BY 1")
+def d18(spark, sf_dir):
+    source = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture")).distinct()
+    # even players have a game too many; players ending in 3 lack one beside it, so they are left alone
+    extra = players(spark, sf_dir).filter("player % 2 = 0 or player % 10 = 3").select("player", F.lit(-1).cast("long").alias("fixture"))
+    truth = source.union(players(spark, sf_dir).filter("player % 10 = 3").select("player", F.lit(-2).cast("long").alias("fixture")))
+    return Q.remove_orphan_games(source.union(extra), truth, "player", "fixture").groupBy("player").agg(F.count("*").alias("n"))
+
+
+@query("d19_merge_split", "SELECT s_name AS name, s_suppkey AS keep, s_suppkey + 1000 AS \"drop\" FROM supplier WHERE s_suppkey % 4 = 1")
+def d19(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("game")).distinct()
+    split = lines.select(F.when((F.col("id") % 4 == 1) & (F.col("game") % 2 == 0), F.col("id") + 1000).otherwise(F.col("id")).alias("id"), "game")
+    p = players(spark, sf_dir)
+    names = p.select(F.col("player").alias("id"), "name").union(p.select((F.col("player") + 1000).alias("id"), "name"))
+    return Q.merge_split(split, names, lines.join(p.select(F.col("player").alias("id"), "name"), "id").select("name", "game"))
+
+
+@query("d20_import_missing", "SELECT l_suppkey AS player, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
+def d20(spark, sf_dir):
+    full = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture")).distinct()
+    have = full.filter("fixture % 6 <> 0")
+    missing = full.join(have, ["player", "fixture"], "left_anti")
+    return have.unionByName(missing).groupBy("player").agg(F.count("*").alias("n"))
+
+
+MERGE_SQL = "m AS (SELECT p_partkey AS part, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS a, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 1.2 ELSE p_retailprice * 1.05 END AS b FROM part)"
+
+
+def _providers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a = p.select(F.col("p_partkey").alias("part"), F.lit("first").alias("provider"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).otherwise(F.lit(float("nan"))).alias("price"))
+    b = p.select(F.col("p_partkey").alias("part"), F.lit("second").alias("provider"), (F.col("p_retailprice") * F.when(F.col("p_partkey") % 5 == 0, 1.2).otherwise(1.05)).alias("price"))
+    return Q.provider_merge(a.union(b), ["part"], ["price"], ["first", "second"])
+
+
+@query("d21_provider_merge", f"WITH {MERGE_SQL} SELECT part, round(coalesce(a, b), 6) AS price FROM m")
+def d21(spark, sf_dir):
+    return _providers(spark, sf_dir)[0].select("part", F.round("price", 6).alias("price"))
+
+
+@query("d21_provider_conflicts", f"WITH {MERGE_SQL} SELECT part, 'price' AS \"column\", CAST(2 AS BIGINT) AS providers FROM m WHERE a IS NOT NULL AND abs(a - b) > 0.10 * abs((a + b) / 2)")
+def d21c(spark, sf_dir):
+    return _providers(spark, sf_dir)[1]
+
+
+@query("d22_transfers", f"WITH {FACTS_SQL}, q AS (SELECT player, season, arg_max(opp, (m, -opp)) AS team FROM (SELECT player, season, opp, sum(mins) AS m FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2), l AS (SELECT *, lag(team) OVER (PARTITION BY player ORDER BY season) AS before FROM q) SELECT player, season, before, team FROM l WHERE before <> team")
+def d22(spark, sf_dir):
+    q = facts(spark, sf_dir).groupBy("player", "season", "opp").agg(F.sum("mins").alias("m"))
+    q = q.groupBy("player", "season").agg(F.max_by("opp", F.struct("m", -F.col("opp"))).alias("team"))
+    return q.withColumn("before", F.lag("team").over(Window.partitionBy("player").orderBy("season"))).filter("before <> team").select("player", "season", "before", "team")
+
+
+@query("d23_registry_status", f"WITH {FIXTURES_SQL}, h AS (SELECT DISTINCT season, rnd FROM x WHERE (season + rnd) % 7 <> 0) SELECT season, list_sort(list(rnd)) AS available, CAST(12 - count(*) AS INT) AS missing, round(count(*) / 12.0 * 100, 2) AS coverage FROM h GROUP BY 1")
+def d23(spark, sf_dir):
+    have = fixtures(spark, sf_dir).filter("(season + rnd) % 7 <> 0").groupBy("season").agg(F.sort_array(F.collect_set("rnd")).alias("available"))
+    missing = F.size(F.array_except(F.sequence(F.lit(1), F.lit(12)), "available"))
+    return have.select("season", "available", missing.alias("missing"), F.round(F.size("available") / F.lit(12.0) * 100, 2).alias("coverage"))
+
+
+@query("d24_regression_diff", f"{PAIR_SQL}, j AS (SELECT player, x, x * 1.02 AS n FROM z), k AS (SELECT *, rank() OVER (ORDER BY x DESC) AS r, rank() OVER (ORDER BY n DESC) AS s FROM j) SELECT round(corr(r, s), 6) AS rho, count(*) FILTER (WHERE r <= 10 AND s <= 10) AS top10, round(avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END), 6) AS large_share, CASE WHEN corr(r, s) < 0.95 OR avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END) > 0.10 THEN 'CRITICAL' WHEN corr(r, s) < 0.97 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM k")
+def d24(spark, sf_dir):
+    j = pairs(spark, sf_dir).select("player", "x", (F.col("x") * 1.02).alias("n")).withColumn("all", F.lit(0))
+    k = j.withColumn("r", F.rank().over(Window.partitionBy("all").orderBy(F.col("x").desc()))).withColumn("s", F.rank().over(Window.partitionBy("all").orderBy(F.col("n").desc())))
+    large = F.avg((F.abs(F.col("n") - F.col("x")) >= 0.15).cast("double"))
+    rho = F.corr("r", "s")
+    verdict = F.when((rho < 0.95) | (large > 0.10), "CRITICAL").when(rho < 0.97, "WARNING").otherwise("SAFE")
+    return k.agg(F.round(rho, 6).alias("rho"), F.count_if((F.col("r") <= 10) & (F.col("s") <= 10)).alias("top10"), F.round(large, 6).alias("large_share"), verdict.alias("verdict"))
+
+
+@query("d25_failure_burst", f"WITH {RUNS_SQL}, d AS (SELECT day, count(*) FILTER (WHERE failed) AS n FROM r GROUP BY 1), b AS (SELECT avg(n) AS mu, stddev_pop(n) AS sd FROM d WHERE day < DATE '2024-01-30') SELECT round((n - mu) / sd, 6) AS z FROM d CROSS JOIN b WHERE day = DATE '2024-01-30'")
+def d25(spark, sf_dir):
+    d = runs(spark, sf_dir).groupBy("day").agg(F.count_if("failed").alias("n")).filter("day <= date '2024-01-30'").withColumn("all", F.lit(0))
+    return P.last_against_rest(d, "all", ["day"], "n").select(F.round("z", 6).alias("z"))
+
+
+@query("d27_lineage_reads", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' AND a.run < 300 GROUP BY 1")
+def d27(spark, sf_dir):
+    r = runs(spark, sf_dir).select("run", "stage")
+    kids = r.select(F.floor(F.col("run") / 10).cast("long").alias("parent"), F.col("run").alias("child")).filter("parent <> child")
+    return r.filter("stage = 'error' and run < 300").join(kids, F.col("run") == F.col("parent"), "left").groupBy("run").agg(F.count("child").alias("children"))
+
+
+@query("d28_lineage_closure", "WITH RECURSIVE c AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT event_id FROM events JOIN c ON event_id // 10 = c.node WHERE event_id <> event_id // 10) SELECT node FROM c")
+def d28(spark, sf_dir):
+    """Descendants of run 7, where run r comes from run r / 10."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).cast("long").alias("a"), F.col("event_id").alias("b")).filter("a <> b")
+    e.createOrReplaceTempView("edges")
+    spark.createDataFrame([(7,)], "node long").createOrReplaceTempView("start")
+    return spark.sql(P.closure_sql())
+
+
+@query("d29_lineage_edges", "SELECT DISTINCT event_type AS a, 'user ' || user_id AS b FROM events UNION SELECT 'user ' || user_id, 'day ' || day(ts) FROM events")
+def d29(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    user = F.concat(F.lit("user "), F.col("user_id"))
+    return e.select(F.col("event_type").alias("a"), user.alias("b")).union(e.select(user, F.concat(F.lit("day "), F.dayofmonth("ts")))).distinct()
+
+
+@query("d30_retention", "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-17') AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-17') AS dropped FROM events")
+def d30(spark, sf_dir):
+    old = F.col("ts") < F.lit("2024-01-17").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("dropped"))
+
+
+@query("d34_stale_values", "SELECT count(*) FILTER (WHERE p_size = p_size % 25) AS same, count(*) AS comparable FROM part WHERE p_size IS NOT NULL")
+def d34(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter("p_size is not null").agg(F.count_if(F.col("p_size") == F.col("p_size") % 25).alias("same"), F.count("*").alias("comparable"))
+
+
+@query("vc_split_half", f"WITH {FACTS_SQL}, q AS (SELECT player, role, CAST(sum(xg) FILTER (WHERE rnd <= 6) AS DOUBLE) / sum(mins) FILTER (WHERE rnd <= 6) AS a, CAST(sum(xg) FILTER (WHERE rnd > 6) AS DOUBLE) / sum(mins) FILTER (WHERE rnd > 6) AS b, count(*) FILTER (WHERE rnd <= 6) AS m, count(*) FILTER (WHERE rnd > 6) AS n FROM f WHERE season = 1998 GROUP BY 1, 2), k AS (SELECT a, b, rank() OVER (ORDER BY a) AS u, rank() OVER (ORDER BY b) AS v FROM q WHERE m >= 4 AND n >= 4) SELECT round(corr(a, b), 6) AS r, round(corr(u, v), 6) AS rho, round(regr_slope(b, a), 6) AS slope, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, count(*) AS n FROM k")
+def vc(spark, sf_dir):
+    early = F.col("rnd") <= 6
+
+    def rate(where):
+        return F.try_divide(total(F.when(where, F.col("xg"))), total(F.when(where, F.col("mins"))))
+
+    q = facts(spark, sf_dir).filter("season = 1998").groupBy("player").agg(rate(early).alias("a"), rate(~early).alias("b"), F.count_if(early).alias("m"), F.count_if(~early).alias("n")).filter("m >= 4 and n >= 4").withColumn("all", F.lit(0))
+    q = rank_average(rank_average(q, "a", ["all"], "u", floor=False), "b", ["all"], "v", floor=False)
+    return q.agg(F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.corr("u", "v"), 6).alias("rho"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.sqrt(F.avg(F.pow(F.col("b") - F.col("a"), 2))), 6).alias("rmse"), F.count("*").alias("n"))
+
+
+@query("vb_top_ten", f"{PAIR_SQL}, u AS (SELECT player, row_number() OVER (ORDER BY x DESC, player) AS k FROM z), v AS (SELECT player, row_number() OVER (ORDER BY y DESC, player) AS k FROM z) SELECT u.player, u.k AS place, v.k AS other FROM u JOIN v USING (player) WHERE u.k <= 10 AND abs(u.k - v.k) >= 4")
+def vb(spark, sf_dir):
+    one = Window.partitionBy(F.lit(0))
+    z = pairs(spark, sf_dir).withColumn("place", F.row_number().over(one.orderBy(F.col("x").desc(), "player")).cast("long")).withColumn("other", F.row_number().over(one.orderBy(F.col("y").desc(), "player")).cast("long"))
+    return z.filter((F.col("place") <= 10) & (F.abs(F.col("place") - F.col("other")) >= 4)).select("player", "place", "other")
+
+
+@query("vo_ablation", f"{PAIR_SQL}, w AS (SELECT player, 0.32 * x + 0.20 * y AS full_, 0.20 * y AS no_x, 0.32 * x AS no_y FROM z), k AS (SELECT rank() OVER (ORDER BY full_) AS a, rank() OVER (ORDER BY no_x) AS b, rank() OVER (ORDER BY no_y) AS c FROM w) SELECT 'x' AS dropped, round(corr(a, b), 6) AS rho FROM k UNION ALL SELECT 'y', round(corr(a, c), 6) FROM k")
+def vo(spark, sf_dir):
+    """The index without one dimension at a time against the whole index."""
+    weights = spark.createDataFrame([("x", 0.0, 0.20), ("y", 0.32, 0.0)], "dropped string, wx double, wy double")
+    rows = pairs(spark, sf_dir).join(weights).select("dropped", (0.32 * F.col("x") + 0.20 * F.col("y")).alias("a"), (F.col("wx") * F.col("x") + F.col("wy") * F.col("y")).alias("b"))
+    return spearman(rows, "a", "b", ["dropped"]).select("dropped", F.round("rho", 6).alias("rho"))
+
+
+@query("vm_calibration", f"{PAIR_SQL}, e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM z), b AS (SELECT CAST(1 + len(list_filter(e, lambda q: q < x)) AS INT) AS bin, avg(y) AS y FROM z CROSS JOIN e GROUP BY 1) SELECT round(regr_slope(y, bin), 6) AS slope, round(corr(y, bin), 6) AS r, count(*) AS bins FROM b")
+def vm(spark, sf_dir):
+    b = S.quantile_bins(pairs(spark, sf_dir), "x", 10).groupBy("bin").agg(F.avg("y").alias("y"))
+    return b.agg(F.round(F.regr_slope("y", "bin"), 6).alias("slope"), F.round(F.corr("y", "bin"), 6).alias("r"), F.count("*").alias("bins"))
+
+
+@query("vl_convergence", f"WITH {FACTS_SQL}, n AS (SELECT unnest([3, 6, 9, 12]) AS as_of), q AS (SELECT as_of, player, CAST(sum(xg) AS DOUBLE) / sum(mins) AS v FROM f JOIN n ON rnd <= as_of WHERE season = 1999 GROUP BY 1, 2), j AS (SELECT a.as_of, a.v AS x, b.v AS y FROM q a JOIN q b ON a.player = b.player AND b.as_of = 12), k AS (SELECT as_of, rank() OVER (PARTITION BY as_of ORDER BY x) AS u, rank() OVER (PARTITION BY as_of ORDER BY y) AS v FROM j) SELECT as_of, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 20")
+def vl(spark, sf_dir):
+    """Each vintage against the last: one join of facts with the rounds they count for serves all vintages."""
+    rows = facts(spark, sf_dir).filter("season = 1999").withColumn("as_of", F.explode(F.filter(F.array(*map(F.lit, (3, 6, 9, 12))), lambda k: k >= F.col("rnd"))))
+    q = rows.groupBy("as_of", "player").agg((total("xg") / total("mins")).alias("v"))
+    last = q.filter("as_of = 12").select("player", F.col("v").alias("y"))
+    return spearman(q.join(last, "player").withColumnRenamed("v", "x"), "x", "y", ["as_of"]).filter("n >= 20").select("as_of", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("vn_by_role", f"{PAIR_SQL}, k AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY x) AS u, rank() OVER (PARTITION BY role ORDER BY y) AS v FROM z) SELECT role, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 8")
+def vn(spark, sf_dir):
+    return spearman(pairs(spark, sf_dir), "x", "y", ["role"]).filter("n >= 8").select("role", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("vp_persistence", f"WITH {FACTS_SQL}, q AS (SELECT player, season, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS v FROM f GROUP BY 1, 2) SELECT player, round(avg(v), 6) AS mean_v, round(min(v), 6) AS min_v, count(*) AS n FROM q GROUP BY 1 HAVING count(*) >= 3")
+def vp(spark, sf_dir):
+    q = facts(spark, sf_dir).groupBy("player", "season").agg(per90("xg", "mins").alias("v"))
+    return q.groupBy("player").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.min("v"), 6).alias("min_v"), F.count("*").alias("n")).filter("n >= 3")
+
+
+POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90 / m, 4) AS score, CAST(balance / 1000 AS DECIMAL(9,2)) AS cost FROM p JOIN a ON p.player = a.player WHERE balance > 0 AND p.player < 60), t AS (SELECT a.id AS a, b.id AS b, d.id AS c, CAST(CAST(a.score AS DECIMAL(9,4)) + CAST(b.score AS DECIMAL(9,4)) + CAST(d.score AS DECIMAL(9,4)) AS DOUBLE) AS score, CAST(a.cost + b.cost + d.cost AS DOUBLE) AS cost FROM c a JOIN c b ON a.id < b.id JOIN c d ON b.id < d.id WHERE NOT (a.role = b.role AND b.role = d.role))"
+
+
+def pool(spark, sf_dir):
+    t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player").filter("balance > 0 and player < 60")
+    return t.select(F.col("player").alias("id"), "role", F.round(F.col("xg") * 90 / F.col("mins"), 4).cast("decimal(9,4)").alias("score"), (F.col("balance") / 1000).cast("decimal(9,2)").alias("cost"))
+
+
+@query("q1_best_trio", f"{POOL_SQL} SELECT a, b, c, score, cost FROM t WHERE cost <= 12 ORDER BY score DESC, a, b, c LIMIT 1")
+def q1(spark, sf_dir):
+    """The best three within a budget and of two roles at least (also j15)."""
+    t = V.trios(pool(spark, sf_dir), budget=12)
+    return V.pick(t, [F.col("score").desc(), "a", "b", "c"]).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
+
+
+@query("q2_cheapest_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
+def q2(spark, sf_dir):
+    return V.pick(V.trios(pool(spark, sf_dir)), ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+
+
+@query("q3_target_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t WHERE score >= 29 ORDER BY cost, a, b, c LIMIT 1")
+def q3(spark, sf_dir):
+    return V.pick(V.trios(pool(spark, sf_dir)).filter("score >= 29"), ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+
+
+@query("q5_team_page", f"{LEADERBOARD_SQL} SELECT team, p.player, row_number() OVER (PARTITION BY team ORDER BY g / m DESC, p.player) AS place FROM p JOIN a ON p.player = a.player WHERE m >= 15000")
+def q5(spark, sf_dir):
+    t = players(spark, sf_dir).join(player_totals(spark, sf_dir).filter("mins >= 15000"), "player")
+    place = F.row_number().over(Window.partitionBy("team").orderBy((F.col("xg") / F.col("mins")).desc(), "player"))
+    return t.select("team", "player", place.cast("long").alias("place"))
+
+
+@query("q7_best_dimensions", f"{LEADERBOARD_SQL}, r AS (SELECT player, rank() OVER (ORDER BY g / m DESC) AS xg, rank() OVER (ORDER BY h / m DESC) AS xa, rank() OVER (ORDER BY m DESC) AS mins FROM a), u AS (UNPIVOT r ON xg, xa, mins INTO NAME dim VALUE rank), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rank, dim) AS place FROM u) SELECT player, dim, rank, place FROM k WHERE place <= 2")
+def q7(spark, sf_dir):
+    w = Window.partitionBy(F.lit(0))
+    r = player_totals(spark, sf_dir).select("player", *[F.rank().over(w.orderBy(o.desc())).cast("long").alias(n) for n, o in (("xg", F.col("xg") / F.col("mins")), ("xa", F.col("xa") / F.col("mins")), ("mins", F.col("mins")))])
+    return V.best_dimensions(r, "player", ["xg", "xa", "mins"], 2)
+
+
+@query("q8_notify_once", f"WITH {RUNS_SQL}, d AS (SELECT DISTINCT stage, day FROM r WHERE failed OR size > 95) SELECT d.stage, d.day FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stage = d.stage AND r.day = d.day AND r.owner = 7)")
+def q8(spark, sf_dir):
+    """What is due less what a state table says was sent."""
+    r = runs(spark, sf_dir)
+    due = r.filter("failed or size > 95").select("stage", "day").distinct()
+    return due.join(r.filter("owner = 7").select("stage", "day"), ["stage", "day"], "left_anti")
+
+
+@query("q9_season_views", f"WITH {FIXTURES_SQL} SELECT DISTINCT season FROM x")
+def q9(spark, sf_dir):
+    return fixtures(spark, sf_dir).select("season").distinct()
