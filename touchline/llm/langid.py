@@ -237,12 +237,22 @@ def train(docs: DataFrame, eligible: Column | None = None, per_lang: int = 300,
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = [t.encode("utf-8") for t in column.to_pylist()]
+    texts = [(t or "").encode("utf-8") for t in column.to_pylist()]
     return np.frombuffer(b"".join(texts) or b"\0", dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row, and the columns of `carry`.
+def named(column: pa.Array, letters: list[bool], model: ByteGru | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of texts; `letters` tells which of them have a letter."""
+    ok = np.array(letters, dtype=bool)
+    if model is None or not ok.any():
+        return [UNDETERMINED] * len(ok), np.zeros(len(ok))
+    mean = model.documents(*_buffers(column))
+    names = [model.langs[b] if x else UNDETERMINED for b, x in zip(mean.argmax(axis=1), ok, strict=True)]
+    return names, np.where(ok, np.clip(mean.max(axis=1), 0, 1), 0.0)
+
+
+def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every row.
 
     `und` with score 0 where the text is null, has no letter, or nothing was
     learned. The prediction reads the text alone; other columns are left out and
@@ -250,18 +260,24 @@ def predict(df: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text_c
     """
 
     def each(cut: pa.RecordBatch) -> pa.RecordBatch:
-        letters = np.array(cut.column(2).to_pylist(), dtype=bool)
-        if model is None or not letters.any():
-            names, score = [UNDETERMINED] * len(letters), np.zeros(len(letters))
-        else:
-            mean = model.documents(*_buffers(cut.column(1)))
-            best = mean.argmax(axis=1)
-            names = [model.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-            score = np.where(letters, np.clip(mean.max(axis=1), 0, 1), 0.0)
+        names, score = named(cut.column(1), cut.column(2).to_pylist(), model)
         return pa.RecordBatch.from_arrays([cut.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("__id"), whole(text_col).alias("__text"), *carry).withColumn("__letters", F.col("__text").rlike(r"\p{L}"))
-    return map_text(rows, ["__id", "__text", "__letters"], each, "doc_id long, lang_pred string, score double", carry=carry)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).withColumn("letters", F.col("text").rlike(r"\p{L}"))
+    return map_text(rows, ["doc_id", "text", "letters"], each, "doc_id long, lang_pred string, score double")
+
+
+def with_language(df: DataFrame, model: ByteGru | None, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, that have a language: their text has a letter and something was learned."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in slices(batch, place):
+                names, _ = named(cut.column(place), [t is not None and any(map(str.isalpha, t)) for t in cut.column(place).to_pylist()], model)
+                yield cut.filter(pa.array([n != UNDETERMINED for n in names], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def label_positions(df: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

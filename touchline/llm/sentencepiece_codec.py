@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import list_array, map_text, whole
 
 #: Stretches whose pieces a worker keeps; a full memo starts anew.
-MEMO = 250_000
+MEMO = 200_000
 SPACE = "▁"
 NONE = float("-inf")
 SCHEMA = "doc_id long, ids array<int>, ends array<int>"
@@ -103,7 +103,7 @@ class Codec:
             raise ValueError("a BPE model without user-defined or unused pieces is needed")
         texts = [p[1].decode("utf-8") for p in pieces]
         self.kinds, self.texts = kinds, texts
-        self.eos = texts.index(trainer.get(46, b"</s>").decode() if 46 in trainer else "</s>")
+        self.eos = texts.index(trainer.get(47, b"</s>").decode("utf-8"))
         self.unk = kinds.index(UNKNOWN)
         self.unk_surface = trainer.get(44, b" \xe2\x81\x87 ").decode("utf-8")
         self.score = {t: struct.unpack("<f", p.get(2, bytes(4)))[0] for t, k, p in zip(texts, kinds, pieces, strict=True) if k == NORMAL}
@@ -224,10 +224,9 @@ class Codec:
         if not self.map.units and not self.squeeze and SPACE not in text:
             normal = text.replace(" ", SPACE)
             found = self.stretch.findall(SPACE + normal if self.dummy else normal)
-            ids = b"".join(map(memo.__getitem__, found))
-            sizes = np.frombuffer(b"".join(map(memo.sizes.__getitem__, found)), dtype="<i4")
-            ends = np.cumsum(sizes, dtype=np.int32)
-            return ids, (ends - 1 if self.dummy else ends).astype("<i4").tobytes()
+            both = np.frombuffer(b"".join(map(memo.__getitem__, found)), dtype="<i4").reshape(-1, 2)
+            ends = np.cumsum(both[:, 1], dtype=np.int32)
+            return both[:, 0].tobytes(), (ends - 1 if self.dummy else ends).astype("<i4").tobytes()
         normal, starts = self.normalise(text)
         ids, ends, at = [], [], 0
         for s in self.stretch.findall(normal):
@@ -279,30 +278,22 @@ def _bytes_to_text(run: str) -> str:
 
 
 class StretchMemo(dict):
-    """Stretch -> its ids; sizes: stretch -> the source bytes of each piece, where each mark stands for one space."""
+    """Stretch -> 32-bit pairs of a piece's id and its source bytes, where each mark stands for one space."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.sizes = codec, Sizes(self)
+        self.codec = codec
 
     def __missing__(self, s: str) -> bytes:
         if len(self) > MEMO:
             self.clear()
-            self.sizes.clear()
-        ids, texts = self.codec.pieces(s)
-        self[s] = made = array("i", ids).tobytes()
-        self.sizes[s] = array("i", [len(t.encode("utf-8")) - 2 * t.count(SPACE) for t in texts]).tobytes()
+        flat = array("i")
+        for i, t in zip(*self.codec.pieces(s), strict=True):
+            flat.append(i)
+            flat.append(len(t.encode("utf-8")) - 2 * t.count(SPACE))
+        self[s] = made = flat.tobytes()
         return made
 
 
-class Sizes(dict):
-    def __init__(self, memo: StretchMemo):
-        self.memo = memo
-
-    def __missing__(self, s: str) -> bytes:
-        self.memo.__missing__(s)
-        return self[s]
-
-
 @cache
 def codec(path: str) -> Codec:
     with open(path, "rb") as f:

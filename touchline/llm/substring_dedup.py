@@ -20,7 +20,7 @@ from .common import mix64
 from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, Units, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, row_order, sliced
 
 WINDOW, GRAM = 20, 6
-MEMO = 300_000
+MEMO = 200_000
 #: a suffix that goes to its group: hash and check of its first words, its document, and row and place in the slice
 LEAF = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4")])
 SPOT = np.dtype([("row", "<u4"), ("at", "<u4")])

@@ -240,7 +240,7 @@ def tokens_at(deltas: str | Column, length: str | Column) -> Column:
     import pandas as pd
 
     @F.pandas_udf("long")
-    def at(column: pd.Series, lengths: pd.Series) -> pd.Series:
+    def at(column, lengths):
         made = []
         for d, n in zip(column, lengths, strict=True):
             counts = np.r_[0, _counts(d)]
