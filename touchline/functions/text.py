@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: letters that lose their mark, for both languages' names
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -21,7 +22,7 @@ def fold_latin(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "['.]", ""), "[-\\s]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_unicode(names: pd.Series) -> pd.Series:
     """Lower case without combining marks of any script, invisible characters gone, single spaces; null stays null."""
 
