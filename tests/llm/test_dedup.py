@@ -87,7 +87,7 @@ def test_long_strings_against_brute_force(spark):
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 4, 200)
-    values = strings.BYTES.table[np.concatenate([rng.integers(0, 4, 300), passage, rng.integers(0, 4, 77), passage])]
+    values = strings.BYTES[np.concatenate([rng.integers(0, 4, 300), passage, rng.integers(0, 4, 77), passage])]
     prefix = repeats.Prefix(values)
     found = repeats.anchors(prefix, np.array([0, 350, len(values)]), 50, 8)
     owner = {s: (int(h), int(p - s)) for p, h, low, high in zip(found.at, found.hash, found.low, found.high) for s in range(low, high + 1)}
@@ -103,7 +103,7 @@ def test_suffix_order_sorts_like_python():
     rng = random.Random(4)
     data = bytes(rng.choice(b"ab") for _ in range(600))
     buffer = np.frombuffer(data, dtype=np.uint8)
-    order = strings.SuffixOrder(buffer, repeats.Prefix(strings.BYTES.table[buffer]), 20)
+    order = strings.SuffixOrder(buffer, repeats.Prefix(strings.BYTES[buffer]), 20)
     starts = np.array([rng.randrange(580) for _ in range(150)])
     group = np.array([rng.randrange(4) for _ in range(150)])
     places, own, shared = order.sort(starts, group)

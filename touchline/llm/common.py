@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,12 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python task holds at once beside the batch Spark hands it.
 SLICE_BYTES = 4 << 20
 
+#: the C library's way to return freed memory to the system, where it has one
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None
+
 #: odd multiplier of the 64-bit mixing steps (golden ratio)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -24,6 +31,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_claimed: list = []
+
+
+def claim(memo: dict | None) -> None:
+    """Keeps in a Python worker the memo of the operator that runs in it, and gives back what others left there."""
+    if _claimed and _claimed[0] is memo:
+        return
+    for other in _claimed:
+        if other is not None:
+            other.clear()
+    _claimed[:] = [memo]
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that column `text` of each cut holds about `limit` bytes; one long row stands alone."""
     column = batch.column(text)

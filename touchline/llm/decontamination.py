@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, whole
+from .common import claim, map_text, whole
 
 ERROR_RATE = 0.08
 #: text of the items that one automaton takes; more items are read in several passes over the documents
@@ -67,6 +67,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
+        claim(None)
         self.items = [Item(i, t, int(rate * len(t))) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):

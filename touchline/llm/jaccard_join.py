@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, list_array, map_text, mix64, whole
 from .components import components
-from .substring_dedup import WORDS
+from .substring_dedup import word_values
 
 NGRAM, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.9999
@@ -38,7 +38,7 @@ def forest_depth(trees: int, levels: int, threshold: float, recall: float) -> in
 
 def shingles(text: str, ngram: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; a text with fewer words has one shorter gram, or none."""
-    values, words = WORDS.values(text.encode("utf-8"))
+    values, words = word_values(text.encode("utf-8"))
     if not words:
         return np.zeros(0, dtype=np.uint64)
     n = min(ngram, len(words))

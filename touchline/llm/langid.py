@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, map_text, slices, whole
+from .common import claim, list_array, map_text, slices, whole
 
 WINDOW = 96
 HIDDEN = 8
@@ -243,6 +243,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def named(column: pa.Array, letters: list[bool], model: ByteGru | None) -> tuple[list[str], np.ndarray]:
     """Language and score of texts; `letters` tells which of them have a letter."""
+    claim(None)
     ok = np.array(letters, dtype=bool)
     if model is None or not ok.any():
         return [UNDETERMINED] * len(ok), np.zeros(len(ok))

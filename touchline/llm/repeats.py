@@ -127,11 +127,8 @@ class Block:
     raw: list
 
 
-class Units:
-    """What the windows consist of: turns a text into 64-bit values."""
-
-    def values(self, text: bytes) -> tuple[np.ndarray, object]:
-        raise NotImplementedError
+#: turns a text into the 64-bit values of what windows consist of, and those units; a function that tasks import
+Units = Callable[[bytes], tuple[np.ndarray, object]]
 
 
 def row_order(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
@@ -150,7 +147,7 @@ def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
 def blocks(texts: list[bytes], units: Units) -> Iterator[Block]:
     first, size, values, raw = 0, 0, [], []
     for n, text in enumerate(texts):
-        v, r = units.values(text)
+        v, r = units(text)
         values.append(v)
         raw.append(r)
         size += len(text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, map_text, whole
+from .common import claim, list_array, map_text, whole
 
 #: Stretches whose pieces a worker keeps; a full memo starts anew.
 MEMO = 200_000
@@ -309,6 +309,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
     def each(cut: pa.RecordBatch) -> pa.RecordBatch:
         made = codec(model)
+        claim(made.memo)
         tail = np.array([made.eos] if eos else [], dtype="<i4").tobytes()
         ids, ends, lengths = [], [], []
         for text in cut.column(1).to_pylist():

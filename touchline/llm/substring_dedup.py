@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mix64
-from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, Units, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, row_order, sliced
+from .common import claim, mix64
+from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, row_order, sliced
 
 WINDOW, GRAM = 20, 6
 MEMO = 200_000
@@ -26,8 +26,8 @@ LEAF = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("row", "<u4
 SPOT = np.dtype([("row", "<u4"), ("at", "<u4")])
 
 
-class Words(Units, dict):
-    """Words are runs of bytes that are not ASCII white space; a word's value is a 64-bit hash of it."""
+class Words(dict):
+    """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
@@ -35,14 +35,17 @@ class Words(Units, dict):
         self[word] = made = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return made
 
-    def values(self, text: bytes):
-        words = text.split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words)), words
-
 
 WORDS = Words()
 
 
+def word_values(text: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Hashes of the words of a text, the runs of bytes that are not ASCII white space, and the words."""
+    claim(WORDS)
+    words = text.split()
+    return np.fromiter(map(WORDS.__getitem__, words), dtype=np.uint64, count=len(words)), words
+
+
 def starts_of(own, hot: np.ndarray) -> np.ndarray:
     """Window starts around the anchors whose hash is among the sorted hot ones."""
     if not len(hot) or not len(own.at):
@@ -66,14 +69,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     earlier. Null texts have no words; other columns are left out.
     """
     rows, groups = sliced(docs, id_col, text_col, carry)
-    hot = repeated_anchors(rows, groups, WORDS, window, gram)
+    hot = repeated_anchors(rows, groups, word_values, window, gram)
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
         own = key[0].as_py()
         ids, texts = ordered(table)
         known = np.unique(answers(told, np.uint64))
         leaves = []
-        for b in blocks(texts, WORDS):
+        for b in blocks(texts, word_values):
             prefix = Prefix(b.values)
             start = starts_of(anchors(prefix, b.offsets, window, gram), known)
             row = np.searchsorted(b.offsets, start, side="right") - 1

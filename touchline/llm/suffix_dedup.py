@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, Units, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, sliced
+from .common import claim
+from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, sliced
 from .substring_dedup import answers
 
 WINDOW, GRAM = 400, 32
@@ -25,14 +26,13 @@ HEAD = np.dtype([("hash", "<u8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2"), (
 SPAN = np.dtype([("row", "<u4"), ("low", "<u4"), ("high", "<u4")])
 
 
-class Bytes(Units):
-    table = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def values(self, text: bytes):
-        return self.table[np.frombuffer(text, dtype=np.uint8)], text
 
-
-BYTES = Bytes()
+def byte_values(text: bytes) -> tuple[np.ndarray, bytes]:
+    """A 64-bit value for each byte, and the bytes."""
+    claim(None)
+    return BYTES[np.frombuffer(text, dtype=np.uint8)], text
 
 
 class SuffixOrder:
@@ -127,7 +127,7 @@ def resolve(heads: np.ndarray, raw: list[bytes], window: int) -> list[np.ndarray
     buffer = np.frombuffer(joined, dtype=np.uint8)
     length = heads["n"].astype(np.int64) + window - 1
     base = np.r_[0, np.cumsum(length)[:-1]].astype(np.int64)
-    prefix = Prefix(BYTES.table[buffer])
+    prefix = Prefix(BYTES[buffer])
     span = prefix.at(base, length)
     order = np.lexsort((heads["off"], heads["n"], span, heads["hash"]))
     new = np.ones(len(heads), dtype=bool)
@@ -179,14 +179,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     string may begin or end inside a character.
     """
     rows, groups = sliced(docs, id_col, text_col)
-    hot = repeated_anchors(rows, groups, BYTES, window, gram)
+    hot = repeated_anchors(rows, groups, byte_values, window, gram)
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
         own = key[0].as_py()
         _, texts = ordered(table)
         known = np.unique(answers(told, np.uint64))
         heads, raws, spans = [], [], []
-        for b in blocks(texts, BYTES) if len(known) else ():
+        for b in blocks(texts, byte_values) if len(known) else ():
             prefix = Prefix(b.values)
             found = anchors(prefix, b.offsets, window, gram)
             near = np.flatnonzero(known[np.minimum(np.searchsorted(known, found.hash), len(known) - 1)] == found.hash)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, whole
+from .common import claim, map_text, whole
 
 #: Entries of each memo of a worker: words, pairs of tokens, beginnings of words. A full memo starts anew.
 MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 400_000, 600_000, 100_000
@@ -161,9 +161,14 @@ class WordTables(dict):
             return full[1:]
         return [full[e] for e in accumulate(len(c.encode("utf-8")) for c in word)]
 
+    def clear(self) -> None:
+        super().clear()
+        self.agree.clear()
+        self.states.clear()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO_WORDS:
-            self.clear()
+            super().clear()
         if word == " ":
             made = bytes(2)
         else:
@@ -212,6 +217,7 @@ def prefix_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     def each(cut: pa.RecordBatch) -> pa.RecordBatch:
         tables = word_tables(tokenizer)
+        claim(tables)
         texts = cut.column(1).to_pylist()
         steps = [tables.steps(t) for t in texts]
         tokens = [int(np.frombuffer(s, dtype="<i2").sum(dtype=np.int64)) for s in steps]
