@@ -71,5 +71,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_fingerprints": op6_fingerprints, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 
+#: payload digests: base32 is read off the hexadecimal form, five digits to four letters
+OP3_SQL = """WITH b AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+h AS (SELECT page_id, octet_length(p) AS n, upper(sha1(p)) AS x FROM b),
+d AS (SELECT page_id, n, list_reduce(list_transform(range(0, 8), lambda k: list_reduce(list_transform(range(0, 4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(1 + 5 * k AS INT), 5) AS BIGINT) >> CAST(15 - 5 * j AS INT)) & 31 AS INT) + 1, 1)), lambda u, v: u || v)), lambda u, v: u || v) AS digest FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+OP5_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS size, md5(CAST(list_sort(s) AS VARCHAR)) AS key, s FROM g),
+k AS (SELECT key, min(doc_id) AS node, count(*) - 1 AS n_copies, any_value(size) AS size, any_value(s) AS s FROM n GROUP BY key),
+u AS (SELECT node, size, unnest(s) AS gram FROM k),
+pair AS (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.gram = b.gram AND a.node <> b.node GROUP BY a.node, b.node, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+links AS (SELECT a AS node, count(*) AS n_links FROM pair GROUP BY 1),
+r AS (WITH RECURSIVE c AS (SELECT node AS root, node AS spot FROM k UNION SELECT c.root, pair.b FROM c JOIN pair ON pair.a = c.spot) SELECT root AS node, min(spot) AS class_id FROM c GROUP BY 1)
+SELECT n.doc_id, r.class_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_links, CAST(k.n_copies AS BIGINT) AS n_copies FROM n JOIN k USING (key) JOIN r ON r.node = k.node LEFT JOIN links ON links.node = k.node"""
+
+OP10_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
+k AS (SELECT *, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM u),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM k WHERE p <= n - 19),
+gone AS (SELECT DISTINCT doc_id, p + j AS p FROM f, range(0, 20) AS t(j) WHERE nth > 1),
+kept AS (SELECT u.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY u.p) AS t FROM u LEFT JOIN gone ON u.doc_id = gone.doc_id AND u.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op10_substring_dedup": OP10_SQL}
