@@ -108,3 +108,38 @@ def principal_components(rows: DataFrame, columns: list[str], k: int):
     scaled = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(full).transform(full)
     model = PCA(k=k, inputCol="_scaled", outputCol="_pc").fit(scaled)
     return model.explainedVariance.toArray().tolist(), model.pc.toArray().tolist()
+
+
+def hypergeometric_tail(population: int, marked: int, drawn: int, k: int) -> float:
+    """Chance of at least k marked among the drawn."""
+    from math import comb
+
+    return sum(comb(marked, i) * comb(population - marked, drawn - i) for i in range(k, min(marked, drawn) + 1)) / comb(population, drawn)
+
+
+def fold_means(rows: DataFrame, y: str, fold_: str) -> DataFrame:
+    """(fold, flat): the mean of all other folds."""
+    own = rows.groupBy(fold_).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    whole = Window.partitionBy(F.lit(0))
+    return own.select(fold_, ((F.sum("_s").over(whole) - F.col("_s")) / (F.sum("_n").over(whole) - F.col("_n"))).alias("flat"))
+
+
+def weight_sensitivity(rows: DataFrame, key: str, weights: dict[str, float], draws: int, spread: float = 0.2, seed: int = 42) -> DataFrame:
+    """(median, low, least) of the rank correlation between the index and its value under weights moved by up to +-spread.
+
+    The moves follow from a hash of the draw and the weight's name.
+    """
+    from functools import reduce
+
+    from .windows import spearman
+
+    many = rows.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+
+    def moved(name: str) -> Column:
+        uniform = F.pmod(F.xxhash64(F.lit(seed), "_draw", F.lit(name)), F.lit(1 << 53)) / float(1 << 53)
+        return weights[name] * (1 + spread * (2 * uniform - 1))
+
+    base = reduce(Column.__add__, [F.col(n) * w for n, w in weights.items()])
+    other = reduce(Column.__add__, [F.col(n) * moved(n) for n in weights])
+    rho = spearman(many.select("_draw", base.alias("_a"), other.alias("_b")), "_a", "_b", ["_draw"])
+    return rho.agg(F.percentile("rho", F.lit(0.5)).alias("median"), F.percentile("rho", F.lit(0.05)).alias("low"), F.min("rho").alias("least"))
