@@ -26,7 +26,7 @@ from .common import mix64, whole
 
 BASE = 0xA24BAED4963EE407
 #: UTF-8 bytes of a slice and of the block of it that is hashed at a time
-SLICE, BLOCK = 8 << 20, 256 << 10
+SLICE, BLOCK = 4 << 20, 256 << 10
 LEAST_SLICES = 48
 NO_ID = -(1 << 63)
 
@@ -157,13 +157,13 @@ def blocks(texts: list[bytes], units: Units) -> Iterator[Block]:
             first, size, values, raw = n + 1, 0, [], []
 
 
-def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """(slice, doc_id, text) rows, and the number of slices, which follows the bytes of text; there are as many groups."""
+def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """(slice, doc_id, text) rows, and the numbers of slices and groups, which follow the bytes of text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_SLICES, math.ceil(total / SLICE))
     deal = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(n)).cast("int")
-    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n
+    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n, max(LEAST_SLICES, n // 2)
 
 
 def by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:

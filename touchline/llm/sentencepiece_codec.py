@@ -300,9 +300,11 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", eos: bool = True, carry: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
     """doc_id, ids, and ends: the byte of the UTF-8 text at which each piece ends, where the next begins.
 
+    With decoded=True also the text that the ids decode to, in the same pass.
+
     An end id has the text's end. Null and empty texts have no pieces but the
     end id; repeated rows give repeated rows; columns other than `carry` are left out.
     """
@@ -318,10 +320,14 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
             ends += (b, (b[-4:] or bytes(4)) if tail else b"")
             lengths.append((len(a) + len(tail)) // 4)
         flat = [np.frombuffer(b"".join(x), dtype="<i4") for x in (ids, ends)]
-        return pa.RecordBatch.from_arrays([cut.column(0), *(list_array(x, np.array(lengths), pa.int32()) for x in flat)], names=["doc_id", "ids", "ends"])
+        columns = [cut.column(0), *(list_array(x, np.array(lengths), pa.int32()) for x in flat)]
+        if decoded:
+            cuts = np.cumsum(lengths)[:-1]
+            columns.append(pa.array([made.decode(x) for x in np.split(flat[0], cuts)] if lengths else [], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "ends", "decoded"][: len(columns)])
 
     rows = df.select(F.col(id_col).cast("long").alias("__id"), whole(text_col).alias("__text"), *carry)
-    return map_text(rows, ["__id", "__text"], each, SCHEMA, carry=carry)
+    return map_text(rows, ["__id", "__text"], each, SCHEMA + ", decoded string" * decoded, carry=carry)
 
 
 def decode(ids: str | Column, model: str) -> Column:
