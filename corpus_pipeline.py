@@ -16,8 +16,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns the languages that documents are labelled with; documents without a language (null, or no letter) go."""
-    named = langid.predict(docs, langid.train(docs), carry=COLUMNS[1:])
-    return named.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    return langid.with_language(docs.select(*COLUMNS), langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with an end id, and the text that they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    made = sentencepiece_codec.encode(docs, model, carry=("lang", "source", "n_chars"))
-    return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", sentencepiece_codec.decode("ids", model).alias("text"))
+    made = sentencepiece_codec.encode(docs, model, carry=("lang", "source", "n_chars"), decoded=True)
+    return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [
