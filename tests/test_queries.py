@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+import touchline.plans.inventory  # noqa: F401
 import touchline.plans.monitoring  # noqa: F401
 import touchline.plans.rating  # noqa: F401
 import touchline.plans.scans  # noqa: F401

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 def out_of_range(df: DataFrame, rules: dict[str, tuple[str, float, float]]) -> DataFrame:
     """(field, n): rows whose value lies outside its range, in one pass."""
-    counts = df.agg(*[F.count_if(~F.col(c).between(low, high)).alias(name) for name, (c, low, high) in rules.items()])
-    return counts.unpivot([], list(rules), "field", "n")
+    counts = [F.struct(F.lit(name).alias("field"), F.count_if(~F.col(c).between(low, high)).alias("n")) for name, (c, low, high) in rules.items()]
+    return df.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
