@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from touchline.functions import text as T
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
-from touchline.operators import serving as V
-from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90, total
-from touchline.operators.windows import rank_average, spearman, top_n
+from touchline.operators.windows import spearman, top_n
 from touchline.sources import providers, sinks
 
-from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
+from .binding import FACTS_SQL, FIXTURES_SQL, RUNS_SQL, facts, fixtures, players, runs, table
 from .registry import query
 from .scans import LEADERBOARD_SQL, player_totals
-from .statistics import PAIR_SQL, pairs, pool
+from .statistics import PAIR_SQL, pairs
 
 TEAM_SQL = f"{FACTS_SQL}, g AS (SELECT team, fixture, season, rnd, CAST(sum(goal) AS BIGINT) AS goals FROM f GROUP BY ALL)"
 
