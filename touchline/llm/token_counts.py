@@ -61,8 +61,10 @@ class WordTables(dict):
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.parts: dict[str, tuple[str, str]] = {}
-        for p in self.rank:
+        self.follow: dict[str, dict[str, int]] = {}
+        for p, i in self.rank.items():
             self.parts.setdefault(p[0] + p[1], p)
+            self.follow.setdefault(p[0], {})[p[1]] = i
         self.spines: tuple[dict, dict] = ({}, {})
         self.vocab = model["vocab"]
         self.ending = {t[: len(t) - len(self.end)] for t in self.vocab if t.endswith(self.end)}
@@ -113,8 +115,13 @@ class WordTables(dict):
                 x = self.spines[1][left] = self.spine(left, 1)
             if (y := self.spines[0].get(right)) is None:
                 y = self.spines[0][right] = self.spine(right, 0)
-            rank = self.rank
-            known = self.agree[key] = not any((r := rank.get((a, b))) is not None and r < a_ends and r <= b_ends for a, a_ends in x for b, b_ends in y)
+            known = True
+            for a, a_ends in x:
+                if (follow := self.follow.get(a)) is not None:
+                    for b, b_ends in y:
+                        if (r := follow.get(b)) is not None and r < a_ends and r <= b_ends:
+                            known = False
+            self.agree[key] = known
         return known
 
     def extend(self, s: str, last: list[str], count: list[int], full: list[int]) -> None:
@@ -123,20 +130,25 @@ class WordTables(dict):
         last and count: the last token and the number of tokens of each prefix
         that goes on; full: the tokens of the prefix as a word of its own.
         """
-        inner, ending, end, pair = self.inner, self.ending, self.end, self.pair
+        inner, ending, end, pair, known = self.inner, self.ending, self.end, self.pair, self.agree
         for i in range(len(last), len(s) + 1):
             mid = fin = 0
             for j in range(max(0, i - self.longest), i):
-                token = s[j:i]
-                if not mid and token in inner and (j == 0 or last[j] and pair(last[j], token)):
-                    mid = count[j] + 1
-                    mid_token = token
-                    if fin:
-                        break
-                if not fin and token in ending and (j == 0 or last[j] and pair(last[j], token + end)):
-                    fin = count[j] + 1
-                    if mid:
-                        break
+                token, before = s[j:i], last[j]
+                if j and not before:
+                    continue
+                if not mid and token in inner:
+                    fits = j == 0 or known.get((before, token))
+                    if pair(before, token) if fits is None else fits:
+                        mid, mid_token = count[j] + 1, token
+                        if fin:
+                            break
+                if not fin and token in ending:
+                    fits = j == 0 or known.get((before, token + end))
+                    if pair(before, token + end) if fits is None else fits:
+                        fin = count[j] + 1
+                        if mid:
+                            break
             last.append(mid_token if mid else "")
             count.append(mid)
             full.append(fin or len(self.merged(self.symbols(s[:i] + end))))
