@@ -100,7 +100,7 @@ def brute_sketch(text, k=5, size=128):
         return signed(seed)
 
     units = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)
-    short = [of(" ".join(units).encode()) >> 32] if units else []
+    short = sorted({of(u.encode()) >> 32 for u in units})[:size]
     if len(units) < k:
         return short
     h = [of(u.encode()) for u in units]

@@ -32,7 +32,10 @@ def _hash(*parts: Column) -> Column:
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """array<struct<at:int, hash:int>>: the closed syncmers of a text, `at` counting units from 0."""
+    """array<struct<at:int, hash:int>>: the closed syncmers of a text, `at` counting units from 0.
+
+    In a text too short to have one, every unit is an anchor.
+    """
     if k < 3:
         raise ValueError("an anchor has at least three units")
 
@@ -48,7 +51,7 @@ def anchors(text: Column, k: int = K) -> Column:
 
     def of(units: Column) -> Column:
         size = F.size(units)
-        short = F.when(size > 0, F.array(F.struct(F.lit(0).alias("at"), _hash(F.array_join(units, " ")).alias("hash")))).otherwise(F.array().cast("array<struct<at:int,hash:int>>"))
+        short = F.transform(units, lambda u, i: F.struct(i.alias("at"), _hash(u).alias("hash")))
         hashes = F.transform(units, lambda u: F.xxhash64(u))
         pairs = let(hashes, lambda h: F.zip_with(F.slice(h, 1, F.greatest(size - 1, F.lit(0))), F.slice(h, 2, F.greatest(size - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
         found = let(pairs, syncmers)
