@@ -47,7 +47,7 @@ def test_main_text_of_odd_pages(spark):
     assert html.main_text("plain words") == "plain words"
     assert html.main_text("<p>a<b>b</b>c<br>d") == "abc d"
     assert html.main_text(page("<h1>Only</h1><p>one two three</p><p>four</p>")) == "Only one two three four"
-    deep = "<div>" * 3000 + "<p>deep text</p>"
+    deep = "<div>" * 50_000 + "<p>deep text</p>"
     assert html.main_text(deep) == "deep text"
     assert html.main_text("<p class=\"broken>text " * 50 + "x" * 1000) is not None
     rows = spark.createDataFrame([(1, "u", page(f"<article>{ARTICLE}</article>"), "x"), (1, "u", None, "x"), (2, None, "", "x")], "page_id long, url string, html string, text string")

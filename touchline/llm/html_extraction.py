@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,14 +52,19 @@ class Page:
     def parse(self, source: str) -> None:
         tag, parent, order = self.tag, self.parent, self.order
         stack = [0]
+        opened: Counter[str] = Counter()
 
         def close(upto: int) -> None:
             while len(stack) > upto:
-                if tag[stack.pop()] in BLOCK:
+                name = tag[stack.pop()]
+                opened[name] -= 1
+                if name in BLOCK:
                     order.append((stack[-1], None))
 
         def find(names: tuple[str, ...], stops: frozenset | tuple) -> int:
             """Depth of the nearest open element with one of the names, before any of the stops; 0 if none."""
+            if not any(opened[n] for n in names):
+                return 0
             for depth in range(len(stack) - 1, 0, -1):
                 name = tag[stack[depth]]
                 if name in names:
@@ -105,6 +111,7 @@ class Page:
                 at = end.end() if end else size
                 continue
             stack.append(node)
+            opened[name] += 1
 
     def described(self, node: int) -> tuple[str, set[str], bool]:
         """Role, words of class and id, and whether the element is hidden."""
