@@ -35,6 +35,8 @@ TEXT = "A title The first paragraph of the story, with a link and enough words t
         f"<div class='cookie-notice'>We use cookies and you agree to all of it by reading on and on</div><main>{ARTICLE}<form><p>Sign up here</p><input name=q></form></main><div class='ad'>Buy now</div>",
         f"<div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div><section>{ARTICLE}</section><div><a href=x>More</a> <a href=y>Still more</a></div>",
         f"<article>{ARTICLE.replace('</p>', '')}</article>",
+        f"<table><tr><td><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td>{ARTICLE}</td></tr></table>",
+        f"<div class=content>{ARTICLE.replace('<p>', '').replace('</p>', '<br><br>')}</div><div class=links><a href=a>x</a> <a href=b>y</a></div>",
         f"<article><!-- <p>hidden</p> -->{ARTICLE}<div hidden>secret</div><noscript>turn it on</noscript></article>",
     ],
 )

@@ -34,6 +34,7 @@ NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 NOT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promoted promotion related recommended replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
+CONTAINERS = frozenset("article body center div main section td".split())
 TEXT_WORDS = frozenset("article body content entry main page post story text".split())
 PIECE = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.IGNORECASE)
@@ -182,22 +183,26 @@ def main_text(source: str) -> str:
         total[parent[n]] += dense[n]
         children[parent[n]] = True
     total = [s if c else d for s, c, d in zip(total, children, dense, strict=True)]
+    for n in range(count):  # text that stands in a container itself, parted by line breaks, is a child like a paragraph
+        if tag[n] in CONTAINERS and children[n] and 2 * live[n] > chars[n]:
+            total[n] += live[n] * math.log(max(1.0, live[n]) + 1) / 0.1
     best = max((n for n in range(count) if keep[n] and chars[n]), key=lambda n: (total[n], -n))
     path = [best]
     while path[-1] not in (0, body):
         path.append(parent[path[-1]])
     threshold = min(dense[n] for n in path)
     marked = [keep[n] and chars[n] > 0 and dense[n] >= threshold and tag[n] in BLOCK for n in range(count)]
-    marks = sums([float(m) for m in marked])
+    above = set(path[1:])  # what stands around the best node says nothing by itself
+    marks = sums([float(m and n not in above) for n, m in enumerate(marked)])
 
     # up from the best node as long as more of the article lies around it
     chosen = best
     for up in path[1:]:
         if up in (0, body):
-            if tag[chosen] not in ("article", "main") and any(marked[n] and parent[n] == up and n != chosen and tag[n] in ("p", "h1", "h2", "section", "blockquote", "pre", "ul", "ol", "table") for n in range(up + 1, count)):
+            if tag[chosen] not in ("article", "main") and any(marked[n] and parent[n] == up and n != chosen and n not in above and tag[n] in ("p", "h1", "h2", "section", "blockquote", "pre", "ul", "ol", "table") for n in range(up + 1, count)):
                 chosen = up
             break
-        if tag[up] in ("article", "main", "p", "section", "blockquote", "table", "tbody", "tr", "ul", "ol", "dl") or marks[up] - marks[chosen] > float(marked[up]) or page.described(up)[1] & TEXT_WORDS:
+        if tag[up] in ("article", "main", "p", "section", "blockquote") or marks[up] > marks[chosen] or page.described(up)[1] & TEXT_WORDS:
             chosen = up
     within = [False] * count
     within[chosen] = True
