@@ -88,6 +88,18 @@ links AS (SELECT a AS node, count(*) AS n_links FROM pair GROUP BY 1),
 r AS (WITH RECURSIVE c AS (SELECT node AS root, node AS spot FROM k UNION SELECT c.root, pair.b FROM c JOIN pair ON pair.a = c.spot) SELECT root AS node, min(spot) AS class_id FROM c GROUP BY 1)
 SELECT n.doc_id, r.class_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_links, CAST(k.n_copies AS BIGINT) AS n_copies FROM n JOIN k USING (key) JOIN r ON r.node = k.node LEFT JOIN links ON links.node = k.node"""
 
+#: bytes as pairs of hexadecimal digits
+OP9_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d WHERE length(h) >= 800),
+k AS (SELECT doc_id, s, md5(substr(h, CAST(2 * s + 1 AS INT), 800)) AS m FROM w),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY m) AS c FROM k) WHERE c > 1),
+n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM n) GROUP BY doc_id, run),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM i GROUP BY 1),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM i UNION ALL SELECT doc_id, last, length(h) // 2 FROM t JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS INT), CAST(2 * (y - x) AS INT)), '' ORDER BY x) AS h FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
 OP10_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),
 k AS (SELECT *, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k FROM u),
@@ -98,4 +110,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_suffix_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
