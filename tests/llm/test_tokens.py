@@ -152,3 +152,12 @@ def test_registered_queries_agree_with_the_libraries(spark, tmp_path):
     assert got[1].decoded_sha256 == hashlib.sha256(b"Hello  world\n").hexdigest()
     assert got[2].n_tokens == 1 and got[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert {r.doc_id: r.over_limit for r in op4_token_counts(spark, str(tmp_path)).collect()} == {1: False, 2: False}
+
+
+def test_every_character_counts_like_the_library():
+    tables = tc.word_tables(WORD)
+    letters = [chr(c) for c in [*range(1, 0x2E00), *range(0x2E00, 0x30000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}B {c}{c} 1{c}'s" for c in letters]
+    want = [len(e.ids) for e in tables.lib.encode_batch(texts, add_special_tokens=False)]
+    got = [int(np.frombuffer(tables.steps(t), dtype="<i2").sum()) for t in texts]
+    assert [c for c, a, b in zip(letters, got, want) if a != b] == []

@@ -30,10 +30,10 @@ MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 400_000, 600_000, 100_000
 SHARED = 6
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_deltas binary"
 
-# fixed values: the letters and digits below U+0250, for which Python and the library agree
-LETTERS = "a-zªµºß-öø-ɏ"
+# fixed values: the letters and digits below U+0180, for which Python and the library agree
+LETTERS = "a-zªµºß-öø-ſ"
 DIGITS = "0-9²³¹¼½¾"
-PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ‐-‧‰-⁞€]*")
+PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ſ‐-‧‰-⁞€]*")
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+| ")
 SPACE = re.compile(r"\s+")
 
