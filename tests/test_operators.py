@@ -26,6 +26,11 @@ def test_average_rank_truncates_ties_and_puts_nulls_last(spark):
     assert got == {1: 1, 2: 3, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7}
     exact = dict(one(W.rank_average(df, "v", ["g"], "rank", floor=False).select("k", "rank")))
     assert exact[5] == 5.5
+    assert dict(one(W.rank_average(df, "v", [], "rank").select("k", "rank"))) == got
+    assert W.rank_average(df.limit(0), "v", [], "rank").collect() == []
+    many = spark.range(3000).select("id", ((F.col("id") * 7919) % 1000).alias("v"), F.lit(0).alias("g"))
+    whole, parts = (sorted(one(W.rank_average(many, "v", by, "rank").select("id", "rank"))) for by in ([], ["g"]))
+    assert whole == parts
 
 
 def test_spearman_against_pearson_of_ranks(spark):

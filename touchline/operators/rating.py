@@ -159,4 +159,4 @@ def season_index(facts: DataFrame, rules: Rules = RULES, keys: tuple[str, ...] =
     rows = rows.withColumn("raw", index)
     peers = F.avg("raw").over(Window.partitionBy("role"))
     rows = rows.withColumn("index", F.round(role_weighted(F.col("raw"), peers, F.col("confidence"), F.col("role"), rules), 4))
-    return rank_average(rows.withColumn("_all", F.lit(0)), "index", ["_all"], "rank").select("player", "role", "n", "mins", "confidence", "index", "rank")
+    return rank_average(rows, "index", [], "rank").select("player", "role", "n", "mins", "confidence", "index", "rank")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import place
+
 
 def movers(before: DataFrame, after: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """(key, moved, kind): the n largest gains and losses of place between two rankings; equal ones go by key."""
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(value).desc(), key)).cast("long")
-    a, b = before.select(key, place.alias("_a")), after.select(key, place.alias("_b"))
+    a, b = place(before, value, [key], "_a").select(key, "_a"), place(after, value, [key], "_b").select(key, "_b")
     moved = a.join(b, key).select(key, (F.col("_a") - F.col("_b")).alias("moved"))
     up = moved.orderBy(F.col("moved").desc(), key).limit(n).withColumn("kind", F.lit("up"))
     down = moved.orderBy("moved", key).limit(n).withColumn("kind", F.lit("down"))

@@ -84,7 +84,7 @@ def partial_spearman(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """(rho, n): correlation of average ranks after each loses its group's mean."""
     from .windows import rank_average
 
-    r = rank_average(rank_average(rows.withColumn("_all", F.lit(0)), x, ["_all"], "_x", floor=False), y, ["_all"], "_y", floor=False)
+    r = rank_average(rank_average(rows, x, [], "_x", floor=False), y, [], "_y", floor=False)
     w = Window.partitionBy(group)
     r = r.withColumn("_u", F.col("_x") - F.avg("_x").over(w)).withColumn("_v", F.col("_y") - F.avg("_y").over(w))
     return r.agg(F.corr("_u", "_v").alias("rho"), F.count("*").alias("n"))

@@ -6,14 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread_by_value(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
+    """df with `_bucket`, larger values in lower buckets and nulls in the last, and `_above`, the rows in lower buckets.
+
+    Approximate quantiles part the values, so an order over the whole table needs
+    no single partition: equal values share a bucket, and places inside buckets
+    and the sizes of those above make up the place.
+    """
+    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000).alias("_edges"))
+    place = F.when(F.col(value).isNull(), buckets + 1).otherwise(F.size(F.filter("_edges", lambda e: e > F.col(value))))
+    rows = df.join(edges).withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_edges")
+    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a bucket
+    above = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sizes.select("_bucket", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")), "_bucket")
+
+
 def rank_average(df: DataFrame, value: str, by: list[str], out: str, floor: bool = True) -> DataFrame:
-    """Descending rank where ties have the mean of their ranks, truncated unless floor is False; nulls come last as one tie."""
+    """Descending rank where ties have the mean of their ranks, truncated unless floor is False; nulls come last as one tie.
+
+    Without `by` the rank is that in the whole table.
+    """
+    if not by:
+        spread = spread_by_value(df, value)
+        order, peers = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last()), Window.partitionBy("_bucket", value)
+        rank = F.col("_above") + F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
+        return spread.withColumn(out, F.floor(rank) if floor else rank).drop("_bucket", "_above")
     order = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
     peers = Window.partitionBy(*by, value)
     rank = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
     return df.withColumn(out, F.floor(rank) if floor else rank)
 
 
+def place(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
+    """Ordinal place in the whole table by descending value, of equals by the keys, nulls last."""
+    order = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last(), *keys)
+    spread = spread_by_value(df, value)
+    return spread.withColumn(out, (F.col("_above") + F.row_number().over(order)).cast("long")).drop("_bucket", "_above")
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., rho, n): correlation of average ranks over rows that have both values."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -9,7 +9,7 @@ from touchline.functions import text as T
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
 from touchline.operators.measures import mean, per90, total
-from touchline.operators.windows import spearman, top_n
+from touchline.operators.windows import place, spearman, top_n
 from touchline.sources import providers, sinks
 
 from .binding import FACTS_SQL, FIXTURES_SQL, RUNS_SQL, facts, fixtures, players, runs, table
@@ -114,13 +114,13 @@ def a9(spark, sf_dir):
 
 @query("t1_final_sort", f"{LEADERBOARD_SQL} SELECT player, row_number() OVER (ORDER BY g DESC, player) AS place FROM a")
 def t1(spark, sf_dir):
-    return player_totals(spark, sf_dir).select("player", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("xg").desc(), "player")).cast("long").alias("place"))
+    return place(player_totals(spark, sf_dir), "xg", ["player"], "place").select("player", "place")
 
 
 @query("t6_nulls_last", "SELECT s_suppkey AS player, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_acctbal END DESC NULLS LAST, s_suppkey) AS place FROM supplier")
 def t6(spark, sf_dir):
     p = players(spark, sf_dir).withColumn("v", F.when(F.col("player") % 6 != 0, F.col("balance")))
-    return p.select("player", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("v").desc_nulls_last(), "player")).cast("long").alias("place"))
+    return place(p, "v", ["player"], "place").select("player", "place")
 
 
 @query("m6_age_profile", f"{PAIR_SQL}, b AS (SELECT player, CASE WHEN player % 40 < 10 THEN 'young' WHEN player % 40 < 30 THEN 'prime' ELSE 'old' END AS class, x, y FROM z) SELECT player, round(CASE class WHEN 'young' THEN 0.6 * x + 0.4 * y WHEN 'prime' THEN 0.8 * x + 0.2 * y ELSE 0.9 * x + 0.1 * y END, 6) AS pro FROM b")

@@ -209,7 +209,7 @@ def _ranked(spark, sf_dir):
 
 @query("w1_rank_average", f"SELECT player, CAST(floor(rank() OVER (ORDER BY v DESC NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) AS BIGINT) AS rank FROM {RANKED_SQL}")
 def w1(spark, sf_dir):
-    return rank_average(_ranked(spark, sf_dir).withColumn("all", F.lit(0)), "v", ["all"], "rank").select("player", "rank")
+    return rank_average(_ranked(spark, sf_dir), "v", [], "rank").select("player", "rank")
 
 
 @query("w2_rank_min", f"SELECT player, role, rank() OVER (PARTITION BY role ORDER BY v DESC NULLS LAST) AS rank FROM {RANKED_SQL}")
@@ -340,9 +340,9 @@ def w19(spark, sf_dir):
 
 @query("w20_percentile", f"SELECT player, round((count(*) OVER () - rank) * 100.0 / count(*) OVER (), 6) AS pct FROM (SELECT player, floor(rank() OVER (ORDER BY v DESC NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) AS rank FROM {RANKED_SQL})")
 def w20(spark, sf_dir):
-    r = rank_average(_ranked(spark, sf_dir).withColumn("all", F.lit(0)), "v", ["all"], "rank")
-    n = F.count(F.lit(1)).over(Window.partitionBy("all"))
-    return r.select("player", F.round((n - F.col("rank")) * 100.0 / n, 6).alias("pct"))
+    rows = _ranked(spark, sf_dir)
+    r = rank_average(rows, "v", [], "rank").join(rows.agg(F.count("*").alias("n")))
+    return r.select("player", F.round((F.col("n") - F.col("rank")) * 100.0 / F.col("n"), 6).alias("pct"))
 
 
 @query("w21_movers", f"WITH {FACTS_SQL}, v AS (SELECT season, player, row_number() OVER (PARTITION BY season ORDER BY CAST(sum(xg) AS DOUBLE) / sum(mins) DESC, player) AS k FROM f WHERE season IN (1998, 1999) GROUP BY 1, 2), m AS (SELECT a.player, a.k - b.k AS moved FROM v a JOIN v b ON a.player = b.player AND a.season = 1998 AND b.season = 1999) (SELECT player, moved, 'up' AS kind FROM m ORDER BY moved DESC, player LIMIT 3) UNION ALL (SELECT player, moved, 'down' FROM m ORDER BY moved, player LIMIT 3)")

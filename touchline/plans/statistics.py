@@ -11,7 +11,7 @@ from touchline.operators import quality as Q
 from touchline.operators import serving as V
 from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90, total
-from touchline.operators.windows import rank_average, spearman
+from touchline.operators.windows import place, rank_average, spearman
 
 from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
 from .registry import query
@@ -381,15 +381,14 @@ def vc(spark, sf_dir):
     def rate(where):
         return F.try_divide(total(F.when(where, F.col("xg"))), total(F.when(where, F.col("mins"))))
 
-    q = facts(spark, sf_dir).filter("season = 1998").groupBy("player").agg(rate(early).alias("a"), rate(~early).alias("b"), F.count_if(early).alias("m"), F.count_if(~early).alias("n")).filter("m >= 4 and n >= 4").withColumn("all", F.lit(0))
-    q = rank_average(rank_average(q, "a", ["all"], "u", floor=False), "b", ["all"], "v", floor=False)
+    q = facts(spark, sf_dir).filter("season = 1998").groupBy("player").agg(rate(early).alias("a"), rate(~early).alias("b"), F.count_if(early).alias("m"), F.count_if(~early).alias("n")).filter("m >= 4 and n >= 4")
+    q = rank_average(rank_average(q, "a", [], "u", floor=False), "b", [], "v", floor=False)
     return q.agg(F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.corr("u", "v"), 6).alias("rho"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.sqrt(F.avg(F.pow(F.col("b") - F.col("a"), 2))), 6).alias("rmse"), F.count("*").alias("n"))
 
 
 @query("vb_top_ten", f"{PAIR_SQL}, u AS (SELECT player, row_number() OVER (ORDER BY x DESC, player) AS k FROM z), v AS (SELECT player, row_number() OVER (ORDER BY y DESC, player) AS k FROM z) SELECT u.player, u.k AS place, v.k AS other FROM u JOIN v USING (player) WHERE u.k <= 10 AND abs(u.k - v.k) >= 4")
 def vb(spark, sf_dir):
-    one = Window.partitionBy(F.lit(0))
-    z = pairs(spark, sf_dir).withColumn("place", F.row_number().over(one.orderBy(F.col("x").desc(), "player")).cast("long")).withColumn("other", F.row_number().over(one.orderBy(F.col("y").desc(), "player")).cast("long"))
+    z = place(place(pairs(spark, sf_dir), "x", ["player"], "place"), "y", ["player"], "other")
     return z.filter((F.col("place") <= 10) & (F.abs(F.col("place") - F.col("other")) >= 4)).select("player", "place", "other")
 
 
