@@ -20,12 +20,12 @@ def movers(before: DataFrame, after: DataFrame, key: str, value: str, n: int) ->
 def trios(pool: DataFrame, budget: float | None = None, least_roles: int = 2) -> DataFrame:
     """All trios a < b < c of (id, role, score, cost) with at least so many roles within the budget.
 
-    Pairs that already break the budget are cut before the third joins.
+    Pairs that break the budget even with the cheapest third are cut before the third joins.
     """
     a, b, c = (pool.select(*[F.col(k).alias(f"{p}_{k}") for k in ("id", "role", "score", "cost")]) for p in "abc")
     pairs = a.join(b, F.col("a_id") < F.col("b_id")).withColumn("_cost", F.col("a_cost") + F.col("b_cost"))
     if budget is not None:
-        pairs = pairs.filter(F.col("_cost") < budget)
+        pairs = pairs.join(pool.agg(F.min("cost").alias("_least"))).filter(F.col("_cost") + F.col("_least") <= budget)
     trio = pairs.join(c, F.col("b_id") < F.col("c_id")).withColumn("cost", F.col("_cost") + F.col("c_cost")).withColumn("score", F.col("a_score") + F.col("b_score") + F.col("c_score"))
     roles = F.size(F.array_distinct(F.array("a_role", "b_role", "c_role")))
     if budget is not None:
@@ -33,6 +33,26 @@ def trios(pool: DataFrame, budget: float | None = None, least_roles: int = 2) ->
     return trio.filter(roles >= least_roles).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("c_id").alias("c"), "score", "cost")
 
 
+def undominated(pool: DataFrame, order: list[Column], worth: Column, least_roles: int = 2, slices: int = 64) -> DataFrame:
+    """The rows of a pool (id, role, score, cost) that the first trio by an order can have; none of them is lost.
+
+    `order` is a total order in which a trio gets better if a member makes way
+    for an earlier one of its role, and `worth` is what such a change must not
+    lower (a constant where nothing else counts). A row that has as many earlier
+    rows of its role with no less worth as a trio has places for the role is in
+    no best trio. So many layers of undominated rows are kept, first in slices
+    of the ids and then in what they leave. If worth falls strictly with the
+    order, no row is dominated and the whole pool stays.
+    """
+    for by in (["role", F.pmod(F.hash("id"), F.lit(slices))], ["role"]):
+        pool = pool.withColumn("_kept", F.lit(False))
+        for _ in range(4 - least_roles):
+            earlier = Window.partitionBy(*by, "_kept").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+            pool = pool.withColumn("_kept", F.col("_kept") | F.coalesce(F.max(worth).over(earlier) < worth, F.lit(True)))
+        pool = pool.filter("_kept").drop("_kept")
+    return pool
+
+
 def pick(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.orderBy(*order).limit(1)
 

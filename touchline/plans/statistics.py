@@ -430,7 +430,12 @@ POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90
 
 
 def pool(spark, sf_dir):
-    t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player").filter("balance > 0 and player < 60")
+    """The subset of POOL_SQL, on which the triple join is compared with SQL."""
+    return whole_pool(spark, sf_dir).filter("id < 60")
+
+
+def whole_pool(spark, sf_dir):
+    t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player").filter("balance > 0")
     return t.select(F.col("player").alias("id"), "role", F.round(F.col("xg") * 90 / F.col("mins"), 4).cast("decimal(9,4)").alias("score"), (F.col("balance") / 1000).cast("decimal(9,2)").alias("cost"))
 
 
@@ -451,6 +456,26 @@ def q3(spark, sf_dir):
     return V.pick(V.trios(pool(spark, sf_dir)).filter("score >= 29"), ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
+@query("q1_best_trio_all")
+def q1_all(spark, sf_dir):
+    """q1 over the whole registry; its SQL would join all players three times."""
+    order = [F.col("score").desc(), F.col("id")]
+    t = V.trios(V.undominated(whole_pool(spark, sf_dir), order, -F.col("cost")), budget=12)
+    return V.pick(t, [F.col("score").desc(), "a", "b", "c"]).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
+
+
+@query("q2_cheapest_trio_all")
+def q2_all(spark, sf_dir):
+    t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.lit(0)))
+    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+
+
+@query("q3_target_trio_all")
+def q3_all(spark, sf_dir):
+    t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.col("score"))).filter("score >= 29")
+    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+
+
 @query("q5_team_page", f"{LEADERBOARD_SQL} SELECT team, p.player, row_number() OVER (PARTITION BY team ORDER BY g / m DESC, p.player) AS place FROM p JOIN a ON p.player = a.player WHERE m >= 15000")
 def q5(spark, sf_dir):
     t = players(spark, sf_dir).join(player_totals(spark, sf_dir).filter("mins >= 15000"), "player")
