@@ -67,3 +67,49 @@ def test_trio_may_use_up_the_budget(spark):
     """Two that cost all of it leave room for a free third."""
     pool = spark.createDataFrame([(1, "A", 5.0, 6.0), (2, "B", 5.0, 6.0), (3, "B", 1.0, 0.0)], "id long, role string, score double, cost double")
     assert V.trios(pool, budget=12).count() == 1
+
+
+@needs_tables
+def test_every_event_is_cleaned(spark):
+    events = {r[0]: None if r[0] % 3 == 0 else r[1] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect()}
+    assert {r["run"]: r["value"] for r in QUERIES["f18_finite_all"](spark, SF).collect()} == events
+
+
+@needs_tables
+def test_every_event_is_rounded_by_its_exact_value(spark):
+    events = {r[0]: round(r[1] / 8, 3) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect()}
+    assert {r["run"]: r["v"] for r in QUERIES["m33_rounding_all"](spark, SF).collect()} == events
+
+
+def test_rounding_of_ties_signs_and_nulls(spark):
+    from touchline.operators.measures import round_exact
+
+    values = [0.0625, -0.0625, 0.1875, -8.0575, 8.0575, 1.0005, -0.0004, 2.675, 123456.7895, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in rows.select(round_exact(rows["v"], 3)).collect()] == [None if v is None else round(v, 3) for v in values]
+
+
+@needs_tables
+def test_every_error_has_its_reads(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect()
+    ids = {r[0] for r in rows}
+    want = {r[0]: sum(10 * r[0] + k in ids and 10 * r[0] + k != r[0] for k in range(10)) for r in rows if r[1] == "error"}
+    assert {r["run"]: r["children"] for r in QUERIES["d27_lineage_reads_all"](spark, SF).collect()} == want
+
+
+@needs_tables
+def test_health_counts_the_most_severe(spark):
+    loss = {}
+    for owner, value in spark.read.parquet(f"{SF}/events.parquet").filter("event_type = 'error'").select("user_id", "value").collect():
+        loss[owner] = loss.get(owner, 0) + (20 if value > 150 else 5 if value > 140 else 0)
+    got = {r["owner"]: r["score"] for r in QUERIES["m34_health_all"](spark, SF).collect()}
+    assert got == {k: max(0, 100 - v) for k, v in loss.items()}
+    assert len(set(got.values())) > 2
+
+
+@needs_tables
+def test_source_ids_of_every_order(spark):
+    n = {}
+    for (key,) in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect():
+        n[key // 3] = n.get(key // 3, 0) + 1
+    assert {r["source_id"]: r["n"] for r in QUERIES["d12_source_ids_all"](spark, SF).collect()} == {k: v for k, v in n.items() if v > 2}

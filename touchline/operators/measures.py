@@ -52,3 +52,15 @@ def clip(value: Column, low: float, high: float) -> Column:
 def argmax(value: Column, by: Column, tie: Column) -> Column:
     """The value at the largest `by`, of equals the smallest tie."""
     return F.min_by(value, F.struct((-by).alias("by"), tie.alias("tie")))
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, ties to even, where F.round goes by its shortest decimal form.
+
+    The distance from the midpoint is summed from two halves of the number, so no product is inexact.
+    """
+    scale = 10**digits
+    k, high = F.floor(value * scale), value.cast("float").cast("double")
+    beyond = (high * (2 * scale) - (2 * k + 1)) + (value - high) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(k, F.lit(2)) == 1))
+    return F.when(F.abs(value) < 1e9, (k + up.cast("int")).cast("double") / scale).otherwise(F.round(value, digits))

@@ -34,10 +34,10 @@ def report(findings: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, findings)
 
 
-def health(findings: DataFrame, deductions: dict[str, int]) -> DataFrame:
-    """(score): 100 less the deduction of each finding, between 0 and 100."""
+def health(findings: DataFrame, deductions: dict[str, int], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., score): 100 less the deduction of each finding, between 0 and 100."""
     loss = reduce(lambda c, kv: c.when(F.col("severity") == kv[0], kv[1]), list(deductions.items())[1:], F.when(F.col("severity") == next(iter(deductions)), next(iter(deductions.values())))).otherwise(0)
-    return findings.agg(F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - F.coalesce(F.sum(loss), F.lit(0)))).cast("long").alias("score"))
+    return findings.groupBy(*by).agg(F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - F.coalesce(F.sum(loss), F.lit(0)))).cast("long").alias("score"))
 
 
 def aggregate_mismatch(registry: DataFrame, facts: DataFrame, key: str, stated: str, value: Column, condition: Column, tolerance: float) -> DataFrame:

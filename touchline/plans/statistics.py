@@ -120,6 +120,14 @@ def m34(spark, sf_dir):
     return Q.health(e.select(F.when(F.col("value") > 150, "critical").otherwise("high").alias("severity")), {"critical": 20, "high": 5})
 
 
+@query("m34_health_all", "SELECT user_id AS owner, CAST(greatest(0, least(100, 100 - sum(CASE WHEN value > 150 THEN 20 WHEN value > 140 THEN 5 ELSE 0 END))) AS BIGINT) AS score FROM events WHERE event_type = 'error' GROUP BY 1")
+def m34_all(spark, sf_dir):
+    """All errors, scored by owner: one score of the whole table would sit at its floor."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    severity = F.when(F.col("value") > 150, "critical").when(F.col("value") > 140, "high").otherwise("none")
+    return Q.health(e.select(F.col("user_id").alias("owner"), severity.alias("severity")), {"critical": 20, "high": 5}, ("owner",))
+
+
 NAMES_SQL = "SELECT doc_id, substr(text, 1, 60) AS name FROM documents"
 
 
@@ -197,9 +205,14 @@ def f17(spark, sf_dir):
 
 @query("f18_finite", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id < 500")
 def f18(spark, sf_dir):
+    return f18_all(spark, sf_dir).filter("run < 500")
+
+
+@query("f18_finite_all", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events")
+def f18_all(spark, sf_dir):
     from touchline.sources.sinks import clean
 
-    e = table(spark, sf_dir, "events").filter("event_id < 500")
+    e = table(spark, sf_dir, "events")
     bad = F.when(F.col("event_id") % 6 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
     return clean(e.select(F.col("event_id").alias("run"), bad.alias("value")))
 
@@ -342,9 +355,14 @@ def d25(spark, sf_dir):
 
 @query("d27_lineage_reads", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' AND a.run < 300 GROUP BY 1")
 def d27(spark, sf_dir):
+    return d27_all(spark, sf_dir).filter("run < 300")
+
+
+@query("d27_lineage_reads_all", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' GROUP BY 1")
+def d27_all(spark, sf_dir):
     r = runs(spark, sf_dir).select("run", "stage")
     kids = r.select(F.floor(F.col("run") / 10).cast("long").alias("parent"), F.col("run").alias("child")).filter("parent <> child")
-    return r.filter("stage = 'error' and run < 300").join(kids, F.col("run") == F.col("parent"), "left").groupBy("run").agg(F.count("child").alias("children"))
+    return r.filter("stage = 'error'").join(kids, F.col("run") == F.col("parent"), "left").groupBy("run").agg(F.count("child").alias("children"))
 
 
 @query("d28_lineage_closure", "WITH RECURSIVE c AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT event_id FROM events JOIN c ON event_id // 10 = c.node WHERE event_id <> event_id // 10) SELECT node FROM c")
