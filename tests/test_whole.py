@@ -1,6 +1,8 @@
 """Queries over whole tables against brute force, with rows that the subsets of the compared queries leave out."""
 
 import os
+import re
+import unicodedata
 from itertools import combinations
 
 import pytest
@@ -113,3 +115,40 @@ def test_source_ids_of_every_order(spark):
     for (key,) in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect():
         n[key // 3] = n.get(key // 3, 0) + 1
     assert {r["source_id"]: r["n"] for r in QUERIES["d12_source_ids_all"](spark, SF).collect()} == {k: v for k, v in n.items() if v > 2}
+
+
+def latin(s):
+    from touchline.functions.text import ACCENTED, PLAIN
+
+    if s is None:
+        return None
+    plain = re.sub("['.]", "", s.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return re.sub("[-\\s]+", " ", plain, flags=re.ASCII).strip(" ")
+
+
+def unicode(s):
+    if s is None:
+        return None
+    kept = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return " ".join(kept.lower().split())
+
+
+FOLDS = {"f2_unicode_fold_all": unicode, "f4_latin_fold_all": latin}
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_folds_beyond_the_beginning(spark, tmp_path, name):
+    """Marks after 60 characters, a comma, a digit or a line break, in any language."""
+    texts = ["Été, 3 Crème\nbrûlée", "x" * 70 + " Ünder-ﬁne", "1 Über d'Älteren", None, "", "Ñandú... " * 30]
+    rows = [(k, t, lang) for k, t in enumerate(texts) for lang in ("de", "fr", None)]
+    spark.createDataFrame([(10 * k + j, t, lang) for j, (k, t, lang) in enumerate(rows)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["name"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {10 * k + j: FOLDS[name](t) for j, (k, t, lang) in enumerate(rows)}
+
+
+@needs_tables
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_folds_whole_documents(spark, name):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted(((r["doc_id"], r["name"]) for r in QUERIES[name](spark, SF).collect()), key=repr)
+    assert got == sorted(((r["doc_id"], FOLDS[name](r["text"])) for r in rows), key=repr)

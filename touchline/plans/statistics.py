@@ -142,6 +142,18 @@ def f4(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang in ('en', 'fr', 'es') and text is not null").select("doc_id", T.fold_latin(first).alias("name"))
 
 
+@query("f2_unicode_fold_all")
+def f2_all(spark, sf_dir):
+    """The whole text of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_unicode("text").alias("name"))
+
+
+@query("f4_latin_fold_all")
+def f4_all(spark, sf_dir):
+    """The whole text of every document of any language or none; a null text stays null."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_latin(F.col("text")).alias("name"))
+
+
 @query("f6_slug", "SELECT p_partkey AS part, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
 def f6(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), T.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"))
