@@ -12,7 +12,7 @@ from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90
 from touchline.streaming import monitor
 
-from .binding import FACTS_SQL, RUNS_SQL, facts, runs, table
+from .binding import FACTS_SQL, RUNS_SQL, facts, fixtures, runs, table
 from .registry import query
 from .scans import player_totals
 from .statistics import PAIR_SQL, pairs
@@ -44,6 +44,13 @@ def d25_all(spark, sf_dir):
     return found.select("detector", "stage", "severity", F.round("value", 5).alias("value"))
 
 
+@query("d25_anomalies_all")
+def d25_every(spark, sf_dir):
+    """The findings of all four detectors, bursts of failures and stale stages too."""
+    found = M.anomalies(runs(spark, sf_dir), "2024-01-30 00:00:00", expected={"signup": 100000, "nothing": 100000})
+    return found.select("detector", "stage", "severity", F.round("value", 5).alias("value"))
+
+
 @query("d24_verdicts", "SELECT * FROM (VALUES ('same', 'SAFE'), ('doubled', 'CRITICAL'), ('turned', 'CRITICAL')) AS t(change, verdict)")
 def d24_verdicts(spark, sf_dir):
     """The verdict on a table that is the same, doubled, and turned round."""
@@ -57,14 +64,29 @@ def d24_verdicts(spark, sf_dir):
  v AS (SELECT player, season, round(CAST(sum(xg) AS DOUBLE) / count(*), 6) AS v FROM f GROUP BY 1, 2), j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY player ORDER BY season)) AS d FROM v)
  SELECT 'transfer' AS "check", 'info' AS severity, count(*) AS n FROM l WHERE before <> team UNION ALL SELECT 'jump', CASE WHEN d >= 0.8 THEN 'critical' ELSE 'warn' END, count(*) FROM j WHERE d >= 0.4 GROUP BY 2""")
 def d22_suite(spark, sf_dir):
+    found = season_findings(spark, sf_dir).filter("check in ('transfer', 'jump')")
+    return found.groupBy("check", "severity").agg(F.count("*").alias("n"))
+
+
+@query("d22_suite_all")
+def d22_suite_all(spark, sf_dir):
+    """Findings of all nine checks, counted."""
+    return season_findings(spark, sf_dir).groupBy("check", "severity").agg(F.count("*").alias("n"))
+
+
+def coverage_of(games, rows):
+    """(season, pct): the share of a season's fixtures that have facts."""
+    seen = rows.select("fixture").distinct().withColumn("seen", F.lit(1))
+    return games.join(seen, "fixture", "left").groupBy("season").agg((100.0 * F.count("seen") / F.count("*")).alias("pct"))
+
+
+def season_findings(spark, sf_dir):
     rows = facts(spark, sf_dir)
     team = rows.groupBy("player", "season", "opp").agg(F.sum("mins").alias("m")).groupBy("player", "season").agg(F.max_by("opp", F.struct("m", -F.col("opp"))).alias("team"))
     registry = team.select(F.col("player").alias("player_id"), "season", F.concat(F.lit("p"), F.col("player")).alias("name"), "team", F.col("player").cast("string").alias("birth_date"))
     matches = rows.select(F.col("player").alias("player_id"), "season").distinct()
     ratings = rows.groupBy(F.col("player").alias("player_id"), "season").agg(F.round(mean("xg"), 6).alias("value"))
-    coverage = spark.createDataFrame([(1995, 100.0)], "season int, pct double")
-    found = M.across_seasons(registry, matches, ratings, coverage).filter("check in ('transfer', 'jump')")
-    return found.groupBy("check", "severity").agg(F.count("*").alias("n"))
+    return M.across_seasons(registry, matches, ratings, coverage_of(fixtures(spark, sf_dir), rows))
 
 
 @query("m20_components")
