@@ -212,3 +212,19 @@ def test_suite_counts_every_check(spark):
     got = {(r["check"], r["severity"]): r["n"] for r in QUERIES["d22_suite_all"](spark, SF).collect()}
     assert {k: v for k, v in got.items() if k[0] != "jump"} == {k: v for k, v in want.items() if v}
     assert set(k[0] for k in got) > {"transfer", "jump"}
+
+
+@needs_tables
+def test_every_event_has_its_place(spark):
+    rank = {"error": 0, "purchase": 1}
+    rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "value").collect()
+    want = sorted(rows, key=lambda r: (rank.get(r[1], 2), -r[2], r[0]))
+    assert {r["run"]: r["place"] for r in QUERIES["t7_severity_sort_all"](spark, SF).collect()} == {r[0]: k for k, r in enumerate(want, 1)}
+
+
+@needs_tables
+def test_every_player_is_in_the_roster(spark):
+    rows = QUERIES["s8_roster_all"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/supplier.parquet").count()
+    want = sorted(rows, key=lambda r: (r["team"], r["role"], r["mins"] is None, -(r["mins"] or 0), r["player"]))
+    assert [r["place"] for r in want] == list(range(1, len(rows) + 1))

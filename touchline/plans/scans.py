@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import joins as J
 from touchline.operators.measures import mean, per90, total
-from touchline.operators.windows import top_n
+from touchline.operators.windows import place, top_n
 
 from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, facts, fixtures, players, table
 from .registry import query
@@ -58,6 +58,17 @@ def s8(spark, sf_dir):
     return rows.select("player", "team", "role", "mins", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("s8_roster_all", f"{LEADERBOARD_SQL} SELECT p.player, team, role, CAST(m AS BIGINT) AS mins, row_number() OVER (ORDER BY team, role, m DESC NULLS LAST, p.player) AS place FROM p LEFT JOIN a ON p.player = a.player")
+def s8_all(spark, sf_dir):
+    """Places of all players: those in their team and role, after the sizes of the teams and roles before."""
+    rows = players(spark, sf_dir).join(player_totals(spark, sf_dir).select("player", "mins"), "player", "left")
+    # one row a team and role
+    before = Window.partitionBy(F.lit(1)).orderBy("team", "role").rowsBetween(Window.unboundedPreceding, -1)
+    above = rows.groupBy("team", "role").agg(F.count("*").alias("n")).select("team", "role", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    order = Window.partitionBy("team", "role").orderBy(F.col("mins").desc_nulls_last(), "player")
+    return rows.join(above, ["team", "role"]).select("player", "team", "role", "mins", (F.row_number().over(order) + F.col("above")).cast("long").alias("place"))
+
+
 @query("s9_json_positions", "SELECT user_id AS owner, event_type AS stage, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS size FROM events WHERE event_type <> 'view' AND CAST(json_extract_string(props, '$.k') AS INT) > 0 GROUP BY 1, 2")
 def s9(spark, sf_dir):
     """Minutes by name and position from JSON properties, without substitutes and zero minutes."""
@@ -319,6 +330,16 @@ def t7(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("value > 200").select(F.col("event_id").alias("run"), F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("t7_severity_sort_all", "SELECT event_id AS run, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, value DESC NULLS LAST, event_id) AS place FROM events")
+def t7_all(spark, sf_dir):
+    """Places of all events, each severity spread by value, after the sizes of those above it."""
+    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), "value", rank.alias("rank"))
+    above = e.agg(*[F.count_if(F.col("rank") < k).alias(f"above{k}") for k in range(3)])
+    parts = [place(e.filter(F.col("rank") == k), "value", ["run"], "place").join(above).select("run", (F.col("place") + F.col(f"above{k}")).alias("place")) for k in range(3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("t8_natural_sort", "SELECT p_brand AS label, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) AS number, count(*) AS n FROM part GROUP BY 1, 2")
 def t8(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("label"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("number")).agg(F.count("*").alias("n")).orderBy("number")
