@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from touchline.llm import jaccard_join as jj
 from touchline.llm import repeats
@@ -77,13 +78,53 @@ def brute_strings(rows, window):
 
 def test_long_strings_against_brute_force(spark):
     rows = corpus(seed=8)
-    for window, gram in ((400, 32), (60, 8)):
-        made = strings.remove_repeats(frame(spark, rows), window, gram)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in made.collect()}
+    for window, gram, note in ((400, 32, 256), (60, 8, 40), (60, 8, 60)):
+        made = strings.remove_repeats(frame(spark, rows), window, gram, note).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in made}
         assert got == brute_strings(rows, window)
+        assert {r.doc_id: r.n_repeated for r in made} == {i: v[1] for i, v in brute_strings(rows, note).items()}
     assert strings.remove_repeats(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("salt", [1 << 20, 8])
+@pytest.mark.parametrize("most", [512, 2])
+def test_hot_anchors_against_brute_force(spark, monkeypatch, salt, most):
+    rng = random.Random(11)
+    passage = " ".join(f"p{rng.randrange(999)}" for _ in range(70))
+    rows = corpus(seed=12, n=30) + [(1000 + k, f"{'x' * (k % 9)} q{k} {passage} {k * k} end") for k in range(25)]
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    for module in (strings, words):
+        monkeypatch.setattr(module, "SALT", salt)
+    monkeypatch.setattr(strings, "MOST", most)
+    for window, gram, note in ((400, 32, 256), (60, 8, 40)):
+        made = strings.remove_repeats(frame(spark, rows), window, gram, note).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in made} == brute_strings(rows, window)
+        assert {r.doc_id: r.n_repeated for r in made} == {i: v[1] for i, v in brute_strings(rows, note).items()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in words.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_words(rows, 20)
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"ab") for _ in range(5000))
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    made = list(repeats.blocks([b"short", text, b"last"], strings.UNITS, 60))
+    assert [(b.first, b.base) for b in made][1:3] == [(1, 0), (1, 700)] and made[-1].first == 2
+    owned = sorted(b.base + s for b in made if b.own for f in [b.anchors(repeats.Prefix(b.values), 40, 8)] for low, high in zip(f.low, f.high) for s in range(low, high + 1))
+    assert owned == list(range(5000 - 39))
+
+
+def test_rows_without_or_with_the_same_id(spark):
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(None, text), (None, text), (None, "x " + text), (7, text), (7, "other words"), (7, None)]
+    got = sorted((r.doc_id is None, r.n_bytes, r.n_removed) for r in strings.remove_repeats(frame(spark, rows)).collect())
+    n = len(text)
+    assert got == [(False, 0, 0), (False, 11, 0), (False, n, n), (True, n, n), (True, n, n), (True, n + 2, n)]
+    got = [(r.doc_id is None, r.n_words, r.n_removed) for r in words.remove_repeats(frame(spark, rows)).collect()]
+    assert len(got) == 6 and sorted(x[2] for x in got) == [0, 0, 0, 120, 120, 120] and (False, 120, 120) in got
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 4, 200)

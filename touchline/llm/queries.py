@@ -59,7 +59,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = suffix_dedup.remove_repeats(documents(spark, sf_dir))
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,15 +90,15 @@ SELECT n.doc_id, r.class_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_lin
 
 #: bytes as pairs of hexadecimal digits
 OP9_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS s FROM d WHERE length(h) >= 800),
-k AS (SELECT doc_id, s, md5(substr(h, CAST(2 * s + 1 AS INT), 800)) AS m FROM w),
-r AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY m) AS c FROM k) WHERE c > 1),
-n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM r),
-i AS (SELECT doc_id, min(s) AS a, max(s) + 400 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM n) GROUP BY doc_id, run),
-t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM i GROUP BY 1),
-p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM i UNION ALL SELECT doc_id, last, length(h) // 2 FROM t JOIN d USING (doc_id)),
+w AS (SELECT doc_id, h, z, unnest(range(0, length(h) // 2 - z + 1)) AS s FROM d, (VALUES (400), (256)) AS t(z) WHERE length(h) >= 2 * z),
+k AS (SELECT doc_id, z, s, md5(substr(h, CAST(2 * s + 1 AS INT), 2 * z)) AS m FROM w),
+r AS (SELECT doc_id, z, s FROM (SELECT doc_id, z, s, count(*) OVER (PARTITION BY z, m) AS c FROM k) WHERE c > 1),
+n AS (SELECT doc_id, z, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, z ORDER BY s) + z THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, z, min(s) AS a, max(s) + z AS b FROM (SELECT doc_id, z, s, sum(new) OVER (PARTITION BY doc_id, z ORDER BY s) AS run FROM n) GROUP BY doc_id, z, run),
+t AS (SELECT doc_id, z, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM i GROUP BY 1, 2),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM i WHERE z = 400 UNION ALL SELECT doc_id, last, length(h) // 2 FROM t JOIN d USING (doc_id) WHERE z = 400),
 kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * x + 1 AS INT), CAST(2 * (y - x) AS INT)), '' ORDER BY x) AS h FROM p JOIN d USING (doc_id) GROUP BY 1)
-SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256, coalesce(note.n_removed, 0) AS n_repeated FROM d LEFT JOIN t ON d.doc_id = t.doc_id AND t.z = 400 LEFT JOIN t AS note ON d.doc_id = note.doc_id AND note.z = 256 LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
 OP10_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM d),

@@ -4,18 +4,21 @@ Documents are dealt into slices that fit a task's memory. Each slice picks
 anchors: in every window the short gram with the least hash, so that equal
 windows hold the same anchor at the same place. Slices send the distinct hashes
 of their anchors to groups; a group tells a slice which of them occur
-again, in that slice or another. Only windows around those anchors can be
-repeated, and only they are sent on. One hash is sent once by a slice however
-often it occurs there, so a passage that is everywhere meets itself in a group
-at most once a slice.
+again, in that slice or another, and how hot it is. Only windows around those
+anchors can be repeated, and only they are sent on: to the group of their
+anchor, or, if that anchor is hot, to the group of a longer stretch of their
+own. One stretch is sent once by a slice however often it occurs there, and what
+is still hot meets in salted groups first, each of which sends on what it has
+once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import mix64, whole
 
 BASE = 0xA24BAED4963EE407
-#: UTF-8 bytes of a slice and of the block of it that is hashed at a time
-SLICE, BLOCK = 4 << 20, 256 << 10
+#: UTF-8 bytes of a slice, of the block of it that is hashed at a time, and of the pieces of texts that are longer
+SLICE, BLOCK, PIECE = 4 << 20, 256 << 10, 1 << 20
 LEAST_SLICES = 48
+#: occurrences in the corpus from which an anchor is hot, and slices that a salted group hears
+HOT, SALT = 1024, 1024
 NO_ID = -(1 << 63)
 
 
@@ -117,53 +122,91 @@ def anchors(prefix: Prefix, offsets: np.ndarray, window: int, gram: int) -> Anch
     return Anchors(at[some], ha[some], low[some], high[some])
 
 
+class Units(NamedTuple):
+    """How a text is cut into the units of windows, and the 64-bit values of units; functions that tasks import."""
+
+    split: Callable[[bytes], Sequence]
+    values: Callable[[Sequence], np.ndarray]
+
+
 @dataclass
 class Block:
-    """Documents of a slice that are worked on together: the first row's number, the values, where rows begin, and the raw units."""
+    """Documents of a slice that are worked on together, or a piece of a long one.
+
+    The first row's number, the values, where rows begin, the units, the place
+    of the first unit in its text, and how many window starts of a piece are its
+    own (None: all).
+    """
 
     first: int
     values: np.ndarray
     offsets: np.ndarray
     raw: list
+    base: int = 0
+    own: int | None = None
 
-
-#: turns a text into the 64-bit values of what windows consist of, and those units; a function that tasks import
-Units = Callable[[bytes], tuple[np.ndarray, object]]
+    def anchors(self, prefix: Prefix, window: int, gram: int) -> Anchors:
+        found = anchors(prefix, self.offsets, window, gram)
+        if self.own is None:
+            return found
+        some = found.low < self.own
+        return Anchors(found.at[some], found.hash[some], found.low[some], np.minimum(found.high[some], self.own - 1))
 
 
-def row_order(table: pa.Table) -> tuple[np.ndarray, list[bytes], list[int]]:
-    """Ids, texts, and the order of a slice's rows that holds whenever the slice is read."""
+def row_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
+    """Ids, ties, texts, and the order of a slice's rows that holds whenever the slice is read."""
     ids = np.asarray(table.column("doc_id").fill_null(NO_ID), dtype=np.int64)
+    ties = np.asarray(table.column("tie"), dtype=np.int64)
     texts = [t.encode("utf-8") for t in table.column("text").to_pylist()]
-    return ids, texts, sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    return ids, ties, texts, sorted(range(len(texts)), key=lambda i: (ids[i], ties[i], texts[i]))
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and texts of a slice in that order."""
-    ids, texts, order = row_order(table)
-    return ids[order], [texts[i] for i in order]
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, ties and texts of a slice in that order."""
+    ids, ties, texts, order = row_order(table)
+    return ids[order], ties[order], [texts[i] for i in order]
 
 
-def blocks(texts: list[bytes], units: Units) -> Iterator[Block]:
+def blocks(texts: list[bytes], units: Units, reach: int) -> Iterator[Block]:
+    """The texts in blocks; long ones in pieces that go `reach` - 1 units beyond the window starts of their own."""
     first, size, values, raw = 0, 0, [], []
+
+    def made() -> Block:
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
+        return Block(first, np.concatenate(values) if offsets[-1] else np.zeros(0, dtype=np.uint64), offsets, raw)
+
     for n, text in enumerate(texts):
-        v, r = units(text)
-        values.append(v)
+        r = units.split(text)
+        if len(text) > PIECE and len(r):
+            if values:
+                yield made()
+            step = max(reach, PIECE * len(r) // len(text))
+            for base in range(0, len(r), step):
+                part = r[base : base + step + reach - 1]
+                yield Block(n, units.values(part), np.array([0, len(part)], dtype=np.int64), [part], base, step)
+            first, size, values, raw = n + 1, 0, [], []
+            continue
+        values.append(units.values(r))
         raw.append(r)
         size += len(text)
-        if size >= BLOCK or n == len(texts) - 1:
-            offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
-            yield Block(first, np.concatenate(values) if offsets[-1] else np.zeros(0, dtype=np.uint64), offsets, raw)
+        if size >= BLOCK:
+            yield made()
             first, size, values, raw = n + 1, 0, [], []
+    if values:
+        yield made()
 
 
 def sliced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
-    """(slice, doc_id, text) rows, and the numbers of slices and groups, which follow the bytes of text."""
+    """(slice, doc_id, tie, text) rows, and the numbers of slices and groups, which follow the bytes of text.
+
+    Rows are dealt by id and text, so rows that share an id, or have none, are
+    spread; `tie` orders them.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_SLICES, math.ceil(total / SLICE))
-    deal = F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(n)).cast("int")
-    return rows.select(deal.alias("slice"), "doc_id", "text", *(f"carry_{c}" for c in carry)), n, max(LEAST_SLICES, n // 2)
+    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return rows.select(deal.alias("slice"), "doc_id", F.xxhash64("text").alias("tie"), "text", *(f"carry_{c}" for c in carry)), n, max(LEAST_SLICES, n // 2)
 
 
 def by_group(h: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,24 +233,55 @@ def answer_table(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"slice": pa.array(own, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def repeated_anchors(rows: DataFrame, groups: int, units: Units, window: int, gram: int) -> DataFrame:
-    """(slice, data): 64-bit hashes of the slice's anchors that occur at least twice in the corpus."""
+#: how often a slice has an anchor
+SEEN = np.dtype([("hash", "<u8"), ("count", "<u4")])
+
+
+def repeated_anchors(rows: DataFrame, groups: int, units: Units, window: int, gram: int, reach: int) -> DataFrame:
+    """(slice, data): 64-bit hashes of the slice's anchors that occur at least twice in the corpus.
+
+    The last bit is 0 for those that occur more than HOT times; the hash itself
+    has it set.
+    """
 
     def send(table: pa.Table) -> pa.Table:
-        _, texts = ordered(table)
-        found = [anchors(Prefix(b.values), b.offsets, window, gram).hash for b in blocks(texts, units)]
+        texts = ordered(table)[2]
+        found = [b.anchors(Prefix(b.values), window, gram).hash for b in blocks(texts, units, reach)]
         h, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0))
-        h = h & ~np.uint64(1) | (counts > 1).astype(np.uint64)  # the last bit tells of a repeat in the slice
+        seen = np.zeros(len(h), dtype=SEEN)
+        seen["hash"], seen["count"] = h, counts
         own = table.column("slice")[0].as_py()
-        return message_table([(g, own, h[part].tobytes()) for g, part in by_group(h | np.uint64(1), groups)])
+        return message_table([(g, own, seen[part].tobytes()) for g, part in by_group(h, groups)])
 
     def answer(table: pa.Table) -> pa.Table:
-        data = [np.frombuffer(d, dtype=np.uint64) for d in table.column("data").to_pylist()]
-        values = np.concatenate(data) if data else np.zeros(0, dtype=np.uint64)
-        own, local = values | np.uint64(1), (values & np.uint64(1)).astype(bool)
-        _, place, counts = np.unique(own, return_inverse=True, return_counts=True)
-        again = (counts[place] > 1) | local
+        data = [np.frombuffer(d, dtype=SEEN) for d in table.column("data").to_pylist()]
+        seen = np.concatenate(data) if data else np.zeros(0, dtype=SEEN)
+        _, place = np.unique(seen["hash"], return_inverse=True)
+        total = np.bincount(place, weights=seen["count"])[place] if len(seen) else np.zeros(0)
+        told = np.where(total > HOT, seen["hash"] & ~np.uint64(1), seen["hash"])
         slices = np.repeat(np.asarray(table.column("slice")), [len(d) for d in data])
-        return answer_table([(int(s), own[again & (slices == s)].tobytes()) for s in np.unique(slices[again])])
+        return answer_table([(int(s), told[(total > 1) & (slices == s)].tobytes()) for s in np.unique(slices[total > 1])])
 
     return rows.groupBy("slice").applyInArrow(send, MESSAGE).groupBy("group").applyInArrow(answer, ANSWER)
+
+
+def near(found: Anchors, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors whose hash is among the told ones, and whether each is hot."""
+    if not len(told) or not len(found.hash):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    known = np.sort(told | np.uint64(1))
+    some = np.flatnonzero(known[np.minimum(np.searchsorted(known, found.hash), len(known) - 1)] == found.hash)
+    hot = np.sort(told[told & np.uint64(1) == 0] | np.uint64(1))
+    if not len(hot):
+        return some, np.zeros(len(some), dtype=bool)
+    return some, hot[np.minimum(np.searchsorted(hot, found.hash[some]), len(hot) - 1)] == found.hash[some]
+
+
+def answers(table: pa.Table, kind) -> np.ndarray:
+    data = [np.frombuffer(d, dtype=kind) for d in table.column("data").to_pylist()]
+    return np.concatenate(data) if data else np.zeros(0, dtype=kind)
+
+
+def salted(h: np.ndarray, own: int, salt: int) -> np.ndarray:
+    """Hashes to deal by: those of `salt` slices meet; with 0 those of all."""
+    return mix64(h + np.uint64(own // salt + 1) * np.uint64(BASE)) if salt else h

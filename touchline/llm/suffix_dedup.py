@@ -6,6 +6,11 @@ steps that is logarithmic in the length. A mergesort of suffix heads with this
 comparison brings equal heads together; heads that the hashes call equal are
 compared byte by byte before anything is removed. Which suffixes can be
 repeated at all, and which must meet, the anchors of `repeats` tell.
+
+Suffixes around a hot anchor are parted by a longer stretch first: those of a
+block of neighbouring starts by the bytes that all of the block's windows share.
+Where even that stretch stands in too many places to be sorted in one task, its
+windows go on by themselves, named by 128 bits of two polynomial hashes.
 """
 
 from __future__ import annotations
@@ -14,25 +19,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import claim
-from .repeats import ANSWER, MESSAGE, NO_ID, Prefix, anchors, answer_table, blocks, by_group, message_table, ordered, repeated_anchors, sliced
-from .substring_dedup import answers
+from .common import claim, cut_lineage, mix64
+from .repeats import ANSWER, MESSAGE, NO_ID, SALT, Prefix, Units, answer_table, answers, blocks, by_group, message_table, near, ordered, repeated_anchors, salted, sliced
 
-WINDOW, GRAM = 400, 32
-#: bytes of suffix heads that a group sorts at a time; heads of one anchor stay together
+#: bytes of a string that is removed, of a shorter one that is only told of, and of an anchor
+WINDOW, NOTE, GRAM = 400, 256, 32
+#: bytes of suffix heads that a group sorts at a time; heads of one key stay together
 CHUNK = 512 << 10
-#: an anchor with the bytes of its windows: hash, row and byte of the first window, number of windows, place of the anchor after the first, whether all are known to be repeated
-HEAD = np.dtype([("hash", "<u8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2"), ("off", "<u2"), ("sure", "u1")])
-SPAN = np.dtype([("row", "<u4"), ("low", "<u4"), ("high", "<u4")])
+#: window starts of a block around a hot anchor, and heads of one key that are sorted
+STARTS, MOST = 64, 512
+#: suffix heads side by side: hash of the key, row and byte of the first, number of starts, place of the anchor (or of the block's first start) after it, bytes, whether all are known to be repeated, whether the anchor is hot
+HEAD = np.dtype([("hash", "<u8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u2"), ("off", "<u2"), ("size", "<u2"), ("sure", "u1"), ("hot", "u1")])
+#: starts low to high of strings that are repeated, to the full length or to that of a note
+SPAN = np.dtype([("row", "<u4"), ("low", "<u4"), ("high", "<u4"), ("full", "u1")])
+#: a window by itself: two hashes, where it is, its length's kind, whether it is known to be repeated
+ALONE = np.dtype([("hash", "<u8"), ("check", "<u8"), ("slice", "<u4"), ("row", "<u4"), ("at", "<u4"), ("full", "u1"), ("sure", "u1")])
+
+BYTES = np.random.default_rng(20).integers(1, 1 << 63, 257, dtype=np.uint64)
+#: stands behind the end of a document
+END = 256
+SECOND = 0xD1342543DE82EF95
+
+
+def byte_values(text: bytes) -> np.ndarray:
+    """A 64-bit value for each byte."""
+    claim(None)
+    return BYTES[np.frombuffer(text, dtype=np.uint8)]
 
 
-BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+def as_it_is(text: bytes) -> bytes:
+    return text
 
 
-def byte_values(text: bytes) -> tuple[np.ndarray, bytes]:
-    """A 64-bit value for each byte, and the bytes."""
-    claim(None)
-    return BYTES[np.frombuffer(text, dtype=np.uint8)], text
+UNITS = Units(as_it_is, byte_values)
 
 
 class SuffixOrder:
@@ -108,10 +127,10 @@ def pack(heads: np.ndarray, raw: list[bytes]) -> bytes:
     return b"".join([len(heads).to_bytes(4, "little"), heads.tobytes(), *raw])
 
 
-def unpack(data: bytes, window: int) -> tuple[np.ndarray, list[bytes]]:
+def unpack(data: bytes) -> tuple[np.ndarray, list[bytes]]:
     n = int.from_bytes(data[:4], "little")
     heads = np.frombuffer(data, dtype=HEAD, count=n, offset=4).copy()
-    ends = (np.cumsum(heads["n"].astype(np.int64) + window - 1) + 4 + n * HEAD.itemsize).tolist()
+    ends = (np.cumsum(heads["size"].astype(np.int64)) + 4 + n * HEAD.itemsize).tolist()
     return heads, [data[a:z] for a, z in zip([4 + n * HEAD.itemsize, *ends], ends, strict=False)]
 
 
@@ -121,102 +140,201 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
-def resolve(heads: np.ndarray, raw: list[bytes], window: int) -> list[np.ndarray]:
-    """For each head, flags of its windows that occur in another head or again; heads of one anchor are all here."""
-    joined = b"".join(raw)
-    buffer = np.frombuffer(joined, dtype=np.uint8)
-    length = heads["n"].astype(np.int64) + window - 1
-    base = np.r_[0, np.cumsum(length)[:-1]].astype(np.int64)
-    prefix = Prefix(BYTES[buffer])
-    span = prefix.at(base, length)
-    order = np.lexsort((heads["off"], heads["n"], span, heads["hash"]))
+def kinds_of(heads: np.ndarray, raw: list[bytes], span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which heads are equal as a whole, and the first of each kind; equal hashes are followed by a look at the bytes."""
+    order = np.lexsort((heads["size"], heads["off"], heads["n"], span, heads["hash"]))
     new = np.ones(len(heads), dtype=bool)
     a, b = order[1:], order[:-1]
-    new[1:] = (heads["hash"][a] != heads["hash"][b]) | (span[a] != span[b]) | (heads["n"][a] != heads["n"][b]) | (heads["off"][a] != heads["off"][b])
-    for k in np.flatnonzero(~new).tolist():  # equal hashes: compare the bytes
+    new[1:] = (heads["hash"][a] != heads["hash"][b]) | (span[a] != span[b])
+    for name in ("n", "off", "size"):
+        new[1:] |= heads[name][a] != heads[name][b]
+    for k in np.flatnonzero(~new).tolist():
         if raw[order[k]] != raw[order[k - 1]]:
             new[k] = True
     kind = np.empty(len(heads), dtype=np.int64)
     kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
+
+
+class Heads:
+    """Suffix heads in one buffer, each followed by the end sign up to the full depth of its last start."""
+
+    def __init__(self, heads: np.ndarray, raw: list[bytes], depth: int):
+        self.heads, self.raw, self.depth = heads, raw, depth
+        size, n = heads["size"].astype(np.int64), heads["n"].astype(np.int64)
+        room = n + depth - 1
+        self.base = np.cumsum(room) - room
+        self.buffer = np.full(int(room.sum()), END, dtype=np.uint16)
+        here = np.repeat(self.base - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.buffer[here] = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.prefix = Prefix(BYTES[self.buffer])
+        self.span = self.prefix.at(self.base, size)
+
+    def starts(self, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The place in `model`, the step within the head, and the bytes that remain, of every start."""
+        count = self.heads["n"][model].astype(np.int64)
+        of = np.repeat(np.arange(len(model)), count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return of, step, self.heads["size"][model].astype(np.int64)[of] - step
+
+
+def resolve(heads: np.ndarray, raw: list[bytes], window: int, note: int) -> list[np.ndarray]:
+    """For each head, the length (0, note or window) to which each of its starts is repeated; heads of one key are all here."""
+    all_ = Heads(heads, raw, window)
+    kind, model = kinds_of(heads, raw, all_.span)
     weight = np.bincount(kind) + np.bincount(kind, weights=heads["sure"]).astype(np.int64)
-    model = order[new]  # one head for each kind of span
-    count = heads["n"][model].astype(np.int64)
-    of = np.repeat(np.arange(len(model)), count)
-    step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    _, anchor = np.unique(heads["hash"][model], return_inverse=True)
-    group = anchor[of] * 1024 + (heads["off"][model][of].astype(np.int64) - step)
+    of, step, rest = all_.starts(model)
+    _, key = np.unique(heads["hash"][model], return_inverse=True)
+    group = key[of] * 4096 + (heads["off"][model][of].astype(np.int64) - step + 1024)
     _, place, size = np.unique(group, return_inverse=True, return_counts=True)
     single = np.bincount(place, weights=weight[of] < 2)
     some = np.flatnonzero((size[place] > 1) & (single[place] > 0))
-    starts = base[model][of[some]] + step[some]
-    sorted_, _, shared = SuffixOrder(buffer, prefix, window).sort(starts, group[some])
-    flags = np.zeros(len(of), dtype=bool)
-    flags[weight[of] >= 2] = True
-    again = np.flatnonzero(shared == window)
+    starts = all_.base[model][of[some]] + step[some]
+    sorted_, _, shared = SuffixOrder(all_.buffer, all_.prefix, window).sort(starts, group[some])
+    reach = np.where(weight[of] >= 2, np.minimum(rest, window), 0)
+    again = np.flatnonzero(shared >= note)
+    one, two = some[sorted_[again - 1]], some[sorted_[again]]
     x, y = starts[sorted_[again - 1]], starts[sorted_[again]]
+    common = np.minimum(np.minimum(shared[again], rest[one]), rest[two])
     # neighbouring pairs that run in step are one comparison of bytes
     by = np.lexsort((y, y - x))
     cut = np.flatnonzero(np.r_[True, (np.diff(y[by]) != 1) | (np.diff((y - x)[by]) != 0)][: len(by)])
-    true = np.ones(len(again), dtype=bool)
+    buffer = all_.buffer
     for i, j in zip(cut, np.r_[cut[1:], len(by)][: len(cut)], strict=True):
         p, q = int(x[by[i]]), int(y[by[i]])
-        size_ = window + int(y[by[j - 1]]) - q
-        if joined[p : p + size_] != joined[q : q + size_]:
+        long = int((y[by[i:j]] + common[by[i:j]]).max()) - q
+        if not np.array_equal(buffer[p : p + long], buffer[q : q + long]):
             for k in by[i:j]:
-                true[k] = joined[int(x[k]) : int(x[k]) + window] == joined[int(y[k]) : int(y[k]) + window]
-    flags[some[sorted_[again[true]]]] = True
-    flags[some[sorted_[again[true] - 1]]] = True
+                p, q, long = int(x[k]), int(y[k]), int(common[k])
+                if not np.array_equal(buffer[p : p + long], buffer[q : q + long]):
+                    common[k] = 0
+    np.maximum.at(reach, one, common)
+    np.maximum.at(reach, two, common)
+    level = np.where(reach >= window, window, np.where(reach >= note, note, 0))
+    count = heads["n"][model].astype(np.int64)
     first = np.cumsum(count) - count
-    return [flags[first[k] : first[k] + count[k]] for k in kind]
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and the bytes that stay.
+    return [level[first[k] : first[k] + count[k]] for k in kind]
+
+
+def alone(heads: np.ndarray, raw: list[bytes], own: np.ndarray, window: int, note: int) -> tuple[list[tuple[int, tuple]], np.ndarray]:
+    """Windows of heads by themselves: the spans already known to be repeated here, by slice, and one of each window to send on."""
+    known: list[tuple[int, tuple]] = []
+    sent = []
+    for a in range(0, len(heads), 1024):
+        part = heads[a : a + 1024]
+        all_ = Heads(part, raw[a : a + 1024], window)
+        second = Prefix(BYTES[all_.buffer], SECOND)
+        of, step, rest = all_.starts(np.arange(len(part)))
+        for size in (note, window):
+            some = rest >= size
+            at = all_.base[of[some]] + step[some]
+            made = np.zeros(len(at), dtype=ALONE)
+            made["hash"], made["check"] = all_.prefix.at(at, size), second.at(at, size)
+            made["slice"], made["row"], made["at"] = own[a:][of[some]], part["row"][of[some]], part["at"][of[some]] + step[some]
+            made["full"], made["sure"] = size == window, part["sure"][of[some]]
+            sent.append(made)
+    every = np.concatenate(sent) if sent else np.zeros(0, dtype=ALONE)
+    return known + told_alone(every), once(every)
+
+
+def _same(every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that brings equal windows together, where each kind begins in it, and the kind of each place."""
+    order = np.lexsort((every["check"], every["hash"], every["full"]))
+    e = every[order]
+    new = np.r_[True, (e["hash"][1:] != e["hash"][:-1]) | (e["check"][1:] != e["check"][:-1]) | (e["full"][1:] != e["full"][:-1])][: len(e)]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def told_alone(every: np.ndarray) -> list[tuple[int, tuple]]:
+    """(slice, span) of the windows that occur again among these and are not known yet."""
+    order, begin, kind = _same(every)
+    e = every[order]
+    e = e[(np.bincount(kind)[kind] > 1) & (e["sure"] == 0)] if len(e) else e
+    e = e[np.lexsort((e["at"], e["row"], e["slice"], e["full"]))]
+    if not len(e):
+        return []
+    cut = (e["full"][1:] != e["full"][:-1]) | (e["slice"][1:] != e["slice"][:-1]) | (e["row"][1:] != e["row"][:-1]) | (e["at"][1:] > e["at"][:-1] + 1)
+    low, high = np.flatnonzero(np.r_[True, cut]), np.flatnonzero(np.r_[cut, True])
+    return [(int(e["slice"][a]), (int(e["row"][a]), int(e["at"][a]), int(e["at"][z]), int(e["full"][a]))) for a, z in zip(low, high, strict=True)]
+
+
+def once(every: np.ndarray) -> np.ndarray:
+    """One of each window, known to be repeated if it is among these or any of them is."""
+    order, begin, kind = _same(every)
+    out = every[order[begin]].copy()
+    if len(out):
+        out["sure"] = (np.bincount(kind) > 1) | (np.maximum.reduceat(every["sure"][order], begin) > 0)
+    return out
+
+
+def covered(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal runs of bytes that strings of `size` bytes cover, from the spans of their starts."""
+    if not len(spans):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    spans = spans[np.argsort(spans["low"], kind="stable")]
+    low, end = spans["low"].astype(np.int64), np.maximum.accumulate(spans["high"].astype(np.int64) + size)
+    first = np.flatnonzero(np.r_[True, low[1:] > end[:-1]])
+    return low[first], end[np.r_[first[1:] - 1, len(low) - 1]]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, note: int = NOTE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_repeated and the bytes that stay.
 
     A byte goes if a string of `window` bytes that covers it starts anywhere else
-    in the corpus too. Rows are documents of their own even where ids repeat;
-    null texts are empty; other columns are left out. What stays is binary, as a
-    string may begin or end inside a character.
+    in the corpus too. n_repeated counts the bytes that a string of `note` bytes
+    covers which starts anywhere else; they go only if a full string covers them
+    too. Rows are documents of their own even where ids repeat, or are null; null
+    texts are empty; other columns are left out. What stays is binary, as a
+    string may begin or end inside a character. Texts longer than 1 MB are worked
+    on in pieces, so a task's memory follows its slice of about 4 MB and the
+    longest text, a few times over.
     """
-    rows, _, groups = sliced(docs, id_col, text_col)
-    hot = repeated_anchors(rows, groups, byte_values, window, gram)
+    note = min(note, window)
+    starts = min(STARTS, note // 2)
+    rows, n_slices, groups = sliced(docs, id_col, text_col)
+    salt = SALT if n_slices > SALT else 0
+    hot = repeated_anchors(rows, groups, UNITS, note, gram, window)
 
     def send(key, table: pa.Table, told: pa.Table) -> pa.Table:
         own = key[0].as_py()
-        _, texts = ordered(table)
+        texts = ordered(table)[2]
         known = np.unique(answers(told, np.uint64))
         heads, raws, spans = [], [], []
-        for b in blocks(texts, byte_values) if len(known) else ():
+        for b in blocks(texts, UNITS, window) if len(known) else ():
             prefix = Prefix(b.values)
-            found = anchors(prefix, b.offsets, window, gram)
-            near = np.flatnonzero(known[np.minimum(np.searchsorted(known, found.hash), len(known) - 1)] == found.hash)
-            low, high = found.low[near], found.high[near]
-            row = np.searchsorted(b.offsets, low, side="right") - 1
-            head = np.zeros(len(near), dtype=HEAD)
-            head["hash"], head["row"], head["at"] = found.hash[near], b.first + row, low - b.offsets[row]
-            head["n"], head["off"] = high - low + 1, found.at[near] - low
-            heads.append(head)
-            spans.append(prefix.at(low, high - low + window))
-            at = head["at"].astype(np.int64)
-            raws += [b.raw[r][a:z] for r, a, z in zip(row.tolist(), at.tolist(), (at + (high - low + window)).tolist(), strict=True)]
+            found = b.anchors(prefix, note, gram)
+            some, burning = near(found, known)
+            for each, is_hot in ((some[~burning], 0), (some[burning], 1)):
+                low, high, name, at = found.low[each], found.high[each], found.hash[each], found.at[each]
+                off = at - low
+                if is_hot:  # a block is the starts whose distance to the anchor is alike but for its last bits
+                    parts = (at - low) // starts - (at - high) // starts + 1
+                    of = np.repeat(np.arange(len(low)), parts)
+                    block = ((at - low) // starts)[of] - (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+                    edge, at = at[of] - block * starts, at[of]  # the last start of the block
+                    low, high = np.maximum(low[of], edge - starts + 1), np.minimum(high[of], edge)
+                    name = mix64(mix64(name[of] + block.astype(np.uint64)) + prefix.at(edge, note - starts + 1))
+                    off = edge - low
+                row = np.searchsorted(b.offsets, low, side="right") - 1
+                end = np.minimum(high + window, b.offsets[row + 1])
+                head = np.zeros(len(low), dtype=HEAD)
+                head["hash"], head["row"], head["at"] = name, b.first + row, low - b.offsets[row] + b.base
+                head["n"], head["off"], head["size"], head["hot"] = high - low + 1, off, end - low, is_hot
+                heads.append(head)
+                spans.append(prefix.at(low, end - low))
+                begin = b.offsets[row]
+                raws += [b.raw[r][a:z] for r, a, z in zip(row.tolist(), (low - begin).tolist(), (end - begin).tolist(), strict=True)]
         if not heads:
             return message_table([])
         head, span = np.concatenate(heads), np.concatenate(spans)
-        order = np.lexsort((head["off"], head["n"], span, head["hash"]))
-        new, sure, last = [], [], None
-        for k in order.tolist():
-            if last is not None and span[k] == span[last] and head["off"][k] == head["off"][last] and raws[k] == raws[last]:
-                sure += (last, k) if not head["sure"][last] else (k,)
-                head["sure"][last] = 1
-            else:
-                last = k
-                new.append(k)
-        first = head[new]
-        sent = [(g, own, pack(first[part], [raws[new[k]] for k in part])) for g, part in by_group(first["hash"], groups)]
-        if sure:
-            certain = np.zeros(len(sure), dtype=SPAN)
-            picked = head[sure]
-            certain["row"], certain["low"], certain["high"] = picked["row"], picked["at"], picked["at"] + picked["n"] - 1
+        kind, first = kinds_of(head, raws, span)
+        many = np.bincount(kind) > 1
+        head["sure"][first] = many
+        one = head[first]
+        sent = [(g, own, pack(one[part], [raws[first[k]] for k in part])) for g, part in by_group(np.where(one["hot"] > 0, salted(one["hash"], own, salt), one["hash"]), groups)]
+        sure = np.flatnonzero(many[kind])
+        if len(sure):  # equal heads of a slice are compared here, and one of them stands for all in the sort
+            certain = _spans(head[sure], window)
             sent.append((own % groups, -1 - own, certain.tobytes()))
         return message_table(sent)
 
@@ -226,7 +344,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             if own < 0:
                 out.append((-1 - own, data.as_py()))
                 continue
-            head, raw = unpack(data.as_py(), window)
+            head, raw = unpack(data.as_py())
             heads.append(head)
             slices.append(np.full(len(head), own, dtype=np.int64))
             raws += raw
@@ -234,47 +352,70 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             head, own = np.concatenate(heads), np.concatenate(slices)
             order = np.argsort(head["hash"], kind="stable")
             _, first, count = np.unique(head["hash"][order], return_index=True, return_counts=True)
-            first, count = first[count > 1], count[count > 1]
+            burning = head["hot"][order[first]] > 0
+            apart = burning & ((count > MOST) | (salt > 0))
             told: dict[int, list] = {}
             todo: list[int] = []
             size = 0
-            for n, (f, c) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+            some = np.flatnonzero((count > 1) & ~apart)
+            for n, (f, c) in enumerate(zip(first[some].tolist(), count[some].tolist(), strict=True)):
                 members = order[f : f + c].tolist()
                 todo += members
                 size += sum(len(raws[k]) for k in members)
-                if size >= CHUNK or n == len(first) - 1:
-                    for k, flags in zip(todo, resolve(head[todo], [raws[k] for k in todo], window), strict=True):
+                if size >= CHUNK or n == len(some) - 1:
+                    for k, level in zip(todo, resolve(head[todo], [raws[k] for k in todo], window, note), strict=True):
                         if not head["sure"][k]:
-                            at = int(head["at"][k])
-                            told.setdefault(int(own[k]), []).extend((int(head["row"][k]), at + a, at + z) for a, z in _runs(flags))
+                            at, row = int(head["at"][k]), int(head["row"][k])
+                            told.setdefault(int(own[k]), []).extend([(row, at + a, at + z, 0) for a, z in _runs(level >= note)] + [(row, at + a, at + z, 1) for a, z in _runs(level >= window)])
                     todo, size = [], 0
+            for f, c in zip(first[apart].tolist(), count[apart].tolist(), strict=True):
+                members = order[f : f + c]
+                known, on = alone(head[members], [raws[k] for k in members], own[members], window, note)
+                for s, span in known:
+                    told.setdefault(s, []).append(span)
+                if salt:  # the same windows may stand in other salted groups
+                    out += [(-1 - g, on[part].tobytes()) for g, part in by_group(on["hash"], groups)]
             out += [(s, np.array(spans, dtype=SPAN).tobytes()) for s, spans in told.items() if spans]
         return answer_table(out)
 
+    def meet(table: pa.Table) -> pa.Table:
+        told: dict[int, list] = {}
+        for s, span in told_alone(answers(table, ALONE)):
+            told.setdefault(s, []).append(span)
+        return answer_table([(s, np.array(spans, dtype=SPAN).tobytes()) for s, spans in told.items()])
+
     def cut(key, table: pa.Table, told: pa.Table) -> pa.Table:
-        ids, texts = ordered(table)
+        ids, _, texts = ordered(table)
         spans = answers(told, SPAN)
         spans = spans[np.argsort(spans["row"], kind="stable")]
         begin = np.searchsorted(spans["row"], np.arange(len(texts) + 1))
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
+        n_bytes, n_removed, n_spans, n_repeated, kept = [], [], [], [], []
         for i, text in enumerate(texts):
             own = spans[begin[i] : begin[i + 1]]
+            low, end = covered(own[own["full"] == 1], window)
             n_bytes.append(len(text))
-            if not len(own):
-                n_removed.append(0)
-                n_spans.append(0)
-                kept.append(text)
-                continue
-            edge = np.zeros(len(text) + 1, dtype=np.int64)
-            np.add.at(edge, own["low"].astype(np.int64), 1)
-            np.add.at(edge, own["high"].astype(np.int64) + window, -1)
-            stay = np.cumsum(edge[:-1]) == 0
-            n_removed.append(int((~stay).sum()))
-            n_spans.append(int((np.diff(np.r_[1, stay.astype(np.int8)]) == -1).sum()))
-            kept.append(np.frombuffer(text, dtype=np.uint8)[stay].tobytes())
+            n_removed.append(int((end - low).sum()))
+            n_spans.append(len(low))
+            kept.append(b"".join(text[a:z] for a, z in zip([0, *end.tolist()], [*low.tolist(), len(text)], strict=True)) if len(low) else text)
+            low, end = covered(own[own["full"] == 0], note)
+            n_repeated.append(int((end - low).sum()))
         doc = pa.array(ids, mask=ids == NO_ID)
-        return pa.table([doc, *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([doc, *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans, n_repeated)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
 
     parts = rows.groupBy("slice")
-    covered = parts.cogroup(hot.groupBy("slice")).applyInArrow(send, MESSAGE).groupBy("group").applyInArrow(sort_group, ANSWER)
-    return parts.cogroup(covered.groupBy("slice")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    told = parts.cogroup(hot.groupBy("slice")).applyInArrow(send, MESSAGE).groupBy("group").applyInArrow(sort_group, ANSWER)
+    if salt:
+        told = cut_lineage(told)
+        told = told.filter("slice >= 0").union(told.filter("slice < 0").groupBy("slice").applyInArrow(meet, ANSWER))
+    return parts.cogroup(told.groupBy("slice")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
+
+
+def _spans(heads: np.ndarray, window: int) -> np.ndarray:
+    """Spans of heads all of whose starts are known to be repeated as far as the head goes."""
+    notes = np.zeros(len(heads), dtype=SPAN)
+    notes["row"], notes["low"], notes["high"] = heads["row"], heads["at"], heads["at"] + heads["n"] - 1
+    full = heads[heads["size"] >= window]
+    whole = np.zeros(len(full), dtype=SPAN)
+    whole["row"], whole["low"], whole["full"] = full["row"], full["at"], 1
+    whole["high"] = full["at"] + np.minimum(full["n"], full["size"] - window + 1) - 1
+    return np.concatenate([notes, whole])
