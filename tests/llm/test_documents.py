@@ -44,6 +44,94 @@ def test_main_text(body):
     assert html.main_text(page(body)) == TEXT
 
 
+LONG = "Words of the story go on and on, with commas, full stops and all that prose has in it. " * 4
+MORE = "Another part of the same story, which is told at the same length and in the same manner. " * 4
+MENU = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<form id=aspnetForm><ul>{MENU}</ul><div><h1>Head</h1><p>{LONG}</p><p>{MORE}</p></div><input name=q><button>Go</button></form>", f"Head {LONG}{MORE}"),
+        (f"<form><fieldset><article><p>{LONG}</p></article></fieldset></form>", LONG),
+        (f"<nav><ul>{MENU}</ul></nav><div class=a><p>{LONG}</p><p>{LONG}</p></div><div class=b><p>{MORE}</p><p>{MORE}</p></div>", f"{LONG}{LONG}{MORE}{MORE}"),
+        (f"<div class=wrap><div class=one><p>{LONG}</p></div><div class=two><p>{MORE}</p></div></div><footer>Foot of the page</footer>", f"{LONG}{MORE}"),
+        (f"<article><p>{LONG}</p><ol><li><a href=1>A long title of a work that the article refers to, 1999</a></li><li><a href=2>Another long title of a work that is referred to</a></li><li><a href=3>The third of the works, with a long title as well</a></li></ol></article>", f"{LONG}A long title of a work that the article refers to, 1999 Another long title of a work that is referred to The third of the works, with a long title as well"),
+        (f"<article><p>{LONG}</p><ul>{MENU}</ul><p>{MORE}</p></article>", f"{LONG}{MORE}"),
+        (f"<article><p>Press <button>the key</button> twice. {LONG}</p></article>", f"Press the key twice. {LONG}"),
+        (f"<article><p>{LONG}</p><button>Subscribe now</button></article>", LONG),
+        (f"<div><form action=/s><label>Search</label><input><button>Go</button></form></div><div id=main><p>{LONG}</p><p>{MORE}</p></div>", f"{LONG}{MORE}"),
+        (f"<aside><p>Short side</p></aside><div><p>{LONG}</p></div>", LONG),
+        (f"<main><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>{MORE}</p></section></main>", f"One {LONG}Two {MORE}"),
+        (f"<div class='layout sidebar-left'><div><p>{LONG}</p></div></div>", LONG),
+        (f"<div class=comments><p>{MORE}</p></div><article><p>{LONG}</p><p>{LONG}</p><p>{MORE}</p></article>", f"{LONG}{LONG}{MORE}"),
+        (f"<table><tr><td><ul>{MENU}</ul></td><td><p>{LONG}</p></td></tr></table>", LONG),
+        (f"<center><font>{LONG}<br><br>{MORE}</font></center>", f"{LONG}{MORE}"),
+        (f"<article><h1>T</h1><blockquote><p>{LONG}</p></blockquote><pre>a  b\n c</pre></article>", f"T {LONG}a b c"),
+        (f"<article><table><tr><th>k</th><td>v</td></tr></table><p>{LONG}</p></article>", f"k v {LONG}"),
+        (f"<article><figure><img src=x><figcaption>What it shows</figcaption></figure><p>{LONG}</p></article>", f"What it shows {LONG}"),
+        (f"<article><header><h1>Its title</h1></header><p>{LONG}</p><footer>Tags</footer></article>", f"Its title {LONG}"),
+        (f"<div role=navigation><a href=a>One</a></div><div role=main><p>{LONG}</p></div><div role=contentinfo>Legal</div>", LONG),
+        (f"<div class=advert><p>Buy now, only today</p></div><p>{LONG}</p><p>{MORE}</p>", f"{LONG}{MORE}"),
+        (f"<article><p>caf&eacute; &lt;b&gt; &#x41; {LONG}</p></article>", f"café <b> A {LONG}"),
+    ],
+)
+def test_page_shapes(body, want):
+    assert html.main_text(page(body)) == want.strip()
+
+
+def test_densities_against_brute_force():
+    import math
+
+    rng = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return ("a" if rng.random() < 0.3 else "p", "w" * rng.randint(0, 30), [])
+        return (rng.choice(["div", "section"]), "t" * rng.randint(0, 5), [tree(depth - 1) for _ in range(rng.randint(1, 4))])
+
+    def source(t):
+        return f"<{t[0]}>{t[1]}{''.join(map(source, t[2]))}</{t[0]}>"
+
+    def count(t, within=False):
+        within = within or t[0] == "a"
+        got = [len(t[1]), 1, len(t[1]) * within, int(t[0] == "a")]
+        for child in t[2]:
+            got = [x + y for x, y in zip(got, count(child, within))]
+        return got
+
+    for _ in range(30):
+        body = ("body", "", [tree(4) for _ in range(3)])
+        made = html.Page(source(body))
+        own = [0] * len(made.tag)
+        for node, chars in made.order:
+            own[node] += len(chars or "")
+        d = html.Densities(made, own, [True] * len(made.tag), 1)
+        whole = count(body)
+        share = whole[2] / max(1, whole[0])
+
+        def density(t):
+            c, n, lc, ln = count(t)
+            if not c:
+                return 0.0
+            inner = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            return c / n * math.log(max(1.0, c / max(1, lc) * n / max(1, ln)) + 1) / max(math.log(inner), 0.1)
+
+        nodes = []
+
+        def walk(t):
+            nodes.append(t)
+            for child in t[2]:
+                walk(child)
+
+        walk(body)
+        assert made.tag[1:] == [t[0] for t in nodes]
+        assert d.dense[1:] == pytest.approx([density(t) for t in nodes])
+        for n, t in enumerate(nodes, 1):
+            if t[2] and 2 * len(t[1]) <= count(t)[0]:
+                assert d.total[n] == pytest.approx(sum(map(density, t[2])))
+
+
 def test_main_text_of_odd_pages(spark):
     assert html.main_text("") == "" and html.main_text("<html><body></body></html>") == ""
     assert html.main_text("plain words") == "plain words"
@@ -52,9 +140,9 @@ def test_main_text_of_odd_pages(spark):
     deep = "<div>" * 50_000 + "<p>deep text</p>"
     assert html.main_text(deep) == "deep text"
     assert html.main_text("<p class=\"broken>text " * 50 + "x" * 1000) is not None
-    rows = spark.createDataFrame([(1, "u", page(f"<article>{ARTICLE}</article>"), "x"), (1, "u", None, "x"), (2, None, "", "x")], "page_id long, url string, html string, text string")
-    got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in html.extract(rows).collect())
-    assert got == [(1, "u", "", 0), (1, "u", TEXT, len(TEXT)), (2, "", "", 0)]
+    rows = spark.createDataFrame([(1, "u", page(f"<article>{ARTICLE}</article>"), "x"), (1, "u", None, "x"), (2, None, "", "x"), (2, None, "", "x"), (None, "n", "<p>words", "x")], "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html.extract(rows).collect())
+    assert got == [(0, "n", "words", 5), (1, "u", "", 0), (1, "u", TEXT, len(TEXT)), (2, "", "", 0), (2, "", "", 0)]
     assert html.extract(rows.limit(0)).collect() == []
 
 
