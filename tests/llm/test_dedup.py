@@ -214,9 +214,41 @@ def test_links_against_brute_force(spark, monkeypatch):
     assert jj.link(frame(spark, rows).limit(0)).collect() == []
 
 
-def test_forest_depth_reaches_the_recall():
-    assert jj.forest_depth(32, 8, 0.8, 0.9999) == 6
-    assert jj.forest_depth(4, 8, 0.8, 0.9999) == 1
+def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for base in range(40):  # pairs close to the threshold
+        text = [f"t{base}x{k}" for k in range(100)]
+        rows.append((len(rows), " ".join(text)))
+        for k in (20, 60):
+            text[k] = f"e{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(text)))
+    depths = []
+    whole = jj.linked
+    monkeypatch.setattr(jj, "linked", lambda docs, sets, depth, *rest: depths.append(depth) or whole(docs, sets, depth, *rest))
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jj.link(frame(spark, rows)).collect()}
+    assert got == brute_links(rows) and depths[0] == 8 and depths[-1] < 8  # 0.82: too few would be found at full length
+    depths.clear()
+    copies = [(k, f"{rows[k % 2 * 2][1]} {'end' * (k // 2)}") for k in range(6)]
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jj.link(frame(spark, copies)).collect()} == brute_links(copies)
+    assert depths == [8] and jj.chance(0.8, 8, 32) > jj.LEAST_RECALL
+
+
+def test_signatures_are_sorted_tries():
+    forest = jj.Forest(4, 8)
+    grams = jj.shingles("a b c d e f g h i j k l m n o p", 5)
+    number = forest.signature(grams).view(np.uint64)
+    shorter = forest.signature(grams[:-1]).view(np.uint64)
+    assert number.shape == (4,) and (forest.signature(grams[::-1].copy()).view(np.uint64) == number).all()
+    same = [next((d for d in range(8, 0, -1) if a >> np.uint64(64 - 8 * d) == b >> np.uint64(64 - 8 * d)), 0) for a, b in zip(number, shorter)]
+    assert max(same) > 0
+
+
+def test_links_of_odd_rows(spark):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, long), (1, long), (2, long + " more"), (None, long), (3, None), (4, None), (5, "a b"), (5, "c d"), (6, "c d")]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jj.link(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 0), (3, 3, 0, 1), (4, 3, 0, 1), (5, 5, 0, 0), (5, 5, 0, 1), (6, 5, 0, 1)]
 
 
 def test_components(spark):
