@@ -266,6 +266,27 @@ def test_language_of_held_out_documents(spark):
     assert {r.doc_id for r in langid.with_language(df, model).collect()} == set(range(240)) | {1003}
 
 
+class Fixed:
+    """Stands for a network: the share of a's and of b's among the bytes."""
+
+    langs = ["aa", "bb"]
+
+    def documents(self, data, offsets):
+        parts = [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
+        return np.array([[(p.count(b"a") + 0.5) / (p.count(b"a") + p.count(b"b") + 1), (p.count(b"b") + 0.5) / (p.count(b"a") + p.count(b"b") + 1)] for p in parts])
+
+
+def test_the_network_decides_what_stays(spark):
+    rows = [(1, "aaaa", None, "x", 1), (2, "bbb", "kept", "x", 1), (3, "ab ab", None, "x", 1), (None, "bbbb", None, "x", 1), (4, None, "aa", "x", 1), (5, "1 2", "aa", "x", 1), (6, "", None, "x", 1), (2, "bbb", "kept", "x", 1)]
+    df = frame(spark, rows)
+    got = sorted(((r.doc_id or 0, r.lang, r.score) for r in langid.with_language(df, Fixed()).collect()))
+    assert got == [(0, "bb", "x"), (1, "aa", "x"), (2, "kept", "x"), (2, "kept", "x")]  # 3 is an even guess
+    assert langid.with_language(df, None).collect() == []
+    assert langid.with_language(df.limit(0), Fixed()).collect() == []
+    assert [tuple(r) for r in langid.predict(frame(spark, [(3, "ab", None, "x", 1), (3, "ab", None, "x", 1), (None, "bb", None, "x", 1)]), Fixed()).orderBy("doc_id").collect()][1:] == [(3, "aa", 0.5)] * 2
+    assert langid.least_score(4) == pytest.approx(0.325, abs=1e-5) and langid.least_score(1) <= 1
+
+
 def test_language_without_labels(spark):
     df = frame(spark, [(1, "words", None, "x", 1)])
     assert langid.train(df) is None
@@ -311,7 +332,7 @@ def test_myers_against_brute_force():
         assert dc.myers(p, t) == brute_distance(p, t)
 
 
-def test_items_within_the_budget(spark):
+def test_items_within_the_budget(spark, monkeypatch):
     rng = random.Random(3)
     items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20))) for k in range(12)] + [(50, None), (51, ""), (None, "x"), (52, "tiny"), (53, "tiny")]
     docs = []
@@ -339,3 +360,17 @@ def test_items_within_the_budget(spark):
     clean = {r.doc_id for r in dc.without_items(frame(spark, docs), table).collect()}
     assert clean == {d[0] for d in docs} - {d for d, _ in want}
     assert dc.find_items(frame(spark, docs), table.limit(0)).collect() == []
+    monkeypatch.setattr(dc, "ITEM_BYTES", 400)  # several blocks, each fetched and written by itself
+    assert len(dc.Items(table, "item_id", "text")) > 2
+    assert {(r.doc_id, r.item_id): r.distance for r in dc.find_items(frame(spark, docs), table).collect()} == want
+    assert {r.doc_id for r in dc.without_items(frame(spark, docs), table).collect()} == clean
+
+
+def test_items_of_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    words = " ".join(f"w{k}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, f"{item} x {item}", 7, "s"), (1, f"{item} x {item}", 7, "s"), (None, f"{words} {item} {words}", 8, "t"), (2, words, 9, "u")], "doc_id long, text string, item_id long, start string")
+    table = spark.createDataFrame([(5, item, "x"), (5, item, "x"), (6, item, "y")], "item_id long, text string, distance string")
+    got = sorted((r.doc_id or 0, r.item_id, r.distance, r.start) for r in dc.find_items(docs, table).collect())
+    assert got == [(0, 5, 0, len(words) + 1), (0, 6, 0, len(words) + 1), *[(1, 5, 0, 0)] * 2, *[(1, 6, 0, 0)] * 2]
+    assert [tuple(r) for r in dc.without_items(docs, table).collect()] == [(2, words, 9, "u")]

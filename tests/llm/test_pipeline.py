@@ -48,6 +48,7 @@ def brute(docs, items):
 def test_pipeline_against_brute_force(spark, tmp_path):
     docs, items = corpus()
     rows = [(i, t, "xx", "src", len(t or "")) for i, t in docs]
+    assert any(t is None for _, t in docs)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
@@ -65,4 +66,22 @@ def test_stages_keep_the_columns(spark, tmp_path):
     df = spark.createDataFrame([(i, t, "xx", "s", 0, "more") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, kept string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).collect() == []
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, tmp_path):
+    docs, items = corpus(7)
+    docs = [(None, "a text without an id"), (None, "another text without one"), (1, "one more text"), (1, "its id again"), (2, None), *((i + 10, t) for i, t in docs[:12])]
+    spark.createDataFrame([(i, t, None if i == 1 else "xx", "s", 0, "more") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, ids string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in got if r.doc_id is None) == ["a text without an id", "another text without one"]
+    assert sorted((r.text, r.lang) for r in got if r.doc_id == 1) == [("its id again", "xx"), ("one more text", "xx")]  # the network names the only language it knows
+    assert all(r.n_tokens == len(r.ids) for r in got)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,13 +101,16 @@ def whole(text: str = "text"):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the checkpoint folder that driver and executors share; one of our own only where none is set."""
+    """URI of the checkpoint folder that driver and executors share; one of our own only where none is set, in local mode."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 

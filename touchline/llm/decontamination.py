@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, map_text, whole
+from .common import claim, cut_lineage, map_text, slices, whole
 
 ERROR_RATE = 0.08
 #: text of the items that one automaton takes; more items are read in several passes over the documents
@@ -119,13 +119,21 @@ class Matcher:
         return least, end - 1 - back.index(least), end
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """Normalised items in blocks of bounded text; a block is what every task gets."""
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // ITEM_BYTES)
-    deal = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
-    return [sorted({(r["id"], normal(r["text"])) for r in rows.filter(deal == k).collect()}) for k in range(n)]
+class Items:
+    """Normalised items in blocks of bounded text, fetched one at a time; a block is what every task gets."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str):
+        rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.rows, self.blocks = rows, -(-size // ITEM_BYTES)
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __iter__(self) -> Iterator[list[tuple[int, str]]]:
+        deal = F.pmod(F.xxhash64("id", "text"), F.lit(max(self.blocks, 1)))
+        for k in range(self.blocks):
+            yield sorted({(r["id"], normal(r["text"])) for r in self.rows.filter(deal == k).collect()})
 
 
 def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -133,8 +141,12 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_c
 
     Compared on lower case with single spaces; start and end count characters of
     that form. Items without text match nothing, null documents hold nothing,
-    and a document that holds an item twice has the row of the closest place.
-    Equal item texts are items of their own. Repeated rows give repeated rows.
+    and a document that holds an item twice has the row of the closest place, of
+    equally close ones the first. Equal item texts are items of their own, an
+    item given twice is one. Repeated rows give repeated rows, a null doc_id
+    stays null. Texts are read whole, one at a time. More items than one block
+    holds are read in several passes, each of which is written before the next
+    block is fetched.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
 
@@ -150,7 +162,8 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_c
 
         return map_text(rows, ["doc_id", "text"], each, SCHEMA)
 
-    parts = [pass_over(b) for b in item_blocks(items, item_col, item_text_col)]
+    blocks = Items(items, item_col, item_text_col)
+    parts = [cut_lineage(pass_over(b)) if len(blocks) > 1 else pass_over(b) for b in blocks]
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], SCHEMA)
 
 
@@ -165,11 +178,15 @@ def without_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, t
             for batch in batches:
                 if not made:
                     made.append(Matcher(block, rate))
-                clean = [not made[0].find(normal(text or "")) for text in batch.column(place).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for cut in slices(batch, place):
+                    clean = [not made[0].find(normal(text or "")) for text in cut.column(place).to_pylist()]
+                    yield cut.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
-    for block in item_blocks(items, item_col, item_text_col):
+    blocks = Items(items, item_col, item_text_col)
+    for block in blocks:
         kept = pass_over(kept, block)
+        if len(blocks) > 1:
+            kept = cut_lineage(kept)
     return kept

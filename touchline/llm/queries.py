@@ -25,6 +25,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(F.array_join(F.col("ends").cast("array<string>"), " "), 256).alias("ends_sha256"),
     )
 
 

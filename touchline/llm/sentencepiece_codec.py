@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import claim, list_array, map_text, whole
 
 #: Stretches whose pieces a worker keeps; a full memo starts anew.
+#: characters of the longest stretch that is remembered
+MEMO_LENGTH = 64
 MEMO = 200_000
 SPACE = "▁"
 NONE = float("-inf")
@@ -290,7 +292,9 @@ class StretchMemo(dict):
         for i, t in zip(*self.codec.pieces(s), strict=True):
             flat.append(i)
             flat.append(len(t.encode("utf-8")) - 2 * t.count(SPACE))
-        self[s] = made = flat.tobytes()
+        made = flat.tobytes()
+        if len(s) <= MEMO_LENGTH:
+            self[s] = made
         return made
 
 
@@ -306,7 +310,9 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     With decoded=True also the text that the ids decode to, in the same pass.
 
     An end id has the text's end. Null and empty texts have no pieces but the
-    end id; repeated rows give repeated rows; columns other than `carry` are left out.
+    end id; repeated rows give repeated rows; columns other than `carry` are left
+    out. One text is encoded at a time: a task holds about 60 bytes for each
+    character of the longest stretch without a space, and 8 for each piece.
     """
 
     def each(cut: pa.RecordBatch) -> pa.RecordBatch:

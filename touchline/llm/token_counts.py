@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import claim, map_text, whole
 
 #: Entries of each memo of a worker: words, pairs of tokens, beginnings of words. A full memo starts anew.
+#: characters of the longest word that is remembered
+MEMO_LENGTH = 64
 MEMO_WORDS, MEMO_PAIRS, MEMO_STATES = 400_000, 600_000, 100_000
 #: Length of the beginnings whose tables words share.
 SHARED = 6
@@ -186,7 +188,8 @@ class WordTables(dict):
         else:
             counts = self.prefix_counts(word)
             made = array("h", map(int.__sub__, counts, [0, *counts[:-1]])).tobytes()
-        self[word] = made
+        if len(word) <= MEMO_LENGTH:
+            self[word] = made
         return made
 
     def segment(self, text: str) -> bytes:

@@ -32,6 +32,13 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string, payload binary"
 
 
+def file_system(uri: str):
+    """The file system and path of a URI; Spark's names of the S3 schemes are told to pyarrow by its own."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -79,9 +86,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     joined = dealt.join(later, (dealt["key"] == later["key"]) & (dealt["sha1"] == later["later_sha1"]), "left").select("page_id", "html", "url", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         done: list[tuple[str, int, int]] = []
         out, path, records, size = None, "", 0, 0
@@ -149,8 +154,6 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         types = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -158,7 +161,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, place = fs.FileSystem.from_uri(path)
+                system, place = file_system(path)
                 rows, size = [], 0
                 with system.open_input_stream(place, compression=None) as stream:
                     for member in members(stream):
