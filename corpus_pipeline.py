@@ -15,7 +15,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns the languages that documents are labelled with; documents without a language (null, or no letter) go."""
+    """Learns the languages that documents are labelled with and gives each document one by its text.
+
+    A null language is filled with the network's. Documents go whose text is
+    null or has no letter, and those that the network cannot tell from chance.
+    """
     return langid.with_language(docs.select(*COLUMNS), langid.train(docs))
 
 
