@@ -224,8 +224,8 @@ def test_prefixes_are_shortened_until_the_recall(spark, monkeypatch):
             text[k] = f"e{rng.randrange(10**6)}"
         rows.append((len(rows), " ".join(text)))
     depths = []
-    whole = jj.linked
-    monkeypatch.setattr(jj, "linked", lambda docs, sets, depth, *rest: depths.append(depth) or whole(docs, sets, depth, *rest))
+    whole = jj.met
+    monkeypatch.setattr(jj, "met", lambda sets, depth, levels: depths.append(depth) or whole(sets, depth, levels))
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jj.link(frame(spark, rows)).collect()}
     assert got == brute_links(rows) and depths[0] == 8 and depths[-1] < 8  # 0.82: too few would be found at full length
     depths.clear()

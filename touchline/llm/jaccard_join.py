@@ -3,24 +3,24 @@
 Each tree has a signature of every document, eight labels of eight bits in one
 number, so that the order of the numbers is that of the tree's prefix trie and a
 shift to the right is the way up to a shorter prefix. Documents that share a
-prefix meet. The search begins at the full signatures; what meets is verified on
-the exact sets, and the similarities found tell how many links a prefix of that
-length can have missed: a link of similarity s is found with chance
-1 - (1 - s^depth)^trees, so each stands for the inverse of that many. While the
-recall so measured, or the one sure for a pair at the threshold, is too low, the
-matched prefixes are shortened by a label.
+prefix meet. The search begins at the full signatures. The similarities of what
+meets, told from the labels, say how many links a prefix of that length can have
+missed: a link of similarity s is found with chance 1 - (1 - s^depth)^trees, so
+each stands for the inverse of that many. While the recall so measured, or the
+one sure for a pair at the threshold, is too low, the matched prefixes are
+shortened by a label. Then all that meets is verified on the exact sets.
 
 Texts with equal sets are one node throughout. What meets is gathered into
 groups; inside a group, sets are parted by size, as sets that are alike are of
 like size, and every pair within a part or of neighbouring parts is verified, in
-blocks. Only counts, weights and one link a document leave a block, never the
-pairs.
+blocks. Only counts and one link a document leave a block, never the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ NGRAM, THRESHOLD = 5, 0.8
 TREES, LEVELS, RECALL = 32, 8, 0.9999
 #: what the search must reach at least for a pair right at the threshold
 LEAST_RECALL = 0.997
+#: how far below the threshold a pair's similarity told from 256 labels may be and still count, two deviations of it
+DOUBT = 0.05
 #: bits of a label
 BITS = 8
 #: nodes of a block, and nodes of small groups that are verified by one call
@@ -42,7 +44,7 @@ BLOCK, BUNDLE = 256, 512
 NODES = "doc_id long, set binary, size long, signature array<long>"
 
 
-def chance(similarity: float | np.ndarray, depth: int, trees: int):
+def chance(similarity: float, depth: int, trees: int) -> float:
     """The chance that two sets share a prefix of `depth` labels in some tree."""
     return 1 - (1 - similarity**depth) ** trees
 
@@ -97,8 +99,8 @@ def _alike(common, size_a, size_b, threshold: float):
     return common >= threshold * (size_a + size_b - common) - 1e-9
 
 
-def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are alike, of the left with the right sets or among the left ones, and how much."""
+def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which pairs are alike: of the left with the right sets, or among the left ones."""
     rows = np.concatenate([left, right]) if right is not None else left
     size = np.array([len(sets[k]) for k in rows], dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
@@ -120,7 +122,7 @@ def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, t
     out = _alike(common.astype(np.float64), size[:n_left, None], other[None, :], threshold)
     if right is None:
         np.fill_diagonal(out, False)
-    return out, common / np.maximum(size[:n_left, None] + other[None, :] - common, 1)
+    return out
 
 
 def link(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, trees: int = TREES, levels: int = LEVELS, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,12 +142,11 @@ def link(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, tree
     sets = cut_lineage(every.groupBy("set").agg(F.min("doc_id").alias("least"), (F.count("*") - 1).alias("n_copies"), F.first("size").alias("size"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id()))
     depth = levels
     while True:
-        verified = cut_lineage(linked(docs, sets, depth, levels, ngram, threshold, trees, id_col, text_col))
-        got = verified.agg(F.sum("links").alias("links"), F.sum("weight").alias("weight")).first()
-        measured = got["links"] / got["weight"] if got["links"] else 1.0
-        if depth == 1 or measured >= recall and chance(threshold, depth, trees) >= LEAST_RECALL:
+        edges = cut_lineage(met(sets, depth, levels))
+        if depth == 1 or chance(threshold, depth, trees) >= LEAST_RECALL and measured_recall(edges, sets, depth, levels, threshold, trees) >= recall:
             break
         depth -= 1
+    verified = cut_lineage(linked(docs, sets, edges, ngram, threshold, id_col, text_col))
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = cut_lineage(classes.join(sets.select("node", "least"), F.col("vertex") == F.col("node")).select("node", "component", "least"))
@@ -158,16 +159,42 @@ def link(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD, tree
 
 
 def met(sets: DataFrame, depth: int, levels: int) -> DataFrame:
-    """(a, b): every node that shares a prefix of `depth` labels, with the least node of that prefix."""
+    """(a, b): edges that join the nodes which share a prefix of `depth` labels.
+
+    A prefix goes by its least node. A node has one edge, to the least such of
+    all trees, and what else it shares prefixes with is joined to that one, so
+    a group of many nodes has few edges more than nodes.
+    """
     prefix = F.shiftrightunsigned("number", BITS * (levels - depth))
     meets = sets.select("node", F.posexplode("signature").alias("tree", "number")).select("node", "tree", prefix.alias("prefix"))
     first = meets.groupBy("tree", "prefix").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return meets.join(cut_lineage(first), ["tree", "prefix"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    shared = meets.join(cut_lineage(first), ["tree", "prefix"]).groupBy("node").agg(F.min("first").alias("root"), F.collect_set("first").alias("firsts"))
+    shared = cut_lineage(shared)
+    own = shared.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = shared.select(F.explode("firsts").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct()
+    return own.union(more).distinct()
+
+
+def measured_recall(edges: DataFrame, sets: DataFrame, depth: int, levels: int, threshold: float, trees: int) -> float:
+    """The share of links that prefixes of this depth find, by those found; 1 if there are none."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
+
+    def labels(x, y):
+        apart = x.bitwiseXOR(y)
+        same = [(F.shiftrightunsigned(apart, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)) == 0).cast("int") for k in range(levels)]
+        return reduce(lambda p, q: p + q, same)
+
+    equal = F.aggregate(F.zip_with("sa", "sb", labels), F.lit(0), lambda p, q: p + q) / F.lit(trees * levels)
+    chance_equal = 1 / (1 << BITS)
+    told = edges.join(one, "a").join(two, "b").select(((equal - chance_equal) / (1 - chance_equal)).alias("s")).filter(F.col("s") >= threshold - DOUBT)
+    missed = F.pow(1 - F.pow(F.greatest(F.lit(threshold), F.col("s")), depth), trees)
+    got = told.agg(F.count("*").alias("n"), F.sum(1 / (1 - missed)).alias("weight")).first()
+    return got["n"] / got["weight"] if got["n"] else 1.0
 
 
-def linked(docs: DataFrame, sets: DataFrame, depth: int, levels: int, ngram: int, threshold: float, trees: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, links, weight, root): the verified links of what meets at a depth, in parts."""
-    groups = cut_lineage(components(met(sets, depth, levels)))
+def linked(docs: DataFrame, sets: DataFrame, edges: DataFrame, ngram: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, links, root): the verified links of what the edges join, in parts."""
+    groups = cut_lineage(components(edges))
     # sets that are alike differ in size by the threshold at most, so they are of one or of neighbouring ranks
     rank = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("long")
     ranked = groups.join(sets.select("node", "set", "least", rank.alias("rank")), F.col("vertex") == F.col("node")).select("vertex", "set", "least", "component", "rank")
@@ -213,21 +240,20 @@ def linked(docs: DataFrame, sets: DataFrame, depth: int, levels: int, ngram: int
         by: dict[tuple, dict[int, int]] = {}
         for k, key in enumerate(zip(*(found[c] for c in ("component", "low_rank", "low", "high_rank", "high")), strict=True)):
             by.setdefault(key, {}).setdefault(found["node"][k], k)  # repeated ids once
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         for (_, low_rank, low, high_rank, high), own in by.items():
             names = np.array(sorted(own), dtype=np.int64)
             places = [own[n] for n in names.tolist()]
             sets_ = [np.frombuffer(found["grams"][p], dtype=np.uint64) for p in places]
             if (low_rank, low) == (high_rank, high):
-                alike, much = verify(sets_, np.arange(len(names)), None, threshold)
+                alike = verify(sets_, np.arange(len(names)), None, threshold)
             else:
                 first = np.array([(found["rank"][p], found["block"][p]) == (low_rank, low) for p in places])
                 a, b = np.flatnonzero(first), np.flatnonzero(~first)
-                alike, much = np.zeros((len(names), len(names)), dtype=bool), np.ones((len(names), len(names)))
+                alike = np.zeros((len(names), len(names)), dtype=bool)
                 if len(a) and len(b):
-                    cross, similar = verify(sets_, a, b, threshold)
+                    cross = verify(sets_, a, b, threshold)
                     alike[np.ix_(a, b)], alike[np.ix_(b, a)] = cross, cross.T
-                    much[np.ix_(a, b)], much[np.ix_(b, a)] = similar, similar.T
             label = np.arange(len(names))
             while True:  # least place reachable, as names are sorted
                 new = np.minimum(label, np.where(alike, label[None, :], len(names)).min(axis=1, initial=len(names)))
@@ -236,9 +262,9 @@ def linked(docs: DataFrame, sets: DataFrame, depth: int, levels: int, ngram: int
                     break
                 label = new
             some = np.flatnonzero(alike.any(axis=1))
-            for x, v in zip(out, (names[some], alike[some].sum(axis=1), np.where(alike, 1 / chance(np.clip(much, threshold, 1), depth, trees), 0)[some].sum(axis=1), names[label[some]]), strict=True):
+            for x, v in zip(out, (names[some], alike[some].sum(axis=1), names[label[some]]), strict=True):
                 x.append(v)
         flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table([pa.array(v.astype(np.float64 if k == 2 else np.int64)) for k, v in enumerate(flat)], names=["node", "links", "weight", "root"])
+        return pa.table([pa.array(v.astype(np.int64)) for v in flat], names=["node", "links", "root"])
 
-    return spread.groupBy("unit").applyInArrow(check, "node long, links long, weight double, root long")
+    return spread.groupBy("unit").applyInArrow(check, "node long, links long, root long")
