@@ -43,11 +43,18 @@ def test_spearman_against_pearson_of_ranks(spark):
 
 def test_ewma_and_series(spark):
     df = spark.createDataFrame([(1, [4.0, 8.0, 2.0]), (2, [5.0]), (3, [])], "k int, v array<double>")
-    got = {r.k: (r.e, r.s) for r in df.select("k", W.ewma(F.col("v")).alias("e"), W.ewma_series(F.col("v")).alias("s")).collect()}
+    got = {r.k: r.e for r in df.select("k", W.ewma(F.col("v")).alias("e")).collect()}
     a = 0.3 * 8 + 0.7 * 4
     b = 0.3 * 2 + 0.7 * a
-    assert got[1][0] == pytest.approx(b) and got[1][1] == pytest.approx([4.0, a, b])
-    assert got[2] == (5.0, [5.0]) and got[3] == (None, [])
+    assert got == {1: pytest.approx(b), 2: 5.0, 3: None}
+    rows = spark.createDataFrame([(1, 1, 4.0), (1, 2, 8.0), (1, 3, 2.0), (2, 1, 5.0)], "k int, at int, v double")
+    series = {(r.k, r.pos): r.e for r in W.ewma_series(rows, ["k"], ["at"], "v", "e").collect()}
+    assert series == {(1, 0): 4.0, (1, 1): pytest.approx(a), (1, 2): pytest.approx(b), (2, 0): 5.0}
+    long = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("at"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
+    mean = 0.0
+    for i in range(400):
+        mean = float(i * 37 % 101) if i == 0 else 0.3 * (i * 37 % 101) + 0.7 * mean
+    assert W.ewma_series(long, ["k"], ["at"], "v", "e").filter("pos = 399").first().e == pytest.approx(mean, rel=1e-12)
 
 
 def test_robust_z_bounds_constants_and_small_groups(spark):
@@ -71,8 +78,12 @@ def test_measures(spark):
 def test_contexts_leave_the_own_team_out(spark):
     facts = spark.createDataFrame([(1, 1, 2, "home"), (1, 1, 3, "away"), (2, 2, 2, "home")], "player int, team int, opp int, venue string")
     strong = spark.createDataFrame([(2,)], "team int")
-    got = sorted(one(R.contexts(facts, strong, strong).select("player", "opp", "ctx")))
-    assert (1, 2, "vs_strong") in got and (1, 2, "vs_tight") in got and (2, 2, "vs_strong") not in got
+    tight = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "team int, place int")  # two are wanted, so one more is ranked
+    got = sorted(one(R.contexts(facts, strong, tight, top=2).select("player", "opp", "ctx")))
+    assert (1, 2, "vs_strong") in got and (2, 2, "vs_strong") not in got and (2, 2, "vs_tight") not in got
+    assert (1, 2, "vs_tight") in got and (1, 3, "vs_tight") in got  # team 1 is tight itself and still faces two
+    more = spark.createDataFrame([(4, 7, 3, "home"), (4, 7, 2, "home")], "player int, team int, opp int, venue string")
+    assert {(o, c) for _, o, c in one(R.contexts(more, strong, tight, top=2).select("player", "opp", "ctx")) if c == "vs_tight"} == {(2, "vs_tight")}
     assert sum(c == "total" for *_, c in got) == 3
 
 
@@ -229,9 +240,15 @@ def test_season_index_is_whole_and_as_of(spark):
     rows = []
     for player in range(24):
         for rnd in range(1, 13):
-            rows.append((player, player % 6, ["GK", "DEF", "MID", "FWD"][player % 4], rnd * 100 + player, rnd, (player + rnd) % 6, "home" if rnd % 2 else "away", 60 + rnd, (player * rnd) % 3 // 2, (player % 7 + rnd) / 10, 0.1 * (player % 5), rnd, 1, 1))
-    facts = spark.createDataFrame(rows, "player int, team int, role string, fixture int, rnd int, opp int, venue string, mins int, goal int, xg double, xa double, ship int, line int, part int")
-    whole = R.season_index(facts).collect()
-    assert len(whole) == 24 and all(r["index"] is not None for r in whole)
-    part = R.season_index(J.as_of(facts, "rnd", 6)).collect()
-    assert {r.n for r in part} == {6}
+            if (player + rnd) % 11:
+                rows.append((player, player % 6, ["GK", "DEF", "MID", "FWD"][player % 4], rnd * 100 + player % 6, 1, rnd, (player + rnd) % 6 if (player + rnd) % 6 != player % 6 else 7, "home" if rnd % 2 else "away", 60 + rnd, (player * rnd) % 3 // 2, (player % 7 + rnd) / 10, 0.1 * (player % 5), 0.05 * (player % 3)))
+    schema = "player int, team int, role string, fixture int, season int, rnd int, opp int, venue string, mins int, goal int, xg double, xa double, bu double"
+    # the other side of a team's fixture is one
+    matches = spark.createDataFrame(rows, schema).withColumn("opp", (F.col("team") + F.col("rnd")) % 8)
+    bodies = matches.select("player").distinct().withColumn("age", (18 + F.col("player") % 15).cast("double")).withColumn("injuries", F.lit(1)).withColumn("days", F.lit(10))
+    whole = R.season_index(matches, bodies).collect()
+    assert len(whole) == 24 and all(r["index"] is not None and r["pro"] is not None for r in whole)
+    part = R.season_index(J.as_of(matches, "rnd", 6), bodies).collect()
+    assert max(r.n for r in part) <= 6
+    dims = {(r.player, r.ctx): r for r in R.context_dimensions(matches).collect()}
+    assert dims[1, "total"].boost is None  # too few games without

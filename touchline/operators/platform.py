@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def set_changes(rows: DataFrame, period: str, member: str) -> DataFrame:
     """(period, member, change): members that appear in a period, or that the period before had and it has not."""
@@ -47,16 +49,11 @@ def closure(edges: DataFrame, start: DataFrame, limit: int = 100) -> DataFrame:
     Breadth first: a level joins the edges with the nodes that the last one
     found, so each edge is followed once.
     """
-    seen = start.select("node").distinct().checkpoint()
+    seen = cut(start.select("node").distinct())
     front = seen
     for _ in range(limit):
-        front = edges.join(front, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
+        front = cut(edges.join(front, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = seen.union(front).checkpoint()
+        seen = cut(seen.union(front))
     raise ValueError(f"deeper than {limit} levels")
-
-
-def closure_sql(limit: int = 100) -> str:
-    """The same as a recursive query over views `edges` (a, b) and `start` (node), for acyclic graphs."""
-    return f"WITH RECURSIVE c(node, depth) MAX RECURSION LEVEL {limit} AS (SELECT node, 0 FROM start UNION ALL SELECT e.b, c.depth + 1 FROM c JOIN edges e ON e.a = c.node) SELECT DISTINCT node FROM c"

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .measures import clip, consistency, mean, per90, shrink, total
+from .cuts import cut
+from .measures import boost, clip, consistency, mean, per90, shrink, total
 from .windows import ewma, in_order, rank_average, robust_z
 
 
@@ -24,10 +25,26 @@ class Rules:
     prior_minutes: float = 600.0
     top: int = 6
     k_base: float = 12.0
+    k_winter: float = 1.8
+    k_most: float = 8.0
+    default_prior: float = 0.15
+    boost_least: int = 6
+    boost_prior: float = 8.0
     confidence_floor: float = 0.35
     role_weights: dict = field(default_factory=lambda: {"FWD": 1.0, "MID": 0.85, "DEF": 0.55, "GK": 0.20})
     # fixed values: weights of the dimensions
     weights: dict = field(default_factory=lambda: {"output": 0.32, "buildup": 0.10, "centrality": 0.18, "boost": 0.05, "consistency": 0.07, "finishing": 0.20, "form": 0.11})
+    # fixed values: weights of the index and its five modulators, by age
+    pro_weights: dict = field(
+        default_factory=lambda: {
+            "young": {"index": 0.55, "age": 0.15, "reliability": 0.05, "stability": 0.07, "trend": 0.05, "momentum": 0.13},
+            "prime": {"index": 0.65, "age": 0.10, "reliability": 0.07, "stability": 0.07, "trend": 0.05, "momentum": 0.06},
+            "veteran": {"index": 0.60, "age": 0.04, "reliability": 0.18, "stability": 0.08, "trend": 0.05, "momentum": 0.05},
+        }
+    )
+    prime_from: float = 23.0
+    veteran_from: float = 29.0
+    age_peak: float = 23.0
 
 
 RULES = Rules()
@@ -47,23 +64,27 @@ def standings(facts: DataFrame, points: str = "goal") -> DataFrame:
     return t.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("points").desc(), "team")).cast("long"))
 
 
-def contexts(facts: DataFrame, strong: DataFrame, tight: DataFrame) -> DataFrame:
-    """facts once for each context a row belongs to: total, home, away, against strong and against tight teams.
+def tight_ranks(sos: DataFrame, n: int) -> DataFrame:
+    """(team, place): the n + 1 teams that concede least, enough for everybody to leave its own out."""
+    best = sos.orderBy("sos", "team").limit(n + 1)
+    # at most n + 1 rows
+    return best.select("team", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("sos", "team")).alias("place"))
+
 
-    The sets are one team longer than needed, and a player's own team is left
-    out of its own set by the place it has without itself.
+def contexts(rows: DataFrame, strong: DataFrame, tight: DataFrame, top: int = RULES.top) -> DataFrame:
+    """rows once for each context they belong to: total, home, away, against strong and against tight teams.
+
+    `strong` is a set that the own team is taken out of; `tight` is ranked, one
+    longer than needed, and a team's own set are the first `top` without itself.
     """
-    s, t = (x.select(F.col("team").alias("opp"), F.lit(True).alias(n)) for x, n in ((strong, "strong"), (tight, "tight")))
-    rows = facts.join(s, "opp", "left").join(t, "opp", "left")
-    names = F.array_compact(
-        F.array(
-            F.lit("total"),
-            F.col("venue"),
-            F.when(F.col("strong") & (F.col("opp") != F.col("team")), "vs_strong"),
-            F.when(F.col("tight") & (F.col("opp") != F.col("team")), "vs_tight"),
-        )
-    )
-    return rows.withColumn("ctx", F.explode(names)).drop("strong", "tight")
+    s = strong.select(F.col("team").alias("opp"), F.lit(True).alias("_strong"))
+    t = tight.select(F.col("team").alias("opp"), F.col("place").alias("_place"))
+    own = tight.select("team", F.col("place").alias("_own"))
+    faced = rows.join(s, "opp", "left").join(t, "opp", "left").join(own, "team", "left")
+    other = F.col("opp") != F.col("team")
+    ahead = F.col("_place") - F.coalesce((F.col("_own") < F.col("_place")).cast("int"), F.lit(0))
+    names = F.array_compact(F.array(F.lit("total"), F.col("venue"), F.when(F.col("_strong") & other, "vs_strong"), F.when((ahead <= top) & other, "vs_tight")))
+    return faced.withColumn("ctx", F.explode(names)).drop("_strong", "_place", "_own")
 
 
 def dimensions(rows: DataFrame, sos: DataFrame, rules: Rules = RULES) -> DataFrame:
@@ -92,9 +113,9 @@ def minutes_shrinkage(rows: DataFrame, value: str, out: str, rules: Rules = RULE
 
 
 def scores(rows: DataFrame, values: list[str]) -> DataFrame:
-    """(player, role, ctx, metric, z): robust scores of all metrics by one window over (ctx, role, metric)."""
+    """(player, role, ctx, metric, z): robust scores of all metrics at once; thin contexts are scored by the whole season's peers."""
     long = rows.unpivot(["player", "role", "ctx"], values, "metric", "value")
-    return robust_z(long, "value", ["ctx", "role", "metric"], "z").drop("value")
+    return robust_z(long, "value", ["ctx", "role", "metric"], "z", fallback=("ctx", "total")).drop("value")
 
 
 def composite(z: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -144,19 +165,165 @@ def form(facts: DataFrame, keys: list[str], alpha: float = 0.3, least: int = 5)
     return series.select("player", last.alias("ewma"), F.when(F.size("v") >= least, F.try_divide(last, plain) - 1).alias("trend"))
 
 
-def season_index(facts: DataFrame, rules: Rules = RULES, keys: tuple[str, ...] = ("ship", "fixture", "line", "part")) -> DataFrame:
-    """player, role, n, mins, confidence, index and rank from the facts of a season, or of the rounds up to one."""
-    sos = strength_of_schedule(facts)
-    strong = standings(facts).filter(F.col("place") <= rules.top)
-    tight = sos.orderBy("sos", "team").limit(rules.top)
-    dims = dimensions(contexts(facts, strong, tight), sos, rules)
-    dims = minutes_shrinkage(dims, "output_adj", "output_shrunk", rules)
-    whole = dims.filter("ctx = 'total'").join(form(facts, list(keys)), "player", "left").withColumnRenamed("trend", "form")
-    z = scores(whole.withColumnRenamed("output_shrunk", "out_z"), ["out_z", "consistency", "finishing", "form"])
-    wide = z.groupBy("player").pivot("metric", ["out_z", "consistency", "finishing", "form"]).agg(F.first("z"))
-    rows = confidence(whole, ["output_shrunk", "consistency", "finishing", "form"]).select("player", "role", "n", "mins", "confidence").join(wide, "player")
-    index = composite({"output": F.col("out_z"), "consistency": F.col("consistency"), "finishing": F.col("finishing"), "form": F.col("form")}, rules.weights)
-    rows = rows.withColumn("raw", index)
-    peers = F.avg("raw").over(Window.partitionBy("role"))
-    rows = rows.withColumn("index", F.round(role_weighted(F.col("raw"), peers, F.col("confidence"), F.col("role"), rules), 4))
-    return rank_average(rows, "index", [], "rank").select("player", "role", "n", "mins", "confidence", "index", "rank")
+def team_log(matches: DataFrame) -> DataFrame:
+    """(team, fixture, rnd, opp, venue, team_xg): one row for each side of a fixture."""
+    return matches.groupBy("team", "fixture", "rnd", "opp", "venue").agg(F.sum("xg").alias("team_xg"))
+
+
+def context_dimensions(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player, role, ctx with n, mins, output, buildup, centrality, boost and consistency of each context with enough games.
+
+    matches: one row a player and fixture. What a team did without a player is
+    the team's total less what it did with the player, so no pair of player and
+    missed fixture is ever made.
+    """
+    log = team_log(matches)
+    conceded = strength_of_schedule(log, "opp", "team_xg")
+    tight, strong = tight_ranks(conceded, rules.top), standings(matches).filter(F.col("place") <= rules.top)
+    sos = conceded.withColumnRenamed("team", "opp")
+    weight = F.coalesce(F.least(F.try_divide(F.lit(1.0), F.col("sos")), F.lit(10.0)), F.lit(1.0))
+    faced = contexts(log, strong, tight, rules.top).join(sos, "opp", "left").withColumn("sos", F.coalesce("sos", F.lit(1.0)))
+    faced = faced.withColumn("w", weight).withColumn("wx", F.col("w") * F.col("team_xg"))
+    teams = faced.groupBy("team", "ctx").agg(F.count("*").alias("team_n"), F.sum("w").alias("team_w"), F.sum("wx").alias("team_wx"))
+    rows = matches.join(faced.select("team", "fixture", "ctx", "team_xg", "sos", "w", "wx"), ["team", "fixture"])
+    value = (F.col("xg") + F.col("xa")).cast("double") * 90 / F.col("mins")
+    found = rows.groupBy("player", "team", "role", "ctx").agg(
+        F.count("*").alias("n"), F.sum("mins").alias("mins"), total(F.col("xg") + F.col("xa")).alias("own"), total("bu").alias("bu"), total("team_xg").alias("team_xg"),
+        F.avg("sos").alias("sos"), F.sum("w").alias("w"), F.sum("wx").alias("wx"), consistency(value).alias("consistency"),
+    )
+    whole = matches.groupBy("player").agg(F.count("*").alias("games"), F.sum("mins").alias("season_mins"), (F.min("rnd") >= 2).alias("winter"))
+    found = found.filter(F.col("n") >= rules.least_games).join(whole, "player").join(teams, ["team", "ctx"])
+    missed = F.col("team_n") - F.col("n")
+    left = F.col("team_wx") - F.col("wx")
+    left = F.when(F.abs(left) >= 1e-9, left).otherwise(0.0)  # nothing but rounding is left where the team had nothing without the player
+    with_, without = F.col("wx") / F.col("w"), F.try_divide(left, F.when(missed > 0, F.col("team_w") - F.col("w")))
+    k = rules.k_base * F.when(F.col("winter"), rules.k_winter).otherwise(1.0) * F.least(F.col("games") / F.col("n"), F.lit(rules.k_most))
+    front = F.col("role").isin("FWD", "MID")
+    priors = found.groupBy("ctx").agg(F.coalesce(F.try_divide(F.sum(F.when(front, F.col("own"))), F.sum(F.when(front, F.col("team_xg")))), F.lit(rules.default_prior)).alias("prior"))
+    found = found.join(priors, "ctx")
+    return found.select(
+        "player", "role", "ctx", "n", "mins", "games", "season_mins", "winter",
+        (F.col("own") / F.col("mins") * 90 / F.col("sos")).alias("output"),
+        (F.col("bu") / F.col("mins") * 90 / F.col("sos")).alias("buildup"),
+        F.when(F.col("team_xg") > 0, (F.col("own") + F.col("prior") * k) / (F.col("team_xg") + k) * 100).alias("centrality"),
+        boost(with_, without, missed, rules.boost_least, rules.boost_prior).alias("boost"),
+        "consistency",
+    )
+
+
+def season_skills(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player with finishing, form (the recursive mean of its rate) and trend, over the whole season."""
+    finishing = matches.groupBy("player").agg(total("xg").alias("_xg"), F.sum("goal").alias("_g"))
+    finishing = finishing.select("player", F.when(F.col("_xg") > 0, (F.col("_g") - F.col("_xg")) / F.sqrt("_xg")).alias("finishing"))
+    return finishing.join(form(matches, ["rnd", "fixture"]).select("player", F.col("ewma").alias("form"), "trend"), "player", "left")
+
+
+DIMENSIONS = ("output", "buildup", "centrality", "boost", "consistency")
+
+
+def context_scores(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player, role, ctx and the scores of the five dimensions of a context, after the minutes' shrinkage."""
+    dims = cut(context_dimensions(matches, rules))
+    peers = Window.partitionBy("role", "ctx")
+    per_game = clip(F.col("season_mins") / F.col("games"), 30, 90)
+    strength = clip(F.greatest(clip(75 / per_game, 1, 2.5), clip(30 / F.col("games"), 1, 3)), 1, 3) * rules.prior_minutes
+    for name in ("output", "buildup"):
+        dims = dims.withColumn(name, shrink(F.col(name), F.col("mins").cast("double"), F.avg(name).over(peers), strength))
+    return scores(cut(dims), list(DIMENSIONS)).groupBy("player", "role", "ctx").pivot("metric", list(DIMENSIONS)).agg(F.first("z"))
+
+
+def prepared(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """One row for each player with enough games: season figures, skills, availability, age index and reliability."""
+    whole = matches.groupBy("player", "role").agg(F.count("*").alias("games"), F.sum("mins").alias("season_mins"), F.min("rnd").alias("first"), F.countDistinct("rnd").alias("played"))
+    whole = whole.filter(F.col("games") >= rules.least_games).join(season_skills(matches, rules), "player").join(bodies, "player", "left").join(matches.agg(F.countDistinct("rnd").alias("rounds")))
+    whole = whole.withColumn("available", F.when(F.col("first") >= 2, F.col("rounds") - F.col("first") + 1).otherwise(F.col("rounds")))
+    return whole.withColumn("age_index", age_index(F.col("age"))).withColumn("reliability", reliability(F.col("played"), F.col("available"), F.col("injuries"), F.col("days")))
+
+
+def raw_scores(z: DataFrame, whole: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """The scores of contexts beside those of the season, and their weighted mean `raw`."""
+    names = ["finishing", "form", "trend", "age_index", "reliability"]
+    skills = robust_z(whole.unpivot(["player", "role"], names, "metric", "value"), "value", ["role", "metric"], "z").groupBy("player").pivot("metric", names).agg(F.first("z"))
+    return z.join(skills, "player").withColumn("raw", composite({d: F.col(d) for d in (*DIMENSIONS, "finishing", "form")}, rules.weights))
+
+
+def scored(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player, role, ctx with raw_ and pro_: the index and the index with its modulators, weighted, shrunk and penalised."""
+    matches = cut(matches)
+    whole = cut(prepared(matches, bodies, rules))
+    rows = cut(raw_scores(context_scores(matches, rules), whole, rules))
+    have = reduce(Column.__add__, [F.col(d).isNotNull().cast("double") for d in DIMENSIONS]) / len(DIMENSIONS)
+    level = whole.agg(F.percentile("season_mins", F.lit(0.95)).alias("p95"))
+    total_ = rows.filter("ctx = 'total'").select("player", "role", F.col("raw").alias("total_raw"), have.alias("have"))
+    person = total_.join(whole.select("player", "games", "season_mins", "played", "available", "age"), "player").join(stability(rows), "player").join(level)
+    trust = clip(F.col("season_mins") / F.col("p95"), 0, 1) * clip(F.col("games") / 30.0, 0.3, 1) * clip(F.col("season_mins") / F.col("games") / 90.0, 0.4, 1) * F.col("have")
+    person = person.withColumn("confidence", F.round(F.pow(trust, 0.25), 3))
+    fit = F.when(F.col("age") <= rules.age_peak + 5, F.col("total_raw"))
+    line = person.agg(F.regr_slope(fit, F.col("age")).alias("b"), F.regr_intercept(fit, F.col("age")).alias("c"), F.count(fit).alias("fitted"))
+    person = cut(person.join(line).withColumn("momentum", F.when((F.col("fitted") >= 8) & (F.col("age") < rules.age_peak + 1), F.col("total_raw") - (F.col("b") * F.col("age") + F.col("c")))))
+    names = ["stability", "momentum"]
+    modest = robust_z(person.unpivot(["player", "role"], names, "metric", "value"), "value", ["role", "metric"], "z").groupBy("player").pivot("metric", names).agg(F.first("z"))
+    rows = rows.join(person.select("player", "games", "season_mins", "confidence", "played", "available", "age"), "player").join(modest, "player", "left")
+    kind = F.when(F.col("age") < rules.prime_from, "young").when(F.col("age") >= rules.veteran_from, "veteran").otherwise("prime")
+    parts = {"index": F.col("raw"), "age": F.col("age_index"), "reliability": F.col("reliability"), "stability": F.col("stability"), "trend": F.col("trend"), "momentum": F.col("momentum")}
+    rows = rows.withColumn("pro", F.when(kind == "young", composite(parts, rules.pro_weights["young"])).when(kind == "veteran", composite(parts, rules.pro_weights["veteran"])).otherwise(composite(parts, rules.pro_weights["prime"])))
+    peers, penalty = Window.partitionBy("role", "ctx"), availability_penalty(F.col("played"), F.col("available"))
+    for name in ("raw", "pro"):
+        drawn = role_weighted(F.col(name), F.avg(name).over(peers), F.col("confidence"), F.col("role"), rules)
+        rows = rows.withColumn(f"{name}_", F.round(F.round(drawn, 4) * penalty, 4))
+    return rows
+
+
+def season_index(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player, role, n, mins, confidence, the index of five contexts, pro, and both ranks, of a season or its rounds up to one.
+
+    matches: one row a player and fixture; bodies: (player, age, injuries, days).
+    """
+    rows = scored(matches, bodies, rules)
+    pick = lambda c, x: F.max(F.when(F.col("ctx") == x, F.col(c)))
+    wide = rows.groupBy("player", "role").agg(
+        F.first("games").alias("n"), F.first("season_mins").alias("mins"), F.first("confidence").alias("confidence"),
+        *[pick("raw_", x).alias("index" if x == "total" else f"index_{x}") for x in ("total", "home", "away", "vs_strong", "vs_tight")], pick("pro_", "total").alias("pro"),
+    )
+    return rank_average(rank_average(cut(wide), "index", [], "rank"), "pro", [], "pro_rank")
+
+
+def stability(rows: DataFrame) -> DataFrame:
+    """(player, stability): less the deviation of its contexts' scores."""
+    return rows.groupBy("player").agg((-F.stddev_samp("raw")).alias("stability"))
+
+
+def context_spread(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
+    matches = cut(matches)
+    bare = matches.select("player").distinct().select("player", F.lit(None).cast("double").alias("age"), F.lit(0).alias("injuries"), F.lit(0).alias("days"))
+    return stability(raw_scores(context_scores(matches, rules), cut(prepared(matches, bare, rules)), rules))
+
+
+def key_figures(matches: DataFrame) -> DataFrame:
+    """player, xa90, sos, and the team's mean output in fixtures with the player and without."""
+    log = team_log(matches)
+    sos = strength_of_schedule(log, "opp", "team_xg").withColumnRenamed("team", "opp")
+    rows = matches.join(log.select("team", "fixture", "team_xg"), ["team", "fixture"]).join(sos, "opp", "left")
+    own = rows.groupBy("player", "team").agg(per90("xa", "mins").alias("xa90"), F.avg(F.coalesce("sos", F.lit(1.0))).alias("sos"), F.count("*").alias("n"), total("team_xg").alias("x"))
+    every = log.groupBy("team").agg(F.count("*").alias("team_n"), total("team_xg").alias("team_x"))
+    return own.join(every, "team").select("player", "xa90", "sos", (F.col("x") / F.col("n")).alias("team_with"), F.try_divide(F.col("team_x") - F.col("x"), F.nullif(F.col("team_n") - F.col("n"), F.lit(0))).alias("team_without"))
+
+
+def team_trend(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """player, rnd and the team's mean output: with the player, against tight and weak teams, and without, on the union of rounds.
+
+    Fixtures without the player are the round's total less those with it.
+    """
+    log = team_log(matches)
+    sos = strength_of_schedule(log, "opp", "team_xg")
+    turned = sos.select("team", (-F.col("sos")).alias("sos"))
+    tight, weak = (contexts(log.withColumn("venue", F.lit(None).cast("string")), sos.select("team").limit(0), tight_ranks(x, rules.top), rules.top).filter("ctx = 'vs_tight'").select("team", "fixture", F.lit(True).alias(n)) for x, n in ((sos, "tight"), (turned, "weak")))
+    faced = log.join(tight, ["team", "fixture"], "left").join(weak, ["team", "fixture"], "left").withColumn("x", F.col("team_xg").cast("double"))
+    rows = matches.select("player", "team", "fixture").join(faced, ["team", "fixture"])
+    own = rows.groupBy("player", "team", "rnd").agg(F.avg("x").alias("team_with"), F.avg(F.when(F.col("tight"), F.col("x"))).alias("tight"), F.avg(F.when(F.col("weak"), F.col("x"))).alias("weak"), F.sum("team_xg").alias("s"), F.count("*").alias("n"))
+    every = log.groupBy("team", "rnd").agg(F.sum("team_xg").alias("team_s"), F.count("*").alias("team_n"))
+    axis = matches.select("player", "team").distinct().join(every, "team")
+    both = axis.join(own, ["player", "team", "rnd"], "left")
+    left = F.col("team_n") - F.coalesce("n", F.lit(0))
+    missed = F.when(left > 0, (F.col("team_s") - F.coalesce("s", F.lit(0))).cast("double") / left)
+    return both.select("player", "rnd", "team_with", "tight", "weak", missed.alias("team_without"))

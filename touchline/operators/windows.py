@@ -58,15 +58,21 @@ def ewma(values: Column, alpha: float = 0.3) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(rest, F.get(values, F.lit(0)), lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s))
 
 
-def ewma_series(values: Column, alpha: float = 0.3) -> Column:
-    """The mean after each value, as an array."""
-    empty = F.slice(values, 1, 0)
+def ewma_series(rows: DataFrame, by: list[str], keys: list[str], value: str, out: str, alpha: float = 0.3, reach: int = 128) -> DataFrame:
+    """rows with the mean after each of them, and their place `pos` in the group from 0.
 
-    def step(done: Column, x: Column) -> Column:
-        new = F.when(F.size(done) == 0, x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * F.try_element_at(done, F.lit(-1)))
-        return F.concat(done, F.array(new))
-
-    return F.aggregate(values, empty, step)
+    A value's weight falls by 1 - alpha a step, so the last hundred or so make
+    the mean up to the precision of a double; a group is streamed through a
+    window of that length and never gathered.
+    """
+    order = Window.partitionBy(*by).orderBy(*keys)
+    placed = rows.withColumn("pos", F.row_number().over(order) - 1)
+    recent = order.rowsBetween(-reach, 0)
+    near = F.collect_list(F.struct(F.col("pos").alias("p"), F.col(value).cast("double").alias("v"))).over(recent)
+    step = lambda s, x: F.lit(alpha) * x["v"] + F.lit(1 - alpha) * s
+    placed = placed.withColumn("_near", near)
+    rest = F.slice("_near", 2, F.greatest(F.size("_near") - 1, F.lit(0)))
+    return placed.withColumn(out, F.aggregate(rest, F.get("_near", F.lit(0))["v"], step)).drop("_near")
 
 
 def in_order(value: Column, *keys: str) -> Column:
@@ -74,19 +80,35 @@ def in_order(value: Column, *keys: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*keys, value.alias("_value")))), lambda s: s["_value"])
 
 
-def robust_z(df: DataFrame, value: str, by: list[str], out: str, low: float = 0.05, high: float = 0.95, limit: float = 3.0, least: int = 3) -> DataFrame:
+def reference(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """(by..., _n, _mean, _sd) of a group's values winsorised at its own quantiles, by two aggregations."""
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
+    edges = rows.groupBy(*by).agg(F.percentile("_value", F.array(F.lit(low), F.lit(high))).alias("_e"))
+    kept = F.least(F.greatest(F.col("_value"), F.col("_e")[0]), F.col("_e")[1])
+    return rows.join(edges, by).groupBy(*by).agg(F.count(kept).alias("_n"), F.avg(kept).alias("_mean"), F.stddev_samp(kept).alias("_sd"))
+
+
+def robust_z(df: DataFrame, value: str, by: list[str], out: str, limit: float = 3.0, least: int = 3, fallback: tuple[str, str] | None = None, own_least: int = 6) -> DataFrame:
     """Scores by mean and deviation of the values winsorised inside their group.
 
     Bounded to +-limit; 0 where the group does not vary, null where it has fewer
-    than `least` values.
+    than `least` values. With fallback (column, name) a group of fewer than
+    `own_least` values is scored by that of the same keys with the name in the
+    column. Nothing but counts of values meets in one task.
     """
-    group = Window.partitionBy(*by)
-    rows = df.withColumn("_low", F.percentile(value, F.lit(low)).over(group)).withColumn("_high", F.percentile(value, F.lit(high)).over(group))
-    rows = rows.withColumn("_kept", F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high"))))
-    rows = rows.withColumn("_mean", F.avg("_kept").over(group)).withColumn("_sd", F.stddev_samp("_kept").over(group)).withColumn("_n", F.count("_kept").over(group))
-    z = (F.col(value) - F.col("_mean")) / F.col("_sd")
-    score = F.when(F.col("_n") < least, None).when(F.col(value).isNull(), None).when(F.col("_sd") == 0, 0.0).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
-    return rows.withColumn(out, score).drop("_low", "_high", "_kept", "_mean", "_sd", "_n")
+    stats = reference(df, value, by)
+    rows = df.join(stats, by, "left")
+    n, mean, sd = F.coalesce("_n", F.lit(0)), F.col("_mean"), F.col("_sd")
+    if fallback:
+        column, name = fallback
+        rest = [k for k in by if k != column]
+        other = stats.filter(F.col(column) == name).select(*rest, *[F.col(c).alias(f"{c}f") for c in ("_n", "_mean", "_sd")])
+        rows = rows.join(other, rest, "left")
+        use = (n < own_least) & (F.col(column) != name)
+        n, mean, sd = (F.when(use, y).otherwise(x) for x, y in ((n, F.coalesce("_nf", F.lit(0))), (mean, F.col("_meanf")), (sd, F.col("_sdf"))))
+    z = F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(value) - mean) / sd))
+    score = F.when((n < least) | F.col(value).isNull(), None).when(sd == 0, 0.0).otherwise(z)
+    return rows.withColumn(out, score).drop("_n", "_mean", "_sd", "_nf", "_meanf", "_sdf")
 
 
 def last_n(df: DataFrame, by: list[str], keys: list[str], n: int) -> DataFrame:

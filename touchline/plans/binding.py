@@ -37,7 +37,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line: player, team, role, fixture, season, rnd, opp, venue, mins, goal, xg, xa and the keys that order it."""
+    """One row for each line: player, team, role, fixture, season, rnd, opp, venue, mins, goal, xg, xa, bu (build-up) and the keys that order it."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("player"),
         F.col("l_orderkey").alias("fixture"),
@@ -46,6 +46,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("goal"),
         (F.col("l_extendedprice") * F.col("l_discount") / 1000).cast(AMOUNT).alias("xg"),
         (F.col("l_extendedprice") * F.col("l_tax") / 1000).cast(AMOUNT).alias("xa"),
+        (F.col("l_extendedprice") * (0.1 - F.col("l_discount")) / 1000).cast(AMOUNT).alias("bu"),
         F.col("l_shipdate").alias("ship"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part"),
@@ -53,6 +54,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(fixtures(spark, sf_dir).drop("day"), "fixture").join(players(spark, sf_dir).select("player", "team", "role"), "player")
 
 
+def matches(rows: DataFrame) -> DataFrame:
+    """One row for each player and fixture of the facts; the venue follows from fixture and team, so a team's rows agree on it."""
+    venue = F.when((F.col("fixture") + F.col("team")) % 2 == 0, "home").otherwise("away").alias("venue")
+    sums = [F.sum(c).alias(c) for c in ("mins", "goal", "xg", "xa", "bu")]
+    return rows.filter("mins > 0").groupBy("player", "team", "role", "fixture", "season", "rnd", "opp", venue).agg(*sums)
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pipeline runs: run, stage, started, day, duration, failed, owner, size (from the JSON properties)."""
     e = table(spark, sf_dir, "events")
@@ -69,8 +77,10 @@ FIXTURES_SQL = """x AS (SELECT o_orderkey AS fixture, o_orderdate AS day, CAST(y
 FACTS_SQL = f"""{PLAYERS_SQL}, {FIXTURES_SQL},
 f AS (SELECT player, fixture, season, rnd, p.team AS team, p.role AS role, opp, CASE WHEN l_linestatus = 'O' THEN 'home' ELSE 'away' END AS venue,
   CAST(l_quantity AS INT) AS mins, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS goal,
-  CAST(l_extendedprice * l_discount / 1000 AS DECIMAL(18,7)) AS xg, CAST(l_extendedprice * l_tax / 1000 AS DECIMAL(18,7)) AS xa,
+  CAST(l_extendedprice * l_discount / 1000 AS DECIMAL(18,7)) AS xg, CAST(l_extendedprice * l_tax / 1000 AS DECIMAL(18,7)) AS xa, CAST(l_extendedprice * (0.1 - l_discount) / 1000 AS DECIMAL(18,7)) AS bu,
   l_shipdate AS ship, l_linenumber AS line, l_partkey AS part
   FROM lineitem JOIN x ON l_orderkey = x.fixture JOIN p ON l_suppkey = p.player)"""
+MATCHES_SQL = """m AS (SELECT player, team, role, fixture, season, rnd, opp, CASE WHEN (fixture + team) % 2 = 0 THEN 'home' ELSE 'away' END AS venue,
+  CAST(sum(mins) AS BIGINT) AS mins, CAST(sum(goal) AS BIGINT) AS goal, sum(xg) AS xg, sum(xa) AS xa, sum(bu) AS bu FROM f WHERE mins > 0 GROUP BY ALL)"""
 RUNS_SQL = """r AS (SELECT event_id AS run, event_type AS stage, ts AS started, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS duration,
   event_type = 'error' AS failed, user_id AS owner, CAST(json_extract_string(props, '$.k') AS INT) AS size FROM events)"""

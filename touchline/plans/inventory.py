@@ -105,13 +105,6 @@ def j15(spark, sf_dir):
     return a.join(b, (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") + F.col("b") <= 12)).select("a", "b")
 
 
-@query("a9_dimensions", f"WITH {FACTS_SQL} SELECT player, count(*) AS n, CAST(sum(goal) AS BIGINT) AS goals, round((sum(goal) - CAST(sum(xg) AS DOUBLE)) / sqrt(CAST(sum(xg) AS DOUBLE)), 5) AS finishing FROM f WHERE mins > 0 GROUP BY 1 HAVING count(*) >= 4")
-def a9(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    d = R.dimensions(rows.withColumn("ctx", F.lit("total")), R.strength_of_schedule(rows))
-    return d.select("player", "n", "goals", F.round("finishing", 5).alias("finishing"))
-
-
 @query("t1_final_sort", f"{LEADERBOARD_SQL} SELECT player, row_number() OVER (ORDER BY g DESC, player) AS place FROM a")
 def t1(spark, sf_dir):
     return place(player_totals(spark, sf_dir), "xg", ["player"], "place").select("player", "place")
@@ -123,20 +116,6 @@ def t6(spark, sf_dir):
     return place(p, "v", ["player"], "place").select("player", "place")
 
 
-@query("m6_age_profile", f"{PAIR_SQL}, b AS (SELECT player, CASE WHEN player % 40 < 10 THEN 'young' WHEN player % 40 < 30 THEN 'prime' ELSE 'old' END AS class, x, y FROM z) SELECT player, round(CASE class WHEN 'young' THEN 0.6 * x + 0.4 * y WHEN 'prime' THEN 0.8 * x + 0.2 * y ELSE 0.9 * x + 0.1 * y END, 6) AS pro FROM b")
-def m6(spark, sf_dir):
-    """Weights by age class over the index and what modulates it."""
-    age = F.col("player") % 40
-    w = F.when(age < 10, 0.6).when(age < 30, 0.8).otherwise(0.9)
-    return pairs(spark, sf_dir).select("player", F.round(w * F.col("x") + (F.lit(1.0) - w) * F.col("y"), 6).alias("pro"))
-
-
-@query("m11_availability", f"WITH {FACTS_SQL}, q AS (SELECT player, season, min(rnd) AS first, count(DISTINCT rnd) AS played FROM f GROUP BY 1, 2) SELECT player, season, CAST(CASE WHEN first >= 2 THEN 12 - first + 1 ELSE 12 END AS INT) AS available, played FROM q")
-def m11(spark, sf_dir):
-    q = facts(spark, sf_dir).groupBy("player", "season").agg(F.min("rnd").alias("first"), F.countDistinct("rnd").alias("played"))
-    return q.select("player", "season", F.when(F.col("first") >= 2, 12 - F.col("first") + 1).otherwise(12).alias("available"), "played")
-
-
 @query("m24_role_quotas", f"{PAIR_SQL}, k AS (SELECT role, row_number() OVER (ORDER BY x * CASE role WHEN 'FWD' THEN 1 WHEN 'MID' THEN 0.85 WHEN 'DEF' THEN 0.55 ELSE 0.20 END DESC, player) AS k FROM z) SELECT role, count(*) AS n FROM k WHERE k <= 25 GROUP BY 1")
 def m24(spark, sf_dir):
     w = F.try_element_at(F.create_map(*[F.lit(v) for kv in R.RULES.role_weights.items() for v in kv]), F.col("role"))

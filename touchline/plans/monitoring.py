@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from touchline.operators import monitoring as M
 from touchline.operators import statistics as S
+from touchline.operators.cuts import shared_folder
 from touchline.operators.measures import mean, per90
 from touchline.streaming import monitor
 
@@ -19,10 +19,8 @@ from .statistics import PAIR_SQL, pairs
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors share: below the checkpoint folder, or a local one where none is set."""
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = found.get() if found.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="touchline-")
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    """A new folder among those that all executors share."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query("x_stream_daily_counts", "SELECT event_type AS stage, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failures, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")

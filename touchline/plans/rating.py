@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators import rating as R
-from touchline.operators.measures import argmax, boost, consistency, mean, per90, total, weighted_mean
+from touchline.operators.measures import argmax, consistency, mean, per90, total, weighted_mean
 from touchline.operators.windows import ewma, ewma_series, in_order, last_n, rank_average, robust_z, spearman
 
-from .binding import FACTS_SQL, PLAYERS_SQL, RUNS_SQL, facts, players, runs
+from .binding import FACTS_SQL, MATCHES_SQL, PLAYERS_SQL, RUNS_SQL, facts, matches, players, runs
 from .registry import query
 from .scans import LEADERBOARD_SQL, player_totals
 
@@ -19,6 +19,73 @@ SOS_SQL = "m AS (SELECT opp AS team, CAST(sum(xg) AS DOUBLE) / count(*) AS v FRO
 VALUE = "CAST(xg + xa AS DOUBLE) * 90 / mins"
 
 
+#: the whole index of one season, one table a step; ages, injuries and days out follow from the player's number
+SEASON_SQL = f"""{FACTS_SQL}, {MATCHES_SQL.replace("WHERE mins > 0", "WHERE mins > 0 AND season = 1997")},
+t AS (SELECT team, fixture, rnd, opp, venue, sum(xg) AS tx FROM m GROUP BY ALL),
+co AS (SELECT opp AS team, CAST(sum(tx) AS DOUBLE) / count(*) AS v FROM t GROUP BY 1),
+so AS (SELECT team, v / (SELECT round(avg(v), 12) FROM co) AS sos FROM co),
+st AS (SELECT team FROM (SELECT team, sum(goal) AS g FROM m GROUP BY 1) ORDER BY g DESC, team LIMIT 6),
+ti AS (SELECT team, row_number() OVER (ORDER BY sos, team) AS k FROM so QUALIFY k <= 7),
+tc AS (SELECT *, least(1 / sos, 10) AS w, least(1 / sos, 10) * CAST(tx AS DOUBLE) AS wx FROM (SELECT t.*, coalesce(so.sos, 1) AS sos, unnest(list_filter(['total', venue, CASE WHEN t.opp <> t.team AND t.opp IN (SELECT team FROM st) THEN 'vs_strong' END, CASE WHEN t.opp <> t.team AND a.k - CASE WHEN b.k < a.k THEN 1 ELSE 0 END <= 6 THEN 'vs_tight' END], lambda x: x IS NOT NULL)) AS ctx
+  FROM t LEFT JOIN so ON t.opp = so.team LEFT JOIN ti a ON a.team = t.opp LEFT JOIN ti b ON b.team = t.team)),
+tt AS (SELECT team, ctx, count(*) AS tn, sum(w) AS tw, sum(wx) AS twx FROM tc GROUP BY 1, 2),
+pc AS (SELECT player, m.team, role, tc.ctx, count(*) AS n, CAST(sum(mins) AS BIGINT) AS mins, CAST(sum(xg + xa) AS DOUBLE) AS own, CAST(sum(bu) AS DOUBLE) AS bu, CAST(sum(tc.tx) AS DOUBLE) AS tx, avg(tc.sos) AS sos, sum(tc.w) AS w, sum(tc.wx) AS wx,
+  CASE WHEN count(*) >= 6 THEN avg(CAST(xg + xa AS DOUBLE) * 90 / mins) / (avg(CAST(xg + xa AS DOUBLE) * 90 / mins) + stddev_samp(CAST(xg + xa AS DOUBLE) * 90 / mins)) END AS consistency
+  FROM m JOIN tc ON m.team = tc.team AND m.fixture = tc.fixture GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+wh AS (SELECT player, count(*) AS games, CAST(sum(mins) AS BIGINT) AS sm, min(rnd) >= 2 AS winter, min(rnd) AS first, count(DISTINCT rnd) AS played, (SELECT count(DISTINCT rnd) FROM m) AS rounds FROM m GROUP BY 1),
+pr AS (SELECT ctx, coalesce(sum(own) FILTER (WHERE role IN ('FWD', 'MID')) / nullif(sum(tx) FILTER (WHERE role IN ('FWD', 'MID')), 0), 0.15) AS prior FROM pc GROUP BY 1),
+d0 AS (SELECT player, role, ctx, n, mins, games, sm, winter, own / mins * 90 / sos AS output, bu / mins * 90 / sos AS buildup, consistency,
+  CASE WHEN tx > 0 THEN (own + prior * k) / (tx + k) * 100 END AS centrality,
+  CASE WHEN tn - n >= 6 AND wx > 0 AND twx - wx >= 1e-9 THEN exp(ln((wx / w) / ((twx - wx) / (tw - w))) * (tn - n) / (tn - n + 8.0)) END AS boost
+  FROM (SELECT *, 12 * CASE WHEN winter THEN 1.8 ELSE 1 END * least(games / CAST(n AS DOUBLE), 8) AS k FROM pc JOIN wh USING (player) JOIN tt USING (team, ctx) JOIN pr USING (ctx))),
+d AS (SELECT * REPLACE ((mins * output + kk * avg(output) OVER c) / (mins + kk) AS output, (mins * buildup + kk * avg(buildup) OVER c) / (mins + kk) AS buildup)
+  FROM (SELECT *, 600 * greatest(1, least(3, greatest(least(2.5, greatest(1, 75 / greatest(30, least(90, CAST(sm AS DOUBLE) / games)))), least(3, greatest(1, 30.0 / games))))) AS kk FROM d0) WINDOW c AS (PARTITION BY role, ctx)),
+l AS (UNPIVOT (SELECT player, role, ctx, output, buildup, centrality, boost, consistency FROM d) ON output, buildup, centrality, boost, consistency INTO NAME metric VALUE v),
+le AS (SELECT ctx, role, metric, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM l GROUP BY 1, 2, 3),
+ls AS (SELECT ctx, role, metric, count(*) AS n, avg(least(greatest(v, lo), hi)) AS mu, stddev_samp(least(greatest(v, lo), hi)) AS sd FROM l JOIN le USING (ctx, role, metric) GROUP BY 1, 2, 3),
+lz AS (SELECT player, role, ctx, metric, CASE WHEN n < 3 THEN NULL WHEN sd = 0 THEN 0 ELSE greatest(-3, least(3, (v - mu) / sd)) END AS z FROM (SELECT l.*, CASE WHEN own.n < 6 THEN al.n ELSE own.n END AS n, CASE WHEN own.n < 6 THEN al.mu ELSE own.mu END AS mu, CASE WHEN own.n < 6 THEN al.sd ELSE own.sd END AS sd
+  FROM l JOIN ls own USING (ctx, role, metric) LEFT JOIN ls al ON al.ctx = 'total' AND al.role = l.role AND al.metric = l.metric)),
+zz AS (SELECT d.player, d.role, d.ctx, max(z) FILTER (WHERE metric = 'output') AS output, max(z) FILTER (WHERE metric = 'buildup') AS buildup, max(z) FILTER (WHERE metric = 'centrality') AS centrality, max(z) FILTER (WHERE metric = 'boost') AS boost, max(z) FILTER (WHERE metric = 'consistency') AS consistency
+  FROM d LEFT JOIN lz USING (player, role, ctx) GROUP BY 1, 2, 3),
+sk AS (SELECT player, CASE WHEN sx > 0 THEN (g - sx) / sqrt(sx) END AS finishing, e AS form, CASE WHEN len(vs) >= 5 THEN e / list_avg(vs) - 1 END AS trend FROM (SELECT *, list_reduce(vs, lambda s, x: 0.3 * x + 0.7 * s) AS e FROM (SELECT player, CAST(sum(xg) AS DOUBLE) AS sx, sum(goal) AS g, list(CAST(xg + xa AS DOUBLE) * 90 / mins ORDER BY rnd, fixture) AS vs FROM m GROUP BY 1))),
+bo AS (SELECT s_suppkey AS player, CAST(16 + s_suppkey % 20 AS DOUBLE) AS age, s_suppkey % 5 AS injuries, s_suppkey % 7 * 10 AS days FROM supplier),
+w0 AS (SELECT d.player, d.role, wh.* EXCLUDE (player), CASE WHEN wh.winter THEN rounds - first + 1 ELSE rounds END AS available, finishing, form, trend, age, injuries, days FROM d JOIN wh USING (player) JOIN sk USING (player) LEFT JOIN bo USING (player) WHERE ctx = 'total'),
+w1 AS (SELECT *, CASE WHEN age BETWEEN 15 AND 45 THEN 0.55 * exp(-0.5 * pow((age - 23) / 3.5, 2)) + 0.25 * greatest(0, least(1, (23 - age) / 5)) + 0.20 * CASE WHEN age <= 27 THEN 1 ELSE greatest(0, 1 - (age - 27) * 0.06) END END AS age_index,
+  CASE WHEN available >= 8 THEN 0.5 * least(1, played / CAST(available AS DOUBLE)) + 0.3 * greatest(0, 1 - least(injuries, 6) * 0.15) + 0.2 * greatest(0, 1 - days / 90.0) END AS reliability FROM w0),
+ul AS (UNPIVOT (SELECT player, role, finishing, form, trend, age_index, reliability FROM w1) ON finishing, form, trend, age_index, reliability INTO NAME metric VALUE v),
+ue AS (SELECT role, metric, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM ul GROUP BY 1, 2),
+us AS (SELECT role, metric, count(*) AS n, avg(least(greatest(v, lo), hi)) AS mu, stddev_samp(least(greatest(v, lo), hi)) AS sd FROM ul JOIN ue USING (role, metric) GROUP BY 1, 2),
+uz AS (SELECT player, metric, CASE WHEN n < 3 THEN NULL WHEN sd = 0 THEN 0 ELSE greatest(-3, least(3, (v - mu) / sd)) END AS z FROM ul JOIN us USING (role, metric)),
+uw AS (SELECT player, max(z) FILTER (WHERE metric = 'finishing') AS finishing, max(z) FILTER (WHERE metric = 'form') AS form, max(z) FILTER (WHERE metric = 'trend') AS trend, max(z) FILTER (WHERE metric = 'age_index') AS age_index, max(z) FILTER (WHERE metric = 'reliability') AS reliability FROM uz GROUP BY 1),
+rw AS (SELECT *, (coalesce(output, 0) * 0.32 + coalesce(buildup, 0) * 0.10 + coalesce(centrality, 0) * 0.18 + coalesce(boost, 0) * 0.05 + coalesce(consistency, 0) * 0.07 + coalesce(finishing, 0) * 0.20 + coalesce(form, 0) * 0.11)
+  / nullif((output IS NOT NULL)::INT * 0.32::DOUBLE + (buildup IS NOT NULL)::INT * 0.10::DOUBLE + (centrality IS NOT NULL)::INT * 0.18::DOUBLE + (boost IS NOT NULL)::INT * 0.05::DOUBLE + (consistency IS NOT NULL)::INT * 0.07::DOUBLE + (finishing IS NOT NULL)::INT * 0.20::DOUBLE + (form IS NOT NULL)::INT * 0.11::DOUBLE, 0) AS raw FROM zz JOIN uw USING (player)),
+pe AS (SELECT *, CASE WHEN age <= 28 THEN raw END AS fit FROM (SELECT player, rw.role, raw, games, sm, played, available, age, round(pow(greatest(0, least(1, sm / p95)) * greatest(0.3, least(1, games / 30.0)) * greatest(0.4, least(1, CAST(sm AS DOUBLE) / games / 90)) * ((output IS NOT NULL)::INT + (buildup IS NOT NULL)::INT + (centrality IS NOT NULL)::INT + (boost IS NOT NULL)::INT + (consistency IS NOT NULL)::INT) / 5.0, 0.25), 3) AS confidence
+  FROM rw JOIN w1 USING (player) CROSS JOIN (SELECT quantile_cont(sm, 0.95) AS p95 FROM w1) WHERE ctx = 'total')),
+sb AS (SELECT player, -stddev_samp(raw) AS stability FROM rw GROUP BY 1),
+mo AS (SELECT pe.player, pe.role, stability, CASE WHEN fitted >= 8 AND age < 24 THEN raw - (b * age + c) END AS momentum FROM pe JOIN sb USING (player) CROSS JOIN (SELECT regr_slope(fit, age) AS b, regr_intercept(fit, age) AS c, count(fit) AS fitted FROM pe)),
+ml AS (UNPIVOT mo ON stability, momentum INTO NAME metric VALUE v),
+me AS (SELECT role, metric, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM ml GROUP BY 1, 2),
+ms AS (SELECT role, metric, count(*) AS n, avg(least(greatest(v, lo), hi)) AS mu, stddev_samp(least(greatest(v, lo), hi)) AS sd FROM ml JOIN me USING (role, metric) GROUP BY 1, 2),
+mz AS (SELECT player, max(z) FILTER (WHERE metric = 'stability') AS stability, max(z) FILTER (WHERE metric = 'momentum') AS momentum FROM (SELECT player, metric, CASE WHEN n < 3 THEN NULL WHEN sd = 0 THEN 0 ELSE greatest(-3, least(3, (v - mu) / sd)) END AS z FROM ml JOIN ms USING (role, metric)) GROUP BY 1),
+pw AS (SELECT * FROM (VALUES ('young', 0.55, 0.15, 0.05, 0.07, 0.05, 0.13), ('prime', 0.65, 0.10, 0.07, 0.07, 0.05, 0.06), ('veteran', 0.60, 0.04, 0.18, 0.08, 0.05, 0.05)) AS x(kind, a, b, c, d, e, f)),
+pp AS (SELECT rw.player, rw.role, rw.ctx, rw.raw, pe.games, pe.sm, confidence, played, available, stability, momentum,
+  (coalesce(rw.raw, 0) * a + coalesce(age_index, 0) * b + coalesce(reliability, 0) * c + coalesce(stability, 0) * d + coalesce(trend, 0) * e + coalesce(momentum, 0) * f)
+  / nullif(CAST((rw.raw IS NOT NULL)::INT * a + (age_index IS NOT NULL)::INT * b + (reliability IS NOT NULL)::INT * c + (stability IS NOT NULL)::INT * d + (trend IS NOT NULL)::INT * e + (momentum IS NOT NULL)::INT * f AS DOUBLE), 0) AS pro
+  FROM rw JOIN pe USING (player) LEFT JOIN mz USING (player) JOIN pw ON kind = CASE WHEN age < 23 THEN 'young' WHEN age >= 29 THEN 'veteran' ELSE 'prime' END),
+fw AS (SELECT *, (greatest(0.3, least(0.7, greatest(0, least(1, played / CAST(available AS DOUBLE))))) - 0.3) / 0.4 * 0.15 + 0.85 AS penalty, CASE role WHEN 'FWD' THEN 1 WHEN 'MID' THEN 0.85 WHEN 'DEF' THEN 0.55 ELSE 0.20 END AS rolew, avg(raw) OVER (PARTITION BY role, ctx) AS mraw, avg(pro) OVER (PARTITION BY role, ctx) AS mpro FROM pp),
+fx AS (SELECT *, round(round(rolew * (mraw + (0.35 + 0.65 * confidence) * (raw - mraw)), 4) * penalty, 4) AS i, round(round(rolew * (mpro + (0.35 + 0.65 * confidence) * (pro - mpro)), 4) * penalty, 4) AS p FROM fw)"""
+
+
+def season_matches(spark, sf_dir):
+    return matches(facts(spark, sf_dir).filter("season = 1997"))
+
+
+def bodies(spark, sf_dir):
+    """Ages, injuries and days out, which follow from the player's number."""
+    k = F.col("player")
+    return players(spark, sf_dir).select("player", (16 + k % 20).cast("double").alias("age"), (k % 5).alias("injuries"), (k % 7 * 10).alias("days"))
+
+
 def rate():
     return (F.col("xg") + F.col("xa")).cast("double") * 90 / F.col("mins")
 
@@ -52,13 +119,6 @@ def a5(spark, sf_dir):
     return joined.groupBy("player").agg(F.round(weighted_mean(rate(), F.least(1 / F.col("sos"), F.lit(10.0))), 5).alias("value"))
 
 
-@query("a6_boost", f"WITH {FACTS_SQL}, g AS (SELECT player, CAST(sum(xg) FILTER (WHERE venue = 'home') AS DOUBLE) / count(*) FILTER (WHERE venue = 'home') AS a, CAST(sum(xg) FILTER (WHERE venue = 'away') AS DOUBLE) / count(*) FILTER (WHERE venue = 'away') AS b, count(*) FILTER (WHERE venue = 'away') AS n FROM f WHERE season = 1997 GROUP BY 1) SELECT player, round(CASE WHEN n >= 6 AND a > 0 AND b > 0 THEN exp(ln(a / b) * n / (n + 8.0)) END, 6) AS boost FROM g")
-def a6(spark, sf_dir):
-    rows = facts(spark, sf_dir).filter("season = 1997")
-    home, away = (F.when(F.col("venue") == v, F.col("xg")) for v in ("home", "away"))
-    return rows.groupBy("player").agg(F.round(boost(mean(home), mean(away), F.count(away)), 6).alias("boost"))
-
-
 @query("a7_consistency", f"WITH {FACTS_SQL} SELECT player, season, round(CASE WHEN count(*) >= 6 THEN avg({VALUE}) / (avg({VALUE}) + stddev_samp({VALUE})) END, 6) AS consistency FROM f WHERE mins > 0 GROUP BY 1, 2")
 def a7(spark, sf_dir):
     return facts(spark, sf_dir).filter("mins > 0").groupBy("player", "season").agg(F.round(consistency(rate()), 6).alias("consistency"))
@@ -71,27 +131,6 @@ def a8(spark, sf_dir):
     return facts(spark, sf_dir).groupBy("player").agg(F.round(F.least(12 * 1.8 * (n / home), F.lit(12 * 1.8 * 8)), 6).alias("k"))
 
 
-@query("a10_contexts", f"""WITH {FACTS_SQL}, {SOS_SQL}, tight AS (SELECT team FROM s ORDER BY sos, team LIMIT 6), strong AS (SELECT team FROM (SELECT team, sum(goal) AS g FROM f GROUP BY 1) ORDER BY g DESC, team LIMIT 6),
- c AS (SELECT player, 'total' AS ctx, xg, xa, mins FROM f UNION ALL SELECT player, venue, xg, xa, mins FROM f UNION ALL SELECT player, 'vs_strong', xg, xa, mins FROM f WHERE opp IN (SELECT team FROM strong) AND opp <> team UNION ALL SELECT player, 'vs_tight', xg, xa, mins FROM f WHERE opp IN (SELECT team FROM tight) AND opp <> team)
- SELECT player, ctx, count(*) AS n, round(CAST(sum(xg + xa) AS DOUBLE) * 90 / CAST(sum(mins) AS DOUBLE), 6) AS output FROM c WHERE mins > 0 GROUP BY 1, 2 HAVING count(*) >= 4""")
-def a10(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    sos = R.strength_of_schedule(rows)
-    found = R.dimensions(R.contexts(rows, R.standings(rows).filter("place <= 6"), sos.orderBy("sos", "team").limit(6)), sos)
-    return found.select("player", "ctx", "n", F.round("output", 6).alias("output"))
-
-
-@query("a11_centrality", f"WITH {FACTS_SQL}, t AS (SELECT team, season, sum(xg) AS xg FROM f GROUP BY 1, 2), q AS (SELECT player, team, season, sum(xg + xa) AS v FROM f GROUP BY 1, 2, 3), pr AS (SELECT round(coalesce(sum(CASE WHEN role IN ('FWD', 'MID') THEN CAST(xg + xa AS DOUBLE) END) / CAST(sum(xg) AS DOUBLE), 0.15), 9) AS prior FROM f) SELECT player, season, round((CAST(q.v AS DOUBLE) + prior * 50) / (CAST(t.xg AS DOUBLE) + 50) * 100, 5) AS centrality FROM q JOIN t USING (team, season) CROSS JOIN pr")
-def a11(spark, sf_dir):
-    """Share of the team's output, drawn to the share of forwards and midfielders (a11, a12)."""
-    rows = facts(spark, sf_dir)
-    team = rows.groupBy("team", "season").agg(total("xg").alias("team_xg"))
-    own = rows.groupBy("player", "team", "season").agg(total(F.col("xg") + F.col("xa")).alias("v"))
-    front = F.when(F.col("role").isin("FWD", "MID"), (F.col("xg") + F.col("xa")).cast("double"))
-    prior = rows.agg(F.round(F.coalesce(F.try_divide(F.sum(front), total("xg")), F.lit(0.15)), 9).alias("prior"))
-    return own.join(team, ["team", "season"]).join(prior).select("player", "season", F.round((F.col("v") + F.col("prior") * 50) / (F.col("team_xg") + 50) * 100, 5).alias("centrality"))
-
-
 @query("a13_conversion", f"WITH {FACTS_SQL}, g AS (SELECT player, season, CAST(sum(goal) AS BIGINT) AS goals, CAST(sum(xg) AS DOUBLE) AS xg, CAST(sum(mins) AS DOUBLE) AS m FROM f GROUP BY 1, 2) SELECT player, season, round(CASE WHEN xg >= 0.5 THEN goals / xg END, 6) AS ratio, round(CASE WHEN xg > 0 THEN (goals - xg) / sqrt(xg) END, 6) AS finishing, round(goals * 90 / m, 6) AS goals90 FROM g")
 def a13(spark, sf_dir):
     g = facts(spark, sf_dir).groupBy("player", "season").agg(F.sum("goal").alias("goals"), total("xg").alias("xg"), total("mins").alias("m"))
@@ -109,13 +148,6 @@ def a14(spark, sf_dir):
     return rows.groupBy("player").agg(F.max("c").alias("c"), F.round(ratio(~early) - ratio(early), 6).alias("trend")).filter("c >= 8").drop("c")
 
 
-@query("a15_kpi", f"WITH {FACTS_SQL}, {SOS_SQL} SELECT player, round(CAST(sum(xa) AS DOUBLE) * 90 / sum(mins), 6) AS xa90, round(avg(sos), 6) AS sos, round(CAST(sum(xg) FILTER (WHERE venue = 'home') AS DOUBLE) / count(*) FILTER (WHERE venue = 'home'), 6) AS home_xg FROM f LEFT JOIN s ON f.opp = s.team GROUP BY 1")
-def a15(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    joined = rows.join(R.strength_of_schedule(rows).withColumnRenamed("team", "opp"), "opp", "left")
-    return joined.groupBy("player").agg(F.round(per90("xa", "mins"), 6).alias("xa90"), F.round(F.avg("sos"), 6).alias("sos"), F.round(mean(F.when(F.col("venue") == "home", F.col("xg"))), 6).alias("home_xg"))
-
-
 @query("a16_count_distinct", f"WITH {FACTS_SQL} SELECT player, count(DISTINCT fixture) AS games, count(DISTINCT season * 100 + rnd) AS rounds FROM f GROUP BY 1")
 def a16(spark, sf_dir):
     return facts(spark, sf_dir).groupBy("player").agg(F.countDistinct("fixture").alias("games"), F.countDistinct(F.col("season") * 100 + F.col("rnd")).alias("rounds"))
@@ -241,12 +273,6 @@ def w6(spark, sf_dir):
     return rows.select("player", F.round(ewma(F.col("v")), 6).alias("ewma"), F.size("v").cast("long").alias("n"))
 
 
-@query("w6_ewma_series", f"WITH RECURSIVE {FACTS_SQL}, q AS (SELECT player, {VALUE} AS x, row_number() OVER (PARTITION BY player ORDER BY {ORDER}) AS k FROM f WHERE season = 1996 AND rnd = 1 AND mins > 0), e AS (SELECT player, k, x AS s FROM q WHERE k = 1 UNION ALL SELECT q.player, q.k, 0.3 * q.x + 0.7 * e.s FROM q JOIN e ON q.player = e.player AND q.k = e.k + 1) SELECT player, CAST(k - 1 AS INT) AS pos, round(s, 4) AS ewma FROM e")
-def w6s(spark, sf_dir):
-    rows = facts(spark, sf_dir).filter("season = 1996 and rnd = 1 and mins > 0").groupBy("player").agg(in_order(rate(), *KEYS).alias("v"))
-    return rows.select("player", F.posexplode(ewma_series(F.col("v"))).alias("pos", "s")).select("player", "pos", F.round("s", 4).alias("ewma"))
-
-
 @query("w7_form_trend", f"WITH {FACTS_SQL}, q AS (SELECT player, list({VALUE} ORDER BY {ORDER}) AS v FROM f WHERE season = 1996 AND mins > 0 GROUP BY 1) SELECT player, round(CASE WHEN len(v) >= 5 THEN list_reduce(v, lambda s, x: 0.3 * x + 0.7 * s) / list_avg(v) - 1 END, 6) AS trend FROM q")
 def w7(spark, sf_dir):
     return R.form(facts(spark, sf_dir).filter("season = 1996"), list(KEYS)).select("player", F.round("trend", 6).alias("trend"))
@@ -279,12 +305,6 @@ def w11(spark, sf_dir):
     return t.select("player", F.round(F.col("xg") - F.avg("xg").over(Window.partitionBy("role")), 3).alias("above"))
 
 
-@query("w12_context_stability", f"WITH {FACTS_SQL}, q AS (SELECT player, season, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS v FROM f GROUP BY 1, 2) SELECT player, round(-stddev_samp(v), 6) AS stability FROM q GROUP BY 1")
-def w12(spark, sf_dir):
-    q = facts(spark, sf_dir).groupBy("player", "season").agg(per90("xg", "mins").alias("v"))
-    return q.groupBy("player").agg(F.round(-F.stddev_samp("v"), 6).alias("stability"))
-
-
 @query("w13_first_appearance", f"WITH {FACTS_SQL} SELECT player, season, min(rnd) AS first_rnd, min(ship) AS first_ship FROM f WHERE mins > 0 GROUP BY 1, 2")
 def w13(spark, sf_dir):
     return facts(spark, sf_dir).filter("mins > 0").groupBy("player", "season").agg(F.min("rnd").alias("first_rnd"), F.min("ship").alias("first_ship"))
@@ -328,16 +348,6 @@ def w18(spark, sf_dir):
     return last_against_rest(runs(spark, sf_dir).withColumn("duration", F.col("duration").cast("double")), "stage", ["started", "run"], "duration").select("stage", F.round("z", 5).alias("z"))
 
 
-@query("w19_trend_axis", f"WITH {FACTS_SQL}, a AS (SELECT rnd, CAST(sum(xg) AS DOUBLE) / count(*) AS home FROM f WHERE venue = 'home' AND rnd <= 9 GROUP BY 1), b AS (SELECT rnd, CAST(sum(xg) AS DOUBLE) / count(*) AS away FROM f WHERE venue = 'away' AND rnd >= 4 GROUP BY 1) SELECT coalesce(a.rnd, b.rnd) AS rnd, round(home, 6) AS home, round(away, 6) AS away FROM a FULL JOIN b ON a.rnd = b.rnd")
-def w19(spark, sf_dir):
-    from touchline.operators.joins import full_outer_all
-
-    rows = facts(spark, sf_dir)
-    a = rows.filter("venue = 'home' and rnd <= 9").groupBy("rnd").agg(F.round(mean("xg"), 6).alias("home"))
-    b = rows.filter("venue = 'away' and rnd >= 4").groupBy("rnd").agg(F.round(mean("xg"), 6).alias("away"))
-    return full_outer_all([a, b], ["rnd"])
-
-
 @query("w20_percentile", f"SELECT player, round((count(*) OVER () - rank) * 100.0 / count(*) OVER (), 6) AS pct FROM (SELECT player, floor(rank() OVER (ORDER BY v DESC NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) AS rank FROM {RANKED_SQL})")
 def w20(spark, sf_dir):
     rows = _ranked(spark, sf_dir)
@@ -406,7 +416,78 @@ def m10(spark, sf_dir):
     return player_totals(spark, sf_dir).select("player", F.round(R.reliability(F.col("games") - 3, F.col("games"), F.col("player") % 9, F.col("player") % 120), 6).alias("pri"))
 
 
-@query("rating_season")
+
+
+def _dims(*names):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+@query("a6_boost", f"WITH {SEASON_SQL} SELECT player, ctx, round(boost, 6) AS boost FROM d0")
+def a6(spark, sf_dir):
+    """What the team makes with a player against without, drawn to 1 by the number of games without."""
+    return R.context_dimensions(season_matches(spark, sf_dir)).select("player", "ctx", *_dims("boost"))
+
+
+@query("a10_contexts", f"""WITH {FACTS_SQL}, {SOS_SQL}, tight AS (SELECT team, row_number() OVER (ORDER BY sos, team) AS k FROM s QUALIFY k <= 7), strong AS (SELECT team FROM (SELECT team, sum(goal) AS g FROM f GROUP BY 1) ORDER BY g DESC, team LIMIT 6),
+ c AS (SELECT player, 'total' AS ctx, xg, xa, mins FROM f UNION ALL SELECT player, venue, xg, xa, mins FROM f UNION ALL SELECT player, 'vs_strong', xg, xa, mins FROM f WHERE opp IN (SELECT team FROM strong) AND opp <> team
+ UNION ALL SELECT player, 'vs_tight', xg, xa, mins FROM f WHERE opp <> team AND opp IN (SELECT b.team FROM tight b WHERE b.team <> f.team AND (SELECT count(*) FROM tight o WHERE o.k <= b.k AND o.team <> f.team) <= 6))
+ SELECT player, ctx, count(*) AS n, round(CAST(sum(xg + xa) AS DOUBLE) * 90 / CAST(sum(mins) AS DOUBLE), 6) AS output FROM c WHERE mins > 0 GROUP BY 1, 2 HAVING count(*) >= 4""")
+def a10(spark, sf_dir):
+    """Every player faces six tight teams, those of a tight team too."""
+    rows = facts(spark, sf_dir)
+    sos = R.strength_of_schedule(rows)
+    found = R.dimensions(R.contexts(rows, R.standings(rows).filter("place <= 6"), R.tight_ranks(sos, 6)), sos)
+    return found.select("player", "ctx", "n", F.round("output", 6).alias("output"))
+
+
+@query("a11_centrality", f"WITH {SEASON_SQL} SELECT player, ctx, round(centrality, 6) AS centrality FROM d0")
+def a11(spark, sf_dir):
+    """Share of the team's output, drawn to that of forwards and midfielders in the same context (a11, a12)."""
+    return R.context_dimensions(season_matches(spark, sf_dir)).select("player", "ctx", *_dims("centrality"))
+
+
+@query("a9_dimensions", f"WITH {SEASON_SQL} SELECT player, ctx, n, mins, round(output, 6) AS output, round(buildup, 6) AS buildup, round(centrality, 6) AS centrality, round(boost, 6) AS boost, round(consistency, 6) AS consistency FROM d0")
+def a9(spark, sf_dir):
+    return R.context_dimensions(season_matches(spark, sf_dir)).select("player", "ctx", "n", "mins", *_dims(*R.DIMENSIONS))
+
+
+@query("a15_kpi", f"WITH {SEASON_SQL}, o AS (SELECT player, team, CAST(sum(xa) AS DOUBLE) * 90 / CAST(sum(mins) AS DOUBLE) AS xa90, avg(tc.sos) AS sos, count(*) AS n, CAST(sum(tx) AS DOUBLE) AS x FROM m JOIN tc USING (team, fixture) WHERE ctx = 'total' GROUP BY 1, 2), a AS (SELECT team, count(*) AS n, CAST(sum(tx) AS DOUBLE) AS x FROM t GROUP BY 1) SELECT player, round(xa90, 6) AS xa90, round(sos, 6) AS sos, round(o.x / o.n, 6) AS team_with, round((a.x - o.x) / nullif(a.n - o.n, 0), 6) AS team_without FROM o JOIN a USING (team)")
+def a15(spark, sf_dir):
+    return R.key_figures(season_matches(spark, sf_dir)).select("player", *_dims("xa90", "sos", "team_with", "team_without"))
+
+
+@query("w12_context_stability", f"WITH {SEASON_SQL} SELECT player, round(stability, 6) AS stability FROM sb")
+def w12(spark, sf_dir):
+    """How little the five contexts' scores differ, from the scores before any weight of the role."""
+    return R.context_spread(season_matches(spark, sf_dir)).select("player", *_dims("stability"))
+
+
+@query("w19_trend_axis", f"WITH {SEASON_SQL}, wk AS (SELECT team, row_number() OVER (ORDER BY sos DESC, team) AS k FROM so QUALIFY k <= 7), own AS (SELECT player, m.team, m.fixture, m.rnd, CAST(tx AS DOUBLE) AS x, m.opp <> m.team AND a.k - CASE WHEN b.k < a.k THEN 1 ELSE 0 END <= 6 AS tight, m.opp <> m.team AND c.k - CASE WHEN e.k < c.k THEN 1 ELSE 0 END <= 6 AS weak FROM m JOIN t USING (team, fixture) LEFT JOIN ti a ON a.team = m.opp LEFT JOIN ti b ON b.team = m.team LEFT JOIN wk c ON c.team = m.opp LEFT JOIN wk e ON e.team = m.team), y AS (SELECT player, rnd, avg(x) AS team_with, avg(x) FILTER (WHERE tight) AS tight, avg(x) FILTER (WHERE weak) AS weak FROM own GROUP BY 1, 2), z AS (SELECT p.player, t.rnd, avg(CAST(tx AS DOUBLE)) AS team_without FROM (SELECT DISTINCT player, team FROM m) p JOIN t USING (team) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.player = p.player AND m.fixture = t.fixture) GROUP BY 1, 2) SELECT coalesce(y.player, z.player) AS player, coalesce(y.rnd, z.rnd) AS rnd, round(team_with + 3.7e-11, 6) AS team_with, round(tight + 3.7e-11, 6) AS tight, round(weak + 3.7e-11, 6) AS weak, round(team_without + 3.7e-11, 6) AS team_without FROM y FULL JOIN z ON y.player = z.player AND y.rnd = z.rnd")
+def w19(spark, sf_dir):
+    """The team's output by round with a player, against tight and weak teams, and without the player."""
+    return R.team_trend(season_matches(spark, sf_dir)).select("player", "rnd", *[F.round(F.col(c) + 3.7e-11, 6).alias(c) for c in ("team_with", "tight", "weak", "team_without")])
+
+
+@query("w6_ewma_series", f"WITH RECURSIVE {FACTS_SQL}, q AS (SELECT player, {VALUE} AS x, row_number() OVER (PARTITION BY player ORDER BY {ORDER}) AS k FROM f WHERE season = 1996 AND mins > 0), e AS (SELECT player, k, x AS s FROM q WHERE k = 1 UNION ALL SELECT q.player, q.k, 0.3 * q.x + 0.7 * e.s FROM q JOIN e ON q.player = e.player AND q.k = e.k + 1) SELECT player, k - 1 AS pos, round(s, 4) AS ewma FROM e")
+def w6s(spark, sf_dir):
+    rows = facts(spark, sf_dir).filter("season = 1996 and mins > 0").withColumn("value", rate())
+    return ewma_series(rows, ["player"], list(KEYS), "value", "ewma").select("player", F.col("pos").cast("long").alias("pos"), F.round("ewma", 4).alias("ewma"))
+
+
+@query("rating_season", f"WITH {SEASON_SQL}, g AS (SELECT player, role, any_value(games) AS n, any_value(sm) AS mins, any_value(confidence) AS confidence, max(i) FILTER (WHERE ctx = 'total') AS index, max(i) FILTER (WHERE ctx = 'home') AS index_home, max(i) FILTER (WHERE ctx = 'away') AS index_away, max(i) FILTER (WHERE ctx = 'vs_strong') AS index_vs_strong, max(i) FILTER (WHERE ctx = 'vs_tight') AS index_vs_tight, max(p) FILTER (WHERE ctx = 'total') AS pro FROM fx GROUP BY 1, 2) SELECT *, CAST(floor(rank() OVER (ORDER BY index DESC NULLS LAST) + (count(*) OVER (PARTITION BY index) - 1) / 2.0) AS BIGINT) AS rank, CAST(floor(rank() OVER (ORDER BY pro DESC NULLS LAST) + (count(*) OVER (PARTITION BY pro) - 1) / 2.0) AS BIGINT) AS pro_rank FROM g")
 def season(spark, sf_dir):
-    """The whole index of one season; its parts are checked one by one."""
-    return R.season_index(facts(spark, sf_dir).filter("season = 1997"))
+    """The whole index of one season: seven dimensions in five contexts, and the index with its modulators."""
+    return R.season_index(season_matches(spark, sf_dir), bodies(spark, sf_dir))
+
+
+@query("m6_age_profile", f"WITH {SEASON_SQL} SELECT player, ctx, p AS pro FROM fx")
+def m6(spark, sf_dir):
+    """The index and five modulators by weights of the age, in each context."""
+    return R.scored(season_matches(spark, sf_dir), bodies(spark, sf_dir)).select("player", "ctx", F.col("pro_").alias("pro"))
+
+
+@query("m11_availability", f"WITH {SEASON_SQL} SELECT player, CAST(available AS BIGINT) AS available, played, injuries, days, round(age_index, 6) AS age_index, round(reliability, 6) AS reliability FROM w1")
+def m11(spark, sf_dir):
+    """Rounds a player could have played (from the first one for those who came in winter), with age and injuries."""
+    found = R.prepared(season_matches(spark, sf_dir), bodies(spark, sf_dir))
+    return found.select("player", F.col("available").cast("long").alias("available"), "played", "injuries", "days", *_dims("age_index", "reliability"))

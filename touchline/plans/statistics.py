@@ -377,13 +377,12 @@ def d27_all(spark, sf_dir):
     return r.filter("stage = 'error'").join(kids, F.col("run") == F.col("parent"), "left").groupBy("run").agg(F.count("child").alias("children"))
 
 
-@query("d28_lineage_closure", "WITH RECURSIVE c AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT event_id FROM events JOIN c ON event_id // 10 = c.node WHERE event_id <> event_id // 10) SELECT node FROM c")
+@query("d28_lineage_closure", "WITH RECURSIVE e AS (SELECT event_id // 10 AS a, event_id AS b FROM events UNION SELECT event_id, event_id // 7 FROM events WHERE event_id % 3 = 0), c AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT e.b FROM e JOIN c ON e.a = c.node) SELECT node FROM c")
 def d28(spark, sf_dir):
-    """Descendants of run 7, where run r comes from run r / 10."""
-    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).cast("long").alias("a"), F.col("event_id").alias("b")).filter("a <> b")
-    e.createOrReplaceTempView("edges")
-    spark.createDataFrame([(7,)], "node long").createOrReplaceTempView("start")
-    return spark.sql(P.closure_sql())
+    """All that follows from run 7, where run r comes from run r / 10 and every third run leads back to run r / 7: a graph with cycles and diamonds."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("b"))
+    edges = e.select(F.floor(F.col("b") / 10).cast("long").alias("a"), "b").union(e.filter("b % 3 = 0").select("b", F.floor(F.col("b") / 7).cast("long"))).distinct()
+    return P.closure(edges, spark.createDataFrame([(7,)], "node long"))
 
 
 @query("d29_lineage_edges", "SELECT DISTINCT event_type AS a, 'user ' || user_id AS b FROM events UNION SELECT 'user ' || user_id, 'day ' || day(ts) FROM events")
