@@ -113,10 +113,33 @@ def test_upsert_and_reconcile(spark):
     assert sorted(one(J.reconcile(left, right, "o", "i"))) == [(1, 1, 1, 1), (2, 1, 0, 0)]
 
 
-def test_homonym_repair_needs_all_three_signs(spark):
-    source = spark.createDataFrame([(1, 10, 90), (2, 11, 45)], "player int, fixture int, mins int")
-    facts = spark.createDataFrame([(1, 10, 90), (2, 11, 45), (1, 11, 45), (1, 12, 30)], "player int, fixture int, mins int")
-    assert sorted(one(Q.remove_homonym_rows(facts, source))) == [(1, 10, 90), (1, 12, 30), (2, 11, 45)]
+def test_homonym_repair_needs_all_signs(spark):
+    source = spark.createDataFrame([(1, 10, 90), (2, 11, 45), (2, 13, 20), (4, 12, 30)], "player int, fixture int, mins int")
+    schema = "player int, fixture int, mins int, goals int, xg double, xa double"
+    true = [(1, 10, 90, 1, 0.5, 0.1), (2, 11, 45, 0, 0.2, 0.0), (2, 13, 20, 0, 0.1, 0.1), (4, 12, 30, 1, 0.3, 0.0)]
+    kept, refused = Q.remove_homonym_rows(spark.createDataFrame([*true, (1, 11, 45, 0, 0.2, 0.0)], schema), source)
+    assert sorted(one(kept)) == sorted(true) and one(refused) == []
+    # equal minutes alone are not enough: goals differ
+    other = [*true, (1, 11, 45, 2, 0.2, 0.0)]
+    kept, refused = Q.remove_homonym_rows(spark.createDataFrame(other, schema), source)
+    assert sorted(one(kept)) == sorted(other)
+    # one row is explained and one is not: the player is left alone
+    mixed = [*true, (1, 11, 45, 0, 0.2, 0.0), (1, 14, 12, 0, 0.0, 0.0)]
+    kept, refused = Q.remove_homonym_rows(spark.createDataFrame(mixed, schema), source)
+    assert sorted(one(kept)) == sorted(mixed) and one(refused) == [(1, 1)]
+
+
+def test_import_only_where_it_comes_out_exactly(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 10), (2, 99), (3, 10)], "player int, fixture int")
+    source = spark.createDataFrame([(1, 10, 1, 0.5), (1, 11, 1, 0.9), (2, 10, 0, 0.0), (2, 11, 0, 0.1), (3, 10, 0, 0.1), (3, 55, 0, 0.2), (4, 10, 0, 0.1)], "player int, fixture int, goals int, xg double")
+    penalties = spark.createDataFrame([(1, 11, 2, 0.76)], "player int, fixture int, pen_goals int, pen_xg double")
+    calendar = spark.createDataFrame([(10,), (11,)], "fixture int")
+    names = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "c")], "player int, name string")
+    added, refused = Q.import_missing(rows, source, names, penalties, calendar)
+    assert one(added) == [(1, 11, 1, 0.9, 0, 0.14)]  # player 4 has no games here, so its name is not split
+    assert sorted(one(refused)) == [(2, "more games than the source"), (3, "outside the calendar")]
+    split = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c")], "player int, name string")
+    assert one(Q.import_missing(rows, source, split, penalties, calendar)[0]) == []
 
 
 def test_orphan_repair_only_where_the_rest_fits(spark):

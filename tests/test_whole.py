@@ -26,9 +26,9 @@ def brute_trios(pool):
 
 
 BEST = {
-    "q1_best_trio_all": (lambda t: t[2] <= 12, lambda t: (-t[1], t[0]), lambda t: (*t[0], float(t[1]), float(t[2]))),
-    "q2_cheapest_trio_all": (lambda t: True, lambda t: (t[2], t[0]), lambda t: (*t[0], float(t[2]))),
-    "q3_target_trio_all": (lambda t: t[1] >= 29, lambda t: (t[2], t[0]), lambda t: (*t[0], float(t[2]))),
+    "q1_best_trio": (lambda t: t[2] <= 12, lambda t: (-t[1], t[0]), lambda t: (*t[0], float(t[1]), float(t[2]))),
+    "q2_cheapest_trio": (lambda t: True, lambda t: (t[2], t[0]), lambda t: (*t[0], float(t[2]))),
+    "q3_target_trio": (lambda t: t[1] >= 29, lambda t: (t[2], t[0]), lambda t: (*t[0], float(t[2]))),
 }
 
 
@@ -74,13 +74,13 @@ def test_trio_may_use_up_the_budget(spark):
 @needs_tables
 def test_every_event_is_cleaned(spark):
     events = {r[0]: None if r[0] % 3 == 0 else r[1] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect()}
-    assert {r["run"]: r["value"] for r in QUERIES["f18_finite_all"](spark, SF).collect()} == events
+    assert {r["run"]: r["value"] for r in QUERIES["f18_finite"](spark, SF).collect()} == events
 
 
 @needs_tables
 def test_every_event_is_rounded_by_its_exact_value(spark):
     events = {r[0]: round(r[1] / 8, 3) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value").collect()}
-    assert {r["run"]: r["v"] for r in QUERIES["m33_rounding_all"](spark, SF).collect()} == events
+    assert {r["run"]: r["v"] for r in QUERIES["m33_rounding"](spark, SF).collect()} == events
 
 
 def test_rounding_of_ties_signs_and_nulls(spark):
@@ -96,7 +96,7 @@ def test_every_error_has_its_reads(spark):
     rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type").collect()
     ids = {r[0] for r in rows}
     want = {r[0]: sum(10 * r[0] + k in ids and 10 * r[0] + k != r[0] for k in range(10)) for r in rows if r[1] == "error"}
-    assert {r["run"]: r["children"] for r in QUERIES["d27_lineage_reads_all"](spark, SF).collect()} == want
+    assert {r["run"]: r["children"] for r in QUERIES["d27_lineage_reads"](spark, SF).collect()} == want
 
 
 @needs_tables
@@ -104,7 +104,7 @@ def test_health_counts_the_most_severe(spark):
     loss = {}
     for owner, value in spark.read.parquet(f"{SF}/events.parquet").filter("event_type = 'error'").select("user_id", "value").collect():
         loss[owner] = loss.get(owner, 0) + (20 if value > 150 else 5 if value > 140 else 0)
-    got = {r["owner"]: r["score"] for r in QUERIES["m34_health_all"](spark, SF).collect()}
+    got = {r["owner"]: r["score"] for r in QUERIES["m34_health"](spark, SF).collect()}
     assert got == {k: max(0, 100 - v) for k, v in loss.items()}
     assert len(set(got.values())) > 2
 
@@ -114,7 +114,7 @@ def test_source_ids_of_every_order(spark):
     n = {}
     for (key,) in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect():
         n[key // 3] = n.get(key // 3, 0) + 1
-    assert {r["source_id"]: r["n"] for r in QUERIES["d12_source_ids_all"](spark, SF).collect()} == {k: v for k, v in n.items() if v > 2}
+    assert {r["source_id"]: r["n"] for r in QUERIES["d12_source_ids"](spark, SF).collect()} == {k: v for k, v in n.items() if v > 2}
 
 
 def latin(s):
@@ -133,7 +133,7 @@ def unicode(s):
     return " ".join(kept.lower().split())
 
 
-FOLDS = {"f2_unicode_fold_all": unicode, "f4_latin_fold_all": latin}
+FOLDS = {"f2_unicode_fold": unicode, "f4_latin_fold": latin}
 
 
 @pytest.mark.parametrize("name", sorted(FOLDS))
@@ -168,7 +168,7 @@ def test_bursts_and_stale_stages_are_reported(spark, tmp_path):
     events = [(k, ts, 1, kind, 5.0, '{"k": 1}') for k, (ts, kind) in enumerate(rows)]
     spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     z = (errors[-1] - mean(errors[:-1])) / pstdev(errors[:-1])
-    got = sorted(tuple(r) for r in QUERIES["d25_anomalies_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["d25_anomalies"](spark, str(tmp_path)).collect())
     assert got == [("failures", "all", "critical", round(z, 5)), ("missing", "nothing", "critical", 0.0), ("missing", "signup", "warn", 10.0), ("stale", "view", "critical", 120.0)]
 
 
@@ -209,7 +209,7 @@ def test_suite_counts_every_check(spark):
         want["transfer", "info"] += sum(by_season[a][1] != by_season[b][1] for a, b in zip(order, order[1:], strict=False))
     for s in range(min(clubs) + 1, max(clubs) + 1):
         want["club", "info"] += len(clubs[s] ^ clubs[s - 1])
-    got = {(r["check"], r["severity"]): r["n"] for r in QUERIES["d22_suite_all"](spark, SF).collect()}
+    got = {(r["check"], r["severity"]): r["n"] for r in QUERIES["d22_suite"](spark, SF).collect()}
     assert {k: v for k, v in got.items() if k[0] != "jump"} == {k: v for k, v in want.items() if v}
     assert set(k[0] for k in got) > {"transfer", "jump"}
 
@@ -219,12 +219,12 @@ def test_every_event_has_its_place(spark):
     rank = {"error": 0, "purchase": 1}
     rows = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "event_type", "value").collect()
     want = sorted(rows, key=lambda r: (rank.get(r[1], 2), -r[2], r[0]))
-    assert {r["run"]: r["place"] for r in QUERIES["t7_severity_sort_all"](spark, SF).collect()} == {r[0]: k for k, r in enumerate(want, 1)}
+    assert {r["run"]: r["place"] for r in QUERIES["t7_severity_sort"](spark, SF).collect()} == {r[0]: k for k, r in enumerate(want, 1)}
 
 
 @needs_tables
 def test_every_player_is_in_the_roster(spark):
-    rows = QUERIES["s8_roster_all"](spark, SF).collect()
+    rows = QUERIES["s8_roster"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/supplier.parquet").count()
     want = sorted(rows, key=lambda r: (r["team"], r["role"], r["mins"] is None, -(r["mins"] or 0), r["player"]))
     assert [r["place"] for r in want] == list(range(1, len(rows) + 1))

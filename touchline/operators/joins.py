@@ -111,3 +111,8 @@ def top_overlap(rows: DataFrame, key: str, a: str, b: str, n: int) -> DataFrame:
 
 def full_outer_all(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, keys, "full"), frames)
+
+
+def one_season(records: DataFrame, file: str, season: str, declared) -> DataFrame:
+    """(file, seasons, usable): how many seasons a file's records are of, and whether all are of the declared one."""
+    return records.groupBy(F.col(file).alias("file")).agg(F.countDistinct(season).alias("seasons"), F.coalesce(F.bool_and(F.col(season).eqNullSafe(F.lit(declared))), F.lit(False)).alias("usable"))

@@ -50,20 +50,55 @@ def aggregate_mismatch(registry: DataFrame, facts: DataFrame, key: str, stated:
     return joined.filter(F.abs(F.col(stated) - F.col("summed")) > tolerance).select(key, stated, "summed")
 
 
-def remove_homonym_rows(facts: DataFrame, source: DataFrame, keys: tuple[str, str, str] = ("player", "fixture", "mins")) -> DataFrame:
-    """facts without the rows that the source credits to somebody else.
+def remove_homonym_rows(facts: DataFrame, source: DataFrame, key: tuple[str, str] = ("player", "fixture"), mins: str = "mins", same: tuple[str, ...] = ("mins", "goals", "xg", "xa")) -> tuple[DataFrame, DataFrame]:
+    """facts without rows that are somebody else's, and the players (player, unexplained) that are left as they were.
 
-    A row goes if the source does not credit its player in that fixture at those
-    minutes, credits another player at the same minutes, and that player has the
-    same row here.
+    A row is somebody else's if the source does not credit its player in that
+    fixture at those minutes, credits another one there at the same minutes, and
+    that other player's row here is equal in all of `same`. A player is repaired
+    only if then every row that stays is one that the source confirms.
     """
-    player, fixture, mins = keys
-    credit = source.select(player, fixture, mins).distinct()
-    loose = facts.join(credit, [player, fixture, mins], "left_anti")
-    other = credit.select(F.col(player).alias("_other"), fixture, mins)
-    twin = facts.select(F.col(player).alias("_other"), fixture, mins)
-    wrong = loose.join(other, [fixture, mins]).filter(F.col("_other") != F.col(player)).join(twin, ["_other", fixture, mins], "left_semi").select(player, fixture, mins).distinct()
-    return facts.join(wrong, [player, fixture, mins], "left_anti")
+    player, fixture = key
+    credit = source.select(player, fixture, F.col(mins).alias("_m")).distinct()
+    match = [facts[k] == credit[k] for k in key]
+    loose = facts.join(credit, [*match, facts[mins] == credit["_m"]], "left_anti")
+    other = credit.select(F.col(player).alias("_other"), F.col(fixture).alias("_f"), "_m")
+    twin = facts.select(F.col(player).alias("_other"), F.col(fixture).alias("_f"), *[F.col(c).alias(f"_t_{c}") for c in same])
+    twin = other.join(twin, ["_other", "_f"])
+    alike = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in same]
+    theirs = loose.join(twin, [F.col(fixture) == F.col("_f"), F.col(mins) == F.col("_m"), F.col(player) != F.col("_other"), *alike], "left_semi")
+    wrong = theirs.select(player, fixture, mins).distinct()
+    unexplained = loose.join(wrong, [player, fixture, mins], "left_anti").groupBy(player).agg(F.count("*").alias("unexplained"))
+    refused = unexplained.join(wrong.select(player).distinct(), player, "left_semi")
+    accepted = wrong.join(refused, player, "left_anti")
+    return facts.join(accepted, [player, fixture, mins], "left_anti"), refused
+
+
+def import_missing(rows: DataFrame, source: DataFrame, names: DataFrame, penalties: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to add so that players have all their games of the source, and (player, reason) of those that are left alone.
+
+    rows: (player, fixture); source: (player, fixture, goals, xg); names:
+    (player, name); penalties: (player, fixture, pen_goals, pen_xg); calendar:
+    (fixture). Nothing at all is added while two players of one name have games
+    (they have to be merged first). A player without games here or in the source
+    stays as it is; one with a missing game outside the calendar, or with a game
+    that the source does not have, is left alone. Goals and expected goals
+    without penalties are not below zero.
+    """
+    have = rows.select("player", "fixture").distinct()
+    given = source.select("player", "fixture").distinct()
+    active = have.select("player").distinct()
+    split = names.join(active, "player", "left_semi").groupBy("name").agg(F.countDistinct("player").alias("n")).filter("n > 1")
+    blocked = split.agg((F.count("*") > 0).alias("_blocked"))
+    known = active.join(given.select("player").distinct(), "player", "left_semi")
+    missing = given.join(known, "player", "left_semi").join(have, ["player", "fixture"], "left_anti")
+    lost = missing.join(calendar.select("fixture"), "fixture", "left_anti").groupBy("player").agg(F.lit("outside the calendar").alias("reason"))
+    beyond = have.join(known, "player", "left_semi").join(given, ["player", "fixture"], "left_anti").select("player").distinct().select("player", F.lit("more games than the source").alias("reason"))
+    refused = lost.union(beyond).groupBy("player").agg(F.min("reason").alias("reason"))
+    added = missing.join(refused, "player", "left_anti").join(source, ["player", "fixture"]).join(penalties, ["player", "fixture"], "left").join(blocked).filter("not _blocked")
+    npg = F.greatest(F.lit(0), F.col("goals") - F.coalesce("pen_goals", F.lit(0)))
+    npxg = F.round(F.greatest(F.lit(0.0), F.col("xg") - F.coalesce("pen_xg", F.lit(0.0))), 3)
+    return added.select("player", "fixture", "goals", "xg", npg.alias("npg"), npxg.alias("npxg")), refused
 
 
 def remove_orphan_games(rows: DataFrame, source: DataFrame, owner: str, item: str) -> DataFrame:

@@ -50,15 +50,7 @@ def s6(spark, sf_dir):
     return facts(spark, sf_dir).groupBy("player", "team", "opp", "season", "rnd", "venue").agg(F.count("*").alias("n"), F.sum("goal").alias("goals"), total("xg").alias("xg"))
 
 
-@query("s8_roster", f"{LEADERBOARD_SQL} SELECT p.player, team, role, CAST(m AS BIGINT) AS mins, row_number() OVER (ORDER BY team, role, m DESC NULLS LAST, p.player) AS place FROM p LEFT JOIN a ON p.player = a.player WHERE p.player % 7 <> 0 OR m > 15000")
-def s8(spark, sf_dir):
-    t = player_totals(spark, sf_dir).select("player", "mins")
-    rows = players(spark, sf_dir).join(t, "player", "left").filter("player % 7 <> 0 or mins > 15000")
-    order = Window.partitionBy(F.lit(1)).orderBy("team", "role", F.col("mins").desc_nulls_last(), "player")
-    return rows.select("player", "team", "role", "mins", F.row_number().over(order).cast("long").alias("place"))
-
-
-@query("s8_roster_all", f"{LEADERBOARD_SQL} SELECT p.player, team, role, CAST(m AS BIGINT) AS mins, row_number() OVER (ORDER BY team, role, m DESC NULLS LAST, p.player) AS place FROM p LEFT JOIN a ON p.player = a.player")
+@query("s8_roster", f"{LEADERBOARD_SQL} SELECT p.player, team, role, CAST(m AS BIGINT) AS mins, row_number() OVER (ORDER BY team, role, m DESC NULLS LAST, p.player) AS place FROM p LEFT JOIN a ON p.player = a.player")
 def s8_all(spark, sf_dir):
     """Places of all players: those in their team and role, after the sizes of the teams and roles before."""
     rows = players(spark, sf_dir).join(player_totals(spark, sf_dir).select("player", "mins"), "player", "left")
@@ -193,9 +185,11 @@ def p15(spark, sf_dir):
     return players(spark, sf_dir).groupBy(label.alias("class"), "role").agg(F.count("*").alias("n"))
 
 
-@query("p17_season_consistency", f"WITH {FIXTURES_SQL} SELECT count(DISTINCT season) AS seasons, min(season) = max(season) AS consistent FROM x WHERE season = 1998")
+@query("p17_season_consistency", "SELECT event_type AS file, count(DISTINCT 1997 + (user_id % 2) * CAST(event_type = 'error' AS INT)) AS seasons, bool_and(1997 + (user_id % 2) * CAST(event_type = 'error' AS INT) = 1997) AS usable FROM events GROUP BY 1")
 def p17(spark, sf_dir):
-    return fixtures(spark, sf_dir).filter("season = 1998").agg(F.countDistinct("season").alias("seasons"), (F.min("season") == F.max("season")).alias("consistent"))
+    """Files may be used for a season only if all their records are of it; one of them mixes two."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), (1997 + F.col("user_id") % 2 * (F.col("event_type") == "error").cast("int")).alias("season"))
+    return J.one_season(e, "file", "season", 1997)
 
 
 @query("j3_opponent_self_join", "WITH t AS (SELECT l_orderkey AS fixture, s_nationkey AS team, sum(l_quantity::DECIMAL(18,2)) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) SELECT a.team, count(*) AS n, round(CAST(sum(b.q) AS DOUBLE) / count(*), 6) AS faced FROM t a JOIN t b ON a.fixture = b.fixture AND a.team <> b.team GROUP BY a.team")
@@ -323,14 +317,7 @@ def t5(spark, sf_dir):
     return flagship(spark, sf_dir).select("player", "score")
 
 
-@query("t7_severity_sort", "SELECT event_id AS run, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, value DESC, event_id) AS place FROM events WHERE value > 200")
-def t7(spark, sf_dir):
-    rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
-    order = Window.partitionBy(F.lit(1)).orderBy(rank, F.col("value").desc(), "event_id")
-    return table(spark, sf_dir, "events").filter("value > 200").select(F.col("event_id").alias("run"), F.row_number().over(order).cast("long").alias("place"))
-
-
-@query("t7_severity_sort_all", "SELECT event_id AS run, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, value DESC NULLS LAST, event_id) AS place FROM events")
+@query("t7_severity_sort", "SELECT event_id AS run, row_number() OVER (ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, value DESC NULLS LAST, event_id) AS place FROM events")
 def t7_all(spark, sf_dir):
     """Places of all events, each severity spread by value, after the sizes of those above it."""
     rank = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)

@@ -114,13 +114,7 @@ def m32(spark, sf_dir):
     return every.join(one, "player").select("player", F.round(F.col("b") - F.col("a"), 6).alias("above"))
 
 
-@query("m34_health", "WITH c AS (SELECT CASE WHEN event_type = 'error' AND value > 150 THEN 20 WHEN event_type = 'error' AND value > 140 THEN 5 ELSE 0 END AS d FROM events WHERE event_type = 'error' AND value BETWEEN 147 AND 155) SELECT CAST(greatest(0, least(100, 100 - coalesce(sum(d), 0))) AS BIGINT) AS score FROM c")
-def m34(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'error' and value between 147 and 155")
-    return Q.health(e.select(F.when(F.col("value") > 150, "critical").otherwise("high").alias("severity")), {"critical": 20, "high": 5})
-
-
-@query("m34_health_all", "SELECT user_id AS owner, CAST(greatest(0, least(100, 100 - sum(CASE WHEN value > 150 THEN 20 WHEN value > 140 THEN 5 ELSE 0 END))) AS BIGINT) AS score FROM events WHERE event_type = 'error' GROUP BY 1")
+@query("m34_health", "SELECT user_id AS owner, CAST(greatest(0, least(100, 100 - sum(CASE WHEN value > 150 THEN 20 WHEN value > 140 THEN 5 ELSE 0 END))) AS BIGINT) AS score FROM events WHERE event_type = 'error' GROUP BY 1")
 def m34_all(spark, sf_dir):
     """All errors, scored by owner: one score of the whole table would sit at its floor."""
     e = table(spark, sf_dir, "events").filter("event_type = 'error'")
@@ -128,27 +122,13 @@ def m34_all(spark, sf_dir):
     return Q.health(e.select(F.col("user_id").alias("owner"), severity.alias("severity")), {"critical": 20, "high": 5}, ("owner",))
 
 
-NAMES_SQL = "SELECT doc_id, substr(text, 1, 60) AS name FROM documents"
-
-
 @query("f2_unicode_fold")
-def f2(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.fold_unicode(F.substring("text", 1, 60)).alias("name"))
-
-
-@query("f4_latin_fold", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(regexp_extract(text, '^[A-Za-zÀ-ÿ '' .-]+')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[''.]', '', 'g'), '[-\\s]+', ' ', 'g')) AS name FROM documents WHERE lang IN ('en', 'fr', 'es') AND text IS NOT NULL")
-def f4(spark, sf_dir):
-    first = F.regexp_extract("text", "^[A-Za-zÀ-ÿ ' .-]+", 0)
-    return table(spark, sf_dir, "documents").filter("lang in ('en', 'fr', 'es') and text is not null").select("doc_id", T.fold_latin(first).alias("name"))
-
-
-@query("f2_unicode_fold_all")
 def f2_all(spark, sf_dir):
     """The whole text of every document."""
     return table(spark, sf_dir, "documents").select("doc_id", T.fold_unicode("text").alias("name"))
 
 
-@query("f4_latin_fold_all")
+@query("f4_latin_fold", "SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[''.]', '', 'g'), '[-\\s]+', ' ', 'g')) AS name FROM documents")
 def f4_all(spark, sf_dir):
     """The whole text of every document of any language or none; a null text stays null."""
     return table(spark, sf_dir, "documents").select("doc_id", T.fold_latin(F.col("text")).alias("name"))
@@ -215,12 +195,7 @@ def f17(spark, sf_dir):
     return Q.resolve_entities(asked, registry, F.lower)
 
 
-@query("f18_finite", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id < 500")
-def f18(spark, sf_dir):
-    return f18_all(spark, sf_dir).filter("run < 500")
-
-
-@query("f18_finite_all", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events")
+@query("f18_finite", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events")
 def f18_all(spark, sf_dir):
     from touchline.sources.sinks import clean
 
@@ -280,13 +255,31 @@ def d13(spark, sf_dir):
     return Q.out_of_range(t, {"xg90": ("x", 9, 9.8), "xa90": ("y", 7, 7.8)})
 
 
-@query("d17_homonym_repair", """WITH t AS (SELECT DISTINCT l_suppkey AS player, l_orderkey AS fixture, CAST(l_quantity AS INT) AS mins FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY fixture, mins ORDER BY player) AS k FROM t),
- facts AS (SELECT player, fixture, mins FROM r UNION SELECT player + 1000, fixture, mins FROM r WHERE k = 1 AND fixture % 5 = 0) SELECT player % 1000 AS player, count(*) AS n FROM facts WHERE player < 1000 GROUP BY 1""")
+HOMONYM_SQL = """t AS (SELECT l_suppkey AS player, l_orderkey AS fixture, CAST(sum(l_quantity) AS BIGINT) AS mins, count(*) FILTER (WHERE l_returnflag = 'R') AS goals, CAST(sum(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) AS xg, CAST(sum(CAST(l_tax AS DECIMAL(9,2))) AS DOUBLE) AS xa FROM lineitem GROUP BY 1, 2),
+ pl AS (SELECT player + 1000 AS player, fixture, mins, goals, CASE WHEN fixture % 35 = 0 THEN xg + 1 ELSE xg END AS xg, xa FROM t WHERE fixture % 5 = 0), fa AS (SELECT * FROM t UNION ALL SELECT * FROM pl),
+ lo AS (SELECT * FROM fa WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.player = fa.player AND t.fixture = fa.fixture AND t.mins = fa.mins)),
+ wr AS (SELECT *, EXISTS (SELECT 1 FROM t b WHERE b.fixture = lo.fixture AND b.mins = lo.mins AND b.player <> lo.player AND b.goals = lo.goals AND b.xg = lo.xg AND b.xa = lo.xa) AS wrong FROM lo),
+ re AS (SELECT player, count(*) FILTER (WHERE NOT wrong) AS unexplained FROM wr GROUP BY 1 HAVING bool_or(wrong) AND count(*) FILTER (WHERE NOT wrong) > 0)"""
+
+
+def homonyms(spark, sf_dir):
+    """A source and facts with planted rows: those of a true row's namesake, and every seventh of them with another xg."""
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture")).agg(
+        F.sum("l_quantity").cast("long").alias("mins"), F.count_if(F.col("l_returnflag") == "R").alias("goals"), total(F.col("l_discount").cast("decimal(9,2)")).alias("xg"), total(F.col("l_tax").cast("decimal(9,2)")).alias("xa"))
+    planted = t.filter("fixture % 5 = 0").withColumn("player", F.col("player") + 1000).withColumn("xg", F.when(F.col("fixture") % 35 == 0, F.col("xg") + 1).otherwise(F.col("xg")))
+    return t.union(planted), t
+
+
+@query("d17_homonym_repair", f"WITH {HOMONYM_SQL} SELECT player, count(*) AS n FROM fa WHERE NOT EXISTS (SELECT 1 FROM wr WHERE wr.player = fa.player AND wr.fixture = fa.fixture AND wrong AND wr.player NOT IN (SELECT player FROM re)) GROUP BY 1")
 def d17(spark, sf_dir):
-    """Planted rows of somebody else are taken out; the true ones stay."""
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture"), F.col("l_quantity").cast("int").alias("mins")).distinct()
-    planted = t.withColumn("k", F.row_number().over(Window.partitionBy("fixture", "mins").orderBy("player"))).filter("k = 1 and fixture % 5 = 0").select((F.col("player") + 1000).alias("player"), "fixture", "mins")
-    return Q.remove_homonym_rows(t.union(planted), t).groupBy((F.col("player") % 1000).alias("player")).agg(F.count("*").alias("n"))
+    """Rows of somebody else go where source, twin and all four figures say so, and nothing unexplained is left."""
+    kept, _ = Q.remove_homonym_rows(*homonyms(spark, sf_dir))
+    return kept.groupBy("player").agg(F.count("*").alias("n"))
+
+
+@query("d17_refused", f"WITH {HOMONYM_SQL} SELECT player, unexplained FROM re")
+def d17_refused(spark, sf_dir):
+    return Q.remove_homonym_rows(*homonyms(spark, sf_dir))[1]
 
 
 @query("d18_orphan_repair", "SELECT l_suppkey AS player, count(DISTINCT l_orderkey) + CASE WHEN l_suppkey % 10 = 3 THEN 1 ELSE 0 END AS n FROM lineitem GROUP BY 1")
@@ -307,12 +300,37 @@ def d19(spark, sf_dir):
     return Q.merge_split(split, names, lines.join(p.select(F.col("player").alias("id"), "name"), "id").select("name", "game"))
 
 
-@query("d20_import_missing", "SELECT l_suppkey AS player, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
+IMPORT_SQL = """so AS (SELECT l_suppkey AS player, l_orderkey AS fixture, count(*) FILTER (WHERE l_returnflag = 'R') AS goals, CAST(sum(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) AS xg FROM lineitem GROUP BY 1, 2),
+ pe AS (SELECT l_suppkey AS player, l_orderkey AS fixture, count(*) FILTER (WHERE l_returnflag = 'R') AS pg, CAST(sum(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) AS px FROM lineitem WHERE l_linenumber = 1 AND l_linestatus = 'O' GROUP BY 1, 2),
+ ha AS (SELECT player, fixture FROM so WHERE fixture % 6 <> 0 AND player % 11 <> 3 UNION SELECT player, -player FROM so WHERE player % 9 = 2),
+ kn AS (SELECT DISTINCT player FROM ha), mi AS (SELECT so.* FROM so JOIN kn USING (player) WHERE NOT EXISTS (SELECT 1 FROM ha WHERE ha.player = so.player AND ha.fixture = so.fixture)),
+ re AS (SELECT player, min(reason) AS reason FROM (SELECT player, 'outside the calendar' AS reason FROM mi WHERE fixture % 1000 = 0 UNION ALL SELECT player, 'more games than the source' FROM ha WHERE fixture < 0) GROUP BY 1)"""
+
+
+def imports(spark, sf_dir, twice=False):
+    """Rows here, the source, names, penalties and a calendar: some games miss, some players have one too many, some fixtures are unknown."""
+    lines = table(spark, sf_dir, "lineitem")
+    key = [F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture")]
+    source = lines.groupBy(*key).agg(F.count_if(F.col("l_returnflag") == "R").alias("goals"), total(F.col("l_discount").cast("decimal(9,2)")).alias("xg"))
+    penalties = lines.filter("l_linenumber = 1 and l_linestatus = 'O'").groupBy(*key).agg(F.count_if(F.col("l_returnflag") == "R").alias("pen_goals"), total(F.col("l_discount").cast("decimal(9,2)")).alias("pen_xg"))
+    have = source.filter("fixture % 6 <> 0 and player % 11 <> 3").select("player", "fixture").union(source.filter("player % 9 = 2").select("player", -F.col("player"))).distinct()
+    names = players(spark, sf_dir).select("player", F.when(F.lit(twice) & (F.col("player") < 3), "one name").otherwise(F.col("name")).alias("name"))
+    calendar = table(spark, sf_dir, "orders").filter("o_orderkey % 1000 <> 0").select(F.col("o_orderkey").alias("fixture"))
+    return have, source, names, penalties, calendar
+
+
+@query("d20_import_missing", f"WITH {IMPORT_SQL} SELECT mi.player, mi.fixture, mi.goals, mi.xg, greatest(0, mi.goals - coalesce(pg, 0)) AS npg, round(greatest(0, mi.xg - coalesce(px, 0)), 3) AS npxg FROM mi LEFT JOIN pe ON pe.player = mi.player AND pe.fixture = mi.fixture WHERE mi.player NOT IN (SELECT player FROM re)")
 def d20(spark, sf_dir):
-    full = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("fixture")).distinct()
-    have = full.filter("fixture % 6 <> 0")
-    missing = full.join(have, ["player", "fixture"], "left_anti")
-    return have.unionByName(missing).groupBy("player").agg(F.count("*").alias("n"))
+    return Q.import_missing(*imports(spark, sf_dir))[0]
+
+
+@query("d20_refused", f"WITH {IMPORT_SQL} SELECT player, reason FROM re UNION ALL SELECT -1, 'rows added while a name is split: ' || 0")
+def d20_refused(spark, sf_dir):
+    """Who is left alone and why; and nothing is added while one name has two players with games."""
+    added, _ = Q.import_missing(*imports(spark, sf_dir, twice=True))
+    _, refused = Q.import_missing(*imports(spark, sf_dir))
+    blocked = added.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("player"), F.concat(F.lit("rows added while a name is split: "), F.col("n")).alias("reason"))
+    return refused.union(blocked)
 
 
 MERGE_SQL = "m AS (SELECT p_partkey AS part, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS a, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 1.2 ELSE p_retailprice * 1.05 END AS b FROM part)"
@@ -365,12 +383,7 @@ def d25(spark, sf_dir):
     return P.last_against_rest(d, "all", ["day"], "n").select(F.round("z", 6).alias("z"))
 
 
-@query("d27_lineage_reads", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' AND a.run < 300 GROUP BY 1")
-def d27(spark, sf_dir):
-    return d27_all(spark, sf_dir).filter("run < 300")
-
-
-@query("d27_lineage_reads_all", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' GROUP BY 1")
+@query("d27_lineage_reads", f"WITH {RUNS_SQL} SELECT a.run, count(b.run) AS children FROM r a LEFT JOIN r b ON b.run // 10 = a.run AND b.run <> a.run WHERE a.stage = 'error' GROUP BY 1")
 def d27_all(spark, sf_dir):
     r = runs(spark, sf_dir).select("run", "stage")
     kids = r.select(F.floor(F.col("run") / 10).cast("long").alias("parent"), F.col("run").alias("child")).filter("parent <> child")
@@ -455,12 +468,7 @@ def vp(spark, sf_dir):
     return q.groupBy("player").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.min("v"), 6).alias("min_v"), F.count("*").alias("n")).filter("n >= 3")
 
 
-POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90 / m, 4) AS score, CAST(balance / 1000 AS DECIMAL(9,2)) AS cost FROM p JOIN a ON p.player = a.player WHERE balance > 0 AND p.player < 60), t AS (SELECT a.id AS a, b.id AS b, d.id AS c, CAST(CAST(a.score AS DECIMAL(9,4)) + CAST(b.score AS DECIMAL(9,4)) + CAST(d.score AS DECIMAL(9,4)) AS DOUBLE) AS score, CAST(a.cost + b.cost + d.cost AS DOUBLE) AS cost FROM c a JOIN c b ON a.id < b.id JOIN c d ON b.id < d.id WHERE NOT (a.role = b.role AND b.role = d.role))"
-
-
-def pool(spark, sf_dir):
-    """The subset of POOL_SQL, on which the triple join is compared with SQL."""
-    return whole_pool(spark, sf_dir).filter("id < 60")
+POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90 / m, 4) AS score, CAST(balance / 1000 AS DECIMAL(9,2)) AS cost FROM p JOIN a ON p.player = a.player WHERE balance > 0), t AS (SELECT a.id AS a, b.id AS b, d.id AS c, CAST(CAST(a.score AS DECIMAL(9,4)) + CAST(b.score AS DECIMAL(9,4)) + CAST(d.score AS DECIMAL(9,4)) AS DOUBLE) AS score, CAST(a.cost + b.cost + d.cost AS DOUBLE) AS cost FROM c a JOIN c b ON a.id < b.id JOIN c d ON b.id < d.id WHERE NOT (a.role = b.role AND b.role = d.role))"
 
 
 def whole_pool(spark, sf_dir):
@@ -469,37 +477,20 @@ def whole_pool(spark, sf_dir):
 
 
 @query("q1_best_trio", f"{POOL_SQL} SELECT a, b, c, score, cost FROM t WHERE cost <= 12 ORDER BY score DESC, a, b, c LIMIT 1")
-def q1(spark, sf_dir):
-    """The best three within a budget and of two roles at least (also j15)."""
-    t = V.trios(pool(spark, sf_dir), budget=12)
-    return V.pick(t, [F.col("score").desc(), "a", "b", "c"]).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
-
-
-@query("q2_cheapest_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
-def q2(spark, sf_dir):
-    return V.pick(V.trios(pool(spark, sf_dir)), ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
-
-
-@query("q3_target_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t WHERE score >= 29 ORDER BY cost, a, b, c LIMIT 1")
-def q3(spark, sf_dir):
-    return V.pick(V.trios(pool(spark, sf_dir)).filter("score >= 29"), ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
-
-
-@query("q1_best_trio_all")
 def q1_all(spark, sf_dir):
-    """q1 over the whole registry; its SQL would join all players three times."""
+    """The best three of the whole registry within a budget and of two roles at least (also j15); dominated players go before the joins."""
     order = [F.col("score").desc(), F.col("id")]
     t = V.trios(V.undominated(whole_pool(spark, sf_dir), order, -F.col("cost")), budget=12)
     return V.pick(t, [F.col("score").desc(), "a", "b", "c"]).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
 
 
-@query("q2_cheapest_trio_all")
+@query("q2_cheapest_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
 def q2_all(spark, sf_dir):
     t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.lit(0)))
     return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
-@query("q3_target_trio_all")
+@query("q3_target_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t WHERE score >= 29 ORDER BY cost, a, b, c LIMIT 1")
 def q3_all(spark, sf_dir):
     t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.col("score"))).filter("score >= 29")
     return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
