@@ -204,20 +204,62 @@ def test_trios_respect_budget_and_roles(spark):
     assert (best.a, best.b, best.c, best.score) == (2, 3, 4, 18.0)
 
 
-def test_bootstrap_brackets_and_repeats(spark):
-    rows = [(float(i), float(i) + (i * 37 % 11), i % 10) for i in range(40)]
-    df = spark.createDataFrame(rows, "x double, y double, c int")
-    a, b = S.bootstrap_correlation(df, "x", "y", 200).first(), S.bootstrap_correlation(df.repartition(3), "x", "y", 200).first()
-    assert a.low < a.estimate < a.high and a.draws == 200
-    assert (a.low, a.high) == pytest.approx((b.low, b.high))
-    c = S.bootstrap_correlation(df, "x", "y", 200, cluster="c").first()
-    assert c.low < c.estimate < c.high
-
-
-def test_permutation_p(spark):
-    df = spark.createDataFrame([(float(i), float(i) * 2) for i in range(12)], "x double, y double")
-    row = S.permutation(df, "x", "y", 100).first()
-    assert row.observed == pytest.approx(1.0) and row.p <= 0.05
+def equal_draw(*parts):
+    import hashlib
+
+    return int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:12], 16) / (1 << 48)
+
+
+def pearson(w, x, y):
+    n, sx, sy = sum(w), sum(a * b for a, b in zip(w, x)), sum(a * b for a, b in zip(w, y))
+    sxx, syy, sxy = (sum(a * b * c for a, b, c in zip(w, p, q)) for p, q in ((x, x), (y, y), (x, y)))
+    return (n * sxy - sx * sy) / math.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+
+
+def quantile(values, q):
+    v = sorted(values)
+    at = q * (len(v) - 1)
+    low = int(at)
+    return v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * (at - low)
+
+
+def test_bootstrap_against_equal_draws(spark):
+    rows = [(i, float(i), float(i) + (i * 37 % 11), i % 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, x double, y double, c int")
+    for key, column in (("k", 0), ("c", 3)):
+        got = S.bootstrap_correlation(df.repartition(3), "x", "y", key, 60).first()
+        draws = [pearson([sum(equal_draw(42, d, r[column]) >= e for e in S.POISSON) for r in rows], [r[1] for r in rows], [r[2] for r in rows]) for d in range(1, 61)]
+        assert (got.n, got.draws) == (40, 60) and got.low < got.estimate < got.high
+        assert (got.low, got.high) == pytest.approx((quantile(draws, 0.025), quantile(draws, 0.975)))
+    few = S.bootstrap_correlation(df.limit(4), "x", "y", "k", 20).first()
+    assert (few.n, few.low, few.high) == (4, None, None)
+
+
+def test_permutation_against_equal_draws(spark):
+    rows = [(i, i * 7 % 12 + 0.1 * i * i, (i * i % 13) * 0.37 + i ** 0.5) for i in range(12)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    got = S.permutation(df, "x", "y", "k", 30).first()
+    null = []
+    for d in range(1, 31):
+        x = [r[1] for r in sorted(rows, key=lambda r: (equal_draw(42, "x", d, r[0]), r[0]))]
+        y = [r[2] for r in sorted(rows, key=lambda r: (equal_draw(42, "y", d, r[0]), r[0]))]
+        null.append(pearson([1] * 12, x, y))
+    seen = pearson([1] * 12, [r[1] for r in rows], [r[2] for r in rows])
+    assert got.observed == pytest.approx(seen) and got.null_mean == pytest.approx(sum(null) / 30) and got.p == pytest.approx((sum(abs(r) >= abs(seen) for r in null) + 1) / 31)
+    assert S.permutation(df.limit(7), "x", "y", "k", 5).first().p is None
+
+
+def test_kendall_counts_pairs_without_making_them(spark):
+    rng = [((i * 7919) % 23, (i * 104729) % 17, i) for i in range(60)]
+    df = spark.createDataFrame([(i, float(a), float(b)) for a, b, i in rng], "k int, x double, y double")
+    s = nx = ny = 0
+    for i in range(60):
+        for j in range(i):
+            a, b = rng[i][0] - rng[j][0], rng[i][1] - rng[j][1]
+            s += (a > 0) * (b > 0) + (a < 0) * (b < 0) - (a * b < 0)
+            nx, ny = nx + (a != 0), ny + (b != 0)
+    got = S.kendall(df, "x", "y", "k").first()
+    assert (got.n, got.tau) == (60, pytest.approx(s / math.sqrt(nx * ny)))
 
 
 def test_poisson_weights_have_mean_one(spark):

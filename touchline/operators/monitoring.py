@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .platform import last_against_rest, set_changes, severity, trust
 from .quality import orphans, report
-from .windows import spearman
+from .windows import place, rank_average
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class DiffLimits:
     large_share: tuple[float, float] = (0.05, 0.10)
     mean: tuple[float, float] = (0.05, 0.10)
     sd: tuple[float, float] = (0.08, 0.15)
+    p95: tuple[float, float] = (0.08, 0.15)
+    top: tuple[float, float] = (0.03, 0.05)
     common: float = 0.90
 
 
@@ -30,27 +33,31 @@ def regression_diff(old: DataFrame, new: DataFrame, key: str, value: str, limits
     """One row that compares two tables of (key, value) and a verdict: SAFE, WARNING or CRITICAL."""
     lim = limits or DiffLimits()
     a, b = old.select(key, F.col(value).alias("x")), new.select(key, F.col(value).alias("y"))
-    both = a.join(b, key, "full").withColumn("_all", F.lit(0))
+    both = a.join(b, key, "full")
     pairs = both.filter("x is not null and y is not null")
-    rho = spearman(pairs, "x", "y", ["_all"]).select(F.col("rho"))
-    one = Window.partitionBy("_all")
-    places = pairs.withColumn("_i", F.row_number().over(one.orderBy(F.col("x").desc(), key))).withColumn("_j", F.row_number().over(one.orderBy(F.col("y").desc(), key)))
+    ranked = rank_average(rank_average(pairs, "x", [], "_u", floor=False), "y", [], "_v", floor=False)
+    placed = place(place(ranked, "x", [key], "_i"), "y", [key], "_j")
     shift = lambda f: F.abs(f("y") - f("x")) / F.nullif(F.abs(f("x")), F.lit(0.0))
-    facts = places.agg(
+    delta = F.abs(F.col("y") - F.col("x"))
+    facts = placed.agg(
+        F.corr("_u", "_v").alias("rho"),
         F.count_if((F.col("_i") <= 10) & (F.col("_j") <= 10)).alias("top10"),
         F.count_if((F.col("_i") <= 20) & (F.col("_j") <= 20)).alias("top20"),
-        F.avg((F.abs(F.col("y") - F.col("x")) >= lim.large).cast("double")).alias("large_share"),
+        F.avg((delta >= lim.large).cast("double")).alias("large_share"),
+        F.coalesce(F.max(F.when(F.col("_i") == 1, delta)), F.lit(0.0)).alias("top_delta"),
         F.coalesce(shift(F.avg), F.lit(0.0)).alias("mean_shift"),
         F.coalesce(shift(F.stddev_pop), F.lit(0.0)).alias("sd_shift"),
+        F.coalesce(shift(lambda c: F.percentile(c, F.lit(0.95))), F.lit(0.0)).alias("p95_shift"),
         F.count("*").alias("n"),
     )
     share = both.agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.greatest(F.count("x"), F.count("y"))).alias("common"))
-    row = facts.join(rho).join(share)
-    small = F.least(F.lit(1.0), F.col("n") / 20.0)  # short tables have shorter top lists
+    row = facts.join(share)
+    short = lambda k: F.least(F.lit(1.0), F.col("n") / float(k))  # noqa: E731  short tables have shorter top lists
 
     def beyond(k: int):
-        low = (F.col("rho") < lim.rho[k]) | (F.col("top10") < lim.top10[k] * F.least(F.lit(1.0), F.col("n") / 10.0)) | (F.col("top20") < lim.top20[k] * small)
-        return low | (F.col("large_share") > lim.large_share[k]) | (F.col("mean_shift") > lim.mean[k]) | (F.col("sd_shift") > lim.sd[k])
+        low = (F.col("rho") < lim.rho[k]) | (F.col("top10") < lim.top10[k] * short(10)) | (F.col("top20") < lim.top20[k] * short(20))
+        high = [F.col(c) > getattr(lim, f)[k] for c, f in (("large_share", "large_share"), ("top_delta", "top"), ("mean_shift", "mean"), ("sd_shift", "sd"), ("p95_shift", "p95"))]
+        return reduce(lambda x, y: x | y, high, low)
 
     return row.withColumn("verdict", F.when(beyond(1) | (F.col("common") < lim.common), "CRITICAL").when(beyond(0), "WARNING").otherwise("SAFE"))
 

@@ -285,7 +285,7 @@ def season_index(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) ->
         F.first("games").alias("n"), F.first("season_mins").alias("mins"), F.first("confidence").alias("confidence"),
         *[pick("raw_", x).alias("index" if x == "total" else f"index_{x}") for x in ("total", "home", "away", "vs_strong", "vs_tight")], pick("pro_", "total").alias("pro"),
     )
-    return rank_average(rank_average(cut(wide), "index", [], "rank"), "pro", [], "pro_rank")
+    return rank_average(rank_average(wide, "index", [], "rank"), "pro", [], "pro_rank")
 
 
 def stability(rows: DataFrame) -> DataFrame:

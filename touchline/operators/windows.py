@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def spread_by_value(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
     """df with `_bucket`, larger values in lower buckets and nulls in the last, and `_above`, the rows in lower buckets.
 
     Approximate quantiles part the values, so an order over the whole table needs
     no single partition: equal values share a bucket, and places inside buckets
-    and the sizes of those above make up the place.
+    and the sizes of those above make up the place. df is read three times, so
+    it is written once.
     """
+    df = cut(df)
     edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000).alias("_edges"))
     place = F.when(F.col(value).isNull(), buckets + 1).otherwise(F.size(F.filter("_edges", lambda e: e > F.col(value))))
     rows = df.join(edges).withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_edges")
@@ -38,6 +42,13 @@ def rank_average(df: DataFrame, value: str, by: list[str], out: str, floor: bool
     return df.withColumn(out, F.floor(rank) if floor else rank)
 
 
+def rank_min(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Descending competition rank in the whole table, nulls last as one tie."""
+    order = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last())
+    spread = spread_by_value(df, value)
+    return spread.withColumn(out, (F.col("_above") + F.rank().over(order)).cast("long")).drop("_bucket", "_above")
+
+
 def place(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     """Ordinal place in the whole table by descending value, of equals by the keys, nulls last."""
     order = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last(), *keys)

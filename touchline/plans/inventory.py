@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import text as T
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
+from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90, round_exact, total
 from touchline.operators.windows import place, spearman, top_n
 from touchline.sources import providers, sinks
@@ -15,7 +16,8 @@ from touchline.sources import providers, sinks
 from .binding import FACTS_SQL, FIXTURES_SQL, RUNS_SQL, facts, fixtures, players, runs, table
 from .registry import query
 from .scans import LEADERBOARD_SQL, player_totals
-from .statistics import PAIR_SQL, pairs
+from .monitoring import moved_sql
+from .statistics import PAIR_SQL, pairs, rounded, uniform_sql
 
 TEAM_SQL = f"{FACTS_SQL}, g AS (SELECT team, fixture, season, rnd, CAST(sum(goal) AS BIGINT) AS goals FROM f GROUP BY ALL)"
 
@@ -125,11 +127,12 @@ def t6(spark, sf_dir):
     return place(p, "v", ["player"], "place").select("player", "place")
 
 
-@query("m24_role_quotas", f"{PAIR_SQL}, k AS (SELECT role, row_number() OVER (ORDER BY x * CASE role WHEN 'FWD' THEN 1 WHEN 'MID' THEN 0.85 WHEN 'DEF' THEN 0.55 ELSE 0.20 END DESC, player) AS k FROM z) SELECT role, count(*) AS n FROM k WHERE k <= 25 GROUP BY 1")
+@query("m24_role_quotas", f"{PAIR_SQL}, rw AS (SELECT * FROM (VALUES ('FWD', 1.0::DOUBLE), ('MID', 0.85), ('DEF', 0.55), ('GK', 0.20)) AS t(role, w)), dr AS (SELECT unnest(range(1, 101)) AS d), mv AS (SELECT d, player, role, x * w AS s, x * w / w * w * (1 + 0.2 * (2 * {uniform_sql(chr(39) + '42' + chr(39), 'CAST(d AS VARCHAR)', 'role')} - 1)) AS t FROM z JOIN rw USING (role) CROSS JOIN dr), q AS (SELECT d, role, row_number() OVER (PARTITION BY d ORDER BY s DESC, player) AS a, row_number() OVER (PARTITION BY d ORDER BY t DESC, player) AS b FROM mv), qd AS (SELECT d, role, count(*) FILTER (WHERE a <= 20) AS q, count(*) FILTER (WHERE b <= 20) AS m FROM q GROUP BY 1, 2), {moved_sql('s', 't', 'count(*) FILTER (WHERE a <= 20 AND b <= 20) / 20.0 AS t20')}, al AS (SELECT round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(t20, 0.5), 6) AS overlap FROM pd) SELECT role, max(q) AS quota, min(m) AS quota_least, max(m) AS quota_most, any_value(median) AS median, any_value(overlap) AS overlap FROM qd CROSS JOIN al GROUP BY 1")
 def m24(spark, sf_dir):
+    """Quotas of the roles among the best twenty, and their range under moved role weights."""
     w = F.try_element_at(F.create_map(*[F.lit(v) for kv in R.RULES.role_weights.items() for v in kv]), F.col("role"))
-    top = pairs(spark, sf_dir).withColumn("v", F.col("x") * w).orderBy(F.col("v").desc(), "player").limit(25)
-    return top.groupBy("role").agg(F.count("*").alias("n"))
+    rows = pairs(spark, sf_dir).withColumn("v", F.col("x") * w)
+    return rounded(S.role_weight_sensitivity(rows, "player", "v", "role", R.RULES.role_weights, 100), "median", "overlap")
 
 
 @query("m26_rank_agreement", f"{PAIR_SQL}, k AS (SELECT rank() OVER (ORDER BY x) AS u, rank() OVER (ORDER BY y) AS v FROM z) SELECT round(corr(u, v), 6) AS rho, count(*) AS n FROM k")
@@ -299,7 +302,9 @@ def q4(spark, sf_dir):
 
 @query("q6_showcase", f"{PAIR_SQL}, k AS (SELECT role, player, row_number() OVER (PARTITION BY role ORDER BY x + y DESC, player) AS place, rank() OVER (ORDER BY x DESC) - rank() OVER (ORDER BY x + y DESC) AS delta FROM z) SELECT role, player, place, delta FROM k WHERE place <= 2")
 def q6(spark, sf_dir):
-    one = Window.partitionBy(F.lit(0))
-    z = pairs(spark, sf_dir).withColumn("s", F.col("x") + F.col("y"))
-    z = z.withColumn("delta", (F.rank().over(one.orderBy(F.col("x").desc())) - F.rank().over(one.orderBy(F.col("s").desc()))).cast("long"))
+    from touchline.operators.windows import rank_min
+
+    z = rank_min(rank_min(pairs(spark, sf_dir).withColumn("s", F.col("x") + F.col("y")), "x", "_i"), "s", "_j").withColumn("delta", F.col("_i") - F.col("_j"))
     return top_n(z, ["role"], [F.col("s").desc(), F.col("player")], 2).select("role", "player", F.col("place").cast("long").alias("place"), "delta")
+
+

@@ -14,8 +14,8 @@ from touchline.streaming import monitor
 
 from .binding import FACTS_SQL, RUNS_SQL, facts, fixtures, runs, table
 from .registry import query
-from .scans import player_totals
-from .statistics import PAIR_SQL, pairs
+from .scans import LEADERBOARD_SQL, player_totals
+from .statistics import PAIR_SQL, pairs, poisson_sql, rounded, uniform_sql
 
 
 def scratch(spark) -> str:
@@ -87,35 +87,50 @@ def season_findings(spark, sf_dir):
     return M.across_seasons(registry, matches, ratings, coverage_of(fixtures(spark, sf_dir), rows))
 
 
-@query("m20_components")
+@query("m20_components", f"{LEADERBOARD_SQL}, r AS (SELECT corr(g / m, h / m) AS a, corr(g / m, q / m) AS b, corr(h / m, q / m) AS c FROM (SELECT a.*, (SELECT sum(goal) FROM f WHERE f.player = a.player AND mins > 0) AS q FROM a)), w AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM r), v AS (SELECT p, acos(greatest(-1, least(1, a * b * c / (p * p * p)))) / 3 AS t FROM w), e AS (SELECT 1 + 2 * p * cos(t) AS x, 1 + 2 * p * cos(t + 2 * pi() / 3) AS z FROM v) SELECT 1 AS component, round(x / 3, 6) AS explained FROM e UNION ALL SELECT 2, round((3 - x - z) / 3, 6) FROM e UNION ALL SELECT 3, round(z / 3, 6) FROM e")
 def m20(spark, sf_dir):
-    """Explained share of the components of three rates."""
+    """Explained share of the components of three rates; the SQL has the roots of the correlation matrix in closed form."""
     rows = player_totals(spark, sf_dir).select((F.col("xg") / F.col("mins")).alias("a"), (F.col("xa") / F.col("mins")).alias("b"), (F.col("goals") / F.col("mins")).alias("c"))
     explained, _ = S.principal_components(rows, ["a", "b", "c"], 3)
-    return spark.createDataFrame(list(enumerate(explained, 1)), "component int, explained double")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(explained, 1)], "component int, explained double")
 
 
-@query("m16_hypergeometric")
+@query("m16_hypergeometric", f"{LEADERBOARD_SQL}, n AS (SELECT count(*) AS n FROM a), c AS (SELECT count(*) AS k FROM (SELECT player FROM a ORDER BY g DESC, player LIMIT 20) JOIN (SELECT player FROM a ORDER BY h DESC, player LIMIT 20) USING (player)), lc AS (SELECT n, k, least(20, n) AS t FROM n, c) SELECT k AS common, round(t * t / CAST(n AS DOUBLE), 6) AS expected, round(list_sum(list_transform(range(k, t + 1), lambda i: exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) + lgamma(n - t + 1) - lgamma(t - i + 1) - lgamma(n - 2 * t + i + 1) - lgamma(n + 1) + lgamma(t + 1) + lgamma(n - t + 1)))), 6) AS p FROM lc")
 def m16(spark, sf_dir):
     """Chance that two top lists of 20 out of all players share as many as they do, were they independent."""
     from touchline.operators.joins import top_overlap
 
     t = player_totals(spark, sf_dir)
     n, common = t.count(), top_overlap(t, "player", "xg", "xa", 20).first()["common"]
-    return spark.createDataFrame([(common, S.hypergeometric_tail(n, min(20, n), min(20, n), common))], "common long, p double")
+    k = min(20, n)
+    return spark.createDataFrame([(common, round(k * k / n, 6), round(S.hypergeometric_tail(n, k, k, common), 6))], "common long, expected double, p double")
 
 
-@query("m21_paired_rmse", f"{PAIR_SQL}, w AS (SELECT *, player % 5 AS k FROM z), l AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c, avg(w.y) AS flat FROM (SELECT DISTINCT k FROM w) f JOIN w ON w.k <> f.k GROUP BY 1) SELECT round(sqrt(avg(pow(y - flat, 2))) - sqrt(avg(pow(y - (c + b * x), 2))), 6) AS gain FROM w JOIN l USING (k)")
+PAIRED_SQL = """w AS (SELECT *, player % 5 AS k FROM z), l AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c, regr_slope(w.y, w.p) AS bp, regr_intercept(w.y, w.p) AS cp FROM (SELECT DISTINCT k FROM w) f JOIN w ON w.k <> f.k GROUP BY 1),
+ er AS (SELECT player, team, pow(y - (c + b * x), 2) AS a, pow(y - (cp + bp * p), 2) AS b FROM w JOIN l USING (k))"""
+
+
+def paired_sql(key: str, draws: int) -> str:
+    u = uniform_sql("'42'", "CAST(d AS VARCHAR)", f"CAST({key} AS VARCHAR)")
+    return f"""dr AS (SELECT unnest(range(1, {draws + 1})) AS d), dw AS (SELECT d, a, b, {poisson_sql(u)} AS w FROM er CROSS JOIN dr), dg AS (SELECT sqrt(sum(w * a) / sum(w)) - sqrt(sum(w * b) / sum(w)) AS g FROM dw GROUP BY d HAVING sum(w) > 0)
+ SELECT (SELECT count(*) FROM er) AS n, (SELECT round(sqrt(avg(a)), 6) FROM er) AS rmse_base, (SELECT round(sqrt(avg(b)), 6) FROM er) AS rmse_pro, (SELECT round(sqrt(avg(a)) - sqrt(avg(b)), 6) FROM er) AS delta, round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high, quantile_cont(g, 0.025) > 0 AS better FROM dg"""
+
+
+@query("m21_paired_rmse", f"{PAIR_SQL.replace('AS y FROM p JOIN', 'AS y, (g + 0.5 * h) * 90 / m AS p FROM p JOIN')}, {PAIRED_SQL}, {paired_sql('player', 200)}")
 def m21(spark, sf_dir):
-    """How much less a line errs out of sample than the mean of the other folds."""
-    rows = S.cross_validated(pairs(spark, sf_dir).withColumn("k", F.col("player") % 5), "x", "y", "k")
-    flat = S.fold_means(pairs(spark, sf_dir).withColumn("k", F.col("player") % 5), "y", "k")
-    return rows.join(flat, "k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("flat"), 2))) - F.sqrt(F.avg(F.pow(F.col("y") - F.col("predicted"), 2))), 6).alias("gain"))
+    """How much less one signal errs out of sample than another on the same players, with the interval of the difference."""
+    rows = pairs(spark, sf_dir).withColumn("p", F.col("x") + 0.5 * F.col("y")).withColumn("k", F.col("player") % 5)
+    return rounded(S.paired_rmse_bootstrap(rows, "x", "p", "y", "player", "k", 200), "rmse_base", "rmse_pro", "delta", "low", "high")
+
+
+def moved_sql(score: str, other: str, tops: str) -> str:
+    return f"pl AS (SELECT d, row_number() OVER (PARTITION BY d ORDER BY {score} DESC, player) AS a, row_number() OVER (PARTITION BY d ORDER BY {other} DESC, player) AS b, rank() OVER (PARTITION BY d ORDER BY {score}) + (count(*) OVER (PARTITION BY d, {score}) - 1) / 2.0 AS x, rank() OVER (PARTITION BY d ORDER BY {other}) + (count(*) OVER (PARTITION BY d, {other}) - 1) / 2.0 AS y FROM mv), pd AS (SELECT d, corr(x, y) AS rho, {tops} FROM pl GROUP BY 1)"
 
 
-@query("m23_weight_sensitivity")
+@query("m23_weight_sensitivity", f"{PAIR_SQL}, dr AS (SELECT unnest(range(1, 101)) AS d), mw AS (SELECT d, 0.32 * (1 + 0.2 * (2 * {uniform_sql(chr(39) + '42' + chr(39), 'CAST(d AS VARCHAR)', chr(39) + 'x' + chr(39))} - 1)) AS wx, 0.20 * (1 + 0.2 * (2 * {uniform_sql(chr(39) + '42' + chr(39), 'CAST(d AS VARCHAR)', chr(39) + 'y' + chr(39))} - 1)) AS wy FROM dr), mv AS (SELECT d, player, x * (0.32::DOUBLE / 0.52::DOUBLE) + y * (0.20::DOUBLE / 0.52::DOUBLE) AS s, (x * wx + y * wy) / (wx + wy) AS t FROM z CROSS JOIN mw), {moved_sql('s', 't', 'count(*) FILTER (WHERE a <= 10 AND b <= 10) / 10.0 AS t10, count(*) FILTER (WHERE a <= 20 AND b <= 20) / 20.0 AS t20')} SELECT round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(rho, 0.05), 6) AS low, round(min(rho), 6) AS least, round(quantile_cont(t10, 0.5), 6) AS top10, CAST(min(t10) AS DOUBLE) AS top10_least, round(quantile_cont(t20, 0.5), 6) AS top20, CAST(min(t20) AS DOUBLE) AS top20_least FROM pd")
 def m23(spark, sf_dir):
-    return S.weight_sensitivity(pairs(spark, sf_dir).select("player", "x", "y"), "player", {"x": 0.32, "y": 0.20}, 100)
+    got = S.weight_sensitivity(pairs(spark, sf_dir).select("player", "x", "y"), "player", {"x": 0.32, "y": 0.20}, 100)
+    return rounded(got, "median", "low", "least", "top10", "top20")
 
 
 @query("vq_beats_baseline", f"WITH {FACTS_SQL}, q AS (SELECT player, CAST(sum(xg) FILTER (WHERE season < 1999) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE season < 1999) AS rate, CAST(sum(mins) FILTER (WHERE season < 1999) AS DOUBLE) AS volume, CAST(sum(xg) FILTER (WHERE season >= 1999) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE season >= 1999) AS later FROM f GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY rate) AS a, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS b, rank() OVER (ORDER BY later) AS c FROM q) SELECT 'rate' AS baseline, round(corr(a, c), 6) AS rho FROM k UNION ALL SELECT 'volume', round(corr(b, c), 6) FROM k")

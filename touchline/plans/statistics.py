@@ -35,9 +35,29 @@ def m12k(spark, sf_dir):
     return S.kendall(pairs(spark, sf_dir), "x", "y", "player").select(F.round("tau", 6).alias("tau"), "n")
 
 
-@query("m13_bootstrap")
+def uniform_sql(*parts: str) -> str:
+    return "(CAST('0x' || substr(md5(concat_ws('/', " + ", ".join(parts) + ")), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+def poisson_sql(u: str) -> str:
+    return f"len(list_filter([{', '.join(repr(e) for e in S.POISSON)}]::DOUBLE[], lambda e: e <= {u}))"
+
+
+def bootstrap_sql(source: str, key: str, draws: int) -> str:
+    """From a table `source` (x, y and the key): the interval of the correlation under the same weights."""
+    return f"""dr AS (SELECT unnest(range(1, {draws + 1})) AS d), bw AS (SELECT d, x, y, {poisson_sql(uniform_sql("'42'", "CAST(d AS VARCHAR)", f"CAST({key} AS VARCHAR)"))} AS w FROM {source} CROSS JOIN dr),
+ bs AS (SELECT d, CAST(sum(w) AS DOUBLE) AS n, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * y * y) AS syy, sum(w * x * y) AS sxy FROM bw GROUP BY 1),
+ br AS (SELECT (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM bs WHERE n * sxx - sx * sx > 1e-9 * n * sxx AND n * syy - sy * sy > 1e-9 * n * syy),
+ bq AS (SELECT quantile_cont(r, 0.025) AS low, quantile_cont(r, 0.975) AS high, count(r) AS draws FROM br)"""
+
+
+@query("m13_bootstrap", f"{PAIR_SQL}, {bootstrap_sql('z', 'player', 300)} SELECT (SELECT count(*) FROM z) AS n, round((SELECT corr(x, y) FROM z), 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, draws FROM bq")
 def m13(spark, sf_dir):
-    return S.bootstrap_correlation(pairs(spark, sf_dir), "x", "y", 500)
+    return rounded(S.bootstrap_correlation(pairs(spark, sf_dir), "x", "y", "player", 300), "estimate", "low", "high")
+
+
+def rounded(df, *names, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 @query("m14_leave_one_out", f"{PAIR_SQL}, l AS (SELECT a.player, corr(b.x, b.y) AS r FROM z a JOIN z b ON a.player <> b.player GROUP BY 1) SELECT round(min(r), 6) AS low, round(max(r), 6) AS high, round(max(r) - min(r), 6) AS spread FROM l")
@@ -50,25 +70,31 @@ def m15(spark, sf_dir):
     return S.partial_spearman(pairs(spark, sf_dir), "x", "y", "role").select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query("m17_cross_validation", f"{PAIR_SQL}, w AS (SELECT *, player % 5 AS k FROM z), l AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c FROM (SELECT DISTINCT k FROM w) f JOIN w ON w.k <> f.k GROUP BY 1) SELECT round(sqrt(avg(pow(y - (c + b * x), 2))), 6) AS rmse, round(sqrt(avg(pow(y - x, 2))), 6) AS naive, count(*) AS n FROM w JOIN l USING (k)")
+@query("m17_cross_validation", f"{PAIR_SQL}, w AS (SELECT *, player % 5 AS k, avg(y) OVER (PARTITION BY role) AS g FROM z), l AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c FROM (SELECT DISTINCT k FROM w) f JOIN w ON w.k <> f.k GROUP BY 1) SELECT count(*) AS n, round(sqrt(avg(pow(y - (c + b * x), 2))), 6) AS rmse, round(1 - sum(pow(y - (c + b * x), 2)) / sum(pow(y - x, 2)), 6) AS skill_persistence, round(1 - sum(pow(y - (c + b * x), 2)) / sum(pow(y - g, 2)), 6) AS skill_group FROM w JOIN l USING (k)")
 def m17(spark, sf_dir):
-    """Out-of-sample error of a line, five folds, against taking x for y (m17, m18)."""
-    rows = S.cross_validated(pairs(spark, sf_dir).withColumn("k", F.col("player") % 5), "x", "y", "k")
+    """Out-of-sample error of a line in five folds, and its skill against x itself and against the role's mean (m17, m18)."""
+    return rounded(S.skill_scores(pairs(spark, sf_dir).withColumn("k", F.col("player") % 5), "x", "y", "k", "role"), "rmse", "skill_persistence", "skill_group")
 
-    def rmse(p):
-        return F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col(p), 2))), 6)
 
-    return rows.agg(rmse("predicted").alias("rmse"), rmse("x").alias("naive"), F.count("*").alias("n"))
+@query("m19_permutation", f"{PAIR_SQL}, dr AS (SELECT unnest(range(1, 201)) AS d), px AS (SELECT d, x, row_number() OVER (PARTITION BY d ORDER BY {uniform_sql("'42'", "'x'", 'CAST(d AS VARCHAR)', 'CAST(player AS VARCHAR)')}, player) AS k FROM z CROSS JOIN dr), py AS (SELECT d, y, row_number() OVER (PARTITION BY d ORDER BY {uniform_sql("'42'", "'y'", 'CAST(d AS VARCHAR)', 'CAST(player AS VARCHAR)')}, player) AS k FROM z CROSS JOIN dr), pr AS (SELECT d, corr(x, y) AS r FROM px JOIN py USING (d, k) GROUP BY 1), o AS (SELECT corr(x, y) AS observed FROM z) SELECT round(max(observed), 6) AS observed, round(avg(r), 6) AS null_mean, round(quantile_cont(abs(r), 0.95), 6) AS null_p95, round((count(*) FILTER (WHERE abs(r) >= abs(observed)) + 1) / (count(r) + 1.0), 6) AS p FROM pr CROSS JOIN o")
+def m19(spark, sf_dir):
+    return rounded(S.permutation(pairs(spark, sf_dir), "x", "y", "player", 200), "observed", "null_mean", "null_p95", "p")
 
 
-@query("m19_permutation")
-def m19(spark, sf_dir):
-    return S.permutation(pairs(spark, sf_dir), "x", "y", 200)
+FOLDED_SQL = f"cf AS (SELECT *, CAST(floor({uniform_sql(chr(39) + 'fold' + chr(39), 'CAST(team AS VARCHAR)')} * 5) AS BIGINT) AS k FROM z), cl AS (SELECT f.k, regr_slope(w.y, w.x) AS b, regr_intercept(w.y, w.x) AS c FROM (SELECT DISTINCT k FROM cf) f JOIN cf w ON w.k <> f.k GROUP BY 1)"
+
+
+def team_folds(rows):
+    """Five folds of whole teams."""
+    return rows.withColumn("k", F.floor(S.uniform("fold", F.col("team")) * 5))
 
 
-@query("m22_cluster_bootstrap")
+@query("m22_cluster_bootstrap", f"{PAIR_SQL}, {FOLDED_SQL}, {bootstrap_sql('z', 'team', 300)} SELECT (SELECT count(*) FROM z) AS n, round((SELECT corr(x, y) FROM z), 6) AS estimate, round(low, 6) AS low, round(high, 6) AS high, draws, (SELECT round(sqrt(avg(pow(y - (c + b * x), 2))), 6) FROM cf JOIN cl USING (k)) AS rmse FROM bq")
 def m22(spark, sf_dir):
-    return S.bootstrap_correlation(pairs(spark, sf_dir), "x", "y", 300, cluster="team")
+    """Weights by team, and the error of a line out of sample in folds of whole teams."""
+    rows = pairs(spark, sf_dir)
+    told = S.cross_validated(team_folds(rows), "x", "y", "k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("y") - F.col("predicted"), 2))), 6).alias("rmse"))
+    return rounded(S.bootstrap_correlation(rows, "x", "y", "team", 300), "estimate", "low", "high").join(told)
 
 
 @query("m25_team_correlation", f"{PAIR_SQL}, t AS (SELECT team, avg(x) AS x, avg(y) AS y FROM z GROUP BY 1) SELECT round(corr(x, y), 6) AS r, count(*) AS n FROM t")
@@ -367,14 +393,14 @@ def d23(spark, sf_dir):
     return have.select("season", "available", missing.alias("missing"), F.round(F.size("available") / F.lit(12.0) * 100, 2).alias("coverage"))
 
 
-@query("d24_regression_diff", f"{PAIR_SQL}, j AS (SELECT player, x, x * 1.02 AS n FROM z), k AS (SELECT *, rank() OVER (ORDER BY x DESC) AS r, rank() OVER (ORDER BY n DESC) AS s FROM j) SELECT round(corr(r, s), 6) AS rho, count(*) FILTER (WHERE r <= 10 AND s <= 10) AS top10, round(avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END), 6) AS large_share, CASE WHEN corr(r, s) < 0.95 OR avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END) > 0.10 THEN 'CRITICAL' WHEN corr(r, s) < 0.97 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM k")
+@query("d24_regression_diff", f"{PAIR_SQL}, j AS (SELECT player, x, x * 1.02 + CASE WHEN player % 9 = 0 THEN 0.2 ELSE 0 END AS n FROM z), k AS (SELECT *, rank() OVER (ORDER BY x) AS r, rank() OVER (ORDER BY n) AS s, row_number() OVER (ORDER BY x DESC, player) AS i, row_number() OVER (ORDER BY n DESC, player) AS h FROM j), g AS (SELECT corr(r, s) AS rho, count(*) FILTER (WHERE i <= 10 AND h <= 10) AS top10, count(*) FILTER (WHERE i <= 20 AND h <= 20) AS top20, avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END) AS large_share, max(abs(n - x)) FILTER (WHERE i = 1) AS top_delta, abs(avg(n) - avg(x)) / abs(avg(x)) AS mean_shift, abs(stddev_pop(n) - stddev_pop(x)) / stddev_pop(x) AS sd_shift, abs(quantile_cont(n, 0.95) - quantile_cont(x, 0.95)) / abs(quantile_cont(x, 0.95)) AS p95_shift FROM k) SELECT round(rho, 6) AS rho, top10, top20, round(large_share, 6) AS large_share, round(top_delta, 6) AS top_delta, round(mean_shift, 6) AS mean_shift, round(sd_shift, 6) AS sd_shift, round(p95_shift, 6) AS p95_shift, CASE WHEN rho < 0.95 OR top10 < 8 OR top20 < 16 OR large_share > 0.10 OR top_delta > 0.05 OR mean_shift > 0.10 OR sd_shift > 0.15 OR p95_shift > 0.15 THEN 'CRITICAL' WHEN rho < 0.97 OR top10 < 9 OR top20 < 18 OR large_share > 0.05 OR top_delta > 0.03 OR mean_shift > 0.05 OR sd_shift > 0.08 OR p95_shift > 0.08 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM g")
 def d24(spark, sf_dir):
-    j = pairs(spark, sf_dir).select("player", "x", (F.col("x") * 1.02).alias("n")).withColumn("all", F.lit(0))
-    k = j.withColumn("r", F.rank().over(Window.partitionBy("all").orderBy(F.col("x").desc()))).withColumn("s", F.rank().over(Window.partitionBy("all").orderBy(F.col("n").desc())))
-    large = F.avg((F.abs(F.col("n") - F.col("x")) >= 0.15).cast("double"))
-    rho = F.corr("r", "s")
-    verdict = F.when((rho < 0.95) | (large > 0.10), "CRITICAL").when(rho < 0.97, "WARNING").otherwise("SAFE")
-    return k.agg(F.round(rho, 6).alias("rho"), F.count_if((F.col("r") <= 10) & (F.col("s") <= 10)).alias("top10"), F.round(large, 6).alias("large_share"), verdict.alias("verdict"))
+    from touchline.operators.monitoring import regression_diff
+
+    old = pairs(spark, sf_dir).select("player", F.col("x").alias("v"))
+    new = old.withColumn("v", F.col("v") * 1.02 + F.when(F.col("player") % 9 == 0, 0.2).otherwise(0.0))
+    found = rounded(regression_diff(old, new, "player", "v"), "rho", "large_share", "top_delta", "mean_shift", "sd_shift", "p95_shift")
+    return found.select("rho", "top10", "top20", "large_share", "top_delta", "mean_shift", "sd_shift", "p95_shift", "verdict")
 
 
 @query("d25_failure_burst", f"WITH {RUNS_SQL}, d AS (SELECT day, count(*) FILTER (WHERE failed) AS n FROM r GROUP BY 1), b AS (SELECT avg(n) AS mu, stddev_pop(n) AS sd FROM d WHERE day < DATE '2024-01-30') SELECT round((n - mu) / sd, 6) AS z FROM d CROSS JOIN b WHERE day = DATE '2024-01-30'")
@@ -505,8 +531,11 @@ def q5(spark, sf_dir):
 
 @query("q7_best_dimensions", f"{LEADERBOARD_SQL}, r AS (SELECT player, rank() OVER (ORDER BY g / m DESC) AS xg, rank() OVER (ORDER BY h / m DESC) AS xa, rank() OVER (ORDER BY m DESC) AS mins FROM a), u AS (UNPIVOT r ON xg, xa, mins INTO NAME dim VALUE rank), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rank, dim) AS place FROM u) SELECT player, dim, rank, place FROM k WHERE place <= 2")
 def q7(spark, sf_dir):
-    w = Window.partitionBy(F.lit(0))
-    r = player_totals(spark, sf_dir).select("player", *[F.rank().over(w.orderBy(o.desc())).cast("long").alias(n) for n, o in (("xg", F.col("xg") / F.col("mins")), ("xa", F.col("xa") / F.col("mins")), ("mins", F.col("mins")))])
+    from touchline.operators.windows import rank_min
+
+    r = player_totals(spark, sf_dir).withColumns({"v1": F.col("xg") / F.col("mins"), "v2": F.col("xa") / F.col("mins"), "v3": F.col("mins")}).select("player", "v1", "v2", "v3")
+    for value, name in (("v1", "xg"), ("v2", "xa"), ("v3", "mins")):
+        r = rank_min(r, value, name)
     return V.best_dimensions(r, "player", ["xg", "xa", "mins"], 2)
 
 
