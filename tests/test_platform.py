@@ -73,10 +73,20 @@ def test_detectors_fire_and_stay_quiet(spark):
     rows = [(i, "a", at(24 * i), 10.0 + i % 2, False) for i in range(10)] + [(10, "a", at(24 * 10), 99.0, False)]
     rows += [(20 + i, "b", at(24 * i), 5.0, i == 9) for i in range(10)] + [(99, "c", at(0), 1.0, False)]
     df = spark.createDataFrame(rows, "run int, stage string, started timestamp, duration double, failed boolean").withColumn("started", F.col("started").cast("timestamp_ntz"))
-    found = {(r.detector, r.stage): r.severity for r in M.anomalies(df, "2024-01-11 06:00:00", expected={"a": 4, "d": 4}).collect()}
+    df = df.withColumn("warned", (F.col("stage") == "b") & (F.col("run") >= 26))
+    held = spark.createDataFrame([("map", at(200 + i)) for i in range(25)] + [("old", at(-400)) for _ in range(200)], "source string, at timestamp").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    ratings = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 1.0), (2, 2.0), (3, 1.2), (3, 2.4)], "vintage int, value double")
+    found = {(r.detector, r.stage): r.severity for r in M.anomalies(df, "2024-01-11 06:00:00", expected={"a": 4, "d": 4}, quarantine=held, ratings=ratings).collect()}
     assert found["duration", "a"] == "critical" and ("duration", "b") not in found
     assert found["stale", "c"] == "critical" and ("stale", "a") not in found
     assert found["missing", "d"] == "critical" and ("missing", "a") not in found
+    assert found["failures", "b"] == "warn" or ("failures", "b") not in found
+    assert found["warn_rate", "b"] == "warn" and ("warn_rate", "a") not in found
+    assert found["escalation", "b"] == "critical" and ("escalation", "a") not in found
+    assert found["quarantine", "map"] == "warn" and ("quarantine", "old") not in found
+    assert found["drift", "ratings"] == "critical"
+    calm = M.anomalies(df, "2024-01-11 06:00:00", quarantine=held.limit(3), ratings=ratings.filter("vintage < 3"))
+    assert not {"quarantine", "drift", "missing"} & {r.detector for r in calm.collect()}
 
 
 def test_checks_across_seasons(spark):

@@ -53,6 +53,18 @@ def without_double_surname(name: Column) -> Column:
     return F.regexp_replace(name, "( \\w+)\\1+$", "$1")
 
 
+# fixed values: letters beyond those with marks, as market lists write them
+LETTERS, SPELLED = "øłđıæœßþð", ["o", "l", "d", "i", "ae", "oe", "ss", "th", "d"]
+
+
+def market_name(name: Column) -> Column:
+    """fold_latin with further letters spelled out and a last word that is said twice said once."""
+    plain = fold_latin(name)
+    for letter, spelled in zip(LETTERS, SPELLED, strict=True):
+        plain = F.replace(plain, F.lit(letter), F.lit(spelled))
+    return without_double_surname(plain)
+
+
 def season_label(start: Column) -> Column:
     """1997 -> 1997-98."""
     return F.concat(start.cast("string"), F.lit("-"), F.lpad(((start + 1) % 100).cast("string"), 2, "0"))

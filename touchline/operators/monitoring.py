@@ -62,28 +62,74 @@ def regression_diff(old: DataFrame, new: DataFrame, key: str, value: str, limits
     return row.withColumn("verdict", F.when(beyond(1) | (F.col("common") < lim.common), "CRITICAL").when(beyond(0), "WARNING").otherwise("SAFE"))
 
 
-def anomalies(runs: DataFrame, now: str, window_days: int = 14, least: int = 5, stale_hours: tuple[int, int] = (36, 96), expected: dict[str, int] | None = None) -> DataFrame:
-    """(detector, stage, severity, confidence, value) over runs (run, stage, started, duration, failed) of the window.
+@dataclass(frozen=True)
+class Alarms:
+    """Warning and critical levels of the detectors."""
+
+    window_days: int = 14
+    least: int = 5
+    stale_hours: tuple[float, float] = (36, 96)
+    backlog: tuple[float, float] = (20, 100)
+    warn_share: tuple[float, float] = (0.2, 0.5)
+    escalation: tuple[float, float] = (0.2, 0.4)
+    escalation_least: int = 4
+    drift: tuple[float, float] = (0.08, 0.15)
+
+
+def alarm(rows: DataFrame, detector: str, levels: tuple[float, float]) -> DataFrame:
+    """Findings of (stage, value) rows at or above the first level; confidence is the share of the second one reached."""
+    v = F.col("value")
+    return rows.filter(v >= levels[0]).select(F.lit(detector).alias("detector"), "stage", F.when(v >= levels[1], "critical").otherwise("warn").alias("severity"), F.least(F.lit(1.0), v / levels[1]).cast("double").alias("confidence"), v.cast("double").alias("value"))
+
+
+def deviation(rows: DataFrame, detector: str) -> DataFrame:
+    """Findings of (stage, z) rows."""
+    z = F.col("z")
+    return rows.filter(F.abs(z) >= 2.5).select(F.lit(detector).alias("detector"), "stage", severity(z).alias("severity"), trust(z).alias("confidence"), z.alias("value"))
+
+
+def anomalies(runs: DataFrame, now: str, alarms: Alarms | None = None, expected: dict[str, int] | None = None, quarantine: DataFrame | None = None, ratings: DataFrame | None = None) -> DataFrame:
+    """(detector, stage, severity, confidence, value) over the window that ends now.
 
-    Detectors: duration of the last run, burst of failures on the last day, hours
-    since the last run, and stages with fewer runs than expected.
+    runs: (run, stage, started, duration, failed, warned); quarantine: (source,
+    at); ratings: (vintage, value). Detectors: duration of the last run of a
+    stage, burst of its failures on the last day, hours since its last run, rows
+    newly in quarantine, share of runs that warn or worse, its escalation from
+    the first half of the window to the second, drift of the ratings' mean,
+    deviation or 95th percentile between the last two vintages, and stages with
+    fewer runs than expected.
     """
+    lim = alarms or Alarms()
     at = F.lit(now).cast("timestamp_ntz")
-    recent = runs.filter((F.col("started") >= at - F.expr(f"interval {window_days} days")) & (F.col("started") <= at))
-    enough = recent.groupBy("stage").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("stage")
+    days = lambda n: F.expr(f"interval {int(n * 24)} hours")
+    recent = runs.filter((F.col("started") >= at - days(lim.window_days)) & (F.col("started") <= at))
+    enough = recent.groupBy("stage").agg(F.count("*").alias("n")).filter(F.col("n") > lim.least).select("stage")
     z = last_against_rest(recent.join(enough, "stage", "left_semi").withColumn("duration", F.col("duration").cast("double")), "stage", ["started", "run"], "duration")
-    duration = z.filter(F.abs("z") >= 2.5).select(F.lit("duration").alias("detector"), "stage", severity(F.col("z")).alias("severity"), trust(F.col("z")).alias("confidence"), F.col("z").alias("value"))
-    daily = recent.groupBy(F.to_date("started").alias("day")).agg(F.count_if("failed").alias("n")).withColumn("stage", F.lit("all"))
+    daily = recent.groupBy("stage", F.to_date("started").alias("day")).agg(F.count_if("failed").alias("n"))
     burst = last_against_rest(daily, "stage", ["day"], "n").filter("z >= 2.5")
-    burst = burst.select(F.lit("failures").alias("detector"), "stage", severity(F.col("z")).alias("severity"), trust(F.col("z")).alias("confidence"), F.col("z").alias("value"))
-    age = runs.groupBy("stage").agg((F.timestamp_diff("SECOND", F.max("started"), at) / 3600.0).alias("value")).filter(F.col("value") >= stale_hours[0])
-    stale = age.select(F.lit("stale").alias("detector"), "stage", F.when(F.col("value") >= stale_hours[1], "critical").otherwise("warn").alias("severity"), F.lit(1.0).alias("confidence"), "value")
-    found = report([duration, burst, stale])
+    age = runs.groupBy("stage").agg((F.timestamp_diff("SECOND", F.max("started"), at) / 3600.0).alias("value"))
+    late = F.col("started") >= at - days(lim.window_days / 2)
+    share = recent.groupBy("stage").agg(F.avg(F.col("warned").cast("double")).alias("value"))
+    halves = recent.groupBy("stage").agg(F.count("*").alias("n"), (F.avg(F.when(late, F.col("warned").cast("double"))) - F.avg(F.when(~late, F.col("warned").cast("double")))).alias("value"))
+    found = [
+        deviation(z, "duration"), deviation(burst, "failures"), alarm(age, "stale", lim.stale_hours), alarm(share, "warn_rate", lim.warn_share),
+        alarm(halves.filter(F.col("n") >= lim.escalation_least), "escalation", lim.escalation),
+    ]
+    if quarantine is not None:
+        new = quarantine.filter((F.col("at") >= at - days(lim.window_days)) & (F.col("at") <= at)).groupBy(F.col("source").alias("stage")).agg(F.count("*").cast("double").alias("value"))
+        found.append(alarm(new, "quarantine", lim.backlog))
+    if ratings is not None:
+        figures = ratings.groupBy("vintage").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.lit(0.95)).alias("p95"))
+        # one row a vintage
+        order = Window.partitionBy(F.lit(0)).orderBy("vintage")
+        moved = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.lag(c).over(order)) / F.nullif(F.abs(F.lag(c).over(order)), F.lit(0.0)), F.lit(0.0)) for c in ("mean", "sd", "p95")])
+        last = figures.withColumn("value", moved).agg(F.max_by("value", "vintage").alias("value")).select(F.lit("ratings").alias("stage"), "value")
+        found.append(alarm(last, "drift", lim.drift))
     if expected:
         wanted = runs.sparkSession.createDataFrame(list(expected.items()), "stage string, wanted int")
         have = wanted.join(recent.groupBy("stage").agg(F.count("*").alias("n")), "stage", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n < wanted")
-        found = found.unionByName(have.select(F.lit("missing").alias("detector"), "stage", F.when(F.col("n") == 0, "critical").otherwise("warn").alias("severity"), F.lit(1.0).alias("confidence"), F.col("n").cast("double").alias("value")))
-    return found
+        found.append(have.select(F.lit("missing").alias("detector"), "stage", F.when(F.col("n") == 0, "critical").otherwise("warn").alias("severity"), F.lit(1.0).alias("confidence"), F.col("n").cast("double").alias("value")))
+    return report(found)
 
 
 def across_seasons(players: DataFrame, matches: DataFrame, ratings: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -57,3 +57,22 @@ def closure(edges: DataFrame, start: DataFrame, limit: int = 100) -> DataFrame:
             return seen
         seen = cut(seen.union(front))
     raise ValueError(f"deeper than {limit} levels")
+
+
+def season_status(have: DataFrame, stated: DataFrame, ran: DataFrame, rounds: int, now: str) -> DataFrame:
+    """season with available and missing rounds, coverage, checksum, hours since the last fixture and number of runs.
+
+    have: (season, rnd, sum, last); stated: (season, rnd, stated); ran: (season, runs).
+    """
+    checked = have.join(stated, ["season", "rnd"], "left")
+    found = checked.groupBy("season").agg(F.sort_array(F.collect_set("rnd")).alias("available"), F.bool_and(F.col("sum").eqNullSafe(F.col("stated"))).alias("_ok"), F.max("last").alias("_last"))
+    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", "_last").cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz"))
+    found = found.join(ran, "season", "left")
+    missing = F.array_except(F.sequence(F.lit(1), F.lit(rounds)), "available").cast("array<bigint>")
+    return found.select("season", "available", missing.alias("missing"), F.round(F.size("available") / F.lit(float(rounds)) * 100, 2).alias("coverage"), F.when(F.col("_ok"), "ok").otherwise("fail").alias("checksum"), hours.cast("long").alias("stale_hours"), F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+def flow_chart(edges: DataFrame) -> DataFrame:
+    """(kind, a, b, line): each edge with its line of a flow chart."""
+    name = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
+    return edges.select("kind", "a", "b", F.concat(name("a"), F.lit(" -->|"), F.col("kind"), F.lit("| "), name("b")).alias("line"))

@@ -14,6 +14,30 @@ def out_of_range(df: DataFrame, rules: dict[str, tuple[str, float, float]]) -> D
     return df.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
 
 
+def count_broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(code, n): rows for which a rule is broken, all rules in one pass; a rule about nulls breaks nothing."""
+    counts = [F.struct(F.lit(code).alias("code"), F.count_if(broken).alias("n")) for code, broken in rules.items()]
+    return df.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))
+
+
+def same_names(people: DataFrame, normal) -> DataFrame:
+    """(kind, name, team, ids) of normalised names, and of names with surnames, that one team has under several ids.
+
+    people: (id, name, surname, team).
+    """
+    keys = F.array(F.struct(F.lit("name").alias("kind"), F.col("_n").alias("name")), F.struct(F.lit("full").alias("kind"), F.concat_ws(" ", "_n", "_s").alias("name")))
+    long = people.select("id", "team", normal(F.col("name")).alias("_n"), normal(F.col("surname")).alias("_s")).select("id", "team", F.inline(keys))
+    return long.groupBy("kind", "name", "team").agg(F.countDistinct("id").alias("ids")).filter("ids > 1")
+
+
+def merge_text(frames: DataFrame, key: list[str], column: str, precedence: list[str]) -> DataFrame:
+    """key, the text of the first provider that has one, `conflict`: whether others differ beyond case and space, and `seen`: providers with a text."""
+    place = F.array_position(F.array(*map(F.lit, precedence)), F.col("provider"))
+    rows = frames.filter(F.col(column).isNotNull()).withColumn("_place", F.when(place == 0, len(precedence) + 1).otherwise(place))
+    found = rows.groupBy(*key).agg(F.min_by(column, F.struct("_place", "provider")).alias(column), F.countDistinct(F.lower(F.trim(column))).alias("_kinds"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("seen"))
+    return found.select(*key, column, (F.col("_kinds") > 1).alias("conflict"), "seen")
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., n) of the keys that stand on several rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

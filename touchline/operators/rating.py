@@ -267,11 +267,13 @@ def scored(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataF
     kind = F.when(F.col("age") < rules.prime_from, "young").when(F.col("age") >= rules.veteran_from, "veteran").otherwise("prime")
     parts = {"index": F.col("raw"), "age": F.col("age_index"), "reliability": F.col("reliability"), "stability": F.col("stability"), "trend": F.col("trend"), "momentum": F.col("momentum")}
     rows = rows.withColumn("pro", F.when(kind == "young", composite(parts, rules.pro_weights["young"])).when(kind == "veteran", composite(parts, rules.pro_weights["veteran"])).otherwise(composite(parts, rules.pro_weights["prime"])))
-    peers, penalty = Window.partitionBy("role", "ctx"), availability_penalty(F.col("played"), F.col("available"))
-    for name in ("raw", "pro"):
-        drawn = role_weighted(F.col(name), F.avg(name).over(peers), F.col("confidence"), F.col("role"), rules)
-        rows = rows.withColumn(f"{name}_", F.round(F.round(drawn, 4) * penalty, 4))
-    return rows
+    return finished(finished(rows, "raw", ["role", "ctx"], rules), "pro", ["role", "ctx"], rules)
+
+
+def finished(rows: DataFrame, name: str, peers: list[str], rules: Rules = RULES) -> DataFrame:
+    """rows with `<name>_`: drawn to the peers' mean by confidence, weighted by role, and less by missed games."""
+    drawn = role_weighted(F.col(name), F.avg(name).over(Window.partitionBy(*peers)), F.col("confidence"), F.col("role"), rules)
+    return rows.withColumn(f"{name}_", F.round(F.round(drawn, 4) * availability_penalty(F.col("played"), F.col("available")), 4))
 
 
 def season_index(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:

@@ -74,6 +74,20 @@ def bootstrap_correlation(rows: DataFrame, x: str, y: str, key: str, draws: int
     return seen.join(spread).select("n", "estimate", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), "draws")
 
 
+def bootstrap_gain(rows: DataFrame, a: str, b: str, y: str, key: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """(low, high): percentile interval of how much more a correlates with y than b, under the same weights."""
+    many = draws_of(rows, draws).withColumn("_w", poisson_one(uniform(seed, F.col("_draw"), F.col(key))).cast("double"))
+    w = F.col("_w")
+
+    def sums(x: str):
+        p, q = F.col(x), F.col(y)
+        return [F.sum(w), F.sum(w * p), F.sum(w * q), F.sum(w * p * p), F.sum(w * q * q), F.sum(w * p * q)]
+
+    drawn = many.groupBy("_draw").agg(*[c.alias(f"{x}{k}") for x in (a, b) for k, c in enumerate(sums(x))])
+    r = [correlation(*[F.col(f"{x}{k}") for k in range(6)]) for x in (a, b)]
+    return drawn.select((r[0] - r[1]).alias("g")).agg(F.percentile("g", F.lit(0.025)).alias("low"), F.percentile("g", F.lit(0.975)).alias("high"))
+
+
 def by_chance(rows: DataFrame, u: Column, key: str, out: str, buckets: int = 64) -> DataFrame:
     """rows of each draw with their place by a uniform number: placed in parts of its range, after the sizes of the parts below."""
     parted = rows.withColumn("_u", u).withColumn("_part", F.floor(F.col("_u") * buckets))
@@ -151,6 +165,7 @@ def leave_one_out(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(low, high, spread) of the correlation when any one row is left out, from the sums less that row."""
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
     own = {"n": F.lit(1.0), "sx": F.col(x), "sy": F.col(y), "sxx": F.col(x) * F.col(x), "syy": F.col(y) * F.col(y), "sxy": F.col(x) * F.col(y)}
+    rows = rows.select(x, y)
     total = rows.agg(*[F.sum(own[k]).alias(k) for k in names])
     s = rows.join(total).select(*[(F.col(k) - own[k]).alias(k) for k in names])
     r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))))

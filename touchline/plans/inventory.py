@@ -256,12 +256,6 @@ def d33(spark, sf_dir):
     return brands.join(lonely)
 
 
-@query("va_external_rating", f"{PAIR_SQL}, r AS (SELECT s_suppkey AS player, s_acctbal AS rating FROM supplier WHERE s_suppkey % 3 <> 1), j AS (SELECT x, rating FROM z JOIN r USING (player)) SELECT round(corr(x, rating), 6) AS r, count(*) AS n FROM j")
-def va(spark, sf_dir):
-    rating = players(spark, sf_dir).filter("player % 3 <> 1").select("player", "balance")
-    return pairs(spark, sf_dir).join(rating, "player").agg(F.round(F.corr("x", "balance"), 6).alias("r"), F.count("*").alias("n"))
-
-
 @query("vd_extremes", f"{PAIR_SQL}, d AS (SELECT player, y - x AS d FROM z) (SELECT player, round(d, 6) AS d, 'top' AS kind FROM d ORDER BY d DESC, player LIMIT 5) UNION ALL (SELECT player, round(d, 6), 'bottom' FROM d ORDER BY d, player LIMIT 5)")
 def vd(spark, sf_dir):
     d = pairs(spark, sf_dir).select("player", (F.col("y") - F.col("x")).alias("v"))
@@ -276,21 +270,6 @@ def vf(spark, sf_dir):
     return t.join(c, "team").agg(F.round(F.corr("tx", "cy"), 6).alias("r"), F.count("*").alias("n"))
 
 
-@query("vi_incremental", f"WITH {FACTS_SQL}, q AS (SELECT player, CAST(sum(xg) FILTER (WHERE rnd <= 8) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd <= 8) AS a, CAST(sum(xg) FILTER (WHERE rnd > 8) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd > 8) AS b, sum(mins) FILTER (WHERE rnd > 8) AS m FROM f WHERE season = 1999 GROUP BY 1) SELECT round(avg(b - a), 6) AS change, count(*) AS n FROM q WHERE m >= 90 AND a IS NOT NULL")
-def vi(spark, sf_dir):
-    """What followed strictly after a round less what was known then, for players with 90 minutes after it."""
-    early = F.col("rnd") <= 8
-    part = lambda w, c: F.when(w, F.col(c))
-    q = facts(spark, sf_dir).filter("season = 1999").groupBy("player").agg(per90(part(early, "xg"), part(early, "mins")).alias("a"), per90(part(~early, "xg"), part(~early, "mins")).alias("b"), F.sum(part(~early, "mins")).alias("m"))
-    return q.filter("m >= 90 and a is not null").agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("change"), F.count("*").alias("n"))
-
-
-@query("vr_market_value", f"{PAIR_SQL}, w AS (SELECT p_partkey AS player, p_retailprice AS worth FROM part), k AS (SELECT rank() OVER (ORDER BY x) AS u, rank() OVER (ORDER BY worth) + (count(*) OVER (PARTITION BY worth) - 1) / 2.0 AS v FROM z JOIN w USING (player)) SELECT round(corr(u, v), 6) AS rho, count(*) AS n FROM k HAVING count(*) >= 20")
-def vr(spark, sf_dir):
-    worth = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("worth"))
-    return spearman(pairs(spark, sf_dir).join(worth, "player").withColumn("all", F.lit(0)), "x", "worth", ["all"]).filter("n >= 20").select(F.round("rho", 6).alias("rho"), "n")
-
-
 @query("q4_rejected", f"{LEADERBOARD_SQL} SELECT p.player, concat_ws(';', CASE WHEN m < 15500 THEN 'minutes' END, CASE WHEN balance < 1000 THEN 'balance' END) AS reasons FROM p JOIN a ON p.player = a.player WHERE m < 15500 OR balance < 1000 ORDER BY g / m DESC, p.player LIMIT 3")
 def q4(spark, sf_dir):
     from touchline.operators.joins import reasons

@@ -76,5 +76,5 @@ class LineageLog:
 
 def retain(df: DataFrame, at: str, now: str, keep_days: int) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) rows by age; writing what is kept is left to the caller, so a dry run is to look at dropped."""
-    old = F.col(at) < F.lit(now).cast("timestamp") - F.expr(f"interval {keep_days} days")
+    old = F.col(at) < F.lit(now).cast(df.schema[at].dataType) - F.expr(f"interval {keep_days} days")
     return df.filter(~old), df.filter(old)

@@ -33,19 +33,25 @@ def stream_daily(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("stage", F.to_date("start").alias("day"), "n", "failures", "total")
 
 
-@query("d25_anomalies", f"""WITH {RUNS_SQL}, w AS (SELECT * FROM r WHERE started >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY AND started <= TIMESTAMP '2024-01-30'),
- k AS (SELECT stage, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY stage ORDER BY started DESC, run DESC) AS k FROM w), z AS (SELECT stage, (max(d) FILTER (WHERE k = 1) - avg(d) FILTER (WHERE k > 1)) / stddev_pop(d) FILTER (WHERE k > 1) AS z FROM k GROUP BY 1)
+@query("d25_anomalies", f"""WITH {FACTS_SQL}, {RUNS_SQL}, w AS (SELECT *, size > 80 AND NOT (stage = 'view' AND day < DATE '2024-01-23') AS warned FROM r WHERE started >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY AND started <= TIMESTAMP '2024-01-30'),
+ k AS (SELECT stage, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY stage ORDER BY started DESC, run DESC) AS k FROM w), z AS (SELECT stage, (max(d) FILTER (WHERE k = 1) - avg(d) FILTER (WHERE k > 1)) / nullif(stddev_pop(d) FILTER (WHERE k > 1), 0) AS z FROM k GROUP BY 1 HAVING count(*) > 5),
+ dd AS (SELECT stage, day, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS n, row_number() OVER (PARTITION BY stage ORDER BY day DESC) AS k FROM w GROUP BY 1, 2), zb AS (SELECT stage, (max(n) FILTER (WHERE k = 1) - avg(n) FILTER (WHERE k > 1)) / nullif(stddev_pop(n) FILTER (WHERE k > 1), 0) AS z FROM dd GROUP BY 1),
+ ag AS (SELECT stage, date_diff('second', max(started), TIMESTAMP '2024-01-30') / 3600.0 AS v FROM r GROUP BY 1), sh AS (SELECT stage, count(*) AS n, avg(warned::INT) AS v, avg(warned::INT) FILTER (WHERE started >= TIMESTAMP '2024-01-23') - avg(warned::INT) FILTER (WHERE started < TIMESTAMP '2024-01-23') AS e FROM w GROUP BY 1),
+ qu AS (SELECT stage, count(*) AS v FROM w WHERE CAST(duration AS DOUBLE) > 130 GROUP BY 1), ra AS (SELECT season, CAST(xg AS DOUBLE) * CASE WHEN season = 2001 THEN 1.1 ELSE 1 END AS v FROM f), fi AS (SELECT season, avg(v) AS a, stddev_pop(v) AS b, quantile_cont(v, 0.95) AS c FROM ra GROUP BY 1), dr AS (SELECT season, greatest(abs(a / lag(a) OVER o - 1), abs(b / lag(b) OVER o - 1), abs(c / lag(c) OVER o - 1)) AS v FROM fi WINDOW o AS (ORDER BY season))
  SELECT 'duration' AS detector, stage, CASE WHEN abs(z) >= 4 THEN 'critical' ELSE 'warn' END AS severity, round(z, 5) AS value FROM z WHERE abs(z) >= 2.5
+ UNION ALL SELECT 'failures', stage, CASE WHEN z >= 4 THEN 'critical' ELSE 'warn' END, round(z, 5) FROM zb WHERE z >= 2.5
+ UNION ALL SELECT 'stale', stage, CASE WHEN v >= 96 THEN 'critical' ELSE 'warn' END, round(v, 5) FROM ag WHERE v >= 36
+ UNION ALL SELECT 'warn_rate', stage, CASE WHEN v >= 0.5 THEN 'critical' ELSE 'warn' END, round(v, 5) FROM sh WHERE v >= 0.15
+ UNION ALL SELECT 'escalation', stage, CASE WHEN e >= 0.4 THEN 'critical' ELSE 'warn' END, round(e, 5) FROM sh WHERE n >= 4 AND e >= 0.15
+ UNION ALL SELECT 'quarantine', stage, CASE WHEN v >= 100 THEN 'critical' ELSE 'warn' END, CAST(v AS DOUBLE) FROM qu WHERE v >= 20
+ UNION ALL SELECT 'drift', 'ratings', CASE WHEN v >= 0.15 THEN 'critical' ELSE 'warn' END, round(v, 5) FROM dr WHERE season = (SELECT max(season) FROM dr) AND v >= 0.08
  UNION ALL SELECT 'missing', s.stage, CASE WHEN n = 0 THEN 'critical' ELSE 'warn' END, CAST(n AS DOUBLE) FROM (SELECT v.stage, count(w.run) AS n FROM (VALUES ('signup'), ('nothing')) AS v(stage) LEFT JOIN w ON w.stage = v.stage GROUP BY 1) s WHERE n < 100000""")
-def d25_all(spark, sf_dir):
-    found = M.anomalies(runs(spark, sf_dir), "2024-01-30 00:00:00", expected={"signup": 100000, "nothing": 100000}).filter("detector in ('duration', 'missing')")
-    return found.select("detector", "stage", "severity", F.round("value", 5).alias("value"))
-
-
-@query("d25_anomalies_all")
-def d25_every(spark, sf_dir):
-    """The findings of all four detectors, bursts of failures and stale stages too."""
-    found = M.anomalies(runs(spark, sf_dir), "2024-01-30 00:00:00", expected={"signup": 100000, "nothing": 100000})
+def d25(spark, sf_dir):
+    """All eight detectors; a tenth more is put on the last season's ratings, so that there is a drift to find."""
+    r = runs(spark, sf_dir).withColumn("warned", (F.col("size") > 80) & ~((F.col("stage") == "view") & (F.col("day") < F.lit("2024-01-23").cast("date"))))
+    held = r.filter("duration > 130").select(F.col("stage").alias("source"), F.col("started").alias("at"))
+    rated = facts(spark, sf_dir).select(F.col("season").alias("vintage"), (F.col("xg").cast("double") * F.when(F.col("season") == 2001, 1.1).otherwise(1.0)).alias("value"))
+    found = M.anomalies(r, "2024-01-30 00:00:00", M.Alarms(warn_share=(0.15, 0.5), escalation=(0.15, 0.4)), {"signup": 100000, "nothing": 100000}, held, rated)
     return found.select("detector", "stage", "severity", F.round("value", 5).alias("value"))
 
 
@@ -58,17 +64,24 @@ def d24_verdicts(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("d22_suite", f"""WITH {FACTS_SQL}, q AS (SELECT player, season, arg_max(opp, (m, -opp)) AS team FROM (SELECT player, season, opp, sum(mins) AS m FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2), l AS (SELECT *, lag(team) OVER (PARTITION BY player ORDER BY season) AS before FROM q),
- v AS (SELECT player, season, round(CAST(sum(xg) AS DOUBLE) / count(*), 6) AS v FROM f GROUP BY 1, 2), j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY player ORDER BY season)) AS d FROM v)
- SELECT 'transfer' AS "check", 'info' AS severity, count(*) AS n FROM l WHERE before <> team UNION ALL SELECT 'jump', CASE WHEN d >= 0.8 THEN 'critical' ELSE 'warn' END, count(*) FROM j WHERE d >= 0.4 GROUP BY 2""")
+@query("d22_suite", f"""WITH {FACTS_SQL}, q AS (SELECT player, season, arg_max(opp, (m, -opp)) AS team FROM (SELECT player, season, opp, sum(mins) AS m FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ g AS (SELECT player, season, team, CASE WHEN player % 25 = 3 THEN 'one name' WHEN (player + season) % 7 = 0 THEN 'Other ' || player WHEN (player + season) % 9 = 0 THEN 'Nobody' ELSE 'p ' || player END AS name, CASE WHEN player % 25 = 3 THEN 'd' ELSE CAST(player + CASE WHEN (player + season) % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS born FROM q),
+ l AS (SELECT *, lag(team) OVER o AS bt, lag(name) OVER o AS bn, lag(born) OVER o AS bb FROM g WINDOW o AS (PARTITION BY player ORDER BY season)),
+ ma AS (SELECT DISTINCT CASE WHEN player % 17 = 0 THEN player + 5000 ELSE player END AS player, season FROM f WHERE (player + season) % 19 <> 0),
+ lo AS (SELECT player, count(*) AS n FROM ma WHERE player NOT IN (SELECT player FROM g) GROUP BY 1),
+ v AS (SELECT player, season, round(CAST(sum(xg) AS DOUBLE) / count(*), 6) AS v FROM f GROUP BY 1, 2), j AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY player ORDER BY season)) AS d FROM v),
+ co AS (SELECT x.season, 100.0 * count(s.fixture) / count(*) AS pct FROM x LEFT JOIN (SELECT DISTINCT fixture FROM f) s ON x.fixture = s.fixture GROUP BY 1), tm AS (SELECT DISTINCT season, team FROM g), en AS (SELECT min(season) AS a, max(season) AS b FROM tm)
+ SELECT 'coverage' AS "check", CASE WHEN pct < 50 THEN 'critical' ELSE 'warn' END AS severity, count(*) AS n FROM co WHERE pct < 80 GROUP BY 2
+ UNION ALL SELECT 'name', CASE WHEN len(list_intersect(string_split(lower(name), ' '), string_split(lower(bn), ' '))) > 0 THEN 'info' ELSE 'warn' END, count(*) FROM l WHERE lower(name) <> lower(bn) GROUP BY 2
+ UNION ALL SELECT 'birth_date', 'critical', count(*) FROM l WHERE born <> bb HAVING count(*) > 0
+ UNION ALL SELECT 'identity', 'critical', count(*) FROM (SELECT season, name, born FROM g GROUP BY ALL HAVING count(DISTINCT player) > 1) HAVING count(*) > 0
+ UNION ALL SELECT 'transfer', 'info', count(*) FROM l WHERE bt <> team HAVING count(*) > 0
+ UNION ALL SELECT 'club', 'info', count(*) FROM (SELECT season, team FROM tm, en WHERE season > a AND NOT EXISTS (SELECT 1 FROM tm t WHERE t.team = tm.team AND t.season = tm.season - 1) UNION ALL SELECT season + 1, team FROM tm, en WHERE season < b AND NOT EXISTS (SELECT 1 FROM tm t WHERE t.team = tm.team AND t.season = tm.season + 1)) HAVING count(*) > 0
+ UNION ALL SELECT 'orphan', CASE WHEN (SELECT sum(n) FROM lo) < 10 THEN 'warn' ELSE 'critical' END, count(*) FROM lo HAVING count(*) > 0
+ UNION ALL SELECT 'idle', 'info', count(*) FROM g WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.player = g.player AND ma.season = g.season) HAVING count(*) > 0
+ UNION ALL SELECT 'jump', CASE WHEN d >= 0.8 THEN 'critical' ELSE 'warn' END, count(*) FROM j WHERE d >= 0.4 GROUP BY 2""")
 def d22_suite(spark, sf_dir):
-    found = season_findings(spark, sf_dir).filter("check in ('transfer', 'jump')")
-    return found.groupBy("check", "severity").agg(F.count("*").alias("n"))
-
-
-@query("d22_suite_all")
-def d22_suite_all(spark, sf_dir):
-    """Findings of all nine checks, counted."""
+    """Findings of all nine checks, counted; names, birth dates, matches and twins are planted in the registry."""
     return season_findings(spark, sf_dir).groupBy("check", "severity").agg(F.count("*").alias("n"))
 
 
@@ -81,8 +94,11 @@ def coverage_of(games, rows):
 def season_findings(spark, sf_dir):
     rows = facts(spark, sf_dir)
     team = rows.groupBy("player", "season", "opp").agg(F.sum("mins").alias("m")).groupBy("player", "season").agg(F.max_by("opp", F.struct("m", -F.col("opp"))).alias("team"))
-    registry = team.select(F.col("player").alias("player_id"), "season", F.concat(F.lit("p"), F.col("player")).alias("name"), "team", F.col("player").cast("string").alias("birth_date"))
-    matches = rows.select(F.col("player").alias("player_id"), "season").distinct()
+    k, both = F.col("player"), F.col("player") + F.col("season")
+    name = F.when(k % 25 == 3, "one name").when(both % 7 == 0, F.concat(F.lit("Other "), k)).when(both % 9 == 0, "Nobody").otherwise(F.concat(F.lit("p "), k))
+    born = F.when(k % 25 == 3, "d").otherwise((k + (both % 11 == 0).cast("int")).cast("string"))
+    registry = team.select(k.alias("player_id"), "season", name.alias("name"), "team", born.alias("birth_date"))
+    matches = rows.filter(both % 19 != 0).select(F.when(k % 17 == 0, k + 5000).otherwise(k).alias("player_id"), "season").distinct()
     ratings = rows.groupBy(F.col("player").alias("player_id"), "season").agg(F.round(mean("xg"), 6).alias("value"))
     return M.across_seasons(registry, matches, ratings, coverage_of(fixtures(spark, sf_dir), rows))
 
@@ -133,13 +149,3 @@ def m23(spark, sf_dir):
     return rounded(got, "median", "low", "least", "top10", "top20")
 
 
-@query("vq_beats_baseline", f"WITH {FACTS_SQL}, q AS (SELECT player, CAST(sum(xg) FILTER (WHERE season < 1999) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE season < 1999) AS rate, CAST(sum(mins) FILTER (WHERE season < 1999) AS DOUBLE) AS volume, CAST(sum(xg) FILTER (WHERE season >= 1999) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE season >= 1999) AS later FROM f GROUP BY 1), k AS (SELECT rank() OVER (ORDER BY rate) AS a, rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0 AS b, rank() OVER (ORDER BY later) AS c FROM q) SELECT 'rate' AS baseline, round(corr(a, c), 6) AS rho FROM k UNION ALL SELECT 'volume', round(corr(b, c), 6) FROM k")
-def vq(spark, sf_dir):
-    """Rank correlation of what came before with what came after, strictly after the cut."""
-    from touchline.operators.windows import spearman
-
-    early = F.col("season") < 1999
-    part = lambda where, c: F.when(where, F.col(c))
-    q = facts(spark, sf_dir).groupBy("player").agg(per90(part(early, "xg"), part(early, "mins")).alias("rate"), F.sum(part(early, "mins")).cast("double").alias("volume"), per90(part(~early, "xg"), part(~early, "mins")).alias("later"))
-    long = q.unpivot(["player", "later"], ["rate", "volume"], "baseline", "x")
-    return spearman(long, "x", "later", ["baseline"]).select("baseline", F.round("rho", 6).alias("rho"))

@@ -246,15 +246,20 @@ def d3(spark, sf_dir):
     return Q.report([Q.finding(Q.orphans(o, "k", table(spark, sf_dir, "customer"), "c_custkey"), "orders.customer", "critical"), Q.finding(Q.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey"), "lineitem.orders", "critical")])
 
 
-@query("d4_duplicate_names", "SELECT lower(p_name) AS name, p_brand AS brand, count(DISTINCT p_partkey) AS ids FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_partkey) > 1")
+@query("d4_duplicate_names", "WITH k AS (SELECT p_partkey AS id, p_brand AS team, lower(trim(p_name)) AS name, 'name' AS kind FROM part UNION SELECT p_partkey, p_brand, lower(trim(p_name)) || ' ' || lower(split_part(p_type, ' ', 1)), 'full' FROM part) SELECT kind, name, team, count(DISTINCT id) AS ids FROM k GROUP BY ALL HAVING count(DISTINCT id) > 1")
 def d4(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name"), F.col("p_brand").alias("brand")).agg(F.countDistinct("p_partkey").alias("ids")).filter("ids > 1")
+    """One name, or name and surname, in one team under several ids; both keys of a row at once."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), F.col("p_name"), F.lit("​ ")).alias("name"), F.split("p_type", " ")[0].alias("surname"), F.col("p_brand").alias("team"))
+    return Q.same_names(p, T.fold_unicode)
 
 
-@query("d7_aggregate_mismatch", f"WITH {FACTS_SQL}, s AS (SELECT player, sum(mins) AS m FROM f WHERE season = 1997 GROUP BY 1) SELECT p.player, CAST(p.player * 25 AS BIGINT) AS stated, CAST(coalesce(m, 0) AS BIGINT) AS summed FROM p LEFT JOIN s ON s.player = p.player WHERE abs(p.player * 25 - coalesce(m, 0)) > 30")
+@query("d7_aggregate_mismatch", f"WITH {FACTS_SQL}, s AS (SELECT player, sum(mins) AS m, CAST(sum(xg) AS DOUBLE) AS x FROM f WHERE season = 1997 GROUP BY 1), c AS (SELECT p.player, CAST(p.player * 25 AS DOUBLE) AS sm, CAST(p.player AS DOUBLE) AS sx, CAST(coalesce(m, 0) AS DOUBLE) AS m, coalesce(x, 0) AS x FROM p LEFT JOIN s ON s.player = p.player) SELECT player, 'CON-001' AS code, sm AS stated, m AS summed FROM c WHERE abs(sm - m) > 30 UNION ALL SELECT player, 'CON-003', sx, round(x, 6) FROM c WHERE abs(sx - x) > 0.5")
 def d7(spark, sf_dir):
-    p = players(spark, sf_dir).select("player", (F.col("player") * 25).alias("stated"))
-    return Q.aggregate_mismatch(p, facts(spark, sf_dir), "player", "stated", F.col("mins"), F.col("season") == 1997, 30)
+    """Stated minutes and expected goals against the sums of the facts."""
+    p = players(spark, sf_dir).select("player", (F.col("player") * 25).cast("double").alias("mins_"), F.col("player").cast("double").alias("xg_"))
+    rows, of_season = facts(spark, sf_dir), F.col("season") == 1997
+    parts = [Q.aggregate_mismatch(p, rows, "player", stated, value, of_season, tolerance).select("player", F.lit(code).alias("code"), F.col(stated).alias("stated"), F.round(F.col("summed").cast("double"), 6).alias("summed")) for code, stated, value, tolerance in (("CON-001", "mins_", F.col("mins"), 30), ("CON-003", "xg_", F.col("xg"), 0.5))]
+    return Q.report(parts)
 
 
 @query("d8_zero_games", f"WITH {PLAYERS_SQL} SELECT player FROM p WHERE balance < 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = player)")
@@ -268,17 +273,30 @@ def d9(spark, sf_dir):
     return fixtures(spark, sf_dir).groupBy("season", "rnd").agg(F.count("*").alias("n")).filter("n <> 180")
 
 
-@query("d10_temporal", "SELECT 'shipped before order' AS code, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT 'future', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01'")
+@query("d10_temporal", "SELECT 'TMP-001' AS code, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01' UNION ALL SELECT 'TMP-002', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT 'TMP-003', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT l_shipdate BETWEEN make_timestamp(CAST(year(o_orderdate) AS BIGINT), 1, 1, 0, 0, 0.0) AND make_timestamp(CAST(year(o_orderdate) + 1 AS BIGINT), 12, 31, 0, 0, 0.0)")
 def d10(spark, sf_dir):
+    """Fixtures in the future, ends before beginnings, and dates outside the season."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    early = li.join(o, li["l_orderkey"] == o["o_orderkey"]).filter("l_shipdate < o_orderdate").agg(F.count("*").alias("n")).select(F.lit("shipped before order").alias("code"), "n")
-    return early.union(o.filter("o_orderdate >= timestamp_ntz '2001-06-01'").agg(F.count("*").alias("n")).select(F.lit("future"), "n"))
+    both = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    year = F.year("o_orderdate")
+    inside = F.col("l_shipdate").between(F.make_date(year, F.lit(1), F.lit(1)).cast("timestamp_ntz"), F.make_date(year + 1, F.lit(12), F.lit(31)).cast("timestamp_ntz"))
+    future = Q.count_broken(o, {"TMP-001": F.col("o_orderdate") >= F.lit("2001-06-01").cast("timestamp_ntz")})
+    return future.union(Q.count_broken(both, {"TMP-002": F.col("l_shipdate") < F.col("o_orderdate"), "TMP-003": ~inside}))
 
 
-@query("d13_metric_checks", f"{LEADERBOARD_SQL}, z AS (SELECT player, g * 90 / m AS x, h * 90 / m AS y FROM a WHERE m >= 300) SELECT 'xg90' AS field, count(*) FILTER (WHERE NOT x BETWEEN 9 AND 9.8) AS n FROM z UNION ALL SELECT 'xa90', count(*) FILTER (WHERE NOT y BETWEEN 7 AND 7.8) FROM z")
+@query("d13_metric_checks", f"{LEADERBOARD_SQL}, z AS (SELECT a.*, (SELECT CAST(sum(goal) AS BIGINT) FROM f WHERE f.player = a.player AND mins > 0) AS q, (SELECT count(*) FROM f WHERE f.player = a.player AND mins > 0) - CASE WHEN player % 9 = 4 THEN 600 ELSE 0 END AS s, 10 + player % 40 AS age FROM a), t AS (SELECT team, fixture, CAST(sum(xg) AS DOUBLE) AS x FROM f GROUP BY 1, 2) SELECT 'MET-001' AS code, count(*) AS n FROM z WHERE m >= 300 AND NOT g * 90 / m BETWEEN 9 AND 9.8 UNION ALL SELECT 'MET-002', count(*) FROM z WHERE m >= 300 AND NOT h * 90 / m BETWEEN 7 AND 7.8 UNION ALL SELECT 'MET-003', count(*) FROM z WHERE m >= 300 AND NOT q * 90.0 / m BETWEEN 0 AND 1.2 UNION ALL SELECT 'MET-004', count(*) FROM z WHERE q > s UNION ALL SELECT 'MET-005', count(*) FROM z WHERE NOT m BETWEEN 0 AND 15500 UNION ALL SELECT 'MET-006', count(*) FROM z WHERE m >= 500 AND g > 1 AND NOT q / g BETWEEN 0 AND 0.13 UNION ALL SELECT 'MET-008', count(*) FROM z WHERE NOT age BETWEEN 15 AND 45 UNION ALL SELECT 'MET-010', count(*) FROM t WHERE NOT x BETWEEN 0 AND 7")
 def d13(spark, sf_dir):
-    t = player_totals(spark, sf_dir).filter("mins >= 300").select((F.col("xg") * 90 / F.col("mins")).alias("x"), (F.col("xa") * 90 / F.col("mins")).alias("y"))
-    return Q.out_of_range(t, {"xg90": ("x", 9, 9.8), "xa90": ("y", 7, 7.8)})
+    """Eight plausibility checks of rates, goals against shots, minutes, conversion, age and a team's output, each behind its least minutes."""
+    rows = facts(spark, sf_dir)
+    t = player_totals(spark, sf_dir).join(rows.filter("mins > 0").groupBy("player").agg(F.count("*").alias("lines")), "player")
+    t = t.withColumn("shots", F.col("lines") - F.when(F.col("player") % 9 == 4, 600).otherwise(0)).withColumn("age", 10 + F.col("player") % 40)
+    m, per = F.col("mins"), lambda c: F.col(c) * 90 / F.col("mins")
+    checks = {
+        "MET-001": (m >= 300) & ~per("xg").between(9, 9.8), "MET-002": (m >= 300) & ~per("xa").between(7, 7.8), "MET-003": (m >= 300) & ~per("goals").between(0, 1.2),
+        "MET-004": F.col("goals") > F.col("shots"), "MET-005": ~m.between(0, 15500), "MET-006": (m >= 500) & (F.col("xg") > 1) & ~(F.col("goals") / F.col("xg")).between(0, 0.13), "MET-008": ~F.col("age").between(15, 45),
+    }
+    team = rows.groupBy("team", "fixture").agg(total("xg").alias("x"))
+    return Q.count_broken(t, checks).union(Q.count_broken(team, {"MET-010": ~F.col("x").between(0, 7)}))
 
 
 HOMONYM_SQL = """t AS (SELECT l_suppkey AS player, l_orderkey AS fixture, CAST(sum(l_quantity) AS BIGINT) AS mins, count(*) FILTER (WHERE l_returnflag = 'R') AS goals, CAST(sum(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) AS xg, CAST(sum(CAST(l_tax AS DECIMAL(9,2))) AS DOUBLE) AS xa FROM lineitem GROUP BY 1, 2),
@@ -379,6 +397,15 @@ def d21c(spark, sf_dir):
     return _providers(spark, sf_dir)[1]
 
 
+@query("d21_categorical", "WITH q AS (SELECT p_partkey AS part, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS a, CASE WHEN p_partkey % 3 = 0 THEN 'Brand#0' ELSE ' ' || lower(p_brand) END AS b FROM part) SELECT part, coalesce(a, b) AS brand, a IS NOT NULL AND lower(trim(a)) <> lower(trim(b)) AS conflict, CASE WHEN a IS NULL THEN 'second' ELSE 'first,second' END AS seen FROM q")
+def d21_text(spark, sf_dir):
+    """Text columns: the first provider's value, whether the others differ beyond case and space, and who was seen."""
+    p = table(spark, sf_dir, "part")
+    a = p.select(F.col("p_partkey").alias("part"), F.lit("first").alias("provider"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")).alias("brand"))
+    b = p.select(F.col("p_partkey").alias("part"), F.lit("second").alias("provider"), F.when(F.col("p_partkey") % 3 == 0, "Brand#0").otherwise(F.concat(F.lit(" "), F.lower("p_brand"))).alias("brand"))
+    return Q.merge_text(a.union(b), ["part"], "brand", ["first", "second"])
+
+
 @query("d22_transfers", f"WITH {FACTS_SQL}, q AS (SELECT player, season, arg_max(opp, (m, -opp)) AS team FROM (SELECT player, season, opp, sum(mins) AS m FROM f GROUP BY 1, 2, 3) GROUP BY 1, 2), l AS (SELECT *, lag(team) OVER (PARTITION BY player ORDER BY season) AS before FROM q) SELECT player, season, before, team FROM l WHERE before <> team")
 def d22(spark, sf_dir):
     q = facts(spark, sf_dir).groupBy("player", "season", "opp").agg(F.sum("mins").alias("m"))
@@ -386,11 +413,13 @@ def d22(spark, sf_dir):
     return q.withColumn("before", F.lag("team").over(Window.partitionBy("player").orderBy("season"))).filter("before <> team").select("player", "season", "before", "team")
 
 
-@query("d23_registry_status", f"WITH {FIXTURES_SQL}, h AS (SELECT DISTINCT season, rnd FROM x WHERE (season + rnd) % 7 <> 0) SELECT season, list_sort(list(rnd)) AS available, CAST(12 - count(*) AS INT) AS missing, round(count(*) / 12.0 * 100, 2) AS coverage FROM h GROUP BY 1")
+@query("d23_registry_status", f"WITH {FIXTURES_SQL}, h AS (SELECT season, rnd, bit_xor(fixture) AS sum, max(day) AS last FROM x WHERE (season + rnd) % 7 <> 0 GROUP BY 1, 2), e AS (SELECT 1996 + user_id % 6 AS season, count(*) AS runs FROM events GROUP BY 1) SELECT h.season, list_sort(list(rnd)) AS available, list_sort(list_filter(range(1, 13), lambda k: NOT list_contains(list(rnd), k))) AS missing, round(count(*) / 12.0 * 100, 2) AS coverage, CASE WHEN bool_and(sum = CASE WHEN rnd = 5 AND h.season = 1998 THEN 0 ELSE sum END) THEN 'ok' ELSE 'fail' END AS checksum, date_diff('hour', date_trunc('hour', max(last)), TIMESTAMP '2002-06-01') AS stale_hours, coalesce(any_value(runs), 0) AS runs FROM h LEFT JOIN e ON e.season = h.season GROUP BY h.season")
 def d23(spark, sf_dir):
-    have = fixtures(spark, sf_dir).filter("(season + rnd) % 7 <> 0").groupBy("season").agg(F.sort_array(F.collect_set("rnd")).alias("available"))
-    missing = F.size(F.array_except(F.sequence(F.lit(1), F.lit(12)), "available"))
-    return have.select("season", "available", missing.alias("missing"), F.round(F.size("available") / F.lit(12.0) * 100, 2).alias("coverage"))
+    """Rounds that are there and missing, coverage, whether checksums hold, hours since the last fixture, and runs of the season."""
+    have = fixtures(spark, sf_dir).filter("(season + rnd) % 7 <> 0").groupBy("season", "rnd").agg(F.bit_xor("fixture").alias("sum"), F.max("day").alias("last"))
+    stated = have.select("season", "rnd", F.when((F.col("season") == 1998) & (F.col("rnd") == 5), F.lit(0)).otherwise(F.col("sum")).alias("stated"))
+    ran = table(spark, sf_dir, "events").groupBy((1996 + F.col("user_id") % 6).cast("int").alias("season")).agg(F.count("*").alias("runs"))
+    return P.season_status(have, stated, ran, 12, "2002-06-01 00:00:00")
 
 
 @query("d24_regression_diff", f"{PAIR_SQL}, j AS (SELECT player, x, x * 1.02 + CASE WHEN player % 9 = 0 THEN 0.2 ELSE 0 END AS n FROM z), k AS (SELECT *, rank() OVER (ORDER BY x) AS r, rank() OVER (ORDER BY n) AS s, row_number() OVER (ORDER BY x DESC, player) AS i, row_number() OVER (ORDER BY n DESC, player) AS h FROM j), g AS (SELECT corr(r, s) AS rho, count(*) FILTER (WHERE i <= 10 AND h <= 10) AS top10, count(*) FILTER (WHERE i <= 20 AND h <= 20) AS top20, avg(CASE WHEN abs(n - x) >= 0.15 THEN 1.0 ELSE 0 END) AS large_share, max(abs(n - x)) FILTER (WHERE i = 1) AS top_delta, abs(avg(n) - avg(x)) / abs(avg(x)) AS mean_shift, abs(stddev_pop(n) - stddev_pop(x)) / stddev_pop(x) AS sd_shift, abs(quantile_cont(n, 0.95) - quantile_cont(x, 0.95)) / abs(quantile_cont(x, 0.95)) AS p95_shift FROM k) SELECT round(rho, 6) AS rho, top10, top20, round(large_share, 6) AS large_share, round(top_delta, 6) AS top_delta, round(mean_shift, 6) AS mean_shift, round(sd_shift, 6) AS sd_shift, round(p95_shift, 6) AS p95_shift, CASE WHEN rho < 0.95 OR top10 < 8 OR top20 < 16 OR large_share > 0.10 OR top_delta > 0.05 OR mean_shift > 0.10 OR sd_shift > 0.15 OR p95_shift > 0.15 THEN 'CRITICAL' WHEN rho < 0.97 OR top10 < 9 OR top20 < 18 OR large_share > 0.05 OR top_delta > 0.03 OR mean_shift > 0.05 OR sd_shift > 0.08 OR p95_shift > 0.08 THEN 'WARNING' ELSE 'SAFE' END AS verdict FROM g")
@@ -416,6 +445,17 @@ def d27_all(spark, sf_dir):
     return r.filter("stage = 'error'").join(kids, F.col("run") == F.col("parent"), "left").groupBy("run").agg(F.count("child").alias("children"))
 
 
+@query("d27_consumers", "WITH o AS (SELECT event_id AS run, 'p' || event_id % 50 AS path FROM events WHERE event_type = 'purchase'), i AS (SELECT event_id AS run, 'p' || event_id % 77 AS path FROM events WHERE event_type = 'view'), c AS (SELECT o.path, count(DISTINCT o.run) AS producers, count(DISTINCT i.run) AS consumers FROM o LEFT JOIN i USING (path) GROUP BY 1) SELECT path, producers, consumers, path LIKE 'p1%' AS like_p1, consumers = 0 AS orphan FROM c")
+def d27_consumers(spark, sf_dir):
+    """Who made and who reads each artifact, which match a pattern, and which nobody reads."""
+    e = table(spark, sf_dir, "events")
+    path = lambda n: F.concat(F.lit("p"), F.col("event_id") % n).alias("path")
+    made = e.filter("event_type = 'purchase'").groupBy(path(50)).agg(F.countDistinct("event_id").alias("producers"))
+    used = e.filter("event_type = 'view'").groupBy(path(77)).agg(F.countDistinct("event_id").alias("consumers"))
+    both = made.join(used, "path", "left").withColumn("consumers", F.coalesce("consumers", F.lit(0)))
+    return both.select("path", "producers", "consumers", F.col("path").like("p1%").alias("like_p1"), (F.col("consumers") == 0).alias("orphan"))
+
+
 @query("d28_lineage_closure", "WITH RECURSIVE e AS (SELECT event_id // 10 AS a, event_id AS b FROM events UNION SELECT event_id, event_id // 7 FROM events WHERE event_id % 3 = 0), c AS (SELECT CAST(7 AS BIGINT) AS node UNION SELECT e.b FROM e JOIN c ON e.a = c.node) SELECT node FROM c")
 def d28(spark, sf_dir):
     """All that follows from run 7, where run r comes from run r / 10 and every third run leads back to run r / 7: a graph with cycles and diamonds."""
@@ -424,17 +464,25 @@ def d28(spark, sf_dir):
     return P.closure(edges, spark.createDataFrame([(7,)], "node long"))
 
 
-@query("d29_lineage_edges", "SELECT DISTINCT event_type AS a, 'user ' || user_id AS b FROM events UNION SELECT 'user ' || user_id, 'day ' || day(ts) FROM events")
+@query("d29_lineage_edges", "WITH e AS (SELECT event_type AS a, 'user ' || user_id AS b, 'stage' AS kind FROM events UNION SELECT 'user ' || user_id, 'day ' || day(ts), 'made' FROM events UNION SELECT 'day ' || day(ts), 'user ' || (user_id + 1), 'read' FROM events WHERE event_id % 3 = 0) SELECT kind, a, b, replace(a, ' ', '_') || ' -->|' || kind || '| ' || replace(b, ' ', '_') AS line FROM e")
 def d29(spark, sf_dir):
+    """Edges of three kinds without repeats, each with its line of a flow chart."""
     e = table(spark, sf_dir, "events")
-    user = F.concat(F.lit("user "), F.col("user_id"))
-    return e.select(F.col("event_type").alias("a"), user.alias("b")).union(e.select(user, F.concat(F.lit("day "), F.dayofmonth("ts")))).distinct()
+    user, day = F.concat(F.lit("user "), F.col("user_id")), F.concat(F.lit("day "), F.dayofmonth("ts"))
+    three = [e.select(F.col("event_type").alias("a"), user.alias("b"), F.lit("stage").alias("kind")), e.select(user.alias("a"), day.alias("b"), F.lit("made").alias("kind")), e.filter("event_id % 3 = 0").select(day.alias("a"), F.concat(F.lit("user "), F.col("user_id") + 1).alias("b"), F.lit("read").alias("kind"))]
+    return P.flow_chart(Q.report(three).distinct())
 
 
-@query("d30_retention", "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-17') AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-17') AS dropped FROM events")
+@query("d30_retention", "SELECT kind, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-02-01' - keep * INTERVAL 1 DAY) AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '2024-02-01' - keep * INTERVAL 1 DAY) AS dropped, min(ts) FILTER (WHERE ts >= TIMESTAMP '2024-02-01' - keep * INTERVAL 1 DAY) AS oldest FROM events JOIN (VALUES ('view', 'lineage', 20), ('click', 'metrics', 10), ('error', 'quarantine', 5)) AS k(event_type, kind, keep) USING (event_type) GROUP BY 1")
 def d30(spark, sf_dir):
-    old = F.col("ts") < F.lit("2024-01-17").cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("dropped"))
+    """Each kind of record keeps for its own number of days; nothing is written, the rest is looked at."""
+    from .lineage import retain
+
+    e, parts = table(spark, sf_dir, "events"), []
+    for stage, kind, days in (("view", "lineage", 20), ("click", "metrics", 10), ("error", "quarantine", 5)):
+        kept, dropped = retain(e.filter(F.col("event_type") == stage), "ts", "2024-02-01 00:00:00", days)
+        parts.append(kept.select(F.lit(kind).alias("kind"), "ts", F.lit(True).alias("stays")).union(dropped.select(F.lit(kind), "ts", F.lit(False))))
+    return Q.report(parts).groupBy("kind").agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("dropped"), F.min(F.when(F.col("stays"), F.col("ts"))).alias("oldest"))
 
 
 @query("d34_stale_values", "SELECT count(*) FILTER (WHERE p_size = p_size % 25) AS same, count(*) AS comparable FROM part WHERE p_size IS NOT NULL")
@@ -442,58 +490,17 @@ def d34(spark, sf_dir):
     return table(spark, sf_dir, "part").filter("p_size is not null").agg(F.count_if(F.col("p_size") == F.col("p_size") % 25).alias("same"), F.count("*").alias("comparable"))
 
 
-@query("vc_split_half", f"WITH {FACTS_SQL}, q AS (SELECT player, role, CAST(sum(xg) FILTER (WHERE rnd <= 6) AS DOUBLE) / sum(mins) FILTER (WHERE rnd <= 6) AS a, CAST(sum(xg) FILTER (WHERE rnd > 6) AS DOUBLE) / sum(mins) FILTER (WHERE rnd > 6) AS b, count(*) FILTER (WHERE rnd <= 6) AS m, count(*) FILTER (WHERE rnd > 6) AS n FROM f WHERE season = 1998 GROUP BY 1, 2), k AS (SELECT a, b, rank() OVER (ORDER BY a) AS u, rank() OVER (ORDER BY b) AS v FROM q WHERE m >= 4 AND n >= 4) SELECT round(corr(a, b), 6) AS r, round(corr(u, v), 6) AS rho, round(regr_slope(b, a), 6) AS slope, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, count(*) AS n FROM k")
-def vc(spark, sf_dir):
-    early = F.col("rnd") <= 6
-
-    def rate(where):
-        return F.try_divide(total(F.when(where, F.col("xg"))), total(F.when(where, F.col("mins"))))
-
-    q = facts(spark, sf_dir).filter("season = 1998").groupBy("player").agg(rate(early).alias("a"), rate(~early).alias("b"), F.count_if(early).alias("m"), F.count_if(~early).alias("n")).filter("m >= 4 and n >= 4")
-    q = rank_average(rank_average(q, "a", [], "u", floor=False), "b", [], "v", floor=False)
-    return q.agg(F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.corr("u", "v"), 6).alias("rho"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.sqrt(F.avg(F.pow(F.col("b") - F.col("a"), 2))), 6).alias("rmse"), F.count("*").alias("n"))
-
-
 @query("vb_top_ten", f"{PAIR_SQL}, u AS (SELECT player, row_number() OVER (ORDER BY x DESC, player) AS k FROM z), v AS (SELECT player, row_number() OVER (ORDER BY y DESC, player) AS k FROM z) SELECT u.player, u.k AS place, v.k AS other FROM u JOIN v USING (player) WHERE u.k <= 10 AND abs(u.k - v.k) >= 4")
 def vb(spark, sf_dir):
     z = place(place(pairs(spark, sf_dir), "x", ["player"], "place"), "y", ["player"], "other")
     return z.filter((F.col("place") <= 10) & (F.abs(F.col("place") - F.col("other")) >= 4)).select("player", "place", "other")
 
 
-@query("vo_ablation", f"{PAIR_SQL}, w AS (SELECT player, 0.32 * x + 0.20 * y AS full_, 0.20 * y AS no_x, 0.32 * x AS no_y FROM z), k AS (SELECT rank() OVER (ORDER BY full_) AS a, rank() OVER (ORDER BY no_x) AS b, rank() OVER (ORDER BY no_y) AS c FROM w) SELECT 'x' AS dropped, round(corr(a, b), 6) AS rho FROM k UNION ALL SELECT 'y', round(corr(a, c), 6) FROM k")
-def vo(spark, sf_dir):
-    """The index without one dimension at a time against the whole index."""
-    weights = spark.createDataFrame([("x", 0.0, 0.20), ("y", 0.32, 0.0)], "dropped string, wx double, wy double")
-    rows = pairs(spark, sf_dir).join(weights).select("dropped", (0.32 * F.col("x") + 0.20 * F.col("y")).alias("a"), (F.col("wx") * F.col("x") + F.col("wy") * F.col("y")).alias("b"))
-    return spearman(rows, "a", "b", ["dropped"]).select("dropped", F.round("rho", 6).alias("rho"))
-
-
-@query("vm_calibration", f"{PAIR_SQL}, e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM z), b AS (SELECT CAST(1 + len(list_filter(e, lambda q: q < x)) AS INT) AS bin, avg(y) AS y FROM z CROSS JOIN e GROUP BY 1) SELECT round(regr_slope(y, bin), 6) AS slope, round(corr(y, bin), 6) AS r, count(*) AS bins FROM b")
-def vm(spark, sf_dir):
-    b = S.quantile_bins(pairs(spark, sf_dir), "x", 10).groupBy("bin").agg(F.avg("y").alias("y"))
-    return b.agg(F.round(F.regr_slope("y", "bin"), 6).alias("slope"), F.round(F.corr("y", "bin"), 6).alias("r"), F.count("*").alias("bins"))
-
-
-@query("vl_convergence", f"WITH {FACTS_SQL}, n AS (SELECT unnest([3, 6, 9, 12]) AS as_of), q AS (SELECT as_of, player, CAST(sum(xg) AS DOUBLE) / sum(mins) AS v FROM f JOIN n ON rnd <= as_of WHERE season = 1999 GROUP BY 1, 2), j AS (SELECT a.as_of, a.v AS x, b.v AS y FROM q a JOIN q b ON a.player = b.player AND b.as_of = 12), k AS (SELECT as_of, rank() OVER (PARTITION BY as_of ORDER BY x) AS u, rank() OVER (PARTITION BY as_of ORDER BY y) AS v FROM j) SELECT as_of, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 20")
-def vl(spark, sf_dir):
-    """Each vintage against the last: one join of facts with the rounds they count for serves all vintages."""
-    rows = facts(spark, sf_dir).filter("season = 1999").withColumn("as_of", F.explode(F.filter(F.array(*map(F.lit, (3, 6, 9, 12))), lambda k: k >= F.col("rnd"))))
-    q = rows.groupBy("as_of", "player").agg((total("xg") / total("mins")).alias("v"))
-    last = q.filter("as_of = 12").select("player", F.col("v").alias("y"))
-    return spearman(q.join(last, "player").withColumnRenamed("v", "x"), "x", "y", ["as_of"]).filter("n >= 20").select("as_of", F.round("rho", 6).alias("rho"), "n")
-
-
 @query("vn_by_role", f"{PAIR_SQL}, k AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY x) AS u, rank() OVER (PARTITION BY role ORDER BY y) AS v FROM z) SELECT role, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 8")
 def vn(spark, sf_dir):
     return spearman(pairs(spark, sf_dir), "x", "y", ["role"]).filter("n >= 8").select("role", F.round("rho", 6).alias("rho"), "n")
 
 
-@query("vp_persistence", f"WITH {FACTS_SQL}, q AS (SELECT player, season, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS v FROM f GROUP BY 1, 2) SELECT player, round(avg(v), 6) AS mean_v, round(min(v), 6) AS min_v, count(*) AS n FROM q GROUP BY 1 HAVING count(*) >= 3")
-def vp(spark, sf_dir):
-    q = facts(spark, sf_dir).groupBy("player", "season").agg(per90("xg", "mins").alias("v"))
-    return q.groupBy("player").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.min("v"), 6).alias("min_v"), F.count("*").alias("n")).filter("n >= 3")
-
-
 POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90 / m, 4) AS score, CAST(balance / 1000 AS DECIMAL(9,2)) AS cost FROM p JOIN a ON p.player = a.player WHERE balance > 0), t AS (SELECT a.id AS a, b.id AS b, d.id AS c, CAST(CAST(a.score AS DECIMAL(9,4)) + CAST(b.score AS DECIMAL(9,4)) + CAST(d.score AS DECIMAL(9,4)) AS DOUBLE) AS score, CAST(a.cost + b.cost + d.cost AS DOUBLE) AS cost FROM c a JOIN c b ON a.id < b.id JOIN c d ON b.id < d.id WHERE NOT (a.role = b.role AND b.role = d.role))"
 
 
