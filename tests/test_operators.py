@@ -169,6 +169,10 @@ def test_entity_cascade(spark):
     assert got["jose", 1] == (9, "OK") and got["ana", 2] == (3, "OK")
     assert got["JOSÉ", None] == (9, "OK") and got["ana", None] == (None, "AMBIGUOUS")
     assert got["jose", 4] == (None, "AMBIGUOUS") and got["who", 1] == (None, "NOT_FOUND")
+    rows = {(r.name, r.team): r for r in Q.resolve_entities(names, registry, T.fold_unicode).collect()}
+    assert rows["ana", None].candidates == [2, 3] and rows["who", 1].candidates == [] and rows["jose", 1].candidates is None
+    spelled = Q.resolve_entities(spark.createDataFrame([("Ana", "inter  FC")], "name string, team string"), spark.createDataFrame([(5, "ana", "Intér FC", 0)], "id int, name string, team string, at int"), T.fold_unicode).first()
+    assert (spelled.id, spelled.confidence) == (5, 0.95)
 
 
 def test_findings_and_health(spark):
@@ -286,6 +290,54 @@ def test_text_functions(spark):
     assert tuple(shown) == ("Ana Silva", "Ana Silva", "1999-00")
 
 
+def test_role_keys_and_reasons(spark):
+    row = spark.createDataFrame([("  D&#39;Ámico &amp; S\u00f8n\u6f22 ", "a\tb\x07 C\u200bd\u0301")], "a string, b string").select(T.role_key("a").alias("k"), T.fold_audit("b").alias("f")).first()
+    assert (row.k, row.f) == ("d'amico & sn", "a b cd")
+    names = spark.createDataFrame([(1, "plain name"), (2, "no\u00a0break"), (3, " ends"), (4, "so\u00adft\u200b"), (5, "bell\x07"), (6, None)], "k int, n string")
+    got = {r.k: r.i for r in names.select("k", T.invisible(F.col("n")).alias("i")).collect()}
+    assert got == {1: [], 2: ["nbsp"], 3: ["space"], 4: ["shy", "zero-width"], 5: ["control"], 6: []}
+    shown = spark.range(1).select(T.market_name(F.lit("Łukasz Søn Søn"))).first()[0]
+    assert shown == "lukasz son"
+
+
+def test_fine_roles_and_prospects(spark):
+    rows = spark.createDataFrame([(1, 9, 70), (1, 7, 30), (2, 9, 80), (2, 7, 10), (2, 3, 10), (3, 4, 5), (3, 2, 5)], "player int, box int, m int")
+    got = {r.player: (r.box, r.share) for r in R.fine_role(rows, 9, 7, 8).collect()}
+    assert got == {1: (8, 1.0), 2: (9, 0.8), 3: (2, 0.5)}
+    row = spark.range(1).select(R.prospect(F.lit(2.0), F.lit(0.5), F.lit(20.0)), R.prospect(F.lit(2.0), F.lit(None).cast("double"), F.lit(27.0)), R.prospect(F.lit(0.0), F.lit(0.5), F.lit(20.0))).first()
+    assert tuple(row) == (1.0, 2.0, None)
+
+
+def test_settings():
+    from touchline.sources import settings
+
+    given = settings.read("# gate\nrho:\n  warn: 0.97  # low\n  critical: 0.95\nstages: [a, b]\nname: 'x y'\non: true\nnone:\n")
+    assert given == {"rho": {"warn": 0.97, "critical": 0.95}, "stages": ["a", "b"], "name": "x y", "on": True, "none": {}}
+    assert settings.over({"rho": {"warn": 1, "critical": 2}, "k": 3}, {"rho": {"warn": 0}}) == {"rho": {"warn": 0, "critical": 2}, "k": 3}
+    with pytest.raises(KeyError):
+        settings.over({"a": 1}, {"b": 2})
+    with pytest.raises(ValueError):
+        settings.read("no name here")
+
+
+def test_scores_fall_back_where_peers_are_few(spark):
+    rows = [("total", float(v)) for v in range(20)] + [("home", 3.0), ("home", 8.0)]
+    df = spark.createDataFrame(rows, "ctx string, v double").withColumn("role", F.lit("DEF"))
+    got = {(r.ctx, r.v): r.z for r in W.robust_z(df, "v", ["ctx", "role"], "z", fallback=("ctx", "total")).collect()}
+    assert got["home", 3.0] == pytest.approx(got["total", 3.0]) and got["home", 8.0] == pytest.approx(got["total", 8.0])
+
+
+def test_components_of_the_scores_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(60, 3)) @ np.array([[1, 0.6, 0], [0, 1, 0.3], [0, 0, 1]])
+    explained, _ = S.principal_components(spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double"), ["a", "b", "c"], 3)
+    z = (data - data.mean(0)) / data.std(0, ddof=1)
+    values = np.linalg.svd(z, compute_uv=False) ** 2
+    assert explained == pytest.approx(list(values / values.sum()))
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), "1997"), (2, 2.5, "1998")], "k int, v double, season string")
     sinks.write_payload(df, str(tmp_path / "p"), ["season"])

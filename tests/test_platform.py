@@ -80,7 +80,7 @@ def test_detectors_fire_and_stay_quiet(spark):
     assert found["duration", "a"] == "critical" and ("duration", "b") not in found
     assert found["stale", "c"] == "critical" and ("stale", "a") not in found
     assert found["missing", "d"] == "critical" and ("missing", "a") not in found
-    assert found["failures", "b"] == "warn" or ("failures", "b") not in found
+    assert ("failures", "b") not in found  # days without failures do not vary
     assert found["warn_rate", "b"] == "warn" and ("warn_rate", "a") not in found
     assert found["escalation", "b"] == "critical" and ("escalation", "a") not in found
     assert found["quarantine", "map"] == "warn" and ("quarantine", "old") not in found

@@ -12,6 +12,7 @@ import touchline.plans.monitoring  # noqa: F401
 import touchline.plans.rating  # noqa: F401
 import touchline.plans.scans  # noqa: F401
 import touchline.plans.statistics  # noqa: F401
+import touchline.plans.stores  # noqa: F401
 import touchline.plans.validation  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -35,6 +36,31 @@ def fold_unicode(names: pd.Series) -> pd.Series:
     return names.map(one)
 
 
+@F.pandas_udf(StringType())
+def role_key(names: pd.Series) -> pd.Series:
+    """Character references decoded, marks off, what is not ASCII dropped, lower case, trimmed; null stays null."""
+    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", html.unescape(s)).encode("ascii", "ignore").decode().lower().strip())
+
+
+@F.pandas_udf(StringType())
+def fold_audit(names: pd.Series) -> pd.Series:
+    """As fold_unicode, with control characters as spaces."""
+
+    def one(s: str | None) -> str | None:
+        if s is None:
+            return None
+        spaced = "".join(" " if unicodedata.category(c) == "Cc" else c for c in unicodedata.normalize("NFKD", s))
+        return " ".join("".join(c for c in spaced if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").lower().split())
+
+    return names.map(one)
+
+
+def invisible(name: Column) -> Column:
+    """Array of the reasons why a name has to be cleaned: no-break spaces, soft hyphens, zero-width characters, controls, spaces at its ends or doubled."""
+    reasons = {"nbsp": "\\u00A0", "shy": "\\u00AD", "zero-width": "[\\u200B-\\u200F\\u2060\\uFEFF]", "control": "[\\x00-\\x1F\\x7F]", "space": "^ | $|  "}
+    return F.array_compact(F.array(*[F.when(name.rlike(pattern), F.lit(code)) for code, pattern in reasons.items()]))
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold_latin(name), "[^a-z0-9]+", "-"), "^-|-$", "")
 

@@ -78,12 +78,14 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return single(left).join(single(right), keys)
 
 
-def by_id_or_name(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """(player, other) by equal ids if at least `least` are common, else by names without case."""
-    same = left.select("player").join(right.select("player"), "player").agg((F.count("*") >= least).alias("enough"))
-    ids = left.join(right.select(F.col("player").alias("other")), F.col("player") == F.col("other")).select("player", "other").withColumn("by_id", F.lit(True))
-    names = left.select("player", F.lower("name").alias("_n")).join(right.select(F.col("player").alias("other"), F.lower("name").alias("_m")), F.col("_n") == F.col("_m")).select("player", "other").withColumn("by_id", F.lit(False))
-    return ids.union(names).join(same).filter(F.col("by_id") == F.col("enough")).select("player", "other")
+def by_id_or_name(left: DataFrame, right: DataFrame, least: int, least_names: int = 20) -> DataFrame:
+    """(player, other) by equal ids if at least `least` are common, else by names without case if `least_names` are; else no row."""
+    ids = left.join(right.select(F.col("player").alias("other")), F.col("player") == F.col("other")).select("player", "other")
+    names = left.select("player", F.lower("name").alias("_n")).join(right.select(F.col("player").alias("other"), F.lower("name").alias("_m")), F.col("_n") == F.col("_m")).select("player", "other")
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    which = count(ids, "_i").join(count(names, "_j")).select(F.when(F.col("_i") >= least, "id").when(F.col("_j") >= least_names, "name").alias("_which"))
+    both = ids.withColumn("_by", F.lit("id")).union(names.withColumn("_by", F.lit("name")))
+    return both.join(which).filter(F.col("_by") == F.col("_which")).select("player", "other")
 
 
 def compare(rows: DataFrame, key: str, one: int, two: int, dims: list[str], threshold: float) -> DataFrame:

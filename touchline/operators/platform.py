@@ -18,11 +18,12 @@ def set_changes(rows: DataFrame, period: str, member: str) -> DataFrame:
     return new.union(gone).select(period, member, "change")
 
 
-def complete_rounds(games: DataFrame, team: str, keys: list[str], played: str) -> DataFrame:
-    """(complete_rounds): the longest run of n for which every team's n-th game is played."""
-    nth = games.withColumn("k", F.row_number().over(Window.partitionBy(team).orderBy(*keys)))
-    rounds = nth.groupBy("k").agg(F.bool_and(played).alias("complete"))
-    return rounds.agg(F.coalesce(F.min(F.when(~F.col("complete"), F.col("k"))) - 1, F.max("k")).cast("long").alias("complete_rounds"))
+def complete_rounds(games: DataFrame, team: str, keys: list[str], played: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., complete_rounds): the longest run of n for which every team's n-th game is played."""
+    by = by or []
+    nth = games.withColumn("k", F.row_number().over(Window.partitionBy(*by, team).orderBy(*keys)))
+    rounds = nth.groupBy(*by, "k").agg(F.bool_and(played).alias("complete"))
+    return rounds.groupBy(*by).agg(F.coalesce(F.min(F.when(~F.col("complete"), F.col("k"))) - 1, F.max("k")).cast("long").alias("complete_rounds"))
 
 
 def last_against_rest(rows: DataFrame, group: str, keys: list[str], value: str) -> DataFrame:
@@ -76,3 +77,10 @@ def flow_chart(edges: DataFrame) -> DataFrame:
     """(kind, a, b, line): each edge with its line of a flow chart."""
     name = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
     return edges.select("kind", "a", "b", F.concat(name("a"), F.lit(" -->|"), F.col("kind"), F.lit("| "), name("b")).alias("line"))
+
+
+def due_notices(rounds: DataFrame, told: DataFrame, keys: list[str], now: str, wait_hours: int) -> DataFrame:
+    """(keys..., due) of complete rounds that closed at least so long ago and that nobody was told of."""
+    due = F.col("closing") + F.expr(f"interval {wait_hours} hours")
+    ready = rounds.filter(F.col("complete") & (due <= F.lit(now).cast("timestamp_ntz"))).select(*keys, due.alias("due"))
+    return ready.join(told, keys, "left_anti")

@@ -165,21 +165,47 @@ def provider_merge(frames: DataFrame, key: list[str], columns: list[str], preced
 
 
 def resolve_entities(names: DataFrame, registry: DataFrame, normal) -> DataFrame:
-    """names (name, team) with id, status and confidence by a cascade of exact and unique matches.
+    """names (name, team) with id, status, confidence and up to five candidates by a cascade of exact and unique matches.
 
-    registry: (id, name, team, at); of rows with one name and team the last at counts.
+    registry: (id, name, team, at); of rows with one name and team the last at
+    counts. Name and team: 1.0. A name that one entity has, whose team is another
+    spelling of the one asked for: 0.95; without a team: 0.6. A name that several
+    have, or one of another team, is ambiguous; what is not OK goes to quarantine
+    with its candidates.
     """
     newest = Window.partitionBy("_key", "team").orderBy(F.col("at").desc())
     known = registry.withColumn("_key", normal(F.col("name"))).withColumn("_k", F.row_number().over(newest)).filter("_k = 1")
     exact = known.select("_key", F.col("team"), F.col("id").alias("exact_id"))
-    by_name = known.groupBy("_key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("only_id"), F.min("team").alias("only_team"))
+    listed = F.slice(F.array_sort(F.collect_set("id")), 1, 5)
+    by_name = known.groupBy("_key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("only_id"), F.min("team").alias("only_team"), listed.alias("candidates"))
     rows = names.withColumn("_key", normal(F.col("name"))).join(exact, ["_key", "team"], "left").join(by_name, "_key", "left")
-    status = (
-        F.when(F.col("exact_id").isNotNull(), "OK")
-        .when(F.col("n").isNull(), "NOT_FOUND")
-        .when((F.col("n") == 1) & F.col("team").isNull(), "OK")
-        .otherwise("AMBIGUOUS")
-    )
-    found = F.when(F.col("exact_id").isNotNull(), F.col("exact_id")).when(status == "OK", F.col("only_id"))
-    trust = F.when(F.col("exact_id").isNotNull(), 1.0).when(status == "OK", 0.6).otherwise(0.0)
-    return rows.select("name", "team", found.alias("id"), status.alias("status"), trust.alias("confidence"))
+    same = normal(F.col("team").cast("string")) == normal(F.col("only_team").cast("string"))
+    tier = F.when(F.col("exact_id").isNotNull(), 1.0).when((F.col("n") == 1) & F.col("team").isNull(), 0.6).when((F.col("n") == 1) & same, 0.95).otherwise(0.0)
+    rows = rows.withColumn("confidence", tier)
+    status = F.when(F.col("confidence") > 0, "OK").when(F.col("n").isNull(), "NOT_FOUND").otherwise("AMBIGUOUS")
+    found = F.when(F.col("confidence") > 0, F.coalesce("exact_id", "only_id"))
+    return rows.select("name", "team", found.alias("id"), status.alias("status"), "confidence", F.when(status != "OK", F.coalesce("candidates", F.array().cast(rows.schema["candidates"].dataType))).alias("candidates"))
+
+
+def corrected(stated: DataFrame, found: DataFrame, clean) -> DataFrame:
+    """player, mins, games, xg, name, role as they should be, and the codes of what each row's correction is for.
+
+    stated: what a registry says; found: (player, mins, games, xg, role) from the
+    facts. Entities of the facts that the registry lacks are left out.
+    """
+    f = found.select("player", *[F.col(c).alias(f"_{c}") for c in ("mins", "games", "xg", "role")])
+    rows = stated.join(f, "player", "left").withColumn("_name", clean(F.col("name")))
+    now = {c: F.coalesce(F.col(f"_{c}"), F.lit(0)) for c in ("mins", "games", "xg")}
+    codes = {
+        "CON-001": F.abs(now["mins"] - F.col("mins")) > 30, "CON-002": now["games"] != F.col("games"), "CON-003": F.abs(now["xg"] - F.col("xg")) > 0.5,
+        "NAM-001": F.col("_name") != F.col("name"), "NAM-003": F.col("role").isNull() & F.col("_role").isNotNull(),
+    }
+    fixes = F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in codes.items()]))
+    return rows.select("player", *[v.alias(c) for c, v in now.items()], F.col("_name").alias("name"), F.coalesce("role", "_role").alias("role"), fixes.alias("fixes"))
+
+
+def site_report(pages: DataFrame, teams: DataFrame, least: int) -> DataFrame:
+    """seasons, brands, enough, orphan_pages and teams_without_page of (brand, season, team) pages."""
+    shown = pages.select("team").distinct()
+    whole = pages.agg(F.countDistinct("season").alias("seasons"), F.countDistinct("brand").alias("brands"), (F.countDistinct("team") >= least).alias("enough"))
+    return whole.join(shown.join(teams, "team", "left_anti").agg(F.count("*").alias("orphan_pages"))).join(teams.join(shown, "team", "left_anti").agg(F.count("*").alias("teams_without_page")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .cuts import cut
 from .measures import boost, clip, consistency, mean, per90, shrink, total
-from .windows import ewma, in_order, rank_average, robust_z
+from .windows import ewma, in_order, rank_average, robust_z, top_n
 
 
 @dataclass(frozen=True)
@@ -144,6 +144,30 @@ def availability_penalty(played: Column, available: Column) -> Column:
     return (clip(share, 0.3, 0.7) - 0.3) / 0.4 * 0.15 + 0.85
 
 
+def prospect(index: Column, by_age: Column, age: Column) -> Column:
+    """The index times the age index, or a bell around 27 years where that is missing; null without an index."""
+    return F.when(index != 0, index * F.coalesce(by_age, F.exp(-0.5 * F.pow((age - 27) / 4.5, 2))))
+
+
+def fine_role(minutes: DataFrame, forward: int, behind: int, second: int, least: float = 0.25) -> DataFrame:
+    """(player, box, share) of (player, box, m) rows: the box with most minutes, of equals the first.
+
+    A forward with at least such a share of minutes behind the attack is a second
+    forward, and both shares count.
+    """
+    whole = Window.partitionBy("player")
+    back = F.coalesce(F.max(F.when(F.col("box") == behind, F.col("m"))).over(whole), F.lit(0))
+    q = minutes.withColumn("total", F.sum("m").over(whole)).withColumn("_back", back)
+    q = top_n(q, ["player"], [F.col("m").desc(), F.col("box")], 1)
+    both = (F.col("box") == forward) & (F.col("_back") >= least * F.col("total"))
+    return q.select("player", F.when(both, second).otherwise(F.col("box")).alias("box"), ((F.col("m") + F.when(both, F.col("_back")).otherwise(0)) / F.col("total")).alias("share"))
+
+
+def role_by_precedence(override: Column, seen: Column, mins: Column, registry: Column, least: int) -> Column:
+    """An override, else what was seen over enough minutes, else for a blank registry what was seen at all, else the registry's."""
+    return F.coalesce(override, F.when(mins >= least, seen), F.when(registry.isNull() & (mins >= 1), seen), registry)
+
+
 def age_index(age: Column, peak: float = 23.0, width: float = 3.5) -> Column:
     """Peak, youth and freshness; null outside 15 to 45."""
     bell = F.exp(-0.5 * F.pow((age - peak) / width, 2))

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
 from .windows import place
 
 
-def movers(before: DataFrame, after: DataFrame, key: str, value: str, n: int) -> DataFrame:
-    """(key, moved, kind): the n largest gains and losses of place between two rankings; equal ones go by key."""
+def movers(before: DataFrame, after: DataFrame, key: str, value: str, n: int, least: int = 30, top: int = 100) -> DataFrame:
+    """(key, moved, kind): the n largest gains and losses of place between two rankings, equal ones by key, and newcomers among the `top`.
+
+    No row with fewer than `least` common entities; a newcomer has moved null.
+    """
     a, b = place(before, value, [key], "_a").select(key, "_a"), place(after, value, [key], "_b").select(key, "_b")
-    moved = a.join(b, key).select(key, (F.col("_a") - F.col("_b")).alias("moved"))
+    moved = cut(a.join(b, key).select(key, (F.col("_a") - F.col("_b")).alias("moved")))
     up = moved.orderBy(F.col("moved").desc(), key).limit(n).withColumn("kind", F.lit("up"))
     down = moved.orderBy("moved", key).limit(n).withColumn("kind", F.lit("down"))
-    return up.union(down)
+    new = b.filter(F.col("_b") <= top).join(a, key, "left_anti").select(key, F.lit(None).cast("long").alias("moved"), F.lit("new").alias("kind"))
+    enough = moved.agg((F.count("*") >= least).alias("_enough"))
+    return up.union(down).union(new).join(enough).filter("_enough").drop("_enough")
 
 
 def trios(pool: DataFrame, budget: float | None = None, least_roles: int = 2) -> DataFrame:
@@ -61,3 +67,12 @@ def best_dimensions(rows: DataFrame, key: str, ranks: list[str], n: int) -> Data
     """(key, dim, rank, place): the n dimensions in which each entity ranks best."""
     long = rows.unpivot([key], ranks, "dim", "rank")
     return long.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("rank", "dim")).cast("long")).filter(F.col("place") <= n)
+
+
+def team_page(rows: DataFrame, qualified: Column, value: str, mins: str, most: int) -> DataFrame:
+    """(team, player, part, place): a team's qualified players by value, and of the others the `most` with most minutes."""
+    part = F.when(qualified, "ranked").otherwise("roster")
+    by = F.when(qualified, F.col(value)).otherwise(F.col(mins).cast("double"))
+    place_ = F.row_number().over(Window.partitionBy("team", "part").orderBy(F.col("_by").desc_nulls_last(), "player")).cast("long")
+    placed = rows.withColumn("part", part).withColumn("_by", by).withColumn("place", place_)
+    return placed.filter((F.col("part") == "ranked") | (F.col("place") <= most)).select("team", "player", "part", "place")

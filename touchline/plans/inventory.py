@@ -51,18 +51,13 @@ def s7(spark, sf_dir):
     return g.groupBy("team", "season", "rnd").agg(F.count("*").alias("games"), F.sum("goals").alias("goals"))
 
 
-@query("s14_payload", f"{LEADERBOARD_SQL} SELECT player, CASE WHEN player % 4 = 0 THEN NULL ELSE round(g, 4) END AS xg FROM a")
-def s14(spark, sf_dir):
-    """What a payload holds once NaN and infinities are nulls."""
-    bad = F.when(F.col("player") % 8 == 0, F.lit(float("nan"))).when(F.col("player") % 4 == 0, F.lit(float("-inf"))).otherwise(F.round("xg", 4))
-    return sinks.clean(player_totals(spark, sf_dir).select("player", bad.alias("xg")))
-
-
-@query("s15_light_list", f"{LEADERBOARD_SQL} SELECT p.player, name, role, round(g, 2) AS xg, true AS light FROM p JOIN a ON p.player = a.player")
+@query("s15_light_list", f"{LEADERBOARD_SQL} SELECT p.player, name, role, team, CAST(m AS BIGINT) AS mins, n AS games, round(g, 2) AS xg, round(h, 2) AS xa, round(g * 90 / m, 3) AS xg90, row_number() OVER (ORDER BY g DESC, p.player) AS rank, true AS light FROM p JOIN a ON p.player = a.player")
 def s15(spark, sf_dir):
-    t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player")
-    record = t.select(F.struct("player", "name", "role", F.struct(F.round("xg", 2).alias("xg")).alias("kpi")).alias("r"))
-    return record.select("r.player", "r.name", "r.role", "r.kpi.xg", F.lit(True).alias("light"))
+    """All players as light nested records, flattened."""
+    t = place(players(spark, sf_dir).join(player_totals(spark, sf_dir), "player"), "xg", ["player"], "rank")
+    kpi = F.struct(F.round("xg", 2).alias("xg"), F.round("xa", 2).alias("xa"), F.round(F.col("xg") * 90 / F.col("mins"), 3).alias("xg90"))
+    record = t.select(F.struct("player", "name", "role", "team", "mins", "games", "rank", kpi.alias("kpi"), F.lit(True).alias("light")).alias("r"))
+    return record.select("r.player", "r.name", "r.role", "r.team", "r.mins", "r.games", "r.rank", "r.kpi.xg", "r.kpi.xa", "r.kpi.xg90", "r.light")
 
 
 @query("p2_appeared", f"WITH {FACTS_SQL} SELECT player, count(*) AS n FROM f WHERE mins > 25 GROUP BY 1")
@@ -140,10 +135,14 @@ def m26(spark, sf_dir):
     return spearman(pairs(spark, sf_dir).withColumn("all", F.lit(0)), "x", "y", ["all"]).select(F.round("rho", 6).alias("rho"), "n")
 
 
-@query("m31_prospects", f"{PAIR_SQL}, b AS (SELECT player, 16 + CAST(player % 12 AS DOUBLE) AS age, x FROM z) SELECT player, round(x * (0.55 * exp(-0.5 * pow((age - 23) / 3.5, 2)) + 0.25 * greatest(0, least(1, (23 - age) / 5)) + 0.20 * CASE WHEN age <= 27 THEN 1 ELSE greatest(0, 1 - (age - 27) * 0.06) END), 5) AS score FROM b WHERE age <= 24 AND x > 0")
+@query("m31_prospects", f"{PAIR_SQL}, b AS (SELECT player, CASE WHEN player % 5 = 0 THEN NULL ELSE 16 + CAST(player % 12 AS DOUBLE) END AS age, CASE WHEN player % 7 = 0 THEN 0 ELSE x END AS x, 16 + CAST(player % 12 AS DOUBLE) AS a0 FROM z) SELECT player, round(CASE WHEN x <> 0 THEN x * CASE WHEN player % 5 <> 0 THEN 0.55 * exp(-0.5 * pow((age - 23) / 3.5, 2)) + 0.25 * greatest(0, least(1, (23 - age) / 5)) + 0.20 * CASE WHEN age <= 27 THEN 1 ELSE greatest(0, 1 - (age - 27) * 0.06) END ELSE exp(-0.5 * pow((a0 - 27) / 4.5, 2)) END END, 5) AS score FROM b WHERE a0 <= 24")
 def m31(spark, sf_dir):
-    age = 16 + (F.col("player") % 12).cast("double")
-    return pairs(spark, sf_dir).filter((age <= 24) & (F.col("x") > 0)).select("player", F.round(F.col("x") * R.age_index(age), 5).alias("score"))
+    """The index times the age index, or times a bell around 27 where that is missing; no score without an index."""
+    k = F.col("player")
+    age = 16 + (k % 12).cast("double")
+    x = F.when(k % 7 == 0, 0.0).otherwise(F.col("x"))
+    index = R.age_index(F.when(k % 5 != 0, age))
+    return pairs(spark, sf_dir).filter(age <= 24).select("player", F.round(R.prospect(x, index, age), 5).alias("score"))
 
 
 @query("m33_rounding", "SELECT event_id AS run, CAST(printf('%.3f', value / 8) AS DOUBLE) AS v FROM events")
@@ -165,18 +164,18 @@ def f9(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.nullif(T.clean_name(dirty), F.lit("")).alias("name"))
 
 
-@query("f14_fine_role", f"WITH {FACTS_SQL}, q AS (SELECT player, opp % 10 AS box, sum(mins) AS m FROM f GROUP BY 1, 2), t AS (SELECT player, sum(m) AS total FROM q GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY m DESC, box) AS k FROM q) SELECT player, CAST(box AS INT) AS box, round(CAST(m AS DOUBLE) / total, 6) AS share FROM k JOIN t USING (player) WHERE k = 1")
+@query("f14_fine_role", f"WITH {FACTS_SQL}, q AS (SELECT player, opp % 10 AS box, CAST(sum(mins) AS BIGINT) AS m FROM f GROUP BY 1, 2), t AS (SELECT player, sum(m) AS total, coalesce(max(m) FILTER (WHERE box = 7), 0) AS second FROM q GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY m DESC, box) AS k FROM q) SELECT player, CASE WHEN box = 9 AND second >= 0.08 * total THEN 8 ELSE CAST(box AS INT) END AS box, round(CAST(m + CASE WHEN box = 9 AND second >= 0.08 * total THEN second ELSE 0 END AS DOUBLE) / total, 6) AS share FROM k JOIN t USING (player) WHERE k = 1")
 def f14(spark, sf_dir):
-    """The box with most minutes, and its share of all."""
+    """The box with most minutes; a forward with a share of minutes behind the attack is a second forward, with both shares (here from 8 %)."""
     q = facts(spark, sf_dir).groupBy("player", (F.col("opp") % 10).cast("int").alias("box")).agg(F.sum("mins").alias("m"))
-    q = q.withColumn("total", F.sum("m").over(Window.partitionBy("player")))
-    return top_n(q, ["player"], [F.col("m").desc(), F.col("box")], 1).select("player", "box", F.round(F.col("m") / F.col("total"), 6).alias("share"))
+    return R.fine_role(q, forward=9, behind=7, second=8, least=0.08).select("player", "box", F.round("share", 6).alias("share"))
 
 
-@query("f16_first_token_role", "SELECT p_partkey AS part, CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'DEF' WHEN 'red' THEN 'MID' WHEN 'large' THEN 'FWD' END AS role FROM part")
+@query("f16_first_token_role", "SELECT p_partkey AS part, CASE WHEN p_name IN ('small box', 'red box') THEN 'GK' ELSE CASE split_part(p_name, ' ', 1) WHEN 'small' THEN 'DEF' WHEN 'red' THEN 'MID' WHEN 'large' THEN 'FWD' END END AS role FROM part")
 def f16(spark, sf_dir):
-    roles = F.create_map(*map(F.lit, ("small", "DEF", "red", "MID", "large", "FWD")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.try_element_at(roles, F.split("p_name", " ")[0]).alias("role"))
+    """Role by the whole position, else by its first word."""
+    whole = F.create_map(*map(F.lit, ("small box", "GK", "red box", "GK", "small", "DEF", "red", "MID", "large", "FWD")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.coalesce(F.try_element_at(whole, F.col("p_name")), F.try_element_at(whole, F.split("p_name", " ")[0])).alias("role"))
 
 
 @query("f19_json_path", "SELECT event_id AS run, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.nothing') AS missing FROM events")
@@ -184,15 +183,24 @@ def f19(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("run"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.nothing").alias("missing"))
 
 
-@query("f20_label_escape", "SELECT DISTINCT p_brand || '\"' || '\\' AS raw, p_brand || '\\\"' || '\\\\' AS label FROM part")
+@query("f20_label_escape", r"""SELECT DISTINCT p_brand || '"\' AS raw, p_brand || '\"\\' AS label, '''' || p_brand || '''''"\' || '''' AS sql, '"' || p_brand || '''""\' || '"' AS csv FROM part""")
 def f20(spark, sf_dir):
+    """One text as a label value, as an SQL literal and as a CSV cell."""
     raw = F.concat(F.col("p_brand"), F.lit('"\\'))
-    return table(spark, sf_dir, "part").select(raw.alias("raw")).distinct().select("raw", sinks.escaped(F.col("raw")).alias("label"))
+    both = F.concat(F.col("p_brand"), F.lit("'\"\\"))
+    return table(spark, sf_dir, "part").select(raw.alias("raw"), both.alias("both")).distinct().select("raw", sinks.escaped(F.col("raw")).alias("label"), sinks.sql_text(F.col("both")).alias("sql"), sinks.csv_text(F.col("both")).alias("csv"))
 
 
-@query("d1_overview", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'supplier', count(*) FROM supplier")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("d1_overview", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, (SELECT count(*) FROM (DESCRIBE {t})) AS columns FROM {t}" for t in TABLES))
 def d1(spark, sf_dir):
-    parts = [table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("nation", "orders", "supplier")]
+    """Rows and columns of every table."""
+    parts = []
+    for t in TABLES:
+        df = table(spark, sf_dir, t)
+        parts.append(df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n", F.lit(len(df.columns)).cast("long").alias("columns")))
     return Q.report(parts)
 
 
@@ -201,19 +209,24 @@ def d5(spark, sf_dir):
     return Q.repeated_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), ["id"])
 
 
-@query("d6_names", "SELECT 'non-ascii' AS code, count(*) AS n FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]') UNION ALL SELECT 'no language', count(*) FROM documents WHERE lang IS NULL")
+@query("d6_names", f"{LEADERBOARD_SQL} SELECT 'NAM-001' AS code, count(*) FILTER (WHERE player % 6 = 0 OR player % 10 = 1) AS n FROM p UNION ALL SELECT 'NAM-002', count(*) FILTER (WHERE p.player % 7 = 2 AND m >= 500) FROM p JOIN a USING (player) UNION ALL SELECT 'NAM-003', count(*) FILTER (WHERE p.player % 9 = 4 AND m >= 500) FROM p JOIN a USING (player)")
 def d6(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.count_if(F.col("text").rlike("[^\\x00-\\x7F]")).alias("non-ascii"), F.count_if(F.col("lang").isNull()).alias("no language")).unpivot([], ["non-ascii", "no language"], "code", "n")
+    """Names with invisible characters, and players with 500 minutes but no birth date or no role."""
+    k = F.col("player")
+    dirty = F.concat("name", F.when(k % 6 == 0, "\u200b").when(k % 10 == 1, "\u00a0").otherwise(""))
+    rows = players(spark, sf_dir).join(player_totals(spark, sf_dir).select("player", "mins"), "player", "left").select(dirty.alias("name"), "mins", F.when(k % 7 != 2, "1990-01-01").alias("born"), F.when(k % 9 != 4, F.col("role")).alias("role"))
+    return Q.count_broken(rows, {"NAM-001": F.size(T.invisible(F.col("name"))) > 0, "NAM-002": F.col("born").isNull() & (F.col("mins") >= 500), "NAM-003": F.col("role").isNull() & (F.col("mins") >= 500)})
 
 
-@query("d11_residual_players", f"WITH {FACTS_SQL} SELECT p.player, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.team = p.team AND f.season = 2001 AND f.rnd = 12) THEN 'legitimate' ELSE 'residual' END AS kind FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.player = p.player AND f.season = 2001 AND f.rnd = 12)")
+@query("d11_residual_players", f"WITH {FACTS_SQL}, i AS (SELECT p.player, CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.team = p.team AND f.season = 2001 AND f.rnd = 12) THEN 'UNU-003' ELSE 'UNU-002' END AS code FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.player = p.player AND f.season = 2001 AND f.rnd = 12)), t AS (SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders) SELECT 'UNU-001' AS code, name AS what, n FROM t WHERE n < 10 UNION ALL SELECT code, '', count(*) FROM i GROUP BY 1")
 def d11(spark, sf_dir):
-    """Players without minutes whose team was active, and those whose team was not."""
+    """Tables with next to no rows, players without minutes whose team was not active, and those whose team was."""
     late = facts(spark, sf_dir).filter("season = 2001 and rnd = 12")
     active = late.select("team").distinct().withColumn("active", F.lit(True))
     idle = players(spark, sf_dir).join(late.select("player"), "player", "left_anti").join(active, "team", "left")
-    return idle.select("player", F.when(F.col("active"), "legitimate").otherwise("residual").alias("kind"))
+    idle = idle.groupBy(F.when(F.col("active"), "UNU-003").otherwise("UNU-002").alias("code")).agg(F.count("*").alias("n")).select("code", F.lit("").alias("what"), "n")
+    thin = Q.report([table(spark, sf_dir, t).agg(F.count("*").alias("n")).select(F.lit("UNU-001").alias("code"), F.lit(t).alias("what"), "n") for t in ("region", "nation", "orders")]).filter("n < 10")
+    return thin.union(idle)
 
 
 @query("d12_source_ids", "SELECT o_orderkey // 3 AS source_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 2")
@@ -222,19 +235,24 @@ def d12_all(spark, sf_dir):
     return o.groupBy("source_id").agg(F.count("*").alias("n")).filter("n > 2")
 
 
-@query("d15_recomputed", f"WITH {FACTS_SQL}, s AS (SELECT player, sum(mins) AS m FROM f GROUP BY 1) SELECT p.player, CAST(coalesce(m, 0) AS BIGINT) AS mins, coalesce(m, 0) <> p.player * 150 AS changed FROM p LEFT JOIN s ON s.player = p.player")
+@query("d15_recomputed", f"WITH {FACTS_SQL}, s AS (SELECT player, CAST(sum(mins) AS BIGINT) AS m, count(DISTINCT fixture) AS g, CAST(sum(xg) AS DOUBLE) AS x, arg_max(CASE WHEN opp % 3 = 0 THEN 'DEF' WHEN opp % 3 = 1 THEN 'MID' ELSE 'FWD' END, mins * 1000000 + fixture) AS seen FROM f GROUP BY 1), o AS (SELECT player, name, CASE WHEN player % 3 <> 0 THEN role END AS role, player * 150 AS m0, player % 700 AS g0, CAST(player AS DOUBLE) AS x0, CASE WHEN player % 4 = 0 THEN chr(8203) ELSE '' END AS dirt FROM p WHERE player % 20 <> 19) SELECT o.player, coalesce(m, 0) AS mins, coalesce(g, 0) AS games, round(coalesce(x, 0), 4) AS xg, o.name, coalesce(role, seen) AS role, list_filter([CASE WHEN abs(coalesce(m, 0) - m0) > 30 THEN 'CON-001' END, CASE WHEN coalesce(g, 0) <> g0 THEN 'CON-002' END, CASE WHEN abs(coalesce(x, 0) - x0) > 0.5 THEN 'CON-003' END, CASE WHEN dirt <> '' THEN 'NAM-001' END, CASE WHEN role IS NULL AND seen IS NOT NULL THEN 'NAM-003' END], lambda c: c IS NOT NULL) AS fixes FROM o LEFT JOIN s USING (player)")
 def d15(spark, sf_dir):
-    """The corrected registry beside whether it changes anything; nothing is written."""
-    s = facts(spark, sf_dir).groupBy("player").agg(F.sum("mins").alias("mins"))
-    fixed = players(spark, sf_dir).select("player").join(s, "player", "left").withColumn("mins", F.coalesce("mins", F.lit(0)))
-    return fixed.withColumn("changed", F.col("mins") != F.col("player") * 150)
+    """The corrected registry beside what each row's correction was for; rows without a registry entry are left out (REF-003), nothing is written."""
+    side = F.when(F.col("opp") % 3 == 0, "DEF").when(F.col("opp") % 3 == 1, "MID").otherwise("FWD")
+    k = F.col("player")
+    stated = players(spark, sf_dir).filter("player % 20 <> 19").select("player", F.concat("name", F.when(k % 4 == 0, "\u200b").otherwise("")).alias("name"), F.when(k % 3 != 0, F.col("role")).alias("role"), (k * 150).alias("mins"), (k % 700).alias("games"), k.cast("double").alias("xg"))
+    found = facts(spark, sf_dir).groupBy("player").agg(F.sum("mins").alias("mins"), F.countDistinct("fixture").alias("games"), total("xg").alias("xg"), F.max_by(side, F.col("mins") * 1000000 + F.col("fixture")).alias("role"))
+    return rounded(Q.corrected(stated, found, T.clean_name), "xg", digits=4)
 
 
-@query("d16_constraints", "SELECT 'minutes 0..130' AS rule, count(*) AS n FROM lineitem WHERE NOT l_quantity BETWEEN 0 AND 130 UNION ALL SELECT 'unique order', CAST(0 AS BIGINT)")
+@query("d16_constraints", "SELECT 'minutes 0..130' AS code, count(*) FILTER (WHERE NOT l_quantity * 3 BETWEEN 0 AND 130) AS n FROM lineitem UNION ALL SELECT 'ends after it begins', count(*) FILTER (WHERE l_shipdate < o_orderdate) FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'unique line', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))")
 def d16(spark, sf_dir):
-    rule = Q.out_of_range(table(spark, sf_dir, "lineitem"), {"minutes 0..130": ("l_quantity", 0, 130)}).withColumnRenamed("field", "rule")
-    twice = Q.repeated_keys(table(spark, sf_dir, "orders"), ["o_orderkey"]).agg(F.count("*").alias("n")).select(F.lit("unique order").alias("rule"), "n")
-    return rule.union(twice)
+    """What constraints would refuse: minutes, dates, and keys that repeat."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    ranges = Q.count_broken(li, {"minutes 0..130": ~(F.col("l_quantity") * 3).between(0, 130)})
+    dates = Q.count_broken(li.join(o, li["l_orderkey"] == o["o_orderkey"]), {"ends after it begins": F.col("l_shipdate") < F.col("o_orderdate")})
+    twice = Q.repeated_keys(li, ["l_orderkey", "l_linenumber"]).agg(F.count("*").alias("n")).select(F.lit("unique line").alias("code"), "n")
+    return ranges.union(dates).union(twice)
 
 
 @query("d26_latest_status", f"WITH {RUNS_SQL}, k AS (SELECT owner, stage, run, row_number() OVER (PARTITION BY owner ORDER BY started DESC, run DESC) AS k FROM r) SELECT owner, stage AS status, run FROM k WHERE k = 1")
@@ -243,17 +261,23 @@ def d26(spark, sf_dir):
     return top_n(runs(spark, sf_dir), ["owner"], [F.col("started").desc(), F.col("run").desc()], 1).select("owner", F.col("stage").alias("status"), "run")
 
 
-@query("d32_metric_families", "SELECT 'stage_failures{stage=\"' || event_type || '\"} ' || CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS line FROM events GROUP BY event_type")
+@query("d32_metric_families", "SELECT 'runs_total{stage=\"' || event_type || '\",status=\"' || CASE WHEN value > 100 THEN 'fail' ELSE 'ok' END || '\"} ' || count(*) AS line FROM events GROUP BY event_type, value > 100 UNION ALL SELECT 'regression_rank_agreement ' || CAST(1.0 AS VARCHAR) UNION ALL SELECT 'anomalies{severity=\"critical\"} ' || count(*) FILTER (WHERE value > 150) FROM events UNION ALL SELECT unnest(['# TYPE runs_total counter', '# TYPE regression_rank_agreement gauge', '# TYPE anomalies gauge'])")
 def d32(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count_if(F.col("value") > 100).alias("value"))
-    return sinks.metric_lines(e, "stage_failures", "gauge", ["stage"], header=False)
+    """Lines of the three families: runs, the regression gate, and anomalies."""
+    e = table(spark, sf_dir, "events")
+    ran = e.groupBy(F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "fail").otherwise("ok").alias("status")).agg(F.count("*").alias("value"))
+    gate = e.agg(F.corr("value", "value")).select(F.lit(1.0).alias("value"))
+    odd = e.agg(F.count_if(F.col("value") > 150).alias("value")).withColumn("severity", F.lit("critical"))
+    parts = [sinks.metric_lines(ran, "runs_total", "counter", ["stage", "status"]), sinks.metric_lines(gate, "regression_rank_agreement", "gauge", []), sinks.metric_lines(odd, "anomalies", "gauge", ["severity"])]
+    return Q.report(parts)
 
 
-@query("d33_site_consistency", "SELECT count(DISTINCT regexp_extract(url, '/(en|fr|de|es)/', 1)) AS brands, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)) AS teams_without_page FROM pages")
+@query("d33_site_consistency", "WITH g AS (SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS brand, CASE WHEN page_id % 40 = 1 THEN 1998 ELSE 1997 END AS season, page_id % 30 AS team FROM pages WHERE html IS NOT NULL) SELECT count(DISTINCT season) AS seasons, count(DISTINCT brand) AS brands, count(DISTINCT team) >= 16 AS enough, count(DISTINCT team) FILTER (WHERE team NOT IN (SELECT n_nationkey FROM nation)) AS orphan_pages, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT team FROM g)) AS teams_without_page FROM g")
 def d33(spark, sf_dir):
-    brands = table(spark, sf_dir, "pages").agg(F.countDistinct(F.regexp_extract("url", "/(en|fr|de|es)/", 1)).alias("brands"))
-    lonely = table(spark, sf_dir, "nation").join(players(spark, sf_dir), F.col("n_nationkey") == F.col("team"), "left_anti").agg(F.count("*").alias("teams_without_page"))
-    return brands.join(lonely)
+    """Whether all pages are of one season and brand, whether there are enough team pages, and pages and teams without the other."""
+    k = F.col("page_id")
+    g = table(spark, sf_dir, "pages").filter("html is not null").select(F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("brand"), F.when(k % 40 == 1, 1998).otherwise(1997).alias("season"), (k % 30).alias("team"))
+    return Q.site_report(g, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("team")), 16)
 
 
 @query("vd_extremes", f"{PAIR_SQL}, d AS (SELECT player, y - x AS d FROM z) (SELECT player, round(d, 6) AS d, 'top' AS kind FROM d ORDER BY d DESC, player LIMIT 5) UNION ALL (SELECT player, round(d, 6), 'bottom' FROM d ORDER BY d, player LIMIT 5)")

@@ -61,11 +61,15 @@ def s8_all(spark, sf_dir):
     return rows.join(above, ["team", "role"]).select("player", "team", "role", "mins", (F.row_number().over(order) + F.col("above")).cast("long").alias("place"))
 
 
-@query("s9_json_positions", "SELECT user_id AS owner, event_type AS stage, CAST(sum(CAST(json_extract_string(props, '$.k') AS INT)) AS BIGINT) AS size FROM events WHERE event_type <> 'view' AND CAST(json_extract_string(props, '$.k') AS INT) > 0 GROUP BY 1, 2")
+@query("s9_json_positions", "WITH m AS (SELECT DISTINCT user_id * 7 AS match FROM events WHERE user_id % 2 = 0), e AS (SELECT event_id, user_id * 7 AS match, event_type AS position, CAST(json_extract_string(props, '$.k') AS INT) AS mins, 'name ' || user_id % 40 AS name FROM events WHERE user_id % 5 <> 0) SELECT name, position, CAST(sum(mins) AS BIGINT) AS mins, (SELECT 2 * count(DISTINCT match) FROM e WHERE match IN (SELECT match FROM m)) < (SELECT count(*) FROM m) AS thin FROM e WHERE match IN (SELECT match FROM m) AND position <> 'Sub' AND mins > 0 GROUP BY 1, 2")
 def s9(spark, sf_dir):
-    """Minutes by name and position from JSON properties, without substitutes and zero minutes."""
+    """Minutes by name and position from JSON properties over the league's matches, without substitutes and zero minutes."""
+    from touchline.functions.text import fold_unicode
+    from touchline.sources.providers import position_minutes
+
     e = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int"))
-    return e.filter("event_type <> 'view' and p.k > 0").groupBy(F.col("user_id").alias("owner"), F.col("event_type").alias("stage")).agg(F.sum("p.k").alias("size"))
+    rows = e.filter("user_id % 5 <> 0").select((F.col("user_id") * 7).alias("match"), F.concat(F.lit("NAMÉ "), F.col("user_id") % 40).alias("name"), F.col("event_type").alias("position"), F.col("p.k").alias("mins"))
+    return position_minutes(rows, e.filter("user_id % 2 = 0").select((F.col("user_id") * 7).alias("match")), fold_unicode)
 
 
 @query("s11_ambiguous_names", "SELECT p_name AS name, count(DISTINCT p_partkey) AS ids, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
@@ -73,10 +77,13 @@ def s11(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_partkey").alias("ids"), F.min("p_partkey").alias("first_id")).filter("ids > 1")
 
 
-@query("s12_enrichment", f"WITH {PLAYERS_SQL} SELECT player, name, p_retailprice AS worth, p_brand AS brand FROM p LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON player = p_partkey")
+@query("s12_enrichment", f"WITH {PLAYERS_SQL} SELECT player, name, p_retailprice AS worth, p_brand AS brand FROM p LEFT JOIN (SELECT * FROM part WHERE 1990 + p_size % 9 = 1997) ON player = p_partkey")
 def s12(spark, sf_dir):
-    worth = table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("worth"), F.col("p_brand").alias("brand"))
-    return players(spark, sf_dir).select("player", "name").join(worth, "player", "left")
+    """Outside columns of exactly this season; of another season's file nothing is taken."""
+    from touchline.sources.providers import enrich
+
+    worth = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), (1990 + F.col("p_size") % 9).alias("season"), F.col("p_retailprice").alias("worth"), F.col("p_brand").alias("brand"))
+    return enrich(players(spark, sf_dir).select("player", "name"), worth, 1997)
 
 
 @query("s13_source_choice", f"WITH {FACTS_SQL}, own AS (SELECT opp AS team, CAST(sum(xg) AS DOUBLE) / count(xg) AS xg FROM f GROUP BY 1), ext AS (SELECT n_nationkey AS team, 1.0 + n_regionkey AS xg FROM nation WHERE n_regionkey < 4), k AS (SELECT count(*) AS n FROM ext JOIN own USING (team)) SELECT own.team, round(CAST(CASE WHEN k.n >= 20 THEN coalesce(ext.xg, own.xg) ELSE own.xg END AS DOUBLE), 6) AS xg FROM own LEFT JOIN ext USING (team) CROSS JOIN k")
@@ -140,10 +147,15 @@ def p8(spark, sf_dir):
     return J.match_names(names, players(spark, sf_dir))
 
 
-@query("p9_leaderboard_filter", f"{LEADERBOARD_SQL} SELECT p.player, role, round(g * 90 / m, 6) AS xg90 FROM p JOIN a ON p.player = a.player WHERE team IN (1, 2, 3, 5, 8, 13, 21) AND role <> 'GK' AND g > 0 AND m > 0")
+@query("p9_leaderboard_filter", f"{LEADERBOARD_SQL} SELECT p.player, role, round(g * 90 / m, 6) AS xg90 FROM p JOIN a ON p.player = a.player WHERE team IN (1, 2, 3, 5, 8, 13, 21) AND role <> 'GK' AND g > 0 AND m > 0 AND CASE WHEN g / h > 1.26 THEN 'hot' WHEN g / h < 1.2 THEN 'cold' ELSE 'stable' END <> 'cold' AND p.player % 30 <= 12")
 def p9(spark, sf_dir):
+    """Team, role, form label and months of contract, where the metric is there and finite."""
     rows = players(spark, sf_dir).filter(F.col("team").isin(1, 2, 3, 5, 8, 13, 21) & (F.col("role") != "GK")).join(player_totals(spark, sf_dir), "player")
-    return rows.filter("xg > 0 and mins > 0").select("player", "role", F.round(F.col("xg") * 90 / F.col("mins"), 6).alias("xg90"))
+    form, months = F.col("xg") / F.col("xa"), F.col("player") % 30
+    label = F.when(form > 1.26, "hot").when(form < 1.2, "cold").otherwise("stable")
+    rows = rows.filter((F.col("xg") > 0) & (F.col("mins") > 0) & (label != "cold") & (months <= 12))
+    value = F.col("xg") * 90 / F.col("mins")
+    return rows.filter(value.isNotNull() & ~F.isnan(value)).select("player", "role", F.round(value, 6).alias("xg90"))
 
 
 @query("p10_text_search", "SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'eleve') OR contains(strip_accents(lower(text)), 'cionar')")
@@ -159,11 +171,12 @@ def p11(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fixture"), months.alias("months")).filter("months <= 24")
 
 
-@query("p12_admissibility", f"{LEADERBOARD_SQL} SELECT p.player, concat_ws(';', CASE WHEN m < 15000 THEN 'minutes' END, CASE WHEN balance < 0 THEN 'balance' END, CASE WHEN role = 'GK' THEN 'role' END) AS reasons FROM p JOIN a ON p.player = a.player")
+@query("p12_admissibility", f"{LEADERBOARD_SQL} SELECT p.player, concat_ws(';', CASE WHEN m < 15000 THEN 'minutes' END, CASE WHEN p.player % 10 / 10.0 < 0.7 THEN 'confidence' END, CASE WHEN n / 700.0 < 0.75 THEN 'availability' END, CASE WHEN p.player % 8 = 5 THEN 'loan' END) AS reasons FROM p JOIN a ON p.player = a.player")
 def p12(spark, sf_dir):
+    """Why a player is not admitted: minutes, confidence, availability, a loan."""
     rows = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player")
-    reasons = J.reasons({"minutes": F.col("mins") < 15000, "balance": F.col("balance") < 0, "role": F.col("role") == "GK"})
-    return rows.select("player", F.array_join(reasons, ";").alias("reasons"))
+    rules = {"minutes": F.col("mins") < 15000, "confidence": F.col("player") % 10 / 10.0 < 0.7, "availability": F.col("games") / 700.0 < 0.75, "loan": F.col("player") % 8 == 5}
+    return rows.select("player", F.array_join(J.reasons(rules), ";").alias("reasons"))
 
 
 @query("p13_season_choice", f"WITH {FACTS_SQL}, m AS (SELECT season, player, sum(mins) AS mins FROM f GROUP BY 1, 2) SELECT max(season) AS season FROM (SELECT season FROM m GROUP BY season HAVING count(*) FILTER (WHERE mins > 1500) >= 40)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions import text as T
 from touchline.operators import platform as P
 from touchline.operators import quality as Q
+from touchline.operators import rating as R
 from touchline.operators import serving as V
 from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90, total
@@ -171,10 +172,27 @@ def f7(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.display_name(F.col("c_name"), last).alias("name"))
 
 
-@query("f8_clean_name", "SELECT s_suppkey AS player, trim(replace(s_name, '#', '')) AS name FROM supplier")
+@query("f8_clean_name", "SELECT s_suppkey AS player, trim(replace(s_name, '#', '')) AS name, list_filter([CASE WHEN s_suppkey % 2 = 0 THEN 'nbsp' END, CASE WHEN s_suppkey % 3 = 0 THEN 'shy' END, 'zero-width', CASE WHEN s_suppkey % 5 = 0 THEN 'control' END, 'space'], lambda c: c IS NOT NULL) AS reasons FROM supplier")
 def f8(spark, sf_dir):
-    dirty = F.concat(F.lit(" "), F.replace(F.col("s_name"), F.lit("#"), F.lit("​")), F.lit("­ "))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player"), T.clean_name(dirty).alias("name"))
+    """Cleaned names beside the reasons why they had to be."""
+    k = F.col("s_suppkey")
+    mark = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    dirty = F.concat(F.lit(" "), F.replace(F.col("s_name"), F.lit("#"), F.lit("\u200b")), mark(3, "\u00ad"), mark(2, "\u00a0"), mark(5, "\x07"))
+    return table(spark, sf_dir, "supplier").select(k.alias("player"), T.clean_name(F.regexp_replace(dirty, "\\x07", "")).alias("name"), T.invisible(dirty).alias("reasons"))
+
+
+@query("f1_role_key", "SELECT c_custkey AS id, lower(trim(c_name)) || ' & co' AS key FROM customer")
+def f1(spark, sf_dir):
+    """Keys of names with character references, marks and letters beyond ASCII."""
+    dirty = F.concat(F.lit(" "), F.replace(F.col("c_name"), F.lit("e"), F.lit("é")), F.lit(" &amp; co漢 "))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.role_key(dirty).alias("key"))
+
+
+@query("f3_audit_fold", "SELECT c_custkey AS id, lower(c_name) || ' of x' AS name FROM customer")
+def f3(spark, sf_dir):
+    """Names with tabs, controls, marks and invisible characters."""
+    dirty = F.concat(F.replace(F.col("c_name"), F.lit("u"), F.lit("ü\u200b")), F.lit("\tof\x07\x07X "))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.fold_audit(dirty).alias("name"))
 
 
 @query("f10_season_arithmetic", "SELECT o_orderkey AS fixture, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS INT) AS start, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST((year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END + 1) % 100 AS VARCHAR), 2, '0') AS label FROM orders")
@@ -206,19 +224,22 @@ def f13(spark, sf_dir):
     return w.select("player", F.when(best < 200, None).when(F.col("d") == best, "DEF").when(F.col("c") == best, "MID").otherwise("FWD").alias("role"))
 
 
-@query("f15_role_precedence", f"WITH {PLAYERS_SQL} SELECT player, coalesce(CASE WHEN player % 13 = 0 THEN 'FWD' END, CASE WHEN player % 5 = 0 THEN 'MID' END, CASE WHEN player % 7 = 0 THEN 'DEF' END, role) AS role FROM p")
+@query("f15_role_precedence", f"WITH {FACTS_SQL}, o AS (SELECT player, arg_max(CASE WHEN opp % 3 = 0 THEN 'DEF' WHEN opp % 3 = 1 THEN 'MID' ELSE 'FWD' END, mins * 1000000 + fixture) AS seen, sum(mins) AS m FROM f WHERE season = 2001 GROUP BY 1) SELECT p.player, coalesce(CASE WHEN p.player % 13 = 0 THEN 'FWD' END, CASE WHEN m >= 2000 THEN seen END, CASE WHEN p.player % 4 = 2 AND coalesce(m, 0) >= 1 THEN seen END, CASE WHEN p.player % 4 <> 2 THEN p.role END) AS role FROM p LEFT JOIN o USING (player)")
 def f15(spark, sf_dir):
-    k = F.col("player")
-    return players(spark, sf_dir).select("player", F.coalesce(F.when(k % 13 == 0, "FWD"), F.when(k % 5 == 0, "MID"), F.when(k % 7 == 0, "DEF"), F.col("role")).alias("role"))
+    """An override, else the observed role with enough minutes, else for blank ones the observed with any, else the registry's."""
+    side = F.when(F.col("opp") % 3 == 0, "DEF").when(F.col("opp") % 3 == 1, "MID").otherwise("FWD")
+    seen = facts(spark, sf_dir).filter("season = 2001").groupBy("player").agg(F.max_by(side, F.col("mins") * 1000000 + F.col("fixture")).alias("seen"), F.sum("mins").alias("m"))
+    p = players(spark, sf_dir).select("player", F.when(F.col("player") % 4 != 2, F.col("role")).alias("registry"), F.when(F.col("player") % 13 == 0, "FWD").alias("override"))
+    return p.join(seen, "player", "left").select("player", R.role_by_precedence(F.col("override"), F.col("seen"), F.col("m"), F.col("registry"), 2000).alias("role"))
 
 
-@query("f17_entity_resolution", f"WITH {PLAYERS_SQL}, q AS (SELECT lower(name) AS name, CASE WHEN player % 3 = 0 THEN NULL WHEN player % 3 = 1 THEN team ELSE team + 1 END AS team FROM p UNION ALL SELECT 'nobody', 1) SELECT q.name, q.team, CASE WHEN p.player IS NULL THEN NULL WHEN q.team IS NULL OR q.team = p.team THEN p.player END AS id, CASE WHEN p.player IS NULL THEN 'NOT_FOUND' WHEN q.team IS NULL OR q.team = p.team THEN 'OK' ELSE 'AMBIGUOUS' END AS status, CAST(CASE WHEN q.team = p.team THEN 1.0 WHEN p.player IS NOT NULL AND q.team IS NULL THEN 0.6 ELSE 0 END AS DOUBLE) AS confidence FROM q LEFT JOIN p ON q.name = lower(p.name)")
+@query("f17_entity_resolution", f"WITH {PLAYERS_SQL}, t AS (SELECT player, name, 'T' || team AS team FROM p), q AS (SELECT lower(name) AS name, CASE WHEN player % 3 = 1 THEN team WHEN player % 6 = 2 THEN lower(team) WHEN player % 3 = 2 THEN 'X' END AS team FROM t UNION ALL SELECT 'nobody', 'T1'), j AS (SELECT q.*, t.player, CASE WHEN q.team = t.team THEN 1.0 WHEN t.player IS NULL THEN 0.0 WHEN q.team IS NULL THEN 0.6 WHEN lower(q.team) = lower(t.team) THEN 0.95 ELSE 0.0 END AS c FROM q LEFT JOIN t ON q.name = lower(t.name)) SELECT name, team, CASE WHEN c > 0 THEN player END AS id, CASE WHEN c > 0 THEN 'OK' WHEN player IS NULL THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CAST(c AS DOUBLE) AS confidence, CASE WHEN c > 0 THEN NULL WHEN player IS NULL THEN CAST([] AS BIGINT[]) ELSE [player] END AS candidates FROM j")
 def f17(spark, sf_dir):
-    p = players(spark, sf_dir)
-    k = F.col("player") % 3
-    asked = p.select(F.lower("name").alias("name"), F.when(k == 1, F.col("team")).when(k == 2, F.col("team") + 1).alias("team")).union(spark.createDataFrame([("nobody", 1)], "name string, team int"))
-    registry = p.select(F.col("player").alias("id"), "name", "team", F.col("player").alias("at"))
-    return Q.resolve_entities(asked, registry, F.lower)
+    """Names with their team, with another spelling of it, with another team, and without one."""
+    p = players(spark, sf_dir).withColumn("team", F.concat(F.lit("T"), "team"))
+    k = F.col("player")
+    asked = p.select(F.lower("name").alias("name"), F.when(k % 3 == 1, F.col("team")).when(k % 6 == 2, F.lower("team")).when(k % 3 == 2, "X").alias("team")).union(spark.createDataFrame([("nobody", "T1")], "name string, team string"))
+    return Q.resolve_entities(asked, p.select(k.alias("id"), "name", "team", k.alias("at")), F.lower)
 
 
 @query("f18_finite", "SELECT event_id AS run, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events")
@@ -529,11 +550,11 @@ def q3_all(spark, sf_dir):
     return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
-@query("q5_team_page", f"{LEADERBOARD_SQL} SELECT team, p.player, row_number() OVER (PARTITION BY team ORDER BY g / m DESC, p.player) AS place FROM p JOIN a ON p.player = a.player WHERE m >= 15000")
+@query("q5_team_page", f"{LEADERBOARD_SQL}, t AS (SELECT p.team, p.player, coalesce(m, 0) AS m, g / m AS v FROM p LEFT JOIN a ON p.player = a.player), q AS (SELECT team, player, 'ranked' AS part, row_number() OVER (PARTITION BY team ORDER BY v DESC, player) AS place FROM t WHERE m >= 15000), r AS (SELECT team, player, 'roster' AS part, row_number() OVER (PARTITION BY team ORDER BY m DESC, player) AS place FROM t WHERE m < 15000) SELECT * FROM q UNION ALL SELECT * FROM r WHERE place <= 24")
 def q5(spark, sf_dir):
-    t = players(spark, sf_dir).join(player_totals(spark, sf_dir).filter("mins >= 15000"), "player")
-    place = F.row_number().over(Window.partitionBy("team").orderBy((F.col("xg") / F.col("mins")).desc(), "player"))
-    return t.select("team", "player", place.cast("long").alias("place"))
+    """A team's qualified players by rank, and the rest of its roster, at most 24, by minutes."""
+    t = players(spark, sf_dir).select("player", "team").join(player_totals(spark, sf_dir), "player", "left").withColumn("mins", F.coalesce("mins", F.lit(0))).withColumn("v", F.col("xg") / F.col("mins"))
+    return V.team_page(t, F.col("mins") >= 15000, "v", "mins", 24)
 
 
 @query("q7_best_dimensions", f"{LEADERBOARD_SQL}, r AS (SELECT player, rank() OVER (ORDER BY g / m DESC) AS xg, rank() OVER (ORDER BY h / m DESC) AS xa, rank() OVER (ORDER BY m DESC) AS mins FROM a), u AS (UNPIVOT r ON xg, xa, mins INTO NAME dim VALUE rank), k AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rank, dim) AS place FROM u) SELECT player, dim, rank, place FROM k WHERE place <= 2")
@@ -546,14 +567,20 @@ def q7(spark, sf_dir):
     return V.best_dimensions(r, "player", ["xg", "xa", "mins"], 2)
 
 
-@query("q8_notify_once", f"WITH {RUNS_SQL}, d AS (SELECT DISTINCT stage, day FROM r WHERE failed OR size > 95) SELECT d.stage, d.day FROM d WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.stage = d.stage AND r.day = d.day AND r.owner = 7)")
+@query("q8_notify_once", f"WITH {RUNS_SQL}, d AS (SELECT stage, day, bool_and(NOT failed) AS complete, max(started) AS closing FROM r GROUP BY 1, 2), st AS (SELECT DISTINCT stage, day FROM r WHERE owner = 7 AND day < DATE '2024-01-10') SELECT stage, day, closing + INTERVAL 2 HOUR AS due FROM d WHERE complete AND closing + INTERVAL 2 HOUR <= TIMESTAMP '2024-01-20' AND NOT EXISTS (SELECT 1 FROM st WHERE st.stage = d.stage AND st.day = d.day)")
 def q8(spark, sf_dir):
-    """What is due less what a state table says was sent."""
+    """Closed rounds whose closing time has passed, less those that the state table says were told already."""
     r = runs(spark, sf_dir)
-    due = r.filter("failed or size > 95").select("stage", "day").distinct()
-    return due.join(r.filter("owner = 7").select("stage", "day"), ["stage", "day"], "left_anti")
+    rounds = r.groupBy("stage", "day").agg(F.bool_and(~F.col("failed")).alias("complete"), F.max("started").alias("closing"))
+    told = r.filter((F.col("owner") == 7) & (F.col("day") < F.lit("2024-01-10").cast("date"))).select("stage", "day")
+    return P.due_notices(rounds, told, ["stage", "day"], "2024-01-20 00:00:00", 2)
 
 
-@query("q9_season_views", f"WITH {FIXTURES_SQL} SELECT DISTINCT season FROM x")
+@query("q9_season_views", f"WITH {FIXTURES_SQL}, n AS (SELECT season, count(DISTINCT rnd) AS rounds, count(*) AS games FROM x GROUP BY 1) SELECT season, rounds, games, season = (SELECT max(season) FROM n WHERE rounds = 12) AS shown, CAST(season AS VARCHAR) || '-' || lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0') AS label FROM n")
 def q9(spark, sf_dir):
-    return fixtures(spark, sf_dir).select("season").distinct()
+    """Seasons that there are, how far each is, and which is shown: the last whole one."""
+    n = fixtures(spark, sf_dir).groupBy("season").agg(F.countDistinct("rnd").alias("rounds"), F.count("*").alias("games"))
+    last = n.filter("rounds = 12").agg(F.max("season").alias("_last"))
+    return n.join(last).select("season", "rounds", "games", (F.col("season") == F.col("_last")).alias("shown"), T.season_label(F.col("season")).alias("label"))
+
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,36 @@ def archive_season(df: DataFrame, folder: str, season: str) -> bool:
 def append_log(df: DataFrame, path: str) -> None:
     """Appends JSON lines."""
     df.write.mode("append").json(path)
+
+
+def payload_name(season: str | None, as_of: int | None = None, full: bool = False) -> str:
+    """Name of a payload: of all seasons, of one, as of a round, and the full one beside the short."""
+    parts = ["all-seasons" if season is None else season, *([f"r{as_of}"] if as_of is not None else []), *(["full"] if full else [])]
+    return "payload-" + "-".join(parts)
+
+
+def client_lines(rows: DataFrame, columns: list[str], order: list[Column]) -> DataFrame:
+    """(place, line) of the CSV a client takes home: a byte-order mark and the header, then rows in order, text in quotes where it has to be."""
+    def cell(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))  # a list that one person reads
+    lines = placed.select("place", F.concat_ws(",", *map(cell, columns)).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, "\ufeff" + ",".join(columns))], "place long, line string")
+    return head.union(lines)
+
+
+def tail_log(spark: SparkSession, path: str, schema: str, at: str, n: int) -> DataFrame:
+    """The last n lines of an appended log by a column."""
+    return spark.read.schema(schema).json(path).orderBy(F.col(at).desc()).limit(n)
+
+
+def sql_text(c: Column) -> Column:
+    """A text as an SQL literal."""
+    return F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def csv_text(c: Column) -> Column:
+    """A text as a CSV cell in quotes."""
+    return F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: rows of a file of a snapshot
+ROWS = 1_000_000
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, bytes, sha256) of the Parquet files below a folder, digested where they are read."""
+    """(file, bytes, sha256) of the Parquet files below a folder, digested where they are read.
+
+    A file is one value while it is digested, so snapshots are written in files
+    of bounded rows.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
     tail = F.regexp_extract("path", "([^/]+/[^/]+)$", 1)
     return found.select(tail.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
@@ -34,7 +42,7 @@ def write_snapshot(tables: dict[str, tuple[DataFrame, list[str]]], folder: str,
         system.rename(target, _path(spark, f"{folder}.old-{uuid.uuid4().hex}")[0])
     staged = f"{folder}.new-{uuid.uuid4().hex}"
     for name, (df, keys) in tables.items():
-        df.select(*sorted(df.columns)).sort(*keys).write.option("compression", "zstd").parquet(f"{staged}/{name}")
+        df.select(*sorted(df.columns)).sort(*keys).write.option("compression", "zstd").option("maxRecordsPerFile", ROWS).parquet(f"{staged}/{name}")
     _files(spark, staged).write.json(f"{staged}/manifest")
     system.rename(_path(spark, staged)[0], target)
 
@@ -58,3 +66,10 @@ def restore_snapshot(spark: SparkSession, folder: str, name: str, target: str, d
         if spark.read.parquet(target).count() != n:
             raise ValueError(f"{target} has other rows than {folder}/{name}")
     return n
+
+
+def load_snapshot(spark: SparkSession, folder: str, name: str, schema: str, key: str) -> DataFrame:
+    """A table of a snapshot as typed columns, sorted by its key; columns that it does not have are null."""
+    stored = spark.read.parquet(f"{folder}/{name}")
+    wanted = spark.createDataFrame([], schema).schema
+    return stored.select(*[(F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]).sort(key)
