@@ -199,6 +199,27 @@ def brute_sketch(text, k=5, size=128):
     return sorted({chain(*r) >> 32 for r in runs if min(r[0], r[-1]) <= min(r[1:-1])})[:size] or short
 
 
+def brute_span(text, sketch, k=5):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def chain(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+        return signed(seed)
+
+    units = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text)
+    if not units:
+        return 0.0
+    h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) for u in units]
+    pairs = [chain(a, b) for a, b in zip(h, h[1:])]
+    runs = [(i, pairs[i : i + k - 1]) for i in range(len(units) - k + 1)]
+    found = [(i, chain(*r) >> 32) for i, r in runs if min(r[0], r[-1]) <= min(r[1:-1])] if len(units) >= k else []
+    found = found or [(i, x >> 32) for i, x in enumerate(h)]
+    places = [i for i, x in found if x in sketch]
+    return min(max(places) - min(places) + k, len(units)) / len(units) if places else 0.0
+
+
 def test_fingerprints_against_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 4, 5, 6, 40, 400, 3000)] + [None, "x" * 5000, "漢字 " * 40, "same text here for two rows now", "same text here for two rows now"]
@@ -220,6 +241,7 @@ def test_fingerprints_against_brute_force(spark):
         a, b, c = brute_sketch(text), brute_sketch(edited), brute_sketch(following)
         assert (r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint) == (len(text), edited, digits(a), digits(b))
         assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+        assert r.span_edited == pytest.approx(brute_span(text, set(b)))
     assert syncmers.edited_fingerprints(frame(spark, rows).limit(0)).collect() == []
     one = syncmers.edited_fingerprints(frame(spark, [(5, "a b c d e f g h", "en", "x", 1)])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0

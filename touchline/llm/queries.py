@@ -44,7 +44,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = syncmers.edited_fingerprints(documents(spark, sf_dir))
-    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "span_edited")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
