@@ -248,3 +248,28 @@ def vr(spark, sf_dir):
     listed = p.select(T.market_name(F.concat(F.lit("Suppliér "), F.col("player"), F.lit(" "), F.col("player"))).alias("key"), F.col("balance").alias("worth"))
     own = pairs(spark, sf_dir).select(F.concat(F.lit("supplier "), F.col("player")).alias("key"), "x")
     return agreement(cut(own.join(listed, "key")), "x", "worth").filter("n >= 20").select(F.round("rho", 6).alias("rho"), "n")
+
+
+INDEXED_SQL = f"WITH {SEASON_SQL}, g AS (SELECT player, max(i) AS index, max(p) AS pro FROM fx WHERE ctx = 'total' GROUP BY 1), ix AS (SELECT player, index, pro, row_number() OVER (ORDER BY index DESC, player) AS a, row_number() OVER (ORDER BY pro DESC, player) AS b, {rank_sql('index')} AS u, {rank_sql('pro')} AS v FROM g)"
+
+
+def indexed(spark, sf_dir):
+    """Places by the index and by the index with its modulators."""
+    rows = R.scored(season_matches(spark, sf_dir), bodies(spark, sf_dir)).filter("ctx = 'total'").select("player", F.col("raw_").alias("index"), F.col("pro_").alias("pro"), "age_index", "reliability")
+    return cut(place(place(cut(rows), "index", ["player"], "a"), "pro", ["player"], "b"))
+
+
+@query("vd_movers", f"{INDEXED_SQL} (SELECT player, a - b AS moved, 'up' AS kind FROM ix ORDER BY moved DESC, player LIMIT 8) UNION ALL (SELECT player, a - b AS moved, 'down' FROM ix ORDER BY moved, player LIMIT 8)")
+def vd_movers(spark, sf_dir):
+    """The eight players that the modulators lift most, and the eight they lower most."""
+    moved = indexed(spark, sf_dir).select("player", (F.col("a") - F.col("b")).alias("moved"))
+    up = moved.orderBy(F.col("moved").desc(), "player").limit(8).withColumn("kind", F.lit("up"))
+    return up.union(moved.orderBy("moved", "player").limit(8).withColumn("kind", F.lit("down")))
+
+
+@query("vd_agreement", f"{INDEXED_SQL} SELECT (SELECT count(*) FROM ix) AS n, (SELECT round(corr(index, pro), 6) FROM ix) AS r, (SELECT round(corr(u, v), 6) FROM ix) AS rho, (SELECT count(*) FROM ix WHERE abs(a - b) > 2) AS moved, (SELECT round(corr(index, z), 6) FROM ix JOIN (SELECT player, age_index AS z FROM uw) USING (player)) AS r_age, (SELECT round(corr(index, z), 6) FROM ix JOIN (SELECT player, reliability AS z FROM uw) USING (player)) AS r_reliability")
+def vd_agreement(spark, sf_dir):
+    """How far the two rankings agree, how many players move by more than two places, and what age and fitness have to do with the index."""
+    rows = indexed(spark, sf_dir)
+    seen = rows.agg(F.count_if(F.abs(F.col("a") - F.col("b")) > 2).alias("moved"), F.corr("index", "age_index").alias("r_age"), F.corr("index", "reliability").alias("r_reliability"))
+    return rounded(agreement(rows, "index", "pro").join(seen), "r", "rho", "r_age", "r_reliability")
