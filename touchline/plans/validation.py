@@ -70,7 +70,9 @@ def vb(spark, sf_dir):
     raw = ten(pairs(spark, sf_dir), "x").join(ten(rows, "y"), "player").count()
     fair, n = ten(rows, "x").join(ten(rows, "y"), "player").count(), rows.count()
     tau = S.kendall(rows, "x", "y", "player").first()["tau"]
-    return spark.createDataFrame([(raw, fair, round(tau, 6), round(100.0 / n, 6), round(S.hypergeometric_tail(n, 10, 10, fair), 6))], "raw long, fair long, tau double, expected double, p double")
+    k = min(10, n)
+    expected, p = (round(k * k / n, 6), round(S.hypergeometric_tail(n, k, k, fair), 6)) if n else (None, None)
+    return spark.createDataFrame([(raw, fair, None if tau is None else round(tau, 6), expected, p)], "raw long, fair long, tau double, expected double, p double")
 
 
 HALVES_SQL = f"""WITH {FACTS_SQL}, hq AS (SELECT player, role, CAST(sum(xg) FILTER (WHERE rnd <= 6) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd <= 6) AS x, CAST(sum(xg) FILTER (WHERE rnd > 6) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd > 6) AS y, CAST(sum(xg) FILTER (WHERE rnd % 2 = 1) AS DOUBLE) / sum(mins) FILTER (WHERE rnd % 2 = 1) AS o, CAST(sum(xg) FILTER (WHERE rnd % 2 = 0) AS DOUBLE) / sum(mins) FILTER (WHERE rnd % 2 = 0) AS e, count(*) FILTER (WHERE rnd <= 6) AS m, count(*) FILTER (WHERE rnd > 6) AS n FROM f WHERE season = 1998 AND mins > 0 GROUP BY 1, 2), h AS (SELECT * FROM hq WHERE m >= 4 AND n >= 4)"""
