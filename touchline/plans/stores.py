@@ -68,12 +68,12 @@ def s18(spark, sf_dir):
     return spark.createDataFrame(made, "name string, n long, errors int, restored long")
 
 
-@query("s21_load_snapshot", f"{LEADERBOARD_SQL} SELECT player AS player_id, round(g, 6) AS tpi, CAST(m AS INT) AS minuti, CAST(NULL AS VARCHAR) AS nome FROM a")
+@query("s21_load_snapshot", f"{LEADERBOARD_SQL} SELECT player AS player_id, round(g, 6) AS value, CAST(m AS INT) AS mins, CAST(NULL AS VARCHAR) AS name FROM a")
 def s21(spark, sf_dir):
     """A table of a snapshot with the types that a comparison wants."""
     folder = f"{scratch(spark)}/sealed"
-    snapshots.write_snapshot({"tpi": (player_totals(spark, sf_dir).select(F.col("player").alias("player_id"), F.round("xg", 6).alias("tpi"), F.col("mins").alias("minuti")), ["player_id"])}, folder)
-    return snapshots.load_snapshot(spark, folder, "tpi", "player_id long, tpi double, minuti int, nome string", "player_id")
+    snapshots.write_snapshot({"ratings": (player_totals(spark, sf_dir).select(F.col("player").alias("player_id"), F.round("xg", 6).alias("value"), "mins"), ["player_id"])}, folder)
+    return snapshots.load_snapshot(spark, folder, "ratings", "player_id long, value double, mins int, name string", "player_id")
 
 
 @query("s22_provider", f"WITH {PLAYERS_SQL} SELECT CAST(player AS BIGINT) AS player_id, 'fixed' AS provider, '1997' AS season, name FROM p WHERE player % 3 = 1")
