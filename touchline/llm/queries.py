@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, jaccard_join, langid, sentencepiece_codec, substring_dedup, suffix_dedup, syncmers, warc
+from . import decontamination, exact_search, html_extraction, jaccard_join, langid, ranked_search, sentencepiece_codec, substring_dedup, suffix_dedup, syncmers, vector_codes, warc
 from .common import documents, pages
 from .token_counts import prefix_counts
+from .vectors import embeddings
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(embeddings(spark, sf_dir))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_fingerprints": op6_fingerprints, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_html_extraction": op1_html_extraction, "op2_sentencepiece": op2_sentencepiece, "op3_warc": op3_warc, "op4_token_counts": op4_token_counts, "op5_jaccard_join": op5_jaccard_join, "op6_fingerprints": op6_fingerprints, "op7_language_id": op7_language_id, "op8_decontamination": op8_decontamination, "op9_suffix_dedup": op9_suffix_dedup, "op10_substring_dedup": op10_substring_dedup, "op11_vector_codes": op11_vector_codes, "op12_ranked_search": op12_ranked_search, "op13_exact_search": op13_exact_search}
 
 
 #: payload digests: base32 is read off the hexadecimal form, five digits to four letters
@@ -109,6 +122,41 @@ gone AS (SELECT DISTINCT doc_id, p + j AS p FROM f, range(0, 20) AS t(j) WHERE n
 kept AS (SELECT u.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY u.p) AS t FROM u LEFT JOIN gone ON u.doc_id = gone.doc_id AND u.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
+#: finite vectors as whole numbers; rows are told apart by place
+USABLE = "SELECT row_number() OVER () AS row, vec_id, {other} list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every round as two tables: what each part falls to, and the entries after it."""
+    steps = [
+        f"e AS MATERIALIZED ({USABLE.format(other='label,', scale=1024)})",
+        f"x AS MATERIALIZED (SELECT row, p, list_slice(v, p * (len(v) // {parts}) + 1, (p + 1) * (len(v) // {parts})) AS s FROM e, range({parts}) AS t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, s FROM x JOIN e USING (row) WHERE vec_id IS NOT NULL QUALIFY k < {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS (SELECT row, x.p, k, list_sum(list_transform(list_zip(x.s, b{r}.s), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{r} USING (p))")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, p, CAST(min(d) AS BIGINT) AS d, arg_min(k, d * {entries} + k) AS k FROM d{r} GROUP BY row, p)")
+        if r < rounds:
+            steps.append(f"u{r} AS (SELECT a.p, a.k, unnest(s) AS c, generate_subscripts(s, 1) AS i FROM a{r} AS a JOIN x USING (row, p))")
+            steps.append(f"m{r} AS (SELECT p, k, list(CAST(floor(sc / n) AS BIGINT) ORDER BY i) AS s FROM (SELECT p, k, i, sum(c) AS sc, count(*) AS n FROM u{r} GROUP BY ALL) GROUP BY p, k)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(m{r}.s, b{r}.s) AS s FROM b{r} LEFT JOIN m{r} USING (p, k))")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})")
+    steps.append(f"f AS (SELECT row, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN f USING (row), h"
+
+
+OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+i AS (SELECT ask, item_id, unnest(list_distinct(t)) AS term FROM (SELECT row_number() OVER () AS ask, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+a AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+p AS MATERIALIZED (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, a GROUP BY term, n_docs),
+s AS (SELECT ask, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // total))))) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN p USING (term), a GROUP BY ask, item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id NULLS FIRST, row) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+OP13_SQL = f"""WITH e AS MATERIALIZED ({USABLE.format(other='', scale=256)}),
+s AS (SELECT q.row AS ask, q.vec_id AS query_id, e.row, e.vec_id, CAST(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM e AS q JOIN e ON q.row <> e.row WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY ask ORDER BY score DESC, vec_id NULLS FIRST, row) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_suffix_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op11_vector_codes": op11_sql(), "op12_ranked_search": OP12_SQL, "op13_exact_search": OP13_SQL, "op3_warc": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op9_suffix_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
