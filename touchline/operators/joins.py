@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """base with the rows of changes in place of those with the same keys, and added where there are none."""
@@ -21,7 +23,8 @@ def as_of(rows: DataFrame, column: str, last: int) -> DataFrame:
 def thresholds(rows: DataFrame, share: float = 0.20, winter: float = 0.12, percentile: float = 0.3, least: int = 10) -> DataFrame:
     """base, winter and full_season minutes, from (team, rnd, player, mins) rows of one season."""
     games = rows.groupBy("team").agg(F.countDistinct("rnd").alias("n")).agg(F.max("n").alias("g"))
-    mins = rows.groupBy("player").agg(F.sum("mins").alias("mins")).agg(F.percentile("mins", F.lit(percentile)).alias("p"), F.count("*").alias("n"))
+    players = rows.groupBy("player").agg(F.sum("mins").alias("mins"))
+    mins = quantiles(players, [], "mins", [percentile]).select(F.col("q")[0].alias("p")).join(players.agg(F.count("*").alias("n")))
     base = F.floor(F.col("g") * 90 * share).cast("long")
     lifted = F.when(F.col("n") > least, F.floor("p").cast("long")).otherwise(F.lit(0))
     return games.join(mins).select(base.alias("base"), F.floor(F.col("g") * 90 * winter).cast("long").alias("winter"), F.greatest(base, lifted).alias("full_season"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .platform import last_against_rest, set_changes, severity, trust
 from .quality import orphans, report
+from .ordered import quantiles
 from .windows import place, rank_average
 
 
@@ -47,9 +48,11 @@ def regression_diff(old: DataFrame, new: DataFrame, key: str, value: str, limits
         F.coalesce(F.max(F.when(F.col("_i") == 1, delta)), F.lit(0.0)).alias("top_delta"),
         F.coalesce(shift(F.avg), F.lit(0.0)).alias("mean_shift"),
         F.coalesce(shift(F.stddev_pop), F.lit(0.0)).alias("sd_shift"),
-        F.coalesce(shift(lambda c: F.percentile(c, F.lit(0.95))), F.lit(0.0)).alias("p95_shift"),
         F.count("*").alias("n"),
     )
+    p95 = quantiles(both.filter("x is not null and y is not null").unpivot([], ["x", "y"], "_side", "_v"), ["_side"], "_v", [0.95])
+    tail = lambda side: F.max(F.when(F.col("_side") == side, F.col("q")[0]))
+    facts = facts.join(p95.agg(F.coalesce(shift(tail), F.lit(0.0)).alias("p95_shift")))
     share = both.agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.greatest(F.count("x"), F.count("y"))).alias("common"))
     row = facts.join(share)
     short = lambda k: F.least(F.lit(1.0), F.col("n") / float(k))  # noqa: E731  short tables have shorter top lists
@@ -119,7 +122,8 @@ def anomalies(runs: DataFrame, now: str, alarms: Alarms | None = None, expected:
         new = quarantine.filter((F.col("at") >= at - days(lim.window_days)) & (F.col("at") <= at)).groupBy(F.col("source").alias("stage")).agg(F.count("*").cast("double").alias("value"))
         found.append(alarm(new, "quarantine", lim.backlog))
     if ratings is not None:
-        figures = ratings.groupBy("vintage").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.percentile("value", F.lit(0.95)).alias("p95"))
+        figures = ratings.groupBy("vintage").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+        figures = figures.join(quantiles(ratings, ["vintage"], "value", [0.95]).select("vintage", F.col("q")[0].alias("p95")), "vintage")
         # one row a vintage
         order = Window.partitionBy(F.lit(0)).orderBy("vintage")
         moved = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.lag(c).over(order)) / F.nullif(F.abs(F.lag(c).over(order)), F.lit(0.0)), F.lit(0.0)) for c in ("mean", "sd", "p95")])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .cuts import cut
 from .measures import boost, clip, consistency, mean, per90, shrink, total
-from .windows import ewma, in_order, rank_average, robust_z, top_n
+from .ordered import quantiles, recursive_mean, with_means
+from .windows import rank_average, robust_z, top_n
 
 
 @dataclass(frozen=True)
@@ -106,10 +107,9 @@ def dimensions(rows: DataFrame, sos: DataFrame, rules: Rules = RULES) -> DataFra
 
 def minutes_shrinkage(rows: DataFrame, value: str, out: str, rules: Rules = RULES) -> DataFrame:
     """Draws a value towards the mean of its (role, ctx), the more the fewer minutes and games stand behind it."""
-    peers = Window.partitionBy("role", "ctx")
     per_game = clip(F.coalesce(F.col("mins") / F.col("n"), F.lit(45.0)), 30, 90)
     strength = clip(clip(75 / per_game, 1, 2.5) * clip(30 / F.coalesce(F.col("n"), F.lit(8)), 1, 3), 1, 3) * rules.prior_minutes
-    return rows.withColumn(out, shrink(F.col(value), F.col("mins").cast("double"), F.avg(value).over(peers), strength))
+    return with_means(rows, ["role", "ctx"], {"_prior": value}).withColumn(out, shrink(F.col(value), F.col("mins").cast("double"), F.col("_prior"), strength)).drop("_prior")
 
 
 def scores(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -127,7 +127,7 @@ def composite(z: dict[str, Column], weights: dict[str, float]) -> Column:
 
 def confidence(rows: DataFrame, dims: list[str]) -> DataFrame:
     """Fourth root of the product of minutes, games, minutes a game, and the share of dimensions."""
-    level = rows.agg(F.percentile("mins", F.lit(0.95)).alias("_p95"))
+    level = quantiles(rows, [], "mins", [0.95]).select(F.col("q")[0].alias("_p95"))
     have = reduce(Column.__add__, [F.col(d).isNotNull().cast("double") for d in dims]) / len(dims)
     parts = clip(F.col("mins") / F.col("_p95"), 0, 1) * clip(F.col("n") / 30.0, 0.3, 1) * clip(F.col("mins") / F.col("n") / 90.0, 0.4, 1) * have
     return rows.join(level).withColumn("confidence", F.round(F.pow(parts, 0.25), 3)).drop("_p95")
@@ -184,9 +184,9 @@ def reliability(played: Column, available: Column, injuries: Column, days: Colum
 def form(facts: DataFrame, keys: list[str], alpha: float = 0.3, least: int = 5) -> DataFrame:
     """(player, ewma, trend): recursive mean of the rate in match order, and its distance to the plain mean."""
     value = ((F.col("xg") + F.col("xa")).cast("double") * 90 / F.col("mins"))
-    series = facts.filter("mins > 0").groupBy("player").agg(in_order(value, *keys).alias("v"))
-    last, plain = ewma(F.col("v"), alpha), F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
-    return series.select("player", last.alias("ewma"), F.when(F.size("v") >= least, F.try_divide(last, plain) - 1).alias("trend"))
+    rows = facts.filter("mins > 0").select("player", *keys, value.alias("_v"))
+    series = recursive_mean(rows, ["player"], [F.col(k) for k in keys], "_v", "_s", alpha).groupBy("player").agg(F.max_by("_s", "pos").alias("ewma"), F.avg("_v").alias("_mean"), F.count("*").alias("_n"))
+    return series.select("player", "ewma", F.when(F.col("_n") >= least, F.try_divide("ewma", "_mean") - 1).alias("trend"))
 
 
 def team_log(matches: DataFrame) -> DataFrame:
@@ -248,11 +248,11 @@ DIMENSIONS = ("output", "buildup", "centrality", "boost", "consistency")
 def context_scores(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
     """player, role, ctx and the scores of the five dimensions of a context, after the minutes' shrinkage."""
     dims = cut(context_dimensions(matches, rules))
-    peers = Window.partitionBy("role", "ctx")
     per_game = clip(F.col("season_mins") / F.col("games"), 30, 90)
     strength = clip(F.greatest(clip(75 / per_game, 1, 2.5), clip(30 / F.col("games"), 1, 3)), 1, 3) * rules.prior_minutes
+    dims = with_means(dims, ["role", "ctx"], {"_output": "output", "_buildup": "buildup"})
     for name in ("output", "buildup"):
-        dims = dims.withColumn(name, shrink(F.col(name), F.col("mins").cast("double"), F.avg(name).over(peers), strength))
+        dims = dims.withColumn(name, shrink(F.col(name), F.col("mins").cast("double"), F.col(f"_{name}"), strength)).drop(f"_{name}")
     return scores(cut(dims), list(DIMENSIONS)).groupBy("player", "role", "ctx").pivot("metric", list(DIMENSIONS)).agg(F.first("z"))
 
 
@@ -277,7 +277,7 @@ def scored(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataF
     whole = cut(prepared(matches, bodies, rules))
     rows = cut(raw_scores(context_scores(matches, rules), whole, rules))
     have = reduce(Column.__add__, [F.col(d).isNotNull().cast("double") for d in DIMENSIONS]) / len(DIMENSIONS)
-    level = whole.agg(F.percentile("season_mins", F.lit(0.95)).alias("p95"))
+    level = quantiles(whole, [], "season_mins", [0.95]).select(F.col("q")[0].alias("p95"))
     total_ = rows.filter("ctx = 'total'").select("player", "role", F.col("raw").alias("total_raw"), have.alias("have"))
     person = total_.join(whole.select("player", "games", "season_mins", "played", "available", "age"), "player").join(stability(rows), "player").join(level)
     trust = clip(F.col("season_mins") / F.col("p95"), 0, 1) * clip(F.col("games") / 30.0, 0.3, 1) * clip(F.col("season_mins") / F.col("games") / 90.0, 0.4, 1) * F.col("have")
@@ -296,8 +296,8 @@ def scored(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataF
 
 def finished(rows: DataFrame, name: str, peers: list[str], rules: Rules = RULES) -> DataFrame:
     """rows with `<name>_`: drawn to the peers' mean by confidence, weighted by role, and less by missed games."""
-    drawn = role_weighted(F.col(name), F.avg(name).over(Window.partitionBy(*peers)), F.col("confidence"), F.col("role"), rules)
-    return rows.withColumn(f"{name}_", F.round(F.round(drawn, 4) * availability_penalty(F.col("played"), F.col("available")), 4))
+    drawn = role_weighted(F.col(name), F.col("_peers"), F.col("confidence"), F.col("role"), rules)
+    return with_means(rows, peers, {"_peers": name}).withColumn(f"{name}_", F.round(F.round(drawn, 4) * availability_penalty(F.col("played"), F.col("available")), 4)).drop("_peers")
 
 
 def season_index(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:

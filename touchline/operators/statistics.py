@@ -7,10 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+from .ordered import quantiles, with_means
+
 
 def quantile_bins(rows: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """1 plus the number of inner quantile edges below the value; equal edges leave bins empty."""
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_edges"))
+    edges = quantiles(rows, [], value, [k / bins for k in range(1, bins)], "_edges")
     return rows.join(edges).withColumn(out, (F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).cast("int")).drop("_edges")
 
 
@@ -120,25 +123,24 @@ def kendall(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
     Each row goes once to each level of the halving; in a half pair, a right row
     counts the left rows with a larger y, in parts of the range of y with the
-    sizes of the parts above. No pair is ever made.
+    sizes of the parts above; equal ys of a half are one row. No pair is ever made.
     """
     from .windows import rank_min, spread_by_value
 
-    base = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    ranked = spread_by_value(rank_min(base, x, "_r"), y).drop("_above")
-    levels = ranked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(40))))
-    top = base.agg((F.ceil(F.log2(F.count("*") + 1)) + 1).cast("int").alias("_top"))
-    levels = levels.join(top).filter(F.col("_level") < F.col("_top"))
+    base = cut(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y))
+    top = math.ceil(math.log2(base.count() + 1)) + 1
+    ranked = spread_by_value(rank_min(base, x, "_r"), y)
+    levels = ranked.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(top - 1))))
     levels = levels.withColumn("_group", F.expr("shiftright(_r, _level + 1)")).withColumn("_left", (F.expr("shiftright(_r, _level)") % 2).cast("long"))  # a larger x has the lower rank: it is the right half in ascending order
     keys = ["_level", "_group"]
+    levels = levels.groupBy(*keys, "_bucket", y).agg(F.sum("_left").alias("_left"), F.sum(1 - F.col("_left")).alias("_right"))
     sizes = levels.groupBy(*keys, "_bucket").agg(F.sum("_left").alias("_n"))
     # one row a part of the range of y
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col(y).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy(*keys, "_bucket", y)
-    counted = levels.join(sizes, [*keys, "_bucket"]).withColumn("_larger", F.col("_above") + F.sum("_left").over(inside) - F.sum("_left").over(same))
-    against = counted.filter("_left = 0").agg(F.coalesce(F.sum(F.col("_larger").cast("decimal(38,0)")), F.lit(0)).cast("double").alias("q"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col(y).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counted = levels.join(sizes, [*keys, "_bucket"]).withColumn("_larger", F.col("_above") + F.sum("_left").over(inside) - F.col("_left"))
+    against = counted.agg(F.coalesce(F.sum((F.col("_larger") * F.col("_right")).cast("decimal(38,0)")), F.lit(0)).cast("double").alias("q"))
 
     def ties(*by):
         n = F.count("*").cast("decimal(38,0)")
@@ -156,8 +158,8 @@ def partial_spearman(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
     from .windows import rank_average
 
     r = rank_average(rank_average(rows, x, [], "_x", floor=False), y, [], "_y", floor=False)
-    w = Window.partitionBy(group)
-    r = r.withColumn("_u", F.col("_x") - F.avg("_x").over(w)).withColumn("_v", F.col("_y") - F.avg("_y").over(w))
+    r = with_means(cut(r), [group], {"_a": "_x", "_b": "_y"})
+    r = r.withColumn("_u", F.col("_x") - F.col("_a")).withColumn("_v", F.col("_y") - F.col("_b"))
     return r.agg(F.corr("_u", "_v").alias("rho"), F.count("*").alias("n"))
 
 
@@ -198,8 +200,7 @@ def fold_means(rows: DataFrame, y: str, fold_: str) -> DataFrame:
 
 def skill_scores(rows: DataFrame, x: str, y: str, fold_: str, group: str) -> DataFrame:
     """(n, rmse, skill_persistence, skill_group): a line out of sample against y = x and against the group's mean of y; null with fewer than 10 rows."""
-    mean_ = F.avg(y).over(Window.partitionBy(group))
-    told = cross_validated(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, fold_).withColumn("_mean", mean_)
+    told = with_means(cross_validated(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, fold_), [group], {"_mean": y})
     sse = lambda p: F.sum(F.pow(F.col(y) - F.col(p), 2))
     got = told.agg(F.count("*").alias("n"), sse("predicted").alias("model"), sse(x).alias("naive"), sse("_mean").alias("grouped"))
     skill = lambda c: F.when(F.col("n") >= 10, 1 - F.try_divide("model", F.nullif(F.col(c), F.lit(0.0))))

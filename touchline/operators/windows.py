@@ -6,54 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut
+from .ordered import quantiles, ranks, recursive_mean, running, with_groups
 
 
-def spread_by_value(df: DataFrame, value: str, buckets: int = 256) -> DataFrame:
-    """df with `_bucket`, larger values in lower buckets and nulls in the last, and `_above`, the rows in lower buckets.
+def spread_by_value(df: DataFrame, value: str, size: int = 100_000) -> DataFrame:
+    """df with `_bucket`, larger values in lower buckets and nulls in the last; equal values share a bucket.
 
-    Approximate quantiles part the values, so an order over the whole table needs
-    no single partition: equal values share a bucket, and places inside buckets
-    and the sizes of those above make up the place. df is read three times, so
-    it is written once.
+    Approximate quantiles part the values into as many buckets as give each about
+    `size` rows, from 16 to 4096. df is read three times, so it is written once.
     """
     df = cut(df)
+    buckets = min(4096, max(16, -(-df.count() // size)))
     edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 10_000).alias("_edges"))
     place = F.when(F.col(value).isNull(), buckets + 1).otherwise(F.size(F.filter("_edges", lambda e: e > F.col(value))))
-    rows = df.join(edges).withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_edges")
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row a bucket
-    above = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(sizes.select("_bucket", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")), "_bucket")
+    return df.join(edges).withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_edges")
 
 
 def rank_average(df: DataFrame, value: str, by: list[str], out: str, floor: bool = True) -> DataFrame:
-    """Descending rank where ties have the mean of their ranks, truncated unless floor is False; nulls come last as one tie.
+    """Descending rank in the group where ties have the mean of their ranks, truncated unless floor is False; nulls come last as one tie.
 
     Without `by` the rank is that in the whole table.
     """
-    if not by:
-        spread = spread_by_value(df, value)
-        order, peers = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last()), Window.partitionBy("_bucket", value)
-        rank = F.col("_above") + F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
-        return spread.withColumn(out, F.floor(rank) if floor else rank).drop("_bucket", "_above")
-    order = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
-    peers = Window.partitionBy(*by, value)
-    rank = F.rank().over(order) + (F.count(F.lit(1)).over(peers) - 1) / 2
-    return df.withColumn(out, F.floor(rank) if floor else rank)
+    rank = F.col("_first") + (F.col("_peers") - 1) / 2
+    return ranks(df, value, by).withColumn(out, F.floor(rank) if floor else rank).drop("_first", "_peers")
 
 
-def rank_min(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Descending competition rank in the whole table, nulls last as one tie."""
-    order = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last())
-    spread = spread_by_value(df, value)
-    return spread.withColumn(out, (F.col("_above") + F.rank().over(order)).cast("long")).drop("_bucket", "_above")
+def rank_min(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Descending competition rank in the whole table, or in the group, nulls last as one tie."""
+    return ranks(df, value, by or []).withColumn(out, F.col("_first").cast("long")).drop("_first", "_peers")
 
 
-def place(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
-    """Ordinal place in the whole table by descending value, of equals by the keys, nulls last."""
-    order = Window.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last(), *keys)
-    spread = spread_by_value(df, value)
-    return spread.withColumn(out, (F.col("_above") + F.row_number().over(order)).cast("long")).drop("_bucket", "_above")
+def place(df: DataFrame, value: str, keys: list[str], out: str, by: list[str] | None = None) -> DataFrame:
+    """Ordinal place in the whole table, or in the group, by descending value, of equals by the keys, nulls last."""
+    return running(df, by or [], [F.col(value).desc_nulls_last(), *[F.col(k) if isinstance(k, str) else k for k in keys]], F.lit(1), out).withColumn(out, F.col(out).cast("long"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -69,21 +54,9 @@ def ewma(values: Column, alpha: float = 0.3) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(rest, F.get(values, F.lit(0)), lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s))
 
 
-def ewma_series(rows: DataFrame, by: list[str], keys: list[str], value: str, out: str, alpha: float = 0.3, reach: int = 128) -> DataFrame:
-    """rows with the mean after each of them, and their place `pos` in the group from 0.
-
-    A value's weight falls by 1 - alpha a step, so the last hundred or so make
-    the mean up to the precision of a double; a group is streamed through a
-    window of that length and never gathered.
-    """
-    order = Window.partitionBy(*by).orderBy(*keys)
-    placed = rows.withColumn("pos", F.row_number().over(order) - 1)
-    recent = order.rowsBetween(-reach, 0)
-    near = F.collect_list(F.struct(F.col("pos").alias("p"), F.col(value).cast("double").alias("v"))).over(recent)
-    step = lambda s, x: F.lit(alpha) * x["v"] + F.lit(1 - alpha) * s
-    placed = placed.withColumn("_near", near)
-    rest = F.slice("_near", 2, F.greatest(F.size("_near") - 1, F.lit(0)))
-    return placed.withColumn(out, F.aggregate(rest, F.get("_near", F.lit(0))["v"], step)).drop("_near")
+def ewma_series(rows: DataFrame, by: list[str], keys: list[str], value: str, out: str, alpha: float = 0.3) -> DataFrame:
+    """rows with the mean after each of them, and their place `pos` in the group from 0."""
+    return recursive_mean(rows, by, [F.col(k) for k in keys], value, out, alpha)
 
 
 def in_order(value: Column, *keys: str) -> Column:
@@ -93,10 +66,10 @@ def in_order(value: Column, *keys: str) -> Column:
 
 def reference(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(by..., _n, _mean, _sd) of a group's values winsorised at its own quantiles, by two aggregations."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value"))
-    edges = rows.groupBy(*by).agg(F.percentile("_value", F.array(F.lit(low), F.lit(high))).alias("_e"))
+    rows = cut(df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_value")))
+    edges = quantiles(rows, by, "_value", [low, high], "_e")
     kept = F.least(F.greatest(F.col("_value"), F.col("_e")[0]), F.col("_e")[1])
-    return rows.join(edges, by).groupBy(*by).agg(F.count(kept).alias("_n"), F.avg(kept).alias("_mean"), F.stddev_samp(kept).alias("_sd"))
+    return with_groups(rows, edges, by).groupBy(*by).agg(F.count(kept).alias("_n"), F.avg(kept).alias("_mean"), F.stddev_samp(kept).alias("_sd"))
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], out: str, limit: float = 3.0, least: int = 3, fallback: tuple[str, str] | None = None, own_least: int = 6) -> DataFrame:
@@ -105,16 +78,17 @@ def robust_z(df: DataFrame, value: str, by: list[str], out: str, limit: float =
     Bounded to +-limit; 0 where the group does not vary, null where it has fewer
     than `least` values. With fallback (column, name) a group of fewer than
     `own_least` values is scored by that of the same keys with the name in the
-    column. Nothing but counts of values meets in one task.
+    column.
     """
     stats = reference(df, value, by)
-    rows = df.join(stats, by, "left")
+    stats = cut(stats)
+    rows = with_groups(df, stats, by)
     n, mean, sd = F.coalesce("_n", F.lit(0)), F.col("_mean"), F.col("_sd")
     if fallback:
         column, name = fallback
         rest = [k for k in by if k != column]
         other = stats.filter(F.col(column) == name).select(*rest, *[F.col(c).alias(f"{c}f") for c in ("_n", "_mean", "_sd")])
-        rows = rows.join(other, rest, "left")
+        rows = with_groups(rows, other, rest)
         use = (n < own_least) & (F.col(column) != name)
         n, mean, sd = (F.when(use, y).otherwise(x) for x, y in ((n, F.coalesce("_nf", F.lit(0))), (mean, F.col("_meanf")), (sd, F.col("_sdf"))))
     z = F.greatest(F.lit(-limit), F.least(F.lit(limit), (F.col(value) - mean) / sd))

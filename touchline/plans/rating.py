@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline.operators import rating as R
 from touchline.operators.measures import argmax, consistency, mean, per90, total, weighted_mean
-from touchline.operators.windows import ewma, ewma_series, in_order, last_n, rank_average, robust_z, spearman
+from touchline.operators.ordered import quantiles, running, with_groups, with_means
+from touchline.operators.windows import ewma_series, last_n, place, rank_average, rank_min, robust_z, spearman
 
 from .binding import FACTS_SQL, MATCHES_SQL, PLAYERS_SQL, RUNS_SQL, facts, matches, players, runs
 from .registry import query
@@ -139,7 +140,8 @@ def a13(spark, sf_dir):
 
 @query("a14_half_split", f"WITH {FACTS_SQL}, n AS (SELECT player, goal, xg, row_number() OVER (PARTITION BY player ORDER BY {ORDER}) AS k, count(*) OVER (PARTITION BY player) AS c FROM f), h AS (SELECT player, max(c) AS c, CAST(sum(goal) FILTER (WHERE k <= c // 2) AS DOUBLE) / nullif(CAST(sum(xg) FILTER (WHERE k <= c // 2) AS DOUBLE), 0) AS a, CAST(sum(goal) FILTER (WHERE k > c // 2) AS DOUBLE) / nullif(CAST(sum(xg) FILTER (WHERE k > c // 2) AS DOUBLE), 0) AS b FROM n GROUP BY 1) SELECT player, round(b - a, 6) AS trend FROM h WHERE c >= 8")
 def a14(spark, sf_dir):
-    rows = facts(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("player").orderBy(*KEYS))).withColumn("c", F.count("*").over(Window.partitionBy("player")))
+    rows = running(facts(spark, sf_dir), ["player"], [F.col(k) for k in KEYS], F.lit(1), "k")
+    rows = with_groups(rows, facts(spark, sf_dir).groupBy("player").agg(F.count("*").alias("c")), ["player"])
     early = F.col("k") <= F.floor(F.col("c") / 2)
 
     def ratio(where):
@@ -210,7 +212,9 @@ def a24(spark, sf_dir):
 @query("a25_baseline", f"WITH {RUNS_SQL} SELECT stage, count(*) AS n, round(CAST(sum(duration) AS DOUBLE) / count(*), 6) AS mean, round(stddev_pop(CAST(duration AS DOUBLE)), 5) AS sd, round(quantile_cont(CAST(duration AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(duration AS DOUBLE), 0.95), 6) AS p95 FROM r GROUP BY 1")
 def a25(spark, sf_dir):
     d = F.col("duration").cast("double")
-    return runs(spark, sf_dir).groupBy("stage").agg(F.count("*").alias("n"), F.round(mean("duration"), 6).alias("mean"), F.round(F.stddev_pop(d), 5).alias("sd"), F.round(F.percentile(d, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(d, F.lit(0.95)), 6).alias("p95"))
+    rows = runs(spark, sf_dir)
+    plain = rows.groupBy("stage").agg(F.count("*").alias("n"), F.round(mean("duration"), 6).alias("mean"), F.round(F.stddev_pop(d), 5).alias("sd"))
+    return plain.join(quantiles(rows, ["stage"], "duration", [0.5, 0.95]), "stage").select("stage", "n", "mean", "sd", F.round(F.col("q")[0], 6).alias("p50"), F.round(F.col("q")[1], 6).alias("p95"))
 
 
 @query("a26_daily_counts", f"WITH {RUNS_SQL} SELECT day, count(*) AS n, count(*) FILTER (WHERE failed) AS failures FROM r GROUP BY 1")
@@ -247,12 +251,12 @@ def w1(spark, sf_dir):
 
 @query("w2_rank_min", f"SELECT player, role, rank() OVER (PARTITION BY role ORDER BY v DESC NULLS LAST) AS rank FROM {RANKED_SQL}")
 def w2(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("player", "role", F.rank().over(Window.partitionBy("role").orderBy(F.col("v").desc_nulls_last())).cast("long").alias("rank"))
+    return rank_min(_ranked(spark, sf_dir), "v", "rank", ["role"]).select("player", "role", "rank")
 
 
 @query("w3_row_number", f"SELECT player, role, row_number() OVER (PARTITION BY role ORDER BY v DESC NULLS LAST, player) AS place FROM {RANKED_SQL}")
 def w3(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("player", "role", F.row_number().over(Window.partitionBy("role").orderBy(F.col("v").desc_nulls_last(), "player")).cast("long").alias("place"))
+    return place(_ranked(spark, sf_dir), "v", ["player"], "place", ["role"]).select("player", "role", "place")
 
 
 @query("w4_spearman", f"{LEADERBOARD_SQL}, j AS (SELECT role, g, h FROM p JOIN a ON p.player = a.player), k AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY g DESC) + (count(*) OVER (PARTITION BY role, g) - 1) / 2.0 AS x, rank() OVER (PARTITION BY role ORDER BY h DESC) + (count(*) OVER (PARTITION BY role, h) - 1) / 2.0 AS y FROM j) SELECT role, round(corr(x, y), 6) AS rho, count(*) AS n FROM k GROUP BY 1")
@@ -270,8 +274,8 @@ def w5(spark, sf_dir):
 
 @query("w6_ewma", f"WITH {FACTS_SQL}, q AS (SELECT player, list({VALUE} ORDER BY {ORDER}) AS v FROM f WHERE season = 1996 AND mins > 0 GROUP BY 1) SELECT player, round(list_reduce(v, lambda s, x: 0.3 * x + 0.7 * s), 6) AS ewma, len(v) AS n FROM q")
 def w6(spark, sf_dir):
-    rows = facts(spark, sf_dir).filter("season = 1996 and mins > 0").groupBy("player").agg(in_order(rate(), *KEYS).alias("v"))
-    return rows.select("player", F.round(ewma(F.col("v")), 6).alias("ewma"), F.size("v").cast("long").alias("n"))
+    rows = ewma_series(facts(spark, sf_dir).filter("season = 1996 and mins > 0").withColumn("v", rate()), ["player"], list(KEYS), "v", "s")
+    return rows.groupBy("player").agg(F.round(F.max_by("s", "pos"), 6).alias("ewma"), F.count("*").alias("n"))
 
 
 @query("w7_form_trend", f"WITH {FACTS_SQL}, q AS (SELECT player, list({VALUE} ORDER BY {ORDER}) AS v FROM f WHERE season = 1996 AND mins > 0 GROUP BY 1) SELECT player, round(CASE WHEN len(v) >= 5 THEN list_reduce(v, lambda s, x: 0.3 * x + 0.7 * s) / list_avg(v) - 1 END, 6) AS trend FROM q")
@@ -303,7 +307,7 @@ def w10(spark, sf_dir):
 @query("w11_role_mean", f"{LEADERBOARD_SQL} SELECT p.player, round(g - avg(g) OVER (PARTITION BY role), 3) AS above FROM p JOIN a ON p.player = a.player")
 def w11(spark, sf_dir):
     t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player")
-    return t.select("player", F.round(F.col("xg") - F.avg("xg").over(Window.partitionBy("role")), 3).alias("above"))
+    return with_means(t, ["role"], {"mean": "xg"}).select("player", F.round(F.col("xg") - F.col("mean"), 3).alias("above"))
 
 
 @query("w13_first_appearance", f"WITH {FACTS_SQL} SELECT player, season, min(rnd) AS first_rnd, min(ship) AS first_ship FROM f WHERE mins > 0 GROUP BY 1, 2")
@@ -399,8 +403,8 @@ def m5(spark, sf_dir):
 @query("m7_role_weighted", f"{LEADERBOARD_SQL}, j AS (SELECT p.player, role, g * 90 / m AS v, least(1.0, n / 700.0) AS c FROM p JOIN a ON p.player = a.player), k AS (SELECT *, avg(v) OVER (PARTITION BY role) AS mu FROM j) SELECT player, round(CASE role WHEN 'FWD' THEN 1 WHEN 'MID' THEN 0.85 WHEN 'DEF' THEN 0.55 ELSE 0.20 END * (mu + (0.35 + 0.65 * c) * (v - mu)), 5) AS value FROM k")
 def m7(spark, sf_dir):
     t = players(spark, sf_dir).join(player_totals(spark, sf_dir), "player").withColumn("v", F.col("xg") * 90 / F.col("mins"))
-    mu = F.avg("v").over(Window.partitionBy("role"))
-    return t.select("player", F.round(R.role_weighted(F.col("v"), mu, F.least(F.lit(1.0), F.col("games") / 700.0), F.col("role")), 5).alias("value"))
+    t = with_means(t, ["role"], {"mu": "v"})
+    return t.select("player", F.round(R.role_weighted(F.col("v"), F.col("mu"), F.least(F.lit(1.0), F.col("games") / 700.0), F.col("role")), 5).alias("value"))
 
 
 @query("m8_availability", f"{LEADERBOARD_SQL} SELECT player, round((greatest(0.3, least(0.7, greatest(0, least(1, n / 1000.0)))) - 0.3) / 0.4 * 0.15 + 0.85, 6) AS penalty FROM a")

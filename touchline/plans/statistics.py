@@ -12,6 +12,7 @@ from touchline.operators import rating as R
 from touchline.operators import serving as V
 from touchline.operators import statistics as S
 from touchline.operators.measures import mean, per90, total
+from touchline.operators.ordered import quantiles, with_groups
 from touchline.operators.windows import place, rank_average, spearman
 
 from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
@@ -109,7 +110,10 @@ def m27(spark, sf_dir):
     def shift(f):
         return F.round(F.abs(f("y") - f("x")) / F.abs(f("x")), 6)
 
-    return pairs(spark, sf_dir).agg(shift(F.avg).alias("mean_shift"), shift(F.stddev_pop).alias("sd_shift"), shift(lambda c: F.percentile(c, F.lit(0.95))).alias("p95_shift"))
+    rows = pairs(spark, sf_dir)
+    tail = quantiles(rows.unpivot([], ["x", "y"], "side", "v"), ["side"], "v", [0.95])
+    p95 = lambda side: F.max(F.when(F.col("side") == side, F.col("q")[0]))
+    return rows.agg(shift(F.avg).alias("mean_shift"), shift(F.stddev_pop).alias("sd_shift")).join(tail.agg(shift(p95).alias("p95_shift")))
 
 
 @query("m28_relative_spread", f"WITH {FACTS_SQL}, q AS (SELECT player, season, CAST(sum(xg) AS DOUBLE) / count(*) AS v FROM f GROUP BY 1, 2) SELECT player, round((max(v) - min(v)) / abs(avg(v)), 6) AS spread FROM q GROUP BY 1")
@@ -120,15 +124,16 @@ def m28(spark, sf_dir):
 
 @query("m29_severity", f"WITH {RUNS_SQL}, s AS (SELECT stage, avg(CAST(duration AS DOUBLE)) AS mu, stddev_pop(CAST(duration AS DOUBLE)) AS sd FROM r GROUP BY 1), z AS (SELECT run, abs((CAST(duration AS DOUBLE) - mu) / sd) AS z FROM r JOIN s USING (stage)) SELECT run, CASE WHEN z >= 4 THEN 'critical' ELSE 'warn' END AS severity, round(least(1, 0.5 + 0.5 * (z - 2.5) / 1.5), 6) AS trust FROM z WHERE z >= 2.5")
 def m29(spark, sf_dir):
-    d, w = F.col("duration").cast("double"), Window.partitionBy("stage")
-    z = runs(spark, sf_dir).withColumn("z", (d - F.avg(d).over(w)) / F.stddev_pop(d).over(w)).filter(F.abs("z") >= 2.5)
+    d, rows = F.col("duration").cast("double"), runs(spark, sf_dir)
+    z = with_groups(rows, rows.groupBy("stage").agg(F.avg(d).alias("mu"), F.stddev_pop(d).alias("sd")), ["stage"])
+    z = z.withColumn("z", (d - F.col("mu")) / F.col("sd")).filter(F.abs("z") >= 2.5)
     return z.select("run", P.severity(F.col("z")).alias("severity"), F.round(P.trust(F.col("z")), 6).alias("trust"))
 
 
 @query("m30_cohens_d", f"{PAIR_SQL}, q AS (SELECT quantile_cont(x, 0.25) AS lo, quantile_cont(x, 0.75) AS hi FROM z) SELECT round((avg(y) FILTER (WHERE x >= hi) - avg(y) FILTER (WHERE x <= lo)) / sqrt((var_samp(y) FILTER (WHERE x >= hi) + var_samp(y) FILTER (WHERE x <= lo)) / 2), 6) AS d FROM z CROSS JOIN q")
 def m30(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    edge = rows.agg(F.percentile("x", F.lit(0.25)).alias("lo"), F.percentile("x", F.lit(0.75)).alias("hi"))
+    edge = quantiles(rows, [], "x", [0.25, 0.75]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     top, low = F.when(F.col("x") >= F.col("hi"), F.col("y")), F.when(F.col("x") <= F.col("lo"), F.col("y"))
     return rows.join(edge).agg(F.round((F.avg(top) - F.avg(low)) / F.sqrt((F.var_samp(top) + F.var_samp(low)) / 2), 6).alias("d"))
 

@@ -12,6 +12,7 @@ from touchline.operators import rating as R
 from touchline.operators import statistics as S
 from touchline.operators.cuts import cut
 from touchline.operators.measures import per90, total
+from touchline.operators.ordered import quantiles
 from touchline.operators.windows import place, rank_average, spearman
 
 from .binding import FACTS_SQL, facts, players, table
@@ -36,7 +37,7 @@ def agreement(rows, x: str, y: str):
 
 def effect(rows, by: str, value: str):
     """(d): the difference of value between the top and the bottom quarter by another column, in pooled deviations."""
-    edge = rows.agg(F.percentile(by, F.lit(0.25)).alias("_lo"), F.percentile(by, F.lit(0.75)).alias("_hi"))
+    edge = quantiles(rows, [], by, [0.25, 0.75]).select(F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
     top, low = F.when(F.col(by) >= F.col("_hi"), F.col(value)), F.when(F.col(by) <= F.col("_lo"), F.col(value))
     return rows.join(edge).agg(((F.avg(top) - F.avg(low)) / F.sqrt((F.var_samp(top) + F.var_samp(low)) / 2)).alias("d"))
 
