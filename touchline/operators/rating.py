@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .cuts import cut
 from .measures import boost, clip, consistency, mean, per90, shrink, total
-from .ordered import quantiles, recursive_mean, with_means
+from .ordered import quantiles, recursive_mean, with_groups, with_means
 from .windows import rank_average, robust_z, top_n
 
 
@@ -112,10 +112,10 @@ def minutes_shrinkage(rows: DataFrame, value: str, out: str, rules: Rules = RULE
     return with_means(rows, ["role", "ctx"], {"_prior": value}).withColumn(out, shrink(F.col(value), F.col("mins").cast("double"), F.col("_prior"), strength)).drop("_prior")
 
 
-def scores(rows: DataFrame, values: list[str]) -> DataFrame:
-    """(player, role, ctx, metric, z): robust scores of all metrics at once; thin contexts are scored by the whole season's peers."""
-    long = rows.unpivot(["player", "role", "ctx"], values, "metric", "value")
-    return robust_z(long, "value", ["ctx", "role", "metric"], "z", fallback=("ctx", "total")).drop("value")
+def scores(rows: DataFrame, values: list[str], scope: tuple = ()) -> DataFrame:
+    """(scope..., player, role, ctx, metric, z): robust scores of all metrics at once; thin contexts are scored by the whole season's peers."""
+    long = rows.unpivot([*scope, "player", "role", "ctx"], values, "metric", "value")
+    return robust_z(long, "value", [*scope, "ctx", "role", "metric"], "z", fallback=("ctx", "total")).drop("value")
 
 
 def composite(z: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -216,17 +216,26 @@ def context_dimensions(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
         F.avg("sos").alias("sos"), F.sum("w").alias("w"), F.sum("wx").alias("wx"), consistency(value).alias("consistency"),
     )
     whole = matches.groupBy("player").agg(F.count("*").alias("games"), F.sum("mins").alias("season_mins"), (F.min("rnd") >= 2).alias("winter"))
-    found = found.filter(F.col("n") >= rules.least_games).join(whole, "player").join(teams, ["team", "ctx"])
+    return dimensions_of(found, whole, teams, rules)
+
+
+def dimensions_of(found: DataFrame, whole: DataFrame, teams: DataFrame, rules: Rules = RULES, scope: tuple = ()) -> DataFrame:
+    """The five dimensions from the sums of players, of players' seasons and of teams, in each scope.
+
+    found: (scope..., player, team, role, ctx) with n, mins, own, bu, team_xg, sos, w, wx and consistency; whole: (scope...,
+    player) with games, season_mins and winter; teams: (scope..., team, ctx) with team_n, team_w and team_wx.
+    """
+    found = found.filter(F.col("n") >= rules.least_games).join(whole, [*scope, "player"]).join(teams, [*scope, "team", "ctx"])
     missed = F.col("team_n") - F.col("n")
     left = F.col("team_wx") - F.col("wx")
     left = F.when(F.abs(left) >= 1e-9, left).otherwise(0.0)  # nothing but rounding is left where the team had nothing without the player
     with_, without = F.col("wx") / F.col("w"), F.try_divide(left, F.when(missed > 0, F.col("team_w") - F.col("w")))
     k = rules.k_base * F.when(F.col("winter"), rules.k_winter).otherwise(1.0) * F.least(F.col("games") / F.col("n"), F.lit(rules.k_most))
     front = F.col("role").isin("FWD", "MID")
-    priors = found.groupBy("ctx").agg(F.coalesce(F.try_divide(F.sum(F.when(front, F.col("own"))), F.sum(F.when(front, F.col("team_xg")))), F.lit(rules.default_prior)).alias("prior"))
-    found = found.join(priors, "ctx")
+    priors = found.groupBy(*scope, "ctx").agg(F.coalesce(F.try_divide(F.sum(F.when(front, F.col("own"))), F.sum(F.when(front, F.col("team_xg")))), F.lit(rules.default_prior)).alias("prior"))
+    found = found.join(priors, [*scope, "ctx"])
     return found.select(
-        "player", "role", "ctx", "n", "mins", "games", "season_mins", "winter",
+        *scope, "player", "role", "ctx", "n", "mins", "games", "season_mins", "winter",
         (F.col("own") / F.col("mins") * 90 / F.col("sos")).alias("output"),
         (F.col("bu") / F.col("mins") * 90 / F.col("sos")).alias("buildup"),
         F.when(F.col("team_xg") > 0, (F.col("own") + F.col("prior") * k) / (F.col("team_xg") + k) * 100).alias("centrality"),
@@ -245,53 +254,64 @@ def season_skills(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
 DIMENSIONS = ("output", "buildup", "centrality", "boost", "consistency")
 
 
-def context_scores(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """player, role, ctx and the scores of the five dimensions of a context, after the minutes' shrinkage."""
-    dims = cut(context_dimensions(matches, rules))
+def context_scores(dims: DataFrame, rules: Rules = RULES, scope: tuple = ()) -> DataFrame:
+    """scope, player, role, ctx and the scores of the five dimensions of a context, after the minutes' shrinkage."""
     per_game = clip(F.col("season_mins") / F.col("games"), 30, 90)
     strength = clip(F.greatest(clip(75 / per_game, 1, 2.5), clip(30 / F.col("games"), 1, 3)), 1, 3) * rules.prior_minutes
-    dims = with_means(dims, ["role", "ctx"], {"_output": "output", "_buildup": "buildup"})
+    dims = with_means(cut(dims), [*scope, "role", "ctx"], {"_output": "output", "_buildup": "buildup"})
     for name in ("output", "buildup"):
         dims = dims.withColumn(name, shrink(F.col(name), F.col("mins").cast("double"), F.col(f"_{name}"), strength)).drop(f"_{name}")
-    return scores(cut(dims), list(DIMENSIONS)).groupBy("player", "role", "ctx").pivot("metric", list(DIMENSIONS)).agg(F.first("z"))
+    return scores(cut(dims), list(DIMENSIONS), scope).groupBy(*scope, "player", "role", "ctx").pivot("metric", list(DIMENSIONS)).agg(F.first("z"))
 
 
 def prepared(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:
     """One row for each player with enough games: season figures, skills, availability, age index and reliability."""
     whole = matches.groupBy("player", "role").agg(F.count("*").alias("games"), F.sum("mins").alias("season_mins"), F.min("rnd").alias("first"), F.countDistinct("rnd").alias("played"))
-    whole = whole.filter(F.col("games") >= rules.least_games).join(season_skills(matches, rules), "player").join(bodies, "player", "left").join(matches.agg(F.countDistinct("rnd").alias("rounds")))
+    return available(whole.join(season_skills(matches, rules), "player"), matches.agg(F.countDistinct("rnd").alias("rounds")), bodies, rules)
+
+
+def available(whole: DataFrame, rounds: DataFrame, bodies: DataFrame, rules: Rules = RULES, scope: tuple = ()) -> DataFrame:
+    """whole, of players with enough games, beside the rounds they could have played, their age index and reliability."""
+    whole = with_groups(whole.filter(F.col("games") >= rules.least_games).join(bodies, "player", "left"), rounds, list(scope))
     whole = whole.withColumn("available", F.when(F.col("first") >= 2, F.col("rounds") - F.col("first") + 1).otherwise(F.col("rounds")))
     return whole.withColumn("age_index", age_index(F.col("age"))).withColumn("reliability", reliability(F.col("played"), F.col("available"), F.col("injuries"), F.col("days")))
 
 
-def raw_scores(z: DataFrame, whole: DataFrame, rules: Rules = RULES) -> DataFrame:
+def raw_scores(z: DataFrame, whole: DataFrame, rules: Rules = RULES, scope: tuple = ()) -> DataFrame:
     """The scores of contexts beside those of the season, and their weighted mean `raw`."""
     names = ["finishing", "form", "trend", "age_index", "reliability"]
-    skills = robust_z(whole.unpivot(["player", "role"], names, "metric", "value"), "value", ["role", "metric"], "z").groupBy("player").pivot("metric", names).agg(F.first("z"))
-    return z.join(skills, "player").withColumn("raw", composite({d: F.col(d) for d in (*DIMENSIONS, "finishing", "form")}, rules.weights))
+    skills = robust_z(whole.unpivot([*scope, "player", "role"], names, "metric", "value"), "value", [*scope, "role", "metric"], "z").groupBy(*scope, "player").pivot("metric", names).agg(F.first("z"))
+    return z.join(skills, [*scope, "player"]).withColumn("raw", composite({d: F.col(d) for d in (*DIMENSIONS, "finishing", "form")}, rules.weights))
 
 
 def scored(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) -> DataFrame:
     """player, role, ctx with raw_ and pro_: the index and the index with its modulators, weighted, shrunk and penalised."""
     matches = cut(matches)
-    whole = cut(prepared(matches, bodies, rules))
-    rows = cut(raw_scores(context_scores(matches, rules), whole, rules))
+    return scored_from(context_dimensions(matches, rules), prepared(matches, bodies, rules), rules)
+
+
+def scored_from(dims: DataFrame, whole: DataFrame, rules: Rules = RULES, scope: tuple = ()) -> DataFrame:
+    """scored, from the dimensions of contexts and the seasons of players, in each scope on its own."""
+    person_keys, whole = [*scope, "player"], cut(whole)
+    rows = cut(raw_scores(context_scores(dims, rules, scope), whole, rules, scope))
     have = reduce(Column.__add__, [F.col(d).isNotNull().cast("double") for d in DIMENSIONS]) / len(DIMENSIONS)
-    level = quantiles(whole, [], "season_mins", [0.95]).select(F.col("q")[0].alias("p95"))
-    total_ = rows.filter("ctx = 'total'").select("player", "role", F.col("raw").alias("total_raw"), have.alias("have"))
-    person = total_.join(whole.select("player", "games", "season_mins", "played", "available", "age"), "player").join(stability(rows), "player").join(level)
+    level = quantiles(whole, list(scope), "season_mins", [0.95]).select(*scope, F.col("q")[0].alias("p95"))
+    total_ = rows.filter("ctx = 'total'").select(*person_keys, "role", F.col("raw").alias("total_raw"), have.alias("have"))
+    person = total_.join(whole.select(*person_keys, "games", "season_mins", "played", "available", "age"), person_keys).join(stability(rows, scope), person_keys)
+    person = with_groups(person, level, list(scope))
     trust = clip(F.col("season_mins") / F.col("p95"), 0, 1) * clip(F.col("games") / 30.0, 0.3, 1) * clip(F.col("season_mins") / F.col("games") / 90.0, 0.4, 1) * F.col("have")
-    person = person.withColumn("confidence", F.round(F.pow(trust, 0.25), 3))
+    person = cut(person.withColumn("confidence", F.round(F.pow(trust, 0.25), 3)))
     fit = F.when(F.col("age") <= rules.age_peak + 5, F.col("total_raw"))
-    line = person.agg(F.regr_slope(fit, F.col("age")).alias("b"), F.regr_intercept(fit, F.col("age")).alias("c"), F.count(fit).alias("fitted"))
-    person = cut(person.join(line).withColumn("momentum", F.when((F.col("fitted") >= 8) & (F.col("age") < rules.age_peak + 1), F.col("total_raw") - (F.col("b") * F.col("age") + F.col("c")))))
+    line = person.groupBy(*scope).agg(F.regr_slope(fit, F.col("age")).alias("b"), F.regr_intercept(fit, F.col("age")).alias("c"), F.count(fit).alias("fitted"))
+    momentum = F.when((F.col("fitted") >= 8) & (F.col("age") < rules.age_peak + 1), F.col("total_raw") - (F.col("b") * F.col("age") + F.col("c")))
+    person = cut(with_groups(person, line, list(scope)).withColumn("momentum", momentum))
     names = ["stability", "momentum"]
-    modest = robust_z(person.unpivot(["player", "role"], names, "metric", "value"), "value", ["role", "metric"], "z").groupBy("player").pivot("metric", names).agg(F.first("z"))
-    rows = rows.join(person.select("player", "games", "season_mins", "confidence", "played", "available", "age"), "player").join(modest, "player", "left")
+    modest = robust_z(person.unpivot([*person_keys, "role"], names, "metric", "value"), "value", [*scope, "role", "metric"], "z").groupBy(*person_keys).pivot("metric", names).agg(F.first("z"))
+    rows = rows.join(person.select(*person_keys, "games", "season_mins", "confidence", "played", "available", "age"), person_keys).join(modest, person_keys, "left")
     kind = F.when(F.col("age") < rules.prime_from, "young").when(F.col("age") >= rules.veteran_from, "veteran").otherwise("prime")
     parts = {"index": F.col("raw"), "age": F.col("age_index"), "reliability": F.col("reliability"), "stability": F.col("stability"), "trend": F.col("trend"), "momentum": F.col("momentum")}
     rows = rows.withColumn("pro", F.when(kind == "young", composite(parts, rules.pro_weights["young"])).when(kind == "veteran", composite(parts, rules.pro_weights["veteran"])).otherwise(composite(parts, rules.pro_weights["prime"])))
-    return finished(finished(rows, "raw", ["role", "ctx"], rules), "pro", ["role", "ctx"], rules)
+    return finished(finished(cut(rows), "raw", [*scope, "role", "ctx"], rules), "pro", [*scope, "role", "ctx"], rules)
 
 
 def finished(rows: DataFrame, name: str, peers: list[str], rules: Rules = RULES) -> DataFrame:
@@ -305,24 +325,28 @@ def season_index(matches: DataFrame, bodies: DataFrame, rules: Rules = RULES) ->
 
     matches: one row a player and fixture; bodies: (player, age, injuries, days).
     """
-    rows = scored(matches, bodies, rules)
+    return index_of(scored(matches, bodies, rules))
+
+
+def index_of(rows: DataFrame, scope: tuple = ()) -> DataFrame:
+    """What scored gives, one row a player and scope."""
     pick = lambda c, x: F.max(F.when(F.col("ctx") == x, F.col(c)))
-    wide = rows.groupBy("player", "role").agg(
+    wide = rows.groupBy(*scope, "player", "role").agg(
         F.first("games").alias("n"), F.first("season_mins").alias("mins"), F.first("confidence").alias("confidence"),
         *[pick("raw_", x).alias("index" if x == "total" else f"index_{x}") for x in ("total", "home", "away", "vs_strong", "vs_tight")], pick("pro_", "total").alias("pro"),
     )
-    return rank_average(rank_average(wide, "index", [], "rank"), "pro", [], "pro_rank")
+    return rank_average(rank_average(wide, "index", list(scope), "rank"), "pro", list(scope), "pro_rank")
 
 
-def stability(rows: DataFrame) -> DataFrame:
-    """(player, stability): less the deviation of its contexts' scores."""
-    return rows.groupBy("player").agg((-F.stddev_samp("raw")).alias("stability"))
+def stability(rows: DataFrame, scope: tuple = ()) -> DataFrame:
+    """(scope..., player, stability): less the deviation of its contexts' scores."""
+    return rows.groupBy(*scope, "player").agg((-F.stddev_samp("raw")).alias("stability"))
 
 
 def context_spread(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
     matches = cut(matches)
     bare = matches.select("player").distinct().select("player", F.lit(None).cast("double").alias("age"), F.lit(0).alias("injuries"), F.lit(0).alias("days"))
-    return stability(raw_scores(context_scores(matches, rules), cut(prepared(matches, bare, rules)), rules))
+    return stability(raw_scores(context_scores(context_dimensions(matches, rules), rules), cut(prepared(matches, bare, rules)), rules))
 
 
 def key_figures(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.operators import rating as R
+from touchline.operators import vintages as V
 from touchline.operators.measures import argmax, consistency, mean, per90, total, weighted_mean
 from touchline.operators.ordered import quantiles, running, with_groups, with_means
 from touchline.operators.windows import ewma_series, last_n, place, rank_average, rank_min, robust_z, spearman
@@ -77,6 +78,17 @@ fw AS (SELECT *, (greatest(0.3, least(0.7, greatest(0, least(1, played / CAST(av
 fx AS (SELECT *, round(round(rolew * (mraw + (0.35 + 0.65 * confidence) * (raw - mraw)), 4) * penalty, 4) AS i, round(round(rolew * (mpro + (0.35 + 0.65 * confidence) * (pro - mpro)), 4) * penalty, 4) AS p FROM fw)"""
 
 
+#: columns of the finished index, of one season's tables
+INDEX_SQL = "SELECT player, role, any_value(games) AS n, any_value(sm) AS mins, any_value(confidence) AS confidence, max(i) FILTER (WHERE ctx = 'total') AS index, max(i) FILTER (WHERE ctx = 'home') AS index_home, max(i) FILTER (WHERE ctx = 'away') AS index_away, max(i) FILTER (WHERE ctx = 'vs_strong') AS index_vs_strong, max(i) FILTER (WHERE ctx = 'vs_tight') AS index_vs_tight, max(p) FILTER (WHERE ctx = 'total') AS pro FROM fx GROUP BY 1, 2"
+ROUNDS = [3, 6, 9, 12]
+
+
+def vintages_sql(seasons, rounds=ROUNDS) -> str:
+    """The index of each season and vintage, each from the season's facts up to its round."""
+    one = lambda y, r: SEASON_SQL.replace("WHERE mins > 0 AND season = 1997", f"WHERE mins > 0 AND season = {y} AND rnd <= {r}")
+    return " UNION ALL ".join(f"SELECT {y} AS season, {r} AS as_of, * FROM (WITH {one(y, r)} {INDEX_SQL})" for y in seasons for r in rounds)
+
+
 def season_matches(spark, sf_dir):
     return matches(facts(spark, sf_dir).filter("season = 1997"))
 
@@ -486,6 +498,16 @@ def season(spark, sf_dir):
     return R.season_index(season_matches(spark, sf_dir), bodies(spark, sf_dir))
 
 
+SEASONS = range(1995, 2002)
+RANKS_SQL = ", ".join(f"CAST(floor(rank() OVER (PARTITION BY season, as_of ORDER BY {c} DESC NULLS LAST) + (count(*) OVER (PARTITION BY season, as_of, {c}) - 1) / 2.0) AS BIGINT) AS {r}" for c, r in (("index", "rank"), ("pro", "pro_rank")))
+
+
+@query("rating_vintages", f"SELECT *, {RANKS_SQL} FROM ({vintages_sql(SEASONS)})")
+def rating_vintages(spark, sf_dir):
+    """The whole index of every season as of four rounds, from states that add up over rounds."""
+    return V.season_vintages(matches(facts(spark, sf_dir)), bodies(spark, sf_dir), ROUNDS)
+
+
 @query("m6_age_profile", f"WITH {SEASON_SQL} SELECT player, ctx, p AS pro FROM fx")
 def m6(spark, sf_dir):
     """The index and five modulators by weights of the age, in each context."""
