@@ -14,8 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: item terms that are sent to every task at once; more are joined by shuffle, or scored in blocks
 TERMS = 1 << 18
 #: postings of a bucket, and of a shard of documents, about
-BUCKET = 1 << 18
-SHARD = 1 << 18
+BUCKET, SHARD = 1 << 14, 1 << 18
+#: stands for the document itself among its terms; no term is empty
+WHOLE = ""
 
 
 def terms(text: str) -> Column:
@@ -26,11 +27,12 @@ def terms(text: str) -> Column:
 def postings(docs: DataFrame, wanted: DataFrame, few: bool, id: str, text: str) -> DataFrame:
     """A row a document and wanted term: term, doc, row, n, tf, where row tells documents apart and n is the document's length.
 
-    A document's repeats are counted in the task that reads it, before anything
-    is shuffled.
+    Each document with terms has a row for itself too, so that one reading gives
+    the statistics of all. A document's repeats are counted in the task that
+    reads it, before anything is shuffled.
     """
     split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("doc"), terms(text).alias("terms"))
-    single = split.select("row", "doc", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    single = split.select("row", "doc", F.size("terms").alias("n"), F.explode(F.concat("terms", F.array(F.lit(WHOLE)))).alias("term")).where("n > 0")
     single = single.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     return single.groupBy("row", "doc", "n", "term").agg(F.count("*").cast("int").alias("tf"))
 
@@ -61,14 +63,15 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 50, id: str = "doc_id", tex
     listed = items.select(F.monotonically_increasing_id().alias("ask"), F.col(item_id).alias("item"), F.array_distinct(terms(item_text)).alias("terms"))
     listed = cut_lineage(listed.select("ask", "item", F.explode("terms").alias("term")))
     n_terms = listed.count()
-    wanted = listed.select("term").distinct()
+    wanted = listed.select("term").union(spark.createDataFrame([(WHOLE,)], "term string")).distinct()
 
-    totals = docs.select(F.size(terms(text)).cast("long").alias("n")).where("n > 0").agg(F.count("*").alias("N"), F.sum("n").alias("L")).first()
     folder = f"{shared_folder(spark)}/{spark._jvm.java.util.UUID.randomUUID()}"
+    parts = max(1, -(-docs.count() // bucket))  # of a term: no bucket holds more of its postings than `bucket`, about
     found = postings(docs, wanted, n_terms <= most_terms, id, text)
-    parts = max(1, -(-(totals["N"] or 0) // bucket))  # of a term: no bucket holds more of its postings than `bucket`
     found.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).repartition("term", "part").sortWithinPartitions("term").write.parquet(folder)
     index = spark.read.parquet(folder)
+    totals = index.where(F.col("term") == WHOLE).agg(F.count("*").alias("N"), F.sum(F.col("n").cast("long")).alias("L")).first()
+    index = index.where(F.col("term") != WHOLE)
     size = index.count()
 
     held = index.groupBy("term").agg(F.count("*").alias("df"))
@@ -76,7 +79,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 50, id: str = "doc_id", tex
     weighted = cut_lineage(listed.join(held, "term").withColumn("w", weight).where("w > 0").select("ask", "item", "term", "w"))
 
     shards = max(1, -(-size // shard))
-    by_shard = index.select("term", "doc", "row", "tf", F.expr(f"100 - 50 + ((50L * n * {totals['N'] or 0}L) div {totals['L'] or 1}L)").alias("m"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
+    by_shard = index.select("term", "doc", "row", "tf", F.expr(f"100 - 50 + ((50L * n * {totals['N']}L) div {totals['L'] or 1}L)").alias("m"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(shards)).cast("int").alias("shard"))
     blocks = max(1, -(-n_terms // most_terms))
     made = None
     for block in range(blocks):
