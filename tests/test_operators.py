@@ -285,11 +285,33 @@ def test_principal_components(spark):
 def test_text_functions(spark):
     df = spark.createDataFrame([("  Ján​  O'Brien-Smith ", "É.  D'Or")], "a string, b string")
     row = df.select(T.fold_unicode("a").alias("u"), T.fold_latin(F.col("b")).alias("l"), T.slug(F.col("b")).alias("s"), T.without_double_surname(F.lit("Ana Silva Silva")).alias("d")).first()
-    assert (row.u, row.l, row.s, row.d) == ("jan o'brien-smith", "e dor", "e-dor", "Ana Silva")
+    assert (row.u, row.l, row.s, row.d) == ("jan o'brien-smith", "e dor", "e-d-or", "Ana Silva")
     shown = spark.range(1).select(T.display_name(F.lit("Ana Silva"), F.lit("silva")), T.display_name(F.lit("Ana"), F.lit("Silva")), T.season_label(F.lit(1999))).first()
     assert tuple(shown) == ("Ana Silva", "Ana Silva", "1999-00")
 
 
+def test_names_decompose_before_anything_else(spark):
+    marked = "Müller Čech Şahin Łukasz"
+    apart = "Mu\u0308ller C\u030cech S\u0327ahin Łukasz"
+    df = spark.createDataFrame([(marked,), (apart,), ("ﬁn ½ Ǆ Ⅷ ㎏",), ("e\u0301\u00a0-\u200b x \t y ",), ("",), (None,)], "n string")
+    n = F.col("n")
+    got = [tuple(q) for q in df.select(T.slug(n), T.market_name(n), T.clean_name(n)).collect()]
+    composed = "Müller Čech Şahin Łukasz"
+    assert got[0] == ("muller-cech-sahin-ukasz", "muller cech sahin lukasz", composed) == got[1]
+    assert got[2][0] == "fin-12-dz-viii-kg"
+    assert got[3] == ("e-x-y", "e   x \t y", "é- x y")
+    assert got[4] == ("", "", "") and got[5] == (None, None, None)
+
+
+def test_ascii_parts_equal_decomposition(spark):
+    import unicodedata
+
+    texts = ["".join(chr(k) for k in range(a, a + 400) if not 0xD800 <= k < 0xE000) for a in range(0x80, 0x20000, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {q.k: q.a for q in df.select("k", T.to_ascii(F.col("t")).alias("a")).collect()}
+    assert got == {k: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for k, t in enumerate(texts)}
+
+
 def test_role_keys_and_reasons(spark):
     row = spark.createDataFrame([("  D&#39;Ámico &amp; S\u00f8n\u6f22 ", "a\tb\x07 C\u200bd\u0301")], "a string, b string").select(T.role_key("a").alias("k"), T.fold_audit("b").alias("f")).first()
     assert (row.k, row.f) == ("d'amico & sn", "a b cd")

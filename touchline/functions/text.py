@@ -1,9 +1,10 @@
-"""Name and season functions. What SQL can say stays SQL; Unicode decomposition is a vectorised helper."""
+"""Name and season functions. What SQL can say stays SQL; whole Unicode normal forms are vectorised helpers."""
 
 from __future__ import annotations
 
 import html
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,13 +62,42 @@ def invisible(name: Column) -> Column:
     return F.array_compact(F.array(*[F.when(name.rlike(pattern), F.lit(code)) for code, pattern in reasons.items()]))
 
 
+@cache
+def ascii_parts() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has one ASCII character, and those with more, with what they give; by rule, not by list."""
+    found = {chr(k): unicodedata.normalize("NFKD", chr(k)).encode("ascii", "ignore").decode() for k in range(0x80, 0x20000)}
+    return {c: a for c, a in found.items() if len(a) == 1}, {c: a for c, a in found.items() if len(a) > 1}
+
+
+def to_ascii(name: Column) -> Column:
+    """Decomposed, with what is not ASCII dropped: marks go, letters stay, ligatures and fractions are spelled out. All on the JVM.
+
+    Characters that give one are translated in a pass. Only texts that hold one of
+    those that give more are taken apart, character by character, through a map.
+    """
+    one, more = ascii_parts()
+    plain = F.translate(name, "".join(one), "".join(one.values()))
+    keys, odd = "".join(more), "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
+    spelled = F.str_to_map(F.lit("\x01".join(f"{c}\x02{a}" for c, a in more.items())), F.lit("\x01"), F.lit("\x02"))
+    apart = F.transform(F.split(plain, ""), lambda c: F.when((c != "") & (F.instr(F.lit(keys), c) > 0), F.try_element_at(spelled, c)).otherwise(c))
+    return F.regexp_replace(F.when(plain.rlike(odd), F.array_join(apart, "")).otherwise(plain), "[^\\x00-\\x7F]", "")
+
+
 def slug(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(fold_latin(name), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower-case ASCII letters and digits of the decomposed name, runs of anything else as one hyphen, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(to_ascii(name)), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+@F.pandas_udf(StringType())
+def composed(names: pd.Series) -> pd.Series:
+    """Letters and their marks as one character where there is one (NFC), which no built-in function does; null stays null."""
+    return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
 def clean_name(name: Column) -> Column:
-    """Without invisible characters, no-break spaces as spaces, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, INVISIBLE, ""), "\\u00A0", " "))
+    """Composed, without no-break spaces and invisible characters, white space as single spaces, trimmed."""
+    bare = F.regexp_replace(composed(name), "[\\u00A0\\u00AD\\u200B-\\u200D\\uFEFF]", "")
+    return F.trim(F.regexp_replace(bare, "(?U)\\s+", " "))
 
 
 def display_name(first: Column, last: Column) -> Column:
@@ -79,16 +109,14 @@ def without_double_surname(name: Column) -> Column:
     return F.regexp_replace(name, "( \\w+)\\1+$", "$1")
 
 
-# fixed values: letters beyond those with marks, as market lists write them
-LETTERS, SPELLED = "øłđıæœßþð", ["o", "l", "d", "i", "ae", "oe", "ss", "th", "d"]
+# fixed values: letters without a decomposition, as market lists write them
+LETTERS, SPELLED = "ıłøđ", "ilod"
 
 
 def market_name(name: Column) -> Column:
-    """fold_latin with further letters spelled out and a last word that is said twice said once."""
-    plain = fold_latin(name)
-    for letter, spelled in zip(LETTERS, SPELLED, strict=True):
-        plain = F.replace(plain, F.lit(letter), F.lit(spelled))
-    return without_double_surname(plain)
+    """The decomposed name in lower-case ASCII, hyphens and apostrophes as spaces, trimmed, and a last word that is said twice said once."""
+    plain = to_ascii(F.translate(F.lower(name), LETTERS, SPELLED))
+    return without_double_surname(F.trim(F.translate(plain, "-'", "  ")))
 
 
 def season_label(start: Column) -> Column:

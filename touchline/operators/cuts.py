@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written; what reads it starts from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table; what reads it starts from the files and knows their size.
+
+    Unlike a checkpoint, what is read back carries no constraints of the plan
+    that made it, which pile up where results follow from results. Columns
+    without a type, or with the same name twice, cannot be in such a table, so
+    those frames are checkpointed.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if len(set(map(str.lower, df.columns))) < len(df.columns) or any("void" in kind for _, kind in df.dtypes):
+        return df.checkpoint(eager=True)
+    path = f"{folder}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_kept: dict = {}
+
+
+def kept(spark: SparkSession, name: tuple, make) -> DataFrame:
+    """The rows of make(), written the first time a session asks for this name and read after that."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _kept:
+        for other in [k for k in _kept if k[0] != key[0]]:
+            del _kept[other]
+        _kept[key] = cut(make())
+    return _kept[key]

@@ -368,12 +368,15 @@ def team_trend(matches: DataFrame, rules: Rules = RULES) -> DataFrame:
     sos = strength_of_schedule(log, "opp", "team_xg")
     turned = sos.select("team", (-F.col("sos")).alias("sos"))
     tight, weak = (contexts(log.withColumn("venue", F.lit(None).cast("string")), sos.select("team").limit(0), tight_ranks(x, rules.top), rules.top).filter("ctx = 'vs_tight'").select("team", "fixture", F.lit(True).alias(n)) for x, n in ((sos, "tight"), (turned, "weak")))
-    faced = log.join(tight, ["team", "fixture"], "left").join(weak, ["team", "fixture"], "left").withColumn("x", F.col("team_xg").cast("double"))
+    # sums stay decimals until they are divided, so that they do not depend on their order
+    faced = log.join(tight, ["team", "fixture"], "left").join(weak, ["team", "fixture"], "left").withColumn("x", F.col("team_xg"))
     rows = matches.select("player", "team", "fixture").join(faced, ["team", "fixture"])
-    own = rows.groupBy("player", "team", "rnd").agg(F.avg("x").alias("team_with"), F.avg(F.when(F.col("tight"), F.col("x"))).alias("tight"), F.avg(F.when(F.col("weak"), F.col("x"))).alias("weak"), total("team_xg").alias("s"), F.count("*").alias("n"))
-    every = log.groupBy("team", "rnd").agg(total("team_xg").alias("team_s"), F.count("*").alias("team_n"))
+    average = lambda c: F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double"))
+    own = rows.groupBy("player", "team", "rnd").agg(average(F.col("x")).alias("team_with"), average(F.when(F.col("tight"), F.col("x"))).alias("tight"), average(F.when(F.col("weak"), F.col("x"))).alias("weak"), F.sum("team_xg").alias("s"), F.count("*").alias("n"))
+    every = log.groupBy("team", "rnd").agg(F.sum("team_xg").alias("team_s"), F.count("*").alias("team_n"))
     axis = matches.select("player", "team").distinct().join(every, "team")
     both = axis.join(own, ["player", "team", "rnd"], "left")
     left = F.col("team_n") - F.coalesce("n", F.lit(0))
-    missed = F.when(left > 0, (F.col("team_s") - F.coalesce("s", F.lit(0.0))) / left)
+    exact = lambda c: F.col(c).cast("decimal(28,7)")  # noqa: E731  the widest decimals lose a digit where they are subtracted
+    missed = F.when(left > 0, (exact("team_s") - F.coalesce(exact("s"), F.lit(0).cast("decimal(28,7)"))).cast("double") / left)
     return both.select("player", "rnd", "team_with", "tight", "weak", missed.alias("team_without"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
+from touchline.operators import monitoring as M
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
 from touchline.operators import statistics as S
@@ -261,12 +262,13 @@ def d26(spark, sf_dir):
     return top_n(runs(spark, sf_dir), ["owner"], [F.col("started").desc(), F.col("run").desc()], 1).select("owner", F.col("stage").alias("status"), "run")
 
 
-@query("d32_metric_families", "SELECT 'runs_total{stage=\"' || event_type || '\",status=\"' || CASE WHEN value > 100 THEN 'fail' ELSE 'ok' END || '\"} ' || count(*) AS line FROM events GROUP BY event_type, value > 100 UNION ALL SELECT 'regression_rank_agreement ' || CAST(1.0 AS VARCHAR) UNION ALL SELECT 'anomalies{severity=\"critical\"} ' || count(*) FILTER (WHERE value > 150) FROM events UNION ALL SELECT unnest(['# TYPE runs_total counter', '# TYPE regression_rank_agreement gauge', '# TYPE anomalies gauge'])")
+@query("d32_metric_families", f"{PAIR_SQL}, gk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS u, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS v FROM z) SELECT 'runs_total{{stage=\"' || event_type || '\",status=\"' || CASE WHEN value > 100 THEN 'fail' ELSE 'ok' END || '\"}} ' || count(*) AS line FROM events GROUP BY event_type, value > 100 UNION ALL SELECT 'regression_rank_agreement ' || CAST(CAST((SELECT corr(u, v) FROM gk) AS DECIMAL(9,6)) AS VARCHAR) UNION ALL SELECT 'anomalies{{severity=\"critical\"}} ' || count(*) FILTER (WHERE value > 150) FROM events UNION ALL SELECT unnest(['# TYPE runs_total counter', '# TYPE regression_rank_agreement gauge', '# TYPE anomalies gauge'])")
 def d32(spark, sf_dir):
     """Lines of the three families: runs, the regression gate, and anomalies."""
     e = table(spark, sf_dir, "events")
     ran = e.groupBy(F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "fail").otherwise("ok").alias("status")).agg(F.count("*").alias("value"))
-    gate = e.agg(F.corr("value", "value")).select(F.lit(1.0).alias("value"))
+    change = M.regression_diff(pairs(spark, sf_dir).select("player", F.col("x").alias("v")), pairs(spark, sf_dir).select("player", F.col("y").alias("v")), "player", "v")
+    gate = change.select(F.col("rho").cast("decimal(9,6)").alias("value"))
     odd = e.agg(F.count_if(F.col("value") > 150).alias("value")).withColumn("severity", F.lit("critical"))
     parts = [sinks.metric_lines(ran, "runs_total", "counter", ["stage", "status"]), sinks.metric_lines(gate, "regression_rank_agreement", "gauge", []), sinks.metric_lines(odd, "anomalies", "gauge", ["severity"])]
     return Q.report(parts)
@@ -287,13 +289,6 @@ def vd(spark, sf_dir):
     return top.union(d.orderBy("v", "player").limit(5).withColumn("kind", F.lit("bottom"))).select("player", F.round("v", 6).alias("d"), "kind")
 
 
-@query("vf_team_validity", f"{PAIR_SQL}, t AS (SELECT team, avg(x) AS x FROM z GROUP BY 1), c AS (SELECT opp AS team, CAST(sum(xg) AS DOUBLE) / count(*) AS y FROM f GROUP BY 1) SELECT round(corr(t.x, c.y), 6) AS r, count(*) AS n FROM t JOIN c USING (team)")
-def vf(spark, sf_dir):
-    t = pairs(spark, sf_dir).groupBy("team").agg(F.avg("x").alias("tx"))
-    c = facts(spark, sf_dir).groupBy(F.col("opp").alias("team")).agg(mean("xg").alias("cy"))
-    return t.join(c, "team").agg(F.round(F.corr("tx", "cy"), 6).alias("r"), F.count("*").alias("n"))
-
-
 @query("q4_rejected", f"{LEADERBOARD_SQL} SELECT p.player, concat_ws(';', CASE WHEN m < 15500 THEN 'minutes' END, CASE WHEN balance < 1000 THEN 'balance' END) AS reasons FROM p JOIN a ON p.player = a.player WHERE m < 15500 OR balance < 1000 ORDER BY g / m DESC, p.player LIMIT 3")
 def q4(spark, sf_dir):
     from touchline.operators.joins import reasons

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import rating as R
 from touchline.operators import vintages as V
+from touchline.operators.cuts import kept
 from touchline.operators.measures import argmax, consistency, mean, per90, total, weighted_mean
 from touchline.operators.ordered import quantiles, running, with_groups, with_means
 from touchline.operators.windows import ewma_series, last_n, place, rank_average, rank_min, robust_z, spearman
@@ -480,10 +481,10 @@ def w12(spark, sf_dir):
     return R.context_spread(season_matches(spark, sf_dir)).select("player", *_dims("stability"))
 
 
-@query("w19_trend_axis", f"WITH {SEASON_SQL}, wk AS (SELECT team, row_number() OVER (ORDER BY sos DESC, team) AS k FROM so QUALIFY k <= 7), own AS (SELECT player, m.team, m.fixture, m.rnd, CAST(tx AS DOUBLE) AS x, m.opp <> m.team AND a.k - CASE WHEN b.k < a.k THEN 1 ELSE 0 END <= 6 AS tight, m.opp <> m.team AND c.k - CASE WHEN e.k < c.k THEN 1 ELSE 0 END <= 6 AS weak FROM m JOIN t USING (team, fixture) LEFT JOIN ti a ON a.team = m.opp LEFT JOIN ti b ON b.team = m.team LEFT JOIN wk c ON c.team = m.opp LEFT JOIN wk e ON e.team = m.team), y AS (SELECT player, rnd, avg(x) AS team_with, avg(x) FILTER (WHERE tight) AS tight, avg(x) FILTER (WHERE weak) AS weak FROM own GROUP BY 1, 2), z AS (SELECT p.player, t.rnd, avg(CAST(tx AS DOUBLE)) AS team_without FROM (SELECT DISTINCT player, team FROM m) p JOIN t USING (team) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.player = p.player AND m.fixture = t.fixture) GROUP BY 1, 2) SELECT coalesce(y.player, z.player) AS player, coalesce(y.rnd, z.rnd) AS rnd, round(team_with + 3.7e-11, 6) AS team_with, round(tight + 3.7e-11, 6) AS tight, round(weak + 3.7e-11, 6) AS weak, round(team_without + 3.7e-11, 6) AS team_without FROM y FULL JOIN z ON y.player = z.player AND y.rnd = z.rnd")
+@query("w19_trend_axis", f"WITH {SEASON_SQL}, wk AS (SELECT team, row_number() OVER (ORDER BY sos DESC, team) AS k FROM so QUALIFY k <= 7), own AS (SELECT player, m.team, m.fixture, m.rnd, tx AS x, m.opp <> m.team AND a.k - CASE WHEN b.k < a.k THEN 1 ELSE 0 END <= 6 AS tight, m.opp <> m.team AND c.k - CASE WHEN e.k < c.k THEN 1 ELSE 0 END <= 6 AS weak FROM m JOIN t USING (team, fixture) LEFT JOIN ti a ON a.team = m.opp LEFT JOIN ti b ON b.team = m.team LEFT JOIN wk c ON c.team = m.opp LEFT JOIN wk e ON e.team = m.team), y AS (SELECT player, rnd, CAST(sum(x) AS DOUBLE) / count(*) AS team_with, CAST(sum(x) FILTER (WHERE tight) AS DOUBLE) / nullif(count(*) FILTER (WHERE tight), 0) AS tight, CAST(sum(x) FILTER (WHERE weak) AS DOUBLE) / nullif(count(*) FILTER (WHERE weak), 0) AS weak FROM own GROUP BY 1, 2), z AS (SELECT p.player, t.rnd, CAST(sum(tx) AS DOUBLE) / count(*) AS team_without FROM (SELECT DISTINCT player, team FROM m) p JOIN t USING (team) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.player = p.player AND m.fixture = t.fixture) GROUP BY 1, 2) SELECT coalesce(y.player, z.player) AS player, coalesce(y.rnd, z.rnd) AS rnd, team_with, tight, weak, team_without FROM y FULL JOIN z ON y.player = z.player AND y.rnd = z.rnd")
 def w19(spark, sf_dir):
     """The team's output by round with a player, against tight and weak teams, and without the player."""
-    return R.team_trend(season_matches(spark, sf_dir)).select("player", "rnd", *[F.round(F.col(c) + 3.7e-11, 6).alias(c) for c in ("team_with", "tight", "weak", "team_without")])
+    return R.team_trend(season_matches(spark, sf_dir))
 
 
 @query("w6_ewma_series", f"WITH RECURSIVE {FACTS_SQL}, q AS (SELECT player, {VALUE} AS x, row_number() OVER (PARTITION BY player ORDER BY {ORDER}) AS k FROM f WHERE season = 1996 AND mins > 0), e AS (SELECT player, k, x AS s FROM q WHERE k = 1 UNION ALL SELECT q.player, q.k, 0.3 * q.x + 0.7 * e.s FROM q JOIN e ON q.player = e.player AND q.k = e.k + 1) SELECT player, k - 1 AS pos, round(s, 4) AS ewma FROM e")
@@ -508,6 +509,28 @@ def rating_vintages(spark, sf_dir):
     return V.season_vintages(matches(facts(spark, sf_dir)), bodies(spark, sf_dir), ROUNDS)
 
 
+def index_vintages(spark, sf_dir):
+    """The index of two seasons as of four rounds; several validations read it, so a session writes it once."""
+    two = lambda: V.season_vintages(matches(facts(spark, sf_dir).filter("season in (1998, 1999)")), bodies(spark, sf_dir), ROUNDS)
+    return kept(spark, ("index_vintages", sf_dir), two)
+
+
+#: season 1999 at its vintages: the index, what was known (`before`) and what came strictly later, for 90 minutes
+def outcomes_sql(rounds=ROUNDS) -> str:
+    part = lambda op: f"CAST(sum(goal + xa) FILTER (WHERE rnd {op} as_of) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd {op} as_of)"
+    return f"ix AS MATERIALIZED ({vintages_sql([1999], rounds)}), ou AS MATERIALIZED (SELECT as_of, player, {part('<=')} AS before, {part('>')} AS later, coalesce(sum(mins) FILTER (WHERE rnd > as_of), 0) AS mins_later FROM f CROSS JOIN (SELECT unnest({rounds}) AS as_of) WHERE season = 1999 AND mins > 0 GROUP BY 1, 2), iq AS MATERIALIZED (SELECT ix.as_of, ix.player, p.team, ix.role, index, pro, CAST(ix.mins AS DOUBLE) AS mins, CAST(16 + ix.player % 20 AS DOUBLE) AS age, before, later, mins_later FROM ix JOIN ou USING (as_of, player) JOIN p USING (player))"
+
+
+def outcomes(spark, sf_dir):
+    """The index of season 1999 at its vintages, beside what was known and what came strictly later; facts meet the rounds once."""
+    rows = facts(spark, sf_dir).filter("season = 1999 and mins > 0").withColumn("as_of", F.explode(F.array(*map(F.lit, ROUNDS))))
+    known = F.col("rnd") <= F.col("as_of")
+    part = lambda where: per90(F.when(where, F.col("goal") + F.col("xa")), F.when(where, F.col("mins")))
+    told = rows.groupBy("as_of", "player", "team").agg(part(known).alias("before"), part(~known).alias("later"), F.coalesce(F.sum(F.when(~known, F.col("mins"))), F.lit(0)).alias("mins_later"))
+    index = index_vintages(spark, sf_dir).filter("season = 1999").select("as_of", "player", "role", "index", "pro", F.col("mins").cast("double").alias("mins"))
+    return kept(spark, ("outcomes", sf_dir), lambda: index.join(told, ["as_of", "player"]).join(bodies(spark, sf_dir).select("player", "age"), "player"))
+
+
 @query("m6_age_profile", f"WITH {SEASON_SQL} SELECT player, ctx, p AS pro FROM fx")
 def m6(spark, sf_dir):
     """The index and five modulators by weights of the age, in each context."""

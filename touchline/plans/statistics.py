@@ -516,17 +516,6 @@ def d34(spark, sf_dir):
     return table(spark, sf_dir, "part").filter("p_size is not null").agg(F.count_if(F.col("p_size") == F.col("p_size") % 25).alias("same"), F.count("*").alias("comparable"))
 
 
-@query("vb_top_ten", f"{PAIR_SQL}, u AS (SELECT player, row_number() OVER (ORDER BY x DESC, player) AS k FROM z), v AS (SELECT player, row_number() OVER (ORDER BY y DESC, player) AS k FROM z) SELECT u.player, u.k AS place, v.k AS other FROM u JOIN v USING (player) WHERE u.k <= 10 AND abs(u.k - v.k) >= 4")
-def vb(spark, sf_dir):
-    z = place(place(pairs(spark, sf_dir), "x", ["player"], "place"), "y", ["player"], "other")
-    return z.filter((F.col("place") <= 10) & (F.abs(F.col("place") - F.col("other")) >= 4)).select("player", "place", "other")
-
-
-@query("vn_by_role", f"{PAIR_SQL}, k AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY x) AS u, rank() OVER (PARTITION BY role ORDER BY y) AS v FROM z) SELECT role, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 8")
-def vn(spark, sf_dir):
-    return spearman(pairs(spark, sf_dir), "x", "y", ["role"]).filter("n >= 8").select("role", F.round("rho", 6).alias("rho"), "n")
-
-
 POOL_SQL = f"{LEADERBOARD_SQL}, c AS (SELECT p.player AS id, role, round(g * 90 / m, 4) AS score, CAST(balance / 1000 AS DECIMAL(9,2)) AS cost FROM p JOIN a ON p.player = a.player WHERE balance > 0), t AS (SELECT a.id AS a, b.id AS b, d.id AS c, CAST(CAST(a.score AS DECIMAL(9,4)) + CAST(b.score AS DECIMAL(9,4)) + CAST(d.score AS DECIMAL(9,4)) AS DOUBLE) AS score, CAST(a.cost + b.cost + d.cost AS DOUBLE) AS cost FROM c a JOIN c b ON a.id < b.id JOIN c d ON b.id < d.id WHERE NOT (a.role = b.role AND b.role = d.role))"
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from touchline.operators.cuts import cut
 from touchline.sources import providers, settings, sinks, snapshots
+from touchline.sources.factstore import FactStore
 
-from .binding import PLAYERS_SQL, RUNS_SQL, players, runs, table
+from .binding import FACTS_SQL, MATCHES_SQL, PLAYERS_SQL, RUNS_SQL, facts, matches, players, runs, table
 from .lineage import LineageLog
 from .monitoring import scratch
 from .registry import query
@@ -128,3 +132,19 @@ def d26_log(spark, sf_dir):
             pass
     art = log.artifacts().groupBy("run_id").agg(F.count_if(F.col("direction") == "out").cast("int").alias("outputs"), F.count_if(F.col("direction") == "in").cast("int").alias("inputs"))
     return log.runs().join(art, "run_id", "left").select("stage", "status", "exit_code", "rows_out", F.coalesce("outputs", F.lit(0)).alias("outputs"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
+
+
+@query("s4_fact_store", f"""WITH {FACTS_SQL}, {MATCHES_SQL}, c AS (SELECT season, fixture, player, goal + 1 AS goal, mins FROM m WHERE season = 1997 AND fixture % 10 = 3 UNION ALL SELECT season, fixture + 100000000, player, goal, mins FROM m WHERE season = 1998 AND rnd = 1 AND player % 10 = 3),
+ n AS (SELECT season, fixture, player, goal, mins FROM m WHERE NOT (season = 1997 AND fixture % 10 = 3) UNION ALL SELECT * FROM c) SELECT season, count(*) AS n, count(DISTINCT fixture) AS fixtures, CAST(sum(goal) AS BIGINT) AS goals, CAST(sum(mins) AS BIGINT) AS mins FROM n GROUP BY 1""")
+def s4_store(spark, sf_dir):
+    """All seasons in a partitioned and bucketed table, with corrections of one season and additions to another, made twice."""
+    rows = matches(facts(spark, sf_dir)).select("fixture", "player", "team", "rnd", "opp", "goal", "mins", "season")
+    fixed = rows.filter("season = 1997 and fixture % 10 = 3").withColumn("goal", F.col("goal") + 1)
+    added = rows.filter("season = 1998 and rnd = 1 and player % 10 = 3").withColumn("fixture", F.col("fixture") + 100_000_000)
+    store = FactStore(spark, f"facts_{uuid.uuid4().hex}", "season", "player", ["fixture", "player"], 8)
+    store.upsert(rows)
+    for _ in range(2):
+        store.upsert(fixed.unionByName(added))
+    found = cut(store.table().groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("fixture").alias("fixtures"), F.sum("goal").alias("goals"), F.sum("mins").alias("mins")))
+    store.drop()
+    return found

@@ -10,16 +10,16 @@ from touchline.functions import text as T
 from touchline.operators import joins as J
 from touchline.operators import rating as R
 from touchline.operators import statistics as S
-from touchline.operators.cuts import cut
-from touchline.operators.measures import per90, total
+from touchline.operators.cuts import cut, kept
+from touchline.operators.measures import mean, per90
 from touchline.operators.ordered import quantiles
-from touchline.operators.windows import place, rank_average, spearman
+from touchline.operators.windows import last_n, place, rank_average, spearman
 
 from .binding import FACTS_SQL, facts, players, table
 from .monitoring import PAIRED_SQL, moved_sql, paired_sql
-from .rating import SEASON_SQL, bodies, season_matches
+from .rating import SEASON_SQL, bodies, index_vintages, outcomes, outcomes_sql, season_matches, vintages_sql
 from .registry import query
-from .statistics import PAIR_SQL, bootstrap_sql, pairs, rounded, uniform_sql
+from .statistics import bootstrap_sql, rounded, uniform_sql
 
 
 def rank_sql(column: str, by: str = "") -> str:
@@ -42,7 +42,15 @@ def effect(rows, by: str, value: str):
     return rows.join(edge).agg(((F.avg(top) - F.avg(low)) / F.sqrt((F.var_samp(top) + F.var_samp(low)) / 2)).alias("d"))
 
 
-RATED_SQL = f"""{PAIR_SQL}, ra AS (SELECT s_suppkey + CASE WHEN s_suppkey % 5 = 2 THEN 9000 ELSE 0 END AS player, lower(s_name) AS name, s_acctbal AS rating FROM supplier WHERE s_suppkey % 3 <> 1),
+#: x is the index of season 1999 as of round 6, y what came after it
+INDEX_PAIR_SQL = f"WITH {FACTS_SQL}, {outcomes_sql([6])}, z AS (SELECT player, role, team, index AS x, later AS y FROM iq WHERE mins_later >= 90)"
+
+
+def index_pairs(spark, sf_dir):
+    return outcomes(spark, sf_dir).filter("as_of = 6 and mins_later >= 90").select("player", "role", "team", F.col("index").alias("x"), F.col("later").alias("y"))
+
+
+RATED_SQL = f"""{INDEX_PAIR_SQL}, ra AS (SELECT s_suppkey + CASE WHEN s_suppkey % 5 = 2 THEN 9000 ELSE 0 END AS player, lower(s_name) AS name, s_acctbal AS rating FROM supplier WHERE s_suppkey % 3 <> 1),
  pn AS (SELECT z.*, lower(p.name) AS name FROM z JOIN p USING (player)), jo AS (SELECT pn.player, pn.role, pn.x, coalesce(a.rating, b.rating) AS y FROM pn LEFT JOIN ra a ON a.player = pn.player LEFT JOIN ra b ON b.name = pn.name WHERE coalesce(a.rating, b.rating) IS NOT NULL)"""
 
 
@@ -50,7 +58,7 @@ def rated(spark, sf_dir):
     """The index beside an outside rating, joined by id and, for those it misses, by name."""
     p = players(spark, sf_dir)
     given = p.filter("player % 3 <> 1").select((F.col("player") + F.when(F.col("player") % 5 == 2, 9000).otherwise(0)).alias("_id"), F.lower("name").alias("_name"), F.col("balance").alias("_rating"))
-    own = pairs(spark, sf_dir).join(p.select("player", F.lower("name").alias("name")), "player")
+    own = index_pairs(spark, sf_dir).drop("y").join(p.select("player", F.lower("name").alias("name")), "player")
     by_id, by_name = given.select(F.col("_id").alias("player"), F.col("_rating").alias("_a")), given.select(F.col("_name").alias("name"), F.col("_rating").alias("_b"))
     both = own.join(by_id, "player", "left").join(by_name, "name", "left").withColumn("y", F.coalesce("_a", "_b"))
     return both.filter("y is not null").select("player", "role", "x", "y")
@@ -68,7 +76,7 @@ def vb(spark, sf_dir):
     """Ten best of both lists: among all players, among those both know, with the chance of as many by luck."""
     rows = cut(rated(spark, sf_dir))
     ten = lambda df, c: df.orderBy(F.col(c).desc(), "player").limit(10).select("player")
-    raw = ten(pairs(spark, sf_dir), "x").join(ten(rows, "y"), "player").count()
+    raw = ten(index_pairs(spark, sf_dir), "x").join(ten(rows, "y"), "player").count()
     fair, n = ten(rows, "x").join(ten(rows, "y"), "player").count(), rows.count()
     tau = S.kendall(rows, "x", "y", "player").first()["tau"]
     k = min(10, n)
@@ -76,6 +84,24 @@ def vb(spark, sf_dir):
     return spark.createDataFrame([(raw, fair, None if tau is None else round(tau, 6), expected, p)], "raw long, fair long, tau double, expected double, p double")
 
 
+@query("vb_top_ten", f"{INDEX_PAIR_SQL}, u AS (SELECT player, row_number() OVER (ORDER BY x DESC, player) AS k FROM z), v AS (SELECT player, row_number() OVER (ORDER BY y DESC, player) AS k FROM z) SELECT u.player, u.k AS place, v.k AS other FROM u JOIN v USING (player) WHERE u.k <= 10 AND abs(u.k - v.k) >= 4")
+def vb(spark, sf_dir):
+    z = place(place(index_pairs(spark, sf_dir), "x", ["player"], "place"), "y", ["player"], "other")
+    return z.filter((F.col("place") <= 10) & (F.abs(F.col("place") - F.col("other")) >= 4)).select("player", "place", "other")
+
+
+@query("vn_by_role", f"{INDEX_PAIR_SQL}, k AS (SELECT role, rank() OVER (PARTITION BY role ORDER BY x) AS u, rank() OVER (PARTITION BY role ORDER BY y) AS v FROM z) SELECT role, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 8")
+def vn(spark, sf_dir):
+    return spearman(index_pairs(spark, sf_dir), "x", "y", ["role"]).filter("n >= 8").select("role", F.round("rho", 6).alias("rho"), "n")
+
+
+@query("vf_team_validity", f"{INDEX_PAIR_SQL}, t AS (SELECT team, avg(x) AS x FROM z GROUP BY 1), c AS (SELECT opp AS team, CAST(sum(xg) AS DOUBLE) / count(*) AS y FROM f WHERE season = 1999 GROUP BY 1) SELECT round(corr(t.x, c.y), 6) AS r, count(*) AS n FROM t JOIN c USING (team)")
+def vf(spark, sf_dir):
+    t = index_pairs(spark, sf_dir).groupBy("team").agg(F.avg("x").alias("tx"))
+    c = facts(spark, sf_dir).filter("season = 1999").groupBy(F.col("opp").alias("team")).agg(mean("xg").alias("cy"))
+    return t.join(c, "team").agg(F.round(F.corr("tx", "cy"), 6).alias("r"), F.count("*").alias("n"))
+
+
 HALVES_SQL = f"""WITH {FACTS_SQL}, hq AS (SELECT player, role, CAST(sum(xg) FILTER (WHERE rnd <= 6) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd <= 6) AS x, CAST(sum(xg) FILTER (WHERE rnd > 6) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd > 6) AS y, CAST(sum(xg) FILTER (WHERE rnd % 2 = 1) AS DOUBLE) / sum(mins) FILTER (WHERE rnd % 2 = 1) AS o, CAST(sum(xg) FILTER (WHERE rnd % 2 = 0) AS DOUBLE) / sum(mins) FILTER (WHERE rnd % 2 = 0) AS e, count(*) FILTER (WHERE rnd <= 6) AS m, count(*) FILTER (WHERE rnd > 6) AS n FROM f WHERE season = 1998 AND mins > 0 GROUP BY 1, 2), h AS (SELECT * FROM hq WHERE m >= 4 AND n >= 4)"""
 
 
@@ -110,8 +136,7 @@ DIMS = ("output", "buildup", "centrality", "boost", "consistency", "finishing",
 
 def whole_scores(spark, sf_dir):
     """The seven scores of the whole season beside what the steps after the weighted mean need."""
-    m, b = season_matches(spark, sf_dir), bodies(spark, sf_dir)
-    return cut(R.scored(m, b).filter("ctx = 'total'"))
+    return kept(spark, ("whole_scores", sf_dir), lambda: R.scored(season_matches(spark, sf_dir), bodies(spark, sf_dir)).filter("ctx = 'total'"))
 
 
 @query("vg_structure", f"WITH {SEASON_SQL}, tz AS (SELECT * FROM rw WHERE ctx = 'total'), lz2 AS (UNPIVOT (SELECT player, {', '.join(DIMS)} FROM tz) ON {', '.join(DIMS)} INTO NAME dim VALUE z) SELECT a.dim AS a, b.dim AS b, round(corr(a.z, b.z), 6) AS r, count(*) AS n FROM lz2 a JOIN lz2 b ON a.player = b.player AND a.dim < b.dim GROUP BY 1, 2 HAVING count(*) >= 5")
@@ -154,48 +179,65 @@ def vo(spark, sf_dir):
     return got.select(F.col("_draw").alias("dropped"), F.round("rho", 6).alias("rho"), F.round(F.col("top10") * 10).cast("long").alias("top10"), "n")
 
 
-VINTAGES_SQL = f"""WITH {FACTS_SQL}, n AS (SELECT unnest([3, 6, 9, 12]) AS as_of), q AS (SELECT as_of, player, team, role, CAST(sum(xg) FILTER (WHERE rnd <= as_of) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd <= as_of) AS v, CAST(sum(xa) FILTER (WHERE rnd <= as_of) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd <= as_of) AS a, CAST(sum(mins) FILTER (WHERE rnd <= as_of) AS DOUBLE) AS mins, CAST(sum(xg) FILTER (WHERE rnd > as_of) AS DOUBLE) * 90 / sum(mins) FILTER (WHERE rnd > as_of) AS later, coalesce(sum(mins) FILTER (WHERE rnd > as_of), 0) AS mins_later FROM f CROSS JOIN n WHERE season = 1999 AND mins > 0 GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (WHERE rnd <= as_of) > 0)"""
+def errors_sql(x: str, p: str, y: str, where: str, key: str = "player", draws: int = 60) -> str:
+    """Paired errors of x and p on y, over rows of iq; weights by `key`."""
+    z = f"z AS (SELECT player, CAST({key} AS VARCHAR) AS team, {x} AS x, {p} AS p, {y} AS y FROM iq WHERE {where} AND {x} IS NOT NULL AND {p} IS NOT NULL AND {y} IS NOT NULL)"
+    return f"WITH {z}, {PAIRED_SQL}, {paired_sql('team', draws)}"
 
 
-def vintages(spark, sf_dir):
-    """What was known after each of four rounds, and what came strictly later; facts are joined with the rounds once."""
-    rows = facts(spark, sf_dir).filter("season = 1999 and mins > 0").withColumn("as_of", F.explode(F.array(*map(F.lit, (3, 6, 9, 12)))))
-    known = F.col("rnd") <= F.col("as_of")
-    part = lambda where, c: F.when(where, F.col(c))
-    q = rows.groupBy("as_of", "player", "team", "role").agg(
-        per90(part(known, "xg"), part(known, "mins")).alias("v"), per90(part(known, "xa"), part(known, "mins")).alias("a"), total(part(known, "mins")).alias("mins"),
-        per90(part(~known, "xg"), part(~known, "mins")).alias("later"), F.coalesce(F.sum(part(~known, "mins")), F.lit(0)).alias("mins_later"), F.count_if(known).alias("_n"),
-    )
-    return q.filter("_n > 0").drop("_n")
+LATER = "mins_later >= 90"
+INCREMENT_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS part, * FROM ({errors_sql('index', 'pro', 'later - before', f'{LATER} AND {where}', key)})"
+    for name, where, key in (("as of 6", "as_of = 6", "player"), ("as of 9", "as_of = 9", "player"), ("pooled", "as_of IN (6, 9)", "player"), ("each row its own weight", "as_of IN (6, 9)", "player || '/' || as_of"), ("under 25", "as_of IN (6, 9) AND age < 25", "player"))
+)
+RECENT_SQL = f"re AS (SELECT player, CAST(sum(goal) AS DOUBLE) * 90 / sum(mins) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY rnd DESC, fixture DESC, line DESC, part DESC) AS k FROM f WHERE season = 1999 AND mins > 0) WHERE k <= 6 GROUP BY 1 HAVING sum(mins) >= 120), rz AS (SELECT player, CAST(player AS VARCHAR) AS team, index AS x, pro AS p, recent AS y FROM iq JOIN re USING (player) WHERE as_of = 12)"
 
 
-@query("vi_incremental", "SELECT * FROM (" + f"{VINTAGES_SQL}, ".replace("WITH ", "WITH ", 1) + f"z AS (SELECT player, CAST(player AS VARCHAR) AS team, v AS x, v + 0.5 * a AS p, later - v AS y FROM q WHERE as_of IN (6, 9) AND mins_later >= 90), {PAIRED_SQL}, {paired_sql('player', 60)})")
-def vi(spark, sf_dir):
-    """How much less the wider signal errs on the later change, out of sample, over two vintages with one weight a player."""
-    q = vintages(spark, sf_dir).filter("as_of in (6, 9) and mins_later >= 90")
-    rows = cut(q.select("player", F.col("v").alias("x"), (F.col("v") + 0.5 * F.col("a")).alias("p"), (F.col("later") - F.col("v")).alias("y"), (F.col("player") % 5).alias("k")))
-    return rounded(S.paired_rmse_bootstrap(rows, "x", "p", "y", "player", "k", 60), "rmse_base", "rmse_pro", "delta", "low", "high")
+def errors(rows, x: str, p: str, y: str, key, draws: int = 60):
+    """The row of paired errors of x and p on y, out of sample by folds of players, weights by `key`."""
+    rows = cut(rows.select("player", F.col(x).alias("x"), F.col(p).alias("p"), y.alias("y"), key.cast("string").alias("key"), (F.col("player") % 5).alias("k")))
+    return rounded(S.paired_rmse_bootstrap(rows, "x", "p", "y", "key", "k", draws, least=1), "rmse_base", "rmse_pro", "delta", "low", "high")
 
 
-@query("vq_beats_baseline", f"{VINTAGES_SQL}, w AS (SELECT q.*, p_retailprice AS worth FROM q LEFT JOIN part ON p_partkey = player WHERE as_of = 6 AND mins_later >= 90), l AS (SELECT player, b.baseline, c.criterion, CASE b.baseline WHEN 'output' THEN v WHEN 'minutes' THEN mins ELSE worth END AS x, CASE c.criterion WHEN 'level' THEN later ELSE later - v END AS y FROM w CROSS JOIN (VALUES ('output'), ('minutes'), ('value')) AS b(baseline) CROSS JOIN (VALUES ('level'), ('improvement')) AS c(criterion)), k AS (SELECT *, {rank_sql('x', 'baseline, criterion')} AS u, {rank_sql('y', 'baseline, criterion')} AS t FROM l WHERE x IS NOT NULL AND y IS NOT NULL) SELECT baseline, criterion, round(corr(u, t), 6) AS rho, count(*) AS n FROM k GROUP BY 1, 2")
+@query("vi_incremental", f"WITH {FACTS_SQL}, {outcomes_sql([6, 9, 12])}, {RECENT_SQL} {INCREMENT_SQL} UNION ALL SELECT 'in sample' AS part, * FROM (WITH z AS (SELECT * FROM rz), {PAIRED_SQL}, {paired_sql('team', 60)})")
+def vi(spark, sf_dir):
+    """How much less the index with its modulators errs on the later change than the index: at two vintages, over both with a weight a player,
+    with a weight a row, and for players under 25; without vintages, on the last six games of the season."""
+    later = outcomes(spark, sf_dir).filter(LATER)
+    both, change, player = later.filter("as_of in (6, 9)"), F.col("later") - F.col("before"), F.col("player")
+    recent = last_n(facts(spark, sf_dir).filter("season = 1999 and mins > 0"), ["player"], ["rnd", "fixture", "line", "part"], 6).groupBy("player").agg((F.sum("goal").cast("double") * 90 / F.sum("mins")).alias("recent"), F.sum("mins").alias("m")).filter("m >= 120")
+    parts = [
+        ("as of 6", later.filter("as_of = 6"), change, player), ("as of 9", later.filter("as_of = 9"), change, player), ("pooled", both, change, player),
+        ("each row its own weight", both, change, F.concat_ws("/", "player", "as_of")), ("under 25", both.filter("age < 25"), change, player),
+        ("in sample", outcomes(spark, sf_dir).filter("as_of = 12").join(recent, "player"), F.col("recent"), player),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), [errors(rows, "index", "pro", y, key).withColumn("part", F.lit(name)) for name, rows, y, key in parts])
+
+
+BASELINES, CRITERIA = {"output": "before", "minutes": "mins", "value": "worth"}, {"level": "later", "improvement": "later - before"}
+BASELINE_SQL = " UNION ALL ".join(
+    f"SELECT '{b}' AS baseline, '{c}' AS criterion, * FROM ({errors_sql(x, 'index', y, LATER + ' AND as_of IN (6, 9)').replace('FROM iq WHERE', 'FROM (SELECT iq.*, p_retailprice AS worth FROM iq LEFT JOIN part ON p_partkey = player) WHERE')})" for b, x in BASELINES.items() for c, y in CRITERIA.items()
+)
+
+
+@query("vq_beats_baseline", f"WITH {FACTS_SQL}, {outcomes_sql([6, 9])} {BASELINE_SQL}")
 def vq(spark, sf_dir):
-    """Three naive baselines against the later level and the later change."""
-    worth = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), F.col("p_retailprice").alias("value"))
-    w = vintages(spark, sf_dir).filter("as_of = 6 and mins_later >= 90").join(worth, "player", "left")
-    w = w.select("player", F.col("v").alias("output"), F.col("mins").alias("minutes"), "value", F.col("later").alias("level"), (F.col("later") - F.col("v")).alias("improvement"))
-    long = w.unpivot(["player", "output", "minutes", "value"], ["level", "improvement"], "criterion", "y").unpivot(["player", "criterion", "y"], ["output", "minutes", "value"], "baseline", "x")
-    return spearman(cut(long), "x", "y", ["baseline", "criterion"]).select("baseline", "criterion", F.round("rho", 6).alias("rho"), "n")
+    """The index against three naive baselines on the later level and the later change, with a weight a player: above 0 where the index errs less."""
+    worth = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("player"), F.col("p_retailprice").cast("double").alias("worth"))
+    rows = cut(outcomes(spark, sf_dir).filter(f"{LATER} and as_of in (6, 9)").join(worth, "player", "left"))
+    made = [errors(rows, x, "index", F.expr(y), F.col("player")).withColumn("baseline", F.lit(b)).withColumn("criterion", F.lit(c)) for b, x in BASELINES.items() for c, y in CRITERIA.items()]
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
-PERSIST_SQL = f"""{VINTAGES_SQL}, g AS (SELECT player, avg(v) AS mean_v, min(v) AS min_v FROM q WHERE as_of <= 9 GROUP BY 1 HAVING count(*) >= 3), pv AS (SELECT player, CAST(sum(xg) AS DOUBLE) * 90 / sum(mins) AS before FROM f WHERE season = 1998 AND mins > 0 GROUP BY 1), j AS (SELECT g.player, mean_v, min_v, before, later FROM g JOIN q ON q.player = g.player AND as_of = 9 LEFT JOIN pv ON pv.player = g.player WHERE later IS NOT NULL AND before IS NOT NULL), k AS (SELECT player, {rank_sql('mean_v')} AS a, {rank_sql('min_v')} AS b, {rank_sql('before')} AS c, {rank_sql('later')} AS y FROM j)"""
+PERSIST_SQL = f"""WITH {FACTS_SQL}, {outcomes_sql()}, q AS (SELECT * FROM iq), g AS (SELECT player, CAST(sum(CAST(index AS DECIMAL(10,4))) AS DOUBLE) / count(index) AS mean_v, min(index) AS min_v FROM q WHERE as_of <= 9 GROUP BY 1 HAVING count(index) >= 3), pv AS (SELECT player, index AS before FROM ({vintages_sql([1998], [12])})), j AS (SELECT g.player, mean_v, min_v, pv.before, later FROM g JOIN q ON q.player = g.player AND as_of = 9 LEFT JOIN pv ON pv.player = g.player WHERE later IS NOT NULL AND pv.before IS NOT NULL), k AS (SELECT player, {rank_sql('mean_v')} AS a, {rank_sql('min_v')} AS b, {rank_sql('before')} AS c, {rank_sql('later')} AS y FROM j)"""
 
 
 @query("vp_persistence", f"{PERSIST_SQL}, x1 AS (SELECT player, a AS x, y FROM k), x2 AS (SELECT player, b AS x, y FROM k), {bootstrap_sql('x1', 'player', 60)}, {bootstrap_sql('x2', 'player', 60).replace('dr AS', 'dr2 AS').replace('FROM x2 CROSS JOIN dr', 'FROM x2 CROSS JOIN dr2').replace('bw', 'bw2').replace('bs AS', 'bs2 AS').replace('FROM bs ', 'FROM bs2 ').replace('br AS', 'br2 AS').replace('FROM br)', 'FROM br2)').replace('bq AS', 'bq2 AS').replace('SELECT (n', 'SELECT d, (n')}, d1 AS (SELECT d, (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) AS r FROM bs), df AS (SELECT d1.r - br2.r AS g FROM d1 JOIN br2 USING (d)) SELECT (SELECT count(*) FROM k) AS n, (SELECT round(corr(a, y), 6) FROM k) AS rho_mean, (SELECT round(corr(b, y), 6) FROM k) AS rho_min, (SELECT round(corr(c, y), 6) FROM k) AS rho_before, round(quantile_cont(g, 0.025), 6) AS low, round(quantile_cont(g, 0.975), 6) AS high FROM df")
 def vp(spark, sf_dir):
-    """Mean and least over three vintages, and the season before, against what came after; the gain of the mean over the least with its interval."""
-    q = cut(vintages(spark, sf_dir))
-    g = q.filter("as_of <= 9").groupBy("player").agg(F.avg("v").alias("mean_v"), F.min("v").alias("min_v"), F.count("*").alias("m")).filter("m >= 3")
-    before = facts(spark, sf_dir).filter("season = 1998 and mins > 0").groupBy("player").agg(per90("xg", "mins").alias("before"))
+    """Mean and least index over three vintages, and the index of the season before, against what came after; the gain of the mean over the least with its interval."""
+    q = outcomes(spark, sf_dir)
+    g = q.filter("as_of <= 9").groupBy("player").agg(mean(F.col("index").cast("decimal(10,4)")).alias("mean_v"), F.min("index").alias("min_v"), F.count("index").alias("m")).filter("m >= 3")
+    before = index_vintages(spark, sf_dir).filter("season = 1998 and as_of = 12 and index is not null").select("player", F.col("index").alias("before"))
     j = g.join(q.filter("as_of = 9 and later is not null").select("player", "later"), "player").join(before, "player")
     for c, r in (("mean_v", "a"), ("min_v", "b"), ("before", "c"), ("later", "y")):
         j = rank_average(j, c, [], r, floor=False)
@@ -204,10 +246,10 @@ def vp(spark, sf_dir):
     return rounded(seen.join(S.bootstrap_gain(k, "a", "b", "y", "player", 60)), "rho_mean", "rho_min", "rho_before", "low", "high")
 
 
-@query("vm_calibration", f"{PAIR_SQL}, e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM z), b AS (SELECT CAST(1 + len(list_filter(e, lambda q: q < x)) AS INT) AS bin, avg(x) AS x, avg(y) AS y FROM z CROSS JOIN e GROUP BY 1), l AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS c, max(y) - min(y) AS w FROM b), k AS (SELECT {rank_sql('x')} AS u, {rank_sql('y')} AS v FROM b) SELECT round(any_value(s), 6) AS slope, round(avg(abs(y - (c + s * x))) / any_value(w), 6) AS ace, (SELECT round(corr(u, v), 6) FROM k) AS monotony, count(*) AS bins, (SELECT count(*) FROM (SELECT y - lag(y) OVER (ORDER BY bin) AS d FROM b) WHERE d < 0) AS drops FROM b CROSS JOIN l")
+@query("vm_calibration", f"{INDEX_PAIR_SQL}, e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM z), b AS (SELECT CAST(1 + len(list_filter(e, lambda q: q < x)) AS INT) AS bin, avg(x) AS x, avg(y) AS y FROM z CROSS JOIN e GROUP BY 1), l AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS c, max(y) - min(y) AS w FROM b), k AS (SELECT {rank_sql('x')} AS u, {rank_sql('y')} AS v FROM b) SELECT round(any_value(s), 6) AS slope, round(avg(abs(y - (c + s * x))) / any_value(w), 6) AS ace, (SELECT round(corr(u, v), 6) FROM k) AS monotony, count(*) AS bins, (SELECT count(*) FROM (SELECT y - lag(y) OVER (ORDER BY bin) AS d FROM b) WHERE d < 0) AS drops FROM b CROSS JOIN l")
 def vm(spark, sf_dir):
     """Deciles of the index against what follows: slope, mean error over the range, monotony, and how many deciles fall."""
-    b = cut(S.quantile_bins(pairs(spark, sf_dir), "x", 10).groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
+    b = cut(S.quantile_bins(index_pairs(spark, sf_dir), "x", 10).groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y")))
     line = b.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("_c"), (F.max("y") - F.min("y")).alias("_w"))
     ace = b.join(line).agg(F.first("slope").alias("slope"), (F.avg(F.abs(F.col("y") - (F.col("_c") + F.col("slope") * F.col("x")))) / F.first("_w")).alias("ace"), F.count("*").alias("bins"))
     mono = agreement(b, "x", "y").select(F.col("rho").alias("monotony"))
@@ -216,12 +258,12 @@ def vm(spark, sf_dir):
     return rounded(ace.join(mono).join(drops), "slope", "ace", "monotony").select("slope", "ace", "monotony", "bins", "drops")
 
 
-CONVERGE_SQL = f"{VINTAGES_SQL}, j AS (SELECT a.as_of, a.player, a.v AS x, b.v AS y FROM q a JOIN q b ON a.player = b.player AND b.as_of = 12), k AS (SELECT *, {rank_sql('x', 'as_of')} AS u, {rank_sql('y', 'as_of')} AS t, row_number() OVER (PARTITION BY as_of ORDER BY x DESC, player) AS a, row_number() OVER (PARTITION BY as_of ORDER BY y DESC, player) AS b FROM j), c AS (SELECT as_of, round(corr(u, t), 6) AS rho, count(*) AS n, count(*) FILTER (WHERE a <= 25 AND b <= 25) AS top25, max(a - b) AS most_up, max(b - a) AS most_down FROM k GROUP BY 1 HAVING count(*) >= 20)"
+CONVERGE_SQL = f"WITH {FACTS_SQL}, {outcomes_sql()}, j AS (SELECT a.as_of, a.player, a.index AS x, b.index AS y FROM ix a JOIN ix b ON a.player = b.player AND b.as_of = 12 WHERE a.index IS NOT NULL AND b.index IS NOT NULL), k AS (SELECT *, {rank_sql('x', 'as_of')} AS u, {rank_sql('y', 'as_of')} AS t, row_number() OVER (PARTITION BY as_of ORDER BY x DESC, player) AS a, row_number() OVER (PARTITION BY as_of ORDER BY y DESC, player) AS b FROM j), c AS (SELECT as_of, round(corr(u, t), 6) AS rho, count(*) AS n, count(*) FILTER (WHERE a <= 25 AND b <= 25) AS top25, max(a - b) AS most_up, max(b - a) AS most_down FROM k GROUP BY 1 HAVING count(*) >= 20)"
 
 
 def converged(spark, sf_dir):
     """Each vintage's ranking against the last one's."""
-    q = cut(vintages(spark, sf_dir).select("as_of", "player", "v"))
+    q = index_vintages(spark, sf_dir).filter("season = 1999 and index is not null").select("as_of", "player", F.col("index").alias("v"))
     many = q.join(q.filter("as_of = 12").select("player", F.col("v").alias("y")), "player").withColumnRenamed("as_of", "_draw")
     n = many.groupBy("_draw").agg(F.count("*").alias("n")).filter("n >= 20")
     from pyspark.sql import Window
@@ -238,18 +280,27 @@ def vl(spark, sf_dir):
     return converged(spark, sf_dir)
 
 
+@query("vl_across_seasons", f"WITH sx AS MATERIALIZED ({vintages_sql([1998, 1999], [12])}), j AS (SELECT a.player, a.index AS x, b.index AS y FROM sx a JOIN sx b ON a.player = b.player AND a.season = 1998 AND b.season = 1999 WHERE a.index IS NOT NULL AND b.index IS NOT NULL), k AS (SELECT {rank_sql('x')} AS u, {rank_sql('y')} AS v, row_number() OVER (ORDER BY x DESC, player) AS a, row_number() OVER (ORDER BY y DESC, player) AS b FROM j) SELECT round(corr(u, v), 6) AS rho, count(*) AS n, count(*) FILTER (WHERE a <= 25 AND b <= 25) AS top25 FROM k HAVING count(*) >= 10")
+def vl_across(spark, sf_dir):
+    """How far the final ranking of one season agrees with that of the season before, over players of both."""
+    last = index_vintages(spark, sf_dir).filter("as_of = 12 and index is not null")
+    both = cut(last.filter("season = 1998").select("player", F.col("index").alias("x")).join(last.filter("season = 1999").select("player", F.col("index").alias("y")), "player"))
+    placed = place(place(both, "x", ["player"], "a"), "y", ["player"], "b").agg(F.count_if((F.col("a") <= 25) & (F.col("b") <= 25)).alias("top25"))
+    return agreement(both, "x", "y").join(placed).filter("n >= 10").select(F.round("rho", 6).alias("rho"), "n", "top25")
+
+
 @query("v_first_stable_round", f"{CONVERGE_SQL} SELECT min(as_of) AS earliest, min(as_of) FILTER (WHERE rho >= 0.85) AS first_stable, count(*) AS vintages FROM c")
 def v_first(spark, sf_dir):
     """The earliest vintage, and the first whose ranking agrees with the last by 0.85 or more."""
     return converged(spark, sf_dir).agg(F.min("as_of").alias("earliest"), F.min(F.when(F.col("rho") >= 0.85, F.col("as_of"))).alias("first_stable"), F.count("*").alias("vintages"))
 
 
-@query("vr_market_value", f"{PAIR_SQL}, w AS (SELECT 'Supplier ' || s_suppkey || ' ' || s_suppkey AS name, s_acctbal AS worth FROM supplier WHERE s_suppkey % 4 <> 3), n AS (SELECT player, 'supplier ' || player AS key, x FROM z), k AS (SELECT {rank_sql('x')} AS u, {rank_sql('worth')} AS v FROM n JOIN (SELECT lower(split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2)) AS key, worth FROM w) USING (key)) SELECT round(corr(u, v), 6) AS rho, count(*) AS n FROM k HAVING count(*) >= 20")
+@query("vr_market_value", f"{INDEX_PAIR_SQL}, w AS (SELECT 'Supplier ' || s_suppkey || ' ' || s_suppkey AS name, s_acctbal AS worth FROM supplier WHERE s_suppkey % 4 <> 3), n AS (SELECT player, 'supplier ' || player AS key, x FROM z), k AS (SELECT {rank_sql('x')} AS u, {rank_sql('worth')} AS v FROM n JOIN (SELECT lower(split_part(name, ' ', 1) || ' ' || split_part(name, ' ', 2)) AS key, worth FROM w) USING (key)) SELECT round(corr(u, v), 6) AS rho, count(*) AS n FROM k HAVING count(*) >= 20")
 def vr(spark, sf_dir):
     """The index against market values that are listed by name, with the last word of the name said twice."""
     p = players(spark, sf_dir).filter("player % 4 <> 3")
     listed = p.select(T.market_name(F.concat(F.lit("Suppliér "), F.col("player"), F.lit(" "), F.col("player"))).alias("key"), F.col("balance").alias("worth"))
-    own = pairs(spark, sf_dir).select(F.concat(F.lit("supplier "), F.col("player")).alias("key"), "x")
+    own = index_pairs(spark, sf_dir).select(F.concat(F.lit("supplier "), F.col("player")).alias("key"), "x")
     return agreement(cut(own.join(listed, "key")), "x", "worth").filter("n >= 20").select(F.round("rho", 6).alias("rho"), "n")
 
 
@@ -258,7 +309,7 @@ INDEXED_SQL = f"WITH {SEASON_SQL}, g AS (SELECT player, max(i) AS index, max(p)
 
 def indexed(spark, sf_dir):
     """Places by the index and by the index with its modulators."""
-    rows = R.scored(season_matches(spark, sf_dir), bodies(spark, sf_dir)).filter("ctx = 'total'").select("player", F.col("raw_").alias("index"), F.col("pro_").alias("pro"), "age_index", "reliability")
+    rows = whole_scores(spark, sf_dir).select("player", F.col("raw_").alias("index"), F.col("pro_").alias("pro"), "age_index", "reliability")
     return cut(place(place(cut(rows), "index", ["player"], "a"), "pro", ["player"], "b"))
 
 
