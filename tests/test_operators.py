@@ -202,6 +202,23 @@ def test_severity_and_trust(spark):
     assert tuple(row) == ("critical", "warn", "info", 1.0, 0.5)
 
 
+def test_forest_closures_of_a_chain_of_five_thousand(spark):
+    parents = spark.range(1, 5000).select(F.col("id").alias("node"), (F.col("id") - 1).alias("parent"))
+    start = lambda k: spark.createDataFrame([(k,)], "node long")
+    assert {q.node for q in P.ancestors(parents, start(4000)).collect()} == set(range(4001))
+    assert {q.node for q in P.descendants(parents, start(4000)).collect()} == set(range(4000, 5000))
+    ring = spark.createDataFrame([(k, (k + 1) % 7) for k in range(7)] + [(9, 3), (11, None)], "node long, parent long")
+    assert {q.node for q in P.ancestors(ring, start(9)).collect()} == {*range(7), 9}
+    assert {q.node for q in P.descendants(ring, start(3)).collect()} == {*range(7), 9}
+    with pytest.raises(ValueError):
+        P.ancestors(spark.createDataFrame([(1, 2), (1, 3)], "node long, parent long"), start(1))
+
+
+def test_closure_deeper_than_a_hundred_levels(spark):
+    edges = spark.range(0, 130).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert P.closure(edges, spark.createDataFrame([(0,)], "node long")).count() == 131
+
+
 def test_trios_respect_budget_and_roles(spark):
     pool = spark.createDataFrame([(1, "A", 9.0, 9.0), (2, "A", 8.0, 2.0), (3, "A", 7.0, 2.0), (4, "B", 3.0, 2.0), (5, "B", 1.0, 1.0)], "id int, role string, score double, cost double")
     best = V.pick(V.trios(pool, budget=6), [F.col("score").desc()]).first()

@@ -44,20 +44,67 @@ def trust(z, warn: float = 2.5, critical: float = 4.0):
     return F.least(F.lit(1.0), F.when(a < warn, 0.5 * a / warn).otherwise(0.5 + 0.5 * (a - warn) / (critical - warn)))
 
 
-def closure(edges: DataFrame, start: DataFrame, limit: int = 100) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): everything reachable from start (node) over edges (a, b), start included; cycles end by themselves.
 
     Breadth first: a level joins the edges with the nodes that the last one
-    found, so each edge is followed once.
+    found, so each edge is followed once, and there is a round a level. Where
+    every node has one parent, `ancestors` and `descendants` need fewer.
     """
     seen = cut(start.select("node").distinct())
     front = seen
-    for _ in range(limit):
+    while True:
         front = cut(edges.join(front, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
             return seen
         seen = cut(seen.union(front))
-    raise ValueError(f"deeper than {limit} levels")
+
+
+def jumps(parents: DataFrame) -> DataFrame:
+    """(node, up): the pointer of each node; one with more than one parent is refused."""
+    pointers = cut(parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up")).distinct())
+    if pointers.groupBy("node").count().filter("count > 1").limit(1).count():
+        raise ValueError("a node has more than one parent")
+    return pointers
+
+
+def doubled(pointers: DataFrame) -> DataFrame:
+    """Pointers twice as far."""
+    return cut(pointers.join(pointers.select(F.col("node").alias("up"), F.col("up").alias("_far")), "up").select("node", F.col("_far").alias("up")))
+
+
+def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): start (node) and all above it in a forest of (node, parent); cycles end by themselves.
+
+    Pointers are doubled each round, and what has been reached takes them once:
+    after k rounds all ancestors nearer than 2 ** k are there, so the rounds are
+    the logarithm of the depth.
+    """
+    pointers, seen = jumps(parents), cut(start.select("node").distinct())
+    n = seen.count()
+    while True:
+        seen = cut(seen.union(pointers.join(seen, "node").select(F.col("up").alias("node"))).distinct())
+        before, n = n, seen.count()
+        if n == before:
+            return seen
+        pointers = doubled(pointers)
+
+
+def descendants(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): start (node) and all below it in a forest of (node, parent), in as many rounds.
+
+    A node is below start if the one its pointer leads to is, so each round
+    looks up what the last one knew at twice the distance.
+    """
+    pointers, seen = jumps(parents), cut(start.select("node").distinct())
+    n = seen.count()
+    while True:
+        below = pointers.join(seen.select(F.col("node").alias("up")), "up").select("node")
+        seen = cut(seen.union(below).distinct())
+        before, n = n, seen.count()
+        if n == before:
+            return seen
+        pointers = doubled(pointers)
 
 
 def season_status(have: DataFrame, stated: DataFrame, ran: DataFrame, rounds: int, now: str) -> DataFrame:

@@ -490,6 +490,15 @@ def d28(spark, sf_dir):
     return P.closure(edges, spark.createDataFrame([(7,)], "node long"))
 
 
+@query("d28_run_tree", "WITH RECURSIVE e AS (SELECT event_id AS node, event_id - 37 AS parent FROM events WHERE event_id >= 37), u AS (SELECT max(event_id) AS node FROM events UNION SELECT parent FROM e JOIN u USING (node)), d AS (SELECT CAST(5 AS BIGINT) AS node UNION SELECT e.node FROM e JOIN d ON e.parent = d.node) SELECT 'above' AS side, node FROM u UNION ALL SELECT 'below', node FROM d")
+def d28_tree(spark, sf_dir):
+    """All runs above the last one and all below run 5, where a run comes from the one 37 before it: chains as long as the log allows."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("node"))
+    parents = e.filter("node >= 37").select("node", (F.col("node") - 37).alias("parent"))
+    above = P.ancestors(parents, e.agg(F.max("node").alias("node"))).select(F.lit("above").alias("side"), "node")
+    return above.union(P.descendants(parents, spark.createDataFrame([(5,)], "node long")).select(F.lit("below"), "node"))
+
+
 @query("d29_lineage_edges", "WITH e AS (SELECT event_type AS a, 'user ' || user_id AS b, 'stage' AS kind FROM events UNION SELECT 'user ' || user_id, 'day ' || day(ts), 'made' FROM events UNION SELECT 'day ' || day(ts), 'user ' || (user_id + 1), 'read' FROM events WHERE event_id % 3 = 0) SELECT kind, a, b, replace(a, ' ', '_') || ' -->|' || kind || '| ' || replace(b, ' ', '_') AS line FROM e")
 def d29(spark, sf_dir):
     """Edges of three kinds without repeats, each with its line of a flow chart."""
