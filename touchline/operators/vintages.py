@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .cuts import cut
 from .measures import total
 from .ordered import recursive_mean, with_groups
-from .rating import RULES, Rules, available, dimensions_of, index_of, scored_from, team_log
+from .rating import RULES, Rules, available, dimensions_of, index_of, scored_from
 
 
 def as_of_rounds(states: DataFrame, keys: list[str], sums: list[str], rounds: list[int], last: list[str] = [], first: list[str] = []) -> DataFrame:  # noqa: B006

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
@@ -10,7 +9,7 @@ from touchline.operators import monitoring as M
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
 from touchline.operators import statistics as S
-from touchline.operators.measures import mean, per90, round_exact, total
+from touchline.operators.measures import round_exact, total
 from touchline.operators.windows import place, spearman, top_n
 from touchline.sources import providers, sinks
 

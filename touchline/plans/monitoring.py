@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from touchline.operators import monitoring as M
 from touchline.operators import statistics as S
 from touchline.operators.cuts import shared_folder
-from touchline.operators.measures import mean, per90
+from touchline.operators.measures import mean
 from touchline.streaming import monitor
 
 from .binding import FACTS_SQL, RUNS_SQL, facts, fixtures, runs, table

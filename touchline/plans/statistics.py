@@ -6,14 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
+from touchline.operators import joins as J
 from touchline.operators import platform as P
 from touchline.operators import quality as Q
 from touchline.operators import rating as R
 from touchline.operators import serving as V
 from touchline.operators import statistics as S
+from touchline.operators.cuts import cut
 from touchline.operators.measures import mean, per90, total
 from touchline.operators.ordered import quantiles, with_groups
-from touchline.operators.windows import place, rank_average, spearman
 
 from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
 from .registry import query
@@ -553,6 +554,34 @@ def q3_all(spark, sf_dir):
     return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
+ADMITTED_SQL = POOL_SQL.replace("WHERE balance > 0)", "WHERE balance > 0 AND 16 + p.player % 20 <= 25 AND m >= 12000 AND p.player % 10 >= 2 AND p.player % 8 <> 5)")
+
+
+def admitted_pool(spark, sf_dir):
+    """The pool of players up to 25 years that no rule of admission turns away: minutes, confidence, a loan."""
+    mins = player_totals(spark, sf_dir).select(F.col("player").alias("id"), "mins")
+    k = F.col("id")
+    rules = {"minutes": F.col("mins") < 12000, "confidence": k % 10 < 2, "loan": k % 8 == 5}
+    young = whole_pool(spark, sf_dir).join(mins, "id").filter(16 + k % 20 <= 25)
+    return young.filter(F.size(J.reasons(rules)) == 0).drop("mins")
+
+
+@query("q2_cheapest_young_trio", f"{ADMITTED_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
+def q2_young(spark, sf_dir):
+    """The cheapest three admitted players up to 25 years, of two roles at least."""
+    t = V.trios(V.undominated(admitted_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.lit(0)))
+    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+
+
+@query("q3_target_young_trio", f"{ADMITTED_SQL}, g AS (SELECT max(score) AS best FROM t WHERE cost <= 12) SELECT a, b, c, cost, round(best, 4) AS target FROM t CROSS JOIN g WHERE score >= best ORDER BY cost, a, b, c LIMIT 1")
+def q3_young(spark, sf_dir):
+    """The cheapest such three that reach what the best three within the budget reach."""
+    pool = cut(admitted_pool(spark, sf_dir))
+    rich = V.trios(V.undominated(pool, [F.col("score").desc(), F.col("id")], -F.col("cost")), budget=12).agg(F.max("score").alias("target"))
+    t = V.trios(V.undominated(pool, [F.col("cost"), F.col("id")], F.col("score"))).join(rich).filter(F.col("score") >= F.col("target"))
+    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"), F.round(F.col("target").cast("double"), 4).alias("target"))
+
+
 @query("q5_team_page", f"{LEADERBOARD_SQL}, t AS (SELECT p.team, p.player, coalesce(m, 0) AS m, g / m AS v FROM p LEFT JOIN a ON p.player = a.player), q AS (SELECT team, player, 'ranked' AS part, row_number() OVER (PARTITION BY team ORDER BY v DESC, player) AS place FROM t WHERE m >= 15000), r AS (SELECT team, player, 'roster' AS part, row_number() OVER (PARTITION BY team ORDER BY m DESC, player) AS place FROM t WHERE m < 15000) SELECT * FROM q UNION ALL SELECT * FROM r WHERE place <= 24")
 def q5(spark, sf_dir):
     """A team's qualified players by rank, and the rest of its roster, at most 24, by minutes."""

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
-from touchline.operators import joins as J
 from touchline.operators import rating as R
 from touchline.operators import statistics as S
 from touchline.operators.cuts import cut, kept
