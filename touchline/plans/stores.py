@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from touchline.operators.cuts import cut
 from touchline.sources import providers, settings, sinks, snapshots
 from touchline.sources.factstore import FactStore
+from touchline.sources.versions import VersionedTable
 
 from .binding import FACTS_SQL, MATCHES_SQL, PLAYERS_SQL, RUNS_SQL, facts, matches, players, runs, table
 from .lineage import LineageLog
@@ -148,3 +149,25 @@ def s4_store(spark, sf_dir):
     found = cut(store.table().groupBy("season").agg(F.count("*").alias("n"), F.countDistinct("fixture").alias("fixtures"), F.sum("goal").alias("goals"), F.sum("mins").alias("mins")))
     store.drop()
     return found
+
+
+@query("d15_guarded_repair", f"""{LEADERBOARD_SQL}, r AS (SELECT player FROM p WHERE player % 20 <> 19), o AS (SELECT player, player IN (SELECT player FROM r) AS known, player % 7 = 3 AS off FROM a),
+ c AS (SELECT count(*) AS n, count(*) FILTER (WHERE known) AS k, count(*) FILTER (WHERE known AND off) AS c FROM o)
+ SELECT 'dry run' AS step, n AS rows_in, k AS rows_out, CAST(0 AS BIGINT) AS added, n - k AS removed, c AS changed, CAST(0 AS BIGINT) AS broken, CAST(NULL AS BIGINT) AS version, n AS rows_now FROM c UNION ALL SELECT 'refused', n, n, 0, 0, 0, n - k, NULL, n FROM c UNION ALL SELECT 'done', n, k, 0, n - k, c, 0, 2, k FROM c UNION ALL SELECT 'taken back', k, n, n - k, 0, c, 0, 3, n FROM c""")
+def d15_guarded(spark, sf_dir):
+    """Figures of players that are not in the registry go, and others are corrected: tried, refused where a guard does not hold, done, and taken back."""
+    stated = player_totals(spark, sf_dir).select("player", (F.col("mins") + F.when(F.col("player") % 7 == 3, 1).otherwise(0)).alias("mins"), "games")
+    registry = players(spark, sf_dir).filter("player % 20 <> 19").select("player")
+    right = player_totals(spark, sf_dir).select("player", "mins", "games")
+    mended = right.join(registry, "player", "left_semi")
+    guards = {"has a place in the registry": F.col("known"), "minutes": F.col("mins") >= 0}
+    known = lambda df: df.join(registry.withColumn("known", F.lit(True)), "player", "left")
+    made = VersionedTable(spark, f"{scratch(spark)}/{uuid.uuid4().hex}", ["player"])
+    made.create(known(stated))
+    told = lambda step, r: (step, r.rows_in, r.rows_out, r.added, r.removed, r.changed, sum(r.broken.values()), r.version, made.read().count())
+    rows = [told("dry run", made.repair(known(mended), guards)), told("refused", made.repair(known(stated), guards, dry_run=False)), told("done", made.repair(known(mended), guards, dry_run=False))]
+    before = made.read()
+    gap = made.difference(before, made.read(1))
+    version = made.back_to(1)
+    rows.append(("taken back", before.count(), made.read().count(), *gap, 0, version, made.read().count()))
+    return spark.createDataFrame(rows, "step string, rows_in long, rows_out long, added long, removed long, changed long, broken long, version long, rows_now long")
