@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from touchline.operators.cuts import cut
-from touchline.sources import providers, settings, sinks, snapshots
+from touchline.sources import providers, seasons, settings, sinks, snapshots
 from touchline.sources.factstore import FactStore
 from touchline.sources.versions import VersionedTable
 
@@ -89,6 +89,17 @@ def s22(spark, sf_dir):
     return providers.FixedProvider("fixed", {"players": given}).fetch(spark, "players", "1997").select("player_id", "provider", "season", "name")
 
 
+@query("s22_provider_source", f"WITH {PLAYERS_SQL} SELECT CAST(player AS BIGINT) AS player_id, 'files' AS provider, CASE player % 3 WHEN 1 THEN '1997' ELSE '1999' END AS season, name, CAST(team AS VARCHAR) AS team, role AS position, CAST(NULL AS VARCHAR) AS birth_date FROM p WHERE player % 3 <> 0 AND role <> 'GK'")
+def s22_source(spark, sf_dir):
+    """A provider's files of three seasons, of which two are read, as a data source that takes the filter on the season and leaves the other."""
+    season = F.element_at(F.array(F.lit("1998"), F.lit("1997"), F.lit("1999")), (F.col("player") % 3 + 1).cast("int"))
+    given = players(spark, sf_dir).select(F.col("player").alias("player_id"), season.alias("season"), "name", F.col("team").cast("string").alias("team"), F.col("role").alias("position"))
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    given.write.partitionBy("season").parquet(folder)
+    held = seasons.read_seasons(spark, folder, "players", "files")
+    return held.filter("season in ('1997', '1999') and position <> 'GK'").select("player_id", "provider", "season", "name", "team", "position", "birth_date")
+
+
 @query("s23_archive", "SELECT '1997' AS season, true AS first, false AS again, count(*) AS kept FROM orders WHERE year(o_orderdate) = 1997")
 def s23(spark, sf_dir):
     """A finished season is archived once; a second attempt with other rows changes nothing."""
