@@ -14,10 +14,10 @@ from touchline.operators.measures import mean, per90
 from touchline.operators.ordered import quantiles
 from touchline.operators.windows import last_n, place, rank_average, spearman
 
-from .binding import FACTS_SQL, facts, players, table
+from .binding import FACTS_SQL, MATCHES_SQL, facts, matches, players, table
 from .monitoring import PAIRED_SQL, moved_sql, paired_sql
 from .rating import SEASON_SQL, bodies, index_vintages, outcomes, outcomes_sql, season_matches, vintages_sql
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 from .statistics import bootstrap_sql, rounded, uniform_sql
 
 
@@ -164,6 +164,16 @@ def vh(spark, sf_dir):
     return rounded(got, "median", "low", "least", "top10", "top20")
 
 
+ROLES_SQL = ", ".join(f"('{role}', {w}::DOUBLE)" for role, w in R.RULES.role_weights.items())
+
+
+@query("vh_role_weights", f"WITH {SEASON_SQL}, rx AS (SELECT * FROM (VALUES {ROLES_SQL}) AS t(role, w)), z AS (SELECT player, role, i AS x FROM fx WHERE ctx = 'total' AND i IS NOT NULL), dr AS (SELECT unnest(range(1, 61)) AS d), mv AS (SELECT d, player, role, x AS s, x / w * w * (1 + 0.2 * (2 * {uniform_sql(chr(39) + '42' + chr(39), 'CAST(d AS VARCHAR)', 'role')} - 1)) AS t FROM z JOIN rx USING (role) CROSS JOIN dr), q AS (SELECT d, role, row_number() OVER (PARTITION BY d ORDER BY s DESC, player) AS a, row_number() OVER (PARTITION BY d ORDER BY t DESC, player) AS b FROM mv), qd AS (SELECT d, role, count(*) FILTER (WHERE a <= 20) AS q, count(*) FILTER (WHERE b <= 20) AS m FROM q GROUP BY 1, 2), {moved_sql('s', 't', 'count(*) FILTER (WHERE a <= 20 AND b <= 20) / 20.0 AS t20')}, qa AS (SELECT round(quantile_cont(rho, 0.5), 6) AS median, round(quantile_cont(t20, 0.5), 6) AS overlap FROM pd) SELECT role, max(q) AS quota, min(m) AS quota_least, max(m) AS quota_most, any_value(median) AS median, any_value(overlap) AS overlap FROM qd CROSS JOIN qa GROUP BY 1")
+def vh_role_weights(spark, sf_dir):
+    """Quotas of the roles among the best twenty by the index, and their range where each role's weight, divided out and put back, moves by up to a fifth."""
+    rows = whole_scores(spark, sf_dir).filter("raw_ is not null").select("player", "role", "raw_")
+    return rounded(S.role_weight_sensitivity(rows, "player", "raw_", "role", R.RULES.role_weights, 60), "median", "overlap")
+
+
 ABLATED_SQL = " UNION ALL ".join(f"SELECT '{gone}' AS dropped, player, role, confidence, penalty, rolew, i, ({' + '.join(f'coalesce({n}, 0) * {w}' for n, w in WEIGHTS.items() if n != gone)}) / nullif(CAST({' + '.join(f'({n} IS NOT NULL)::INT * {w}' for n, w in WEIGHTS.items() if n != gone)} AS DOUBLE), 0) AS raw FROM ab" for gone in WEIGHTS)
 
 
@@ -326,3 +336,37 @@ def vd_agreement(spark, sf_dir):
     rows = indexed(spark, sf_dir)
     seen = rows.agg(F.count_if(F.abs(F.col("a") - F.col("b")) > 2).alias("moved"), F.corr("index", "age_index").alias("r_age"), F.corr("index", "reliability").alias("r_reliability"))
     return rounded(agreement(rows, "index", "pro").join(seen), "r", "rho", "r_age", "r_reliability")
+
+
+@query("v_dataset_facts", f"WITH {FACTS_SQL}, {MATCHES_SQL} SELECT count(*) AS rows, count(DISTINCT player) AS players, count(DISTINCT team) AS teams, count(DISTINCT fixture) AS fixtures, count(DISTINCT season) AS seasons, max(rnd) AS last_round FROM m")
+def v_facts(spark, sf_dir):
+    """What everything else is computed from, counted and not written down."""
+    distinct = lambda c, n: F.countDistinct(c).alias(n)
+    return matches(facts(spark, sf_dir)).agg(F.count("*").alias("rows"), distinct("player", "players"), distinct("team", "teams"), distinct("fixture", "fixtures"), distinct("season", "seasons"), F.max("rnd").alias("last_round"))
+
+
+#: figures that are shown large: their name, the verification, its column
+HEADLINES = {
+    "halves_rho": ("vc_split_half", "rho"), "monotony": ("vm_calibration", "monotony"), "calibration_error": ("vm_calibration", "ace"), "first_round": ("v_first_stable_round", "earliest"),
+    "first_stable": ("v_first_stable_round", "first_stable"), "across_seasons": ("vl_across_seasons", "rho"), "team_r": ("vf_team_validity", "r"), "overlap": ("vb_overlap", "fair"), "weights_median": ("vh_sensitivity", "median"),
+}
+
+
+def synthesis_sql() -> str:
+    """Every headline out of its verification's own SQL."""
+    told = [f"(SELECT round({column}, 3) FROM ({ORACLES[name]})) AS {title}" for title, (name, column) in HEADLINES.items()]
+    told += [f"(SELECT {pick}(dropped, rho) FROM ({ORACLES['vo_ablation']})) AS {title}" for title, pick in (("most_useful", "arg_min"), ("least_useful", "arg_max"))]
+    told += [f"(SELECT count(*) FILTER (WHERE better AND criterion = '{c}') FROM ({ORACLES['vq_beats_baseline']})) AS beaten_on_{c}" for c in CRITERIA]
+    return "SELECT " + ", ".join(told)
+
+
+@query("v_synthesis", synthesis_sql())
+def v_synthesis(spark, sf_dir):
+    """One row of the figures that say most: of halves, calibration, convergence, teams, overlap, weights, ablation and baselines."""
+    frames: dict = {}
+    for title, (name, column) in HEADLINES.items():
+        frames.setdefault(name, []).append(F.round(column, 3).alias(title))
+    parts = [QUERIES[name](spark, sf_dir).select(*columns) for name, columns in frames.items()]
+    parts.append(QUERIES["vo_ablation"](spark, sf_dir).agg(F.min_by("dropped", "rho").alias("most_useful"), F.max_by("dropped", "rho").alias("least_useful")))
+    parts.append(QUERIES["vq_beats_baseline"](spark, sf_dir).agg(*[F.count_if(F.col("better") & (F.col("criterion") == c)).alias(f"beaten_on_{c}") for c in CRITERIA]))
+    return reduce(lambda a, b: a.join(b, how="cross"), [cut(p) for p in parts])
