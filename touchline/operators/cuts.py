@@ -29,15 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike a checkpoint, what is read back carries no constraints of the plan
     that made it, which pile up where results follow from results. Columns
     without a type, or with the same name twice, cannot be in such a table, so
-    those frames are checkpointed.
+    those frames are checkpointed. What is written already is not written again.
     """
+    if written(df):
+        return df
     spark = df.sparkSession
     folder = shared_folder(spark)
     if len(set(map(str.lower, df.columns))) < len(df.columns) or any("void" in kind for _, kind in df.dtypes):
         return df.checkpoint(eager=True)
     path = f"{folder}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written = True
+    return made
+
+
+def written(df: DataFrame) -> bool:
+    """Whether df is what cut has given, unchanged."""
+    return "_written" in df.__dict__
 
 
 _kept: dict = {}

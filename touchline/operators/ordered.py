@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cuts import cut
+from .cuts import cut, written
 
 #: groups whose figures are sent to every task at once; more are joined by shuffle
 GROUPS = 100_000
@@ -126,7 +126,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], out:
     finds the values next to it; only what lies inside is put in order, by how
     often each value occurs: about 4 of `accuracy` parts of a group.
     """
-    rows = cut(df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows if written(df) else cut(rows)
     edge = 2 / accuracy
     asked = [max(0.0, p - edge) for p in probs] + [min(1.0, p + edge) for p in probs]
     near = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", F.array(*map(F.lit, asked)), accuracy).alias("_e"))
