@@ -53,10 +53,20 @@ def opponents(log: DataFrame, fixture: str, team: str, columns: list[str]) -> Da
     return log.join(other, (F.col(fixture) == F.col("_fixture")) & (F.col(team) != F.col(f"opp_{team}"))).drop("_fixture")
 
 
-def without_player(registry: DataFrame, log: DataFrame, rows: DataFrame) -> DataFrame:
-    """(player, team log row) for the fixtures of a player's team in which the player has no row."""
-    pairs = registry.select("player", "team").join(log, "team")
-    return pairs.join(rows.select("player", "fixture"), ["player", "fixture"], "left_anti")
+def totals_without(registry: DataFrame, log: DataFrame, rows: DataFrame, period: str, amount: str) -> DataFrame:
+    """(player, period, n_without, amount): what a player's team did in the fixtures in which the player has no row; none where there are no such.
+
+    registry: (player, team); log: (team, fixture, period, amount), one row a team
+    and fixture; rows: (player, fixture). What the team did in all its fixtures
+    less what it did in the player's: no pair of player and missed fixture is made.
+    """
+    exact = lambda c: F.sum(c).cast("decimal(28,7)")  # noqa: E731  the widest decimals lose a digit where they are subtracted
+    people = registry.select("player", "team")
+    with_ = rows.select("player", "fixture").distinct().join(people, "player").join(log, ["team", "fixture"]).groupBy("player", period).agg(F.count("*").alias("_n"), exact(amount).alias("_x"))
+    every = log.groupBy("team", period).agg(F.count("*").alias("_tn"), exact(amount).alias("_tx"))
+    both = people.join(every, "team").join(with_, ["player", period], "left")
+    left, rest = F.col("_tn") - F.coalesce("_n", F.lit(0)), F.col("_tx") - F.coalesce(F.col("_x"), F.lit(0).cast("decimal(28,7)"))
+    return both.filter(left > 0).select("player", period, left.alias("n_without"), rest.alias(amount))
 
 
 def personal_top(teams: DataFrame, rivals: DataFrame, n: int) -> DataFrame:

@@ -218,11 +218,13 @@ def j5(spark, sf_dir):
     return rows.join(table(spark, sf_dir, "nation"), F.col("host") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("j6_anti_without", f"WITH {FACTS_SQL}, g AS (SELECT team, fixture, sum(xg) AS xg FROM f WHERE season = 1998 AND rnd <= 2 GROUP BY 1, 2), k AS (SELECT DISTINCT player, fixture FROM f WHERE season = 1998 AND rnd <= 2) SELECT p.player, count(*) AS n_without, round(CAST(sum(g.xg) AS DOUBLE) / count(*), 6) AS xg_without FROM p JOIN g ON p.team = g.team WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.player = p.player AND k.fixture = g.fixture) GROUP BY 1")
+@query("j6_anti_without", f"WITH {FACTS_SQL}, g AS (SELECT team, season, fixture, sum(xg) AS xg FROM f GROUP BY 1, 2, 3), k AS (SELECT DISTINCT player, fixture FROM f) SELECT p.player, season, count(*) AS n_without, CAST(sum(g.xg) AS DOUBLE) / count(*) AS xg_without FROM p JOIN g ON p.team = g.team WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.player = p.player AND k.fixture = g.fixture) GROUP BY 1, 2")
 def j6(spark, sf_dir):
-    rows = facts(spark, sf_dir).filter("season = 1998 and rnd <= 2")
-    log = rows.groupBy("team", "fixture").agg(F.sum("xg").alias("xg"))
-    return J.without_player(players(spark, sf_dir), log, rows).groupBy("player").agg(F.count("*").alias("n_without"), F.round(mean("xg"), 6).alias("xg_without"))
+    """What each team made without each of its players, season by season."""
+    rows = facts(spark, sf_dir)
+    log = rows.groupBy("team", "season", "fixture").agg(F.sum("xg").alias("xg"))
+    told = J.totals_without(players(spark, sf_dir), log, rows, "season", "xg")
+    return told.select("player", "season", "n_without", (F.col("xg").cast("double") / F.col("n_without")).alias("xg_without"))
 
 
 @query("j7_semi_join", f"{LEADERBOARD_SQL} SELECT p.player, name FROM p WHERE player IN (SELECT player FROM a WHERE m > 15000)")
