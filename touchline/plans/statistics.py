@@ -15,6 +15,7 @@ from touchline.operators import statistics as S
 from touchline.operators.cuts import cut
 from touchline.operators.measures import mean, per90, total
 from touchline.operators.ordered import quantiles, with_groups
+from touchline.operators.selection import best_trio, cheapest_trio
 
 from .binding import FACTS_SQL, FIXTURES_SQL, PLAYERS_SQL, RUNS_SQL, facts, fixtures, players, runs, table
 from .registry import query
@@ -536,22 +537,18 @@ def whole_pool(spark, sf_dir):
 
 @query("q1_best_trio", f"{POOL_SQL} SELECT a, b, c, score, cost FROM t WHERE cost <= 12 ORDER BY score DESC, a, b, c LIMIT 1")
 def q1_all(spark, sf_dir):
-    """The best three of the whole registry within a budget and of two roles at least (also j15); dominated players go before the joins."""
-    order = [F.col("score").desc(), F.col("id")]
-    t = V.trios(V.undominated(whole_pool(spark, sf_dir), order, -F.col("cost")), budget=12)
-    return V.pick(t, [F.col("score").desc(), "a", "b", "c"]).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
+    """The best three of the whole registry within a budget and of two roles at least (also j15); joined in rank order by a bound."""
+    return best_trio(whole_pool(spark, sf_dir), budget=12).select("a", "b", "c", F.col("score").cast("double").alias("score"), F.col("cost").cast("double").alias("cost"))
 
 
 @query("q2_cheapest_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
 def q2_all(spark, sf_dir):
-    t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.lit(0)))
-    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+    return cheapest_trio(whole_pool(spark, sf_dir)).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
 @query("q3_target_trio", f"{POOL_SQL} SELECT a, b, c, cost FROM t WHERE score >= 29 ORDER BY cost, a, b, c LIMIT 1")
 def q3_all(spark, sf_dir):
-    t = V.trios(V.undominated(whole_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.col("score"))).filter("score >= 29")
-    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+    return cheapest_trio(whole_pool(spark, sf_dir), target=29).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
 ADMITTED_SQL = POOL_SQL.replace("WHERE balance > 0)", "WHERE balance > 0 AND 16 + p.player % 20 <= 25 AND m >= 12000 AND p.player % 10 >= 2 AND p.player % 8 <> 5)")
@@ -569,17 +566,18 @@ def admitted_pool(spark, sf_dir):
 @query("q2_cheapest_young_trio", f"{ADMITTED_SQL} SELECT a, b, c, cost FROM t ORDER BY cost, a, b, c LIMIT 1")
 def q2_young(spark, sf_dir):
     """The cheapest three admitted players up to 25 years, of two roles at least."""
-    t = V.trios(V.undominated(admitted_pool(spark, sf_dir), [F.col("cost"), F.col("id")], F.lit(0)))
-    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
+    return cheapest_trio(admitted_pool(spark, sf_dir)).select("a", "b", "c", F.col("cost").cast("double").alias("cost"))
 
 
 @query("q3_target_young_trio", f"{ADMITTED_SQL}, g AS (SELECT max(score) AS best FROM t WHERE cost <= 12) SELECT a, b, c, cost, round(best, 4) AS target FROM t CROSS JOIN g WHERE score >= best ORDER BY cost, a, b, c LIMIT 1")
 def q3_young(spark, sf_dir):
     """The cheapest such three that reach what the best three within the budget reach."""
     pool = cut(admitted_pool(spark, sf_dir))
-    rich = V.trios(V.undominated(pool, [F.col("score").desc(), F.col("id")], -F.col("cost")), budget=12).agg(F.max("score").alias("target"))
-    t = V.trios(V.undominated(pool, [F.col("cost"), F.col("id")], F.col("score"))).join(rich).filter(F.col("score") >= F.col("target"))
-    return V.pick(t, ["cost", "a", "b", "c"]).select("a", "b", "c", F.col("cost").cast("double").alias("cost"), F.round(F.col("target").cast("double"), 4).alias("target"))
+    rich = best_trio(pool, budget=12)
+    reached = rich.first()
+    found = rich if reached is None else cheapest_trio(pool, target=reached["score"])
+    target = F.lit(None if reached is None else float(reached["score"])).cast("double")
+    return found.select("a", "b", "c", F.col("cost").cast("double").alias("cost"), F.round(target, 4).alias("target"))
 
 
 @query("q5_team_page", f"{LEADERBOARD_SQL}, t AS (SELECT p.team, p.player, coalesce(m, 0) AS m, g / m AS v FROM p LEFT JOIN a ON p.player = a.player), q AS (SELECT team, player, 'ranked' AS part, row_number() OVER (PARTITION BY team ORDER BY v DESC, player) AS place FROM t WHERE m >= 15000), r AS (SELECT team, player, 'roster' AS part, row_number() OVER (PARTITION BY team ORDER BY m DESC, player) AS place FROM t WHERE m < 15000) SELECT * FROM q UNION ALL SELECT * FROM r WHERE place <= 24")
