@@ -10,7 +10,7 @@ from touchline.operators import monitoring as M
 from touchline.operators import statistics as S
 from touchline.operators.cuts import shared_folder
 from touchline.operators.measures import mean
-from touchline.streaming import monitor
+from touchline.streaming import keyed, monitor
 
 from .binding import FACTS_SQL, RUNS_SQL, facts, fixtures, runs, table
 from .registry import query
@@ -23,16 +23,39 @@ def scratch(spark) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
-@query("x_stream_daily_counts", "SELECT event_type AS stage, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failures, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
-def stream_daily(spark, sf_dir):
-    """Daily counts by a stream with a watermark, as far as days are closed."""
+def arriving(spark, sf_dir):
+    """(stream, folder): the events as files that arrive in a new folder."""
     folder = scratch(spark)
     stored = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     stored.write.parquet(f"{folder}/in")
-    monitor.drain(monitor.windowed_counts(monitor.read_events(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/checkpoint")
+    return monitor.read_events(spark, f"{folder}/in"), folder
+
+
+@query("x_stream_daily_counts", "SELECT event_type AS stage, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failures, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def stream_daily(spark, sf_dir):
+    """Daily counts by a stream with a watermark, as far as days are closed."""
+    stream, folder = arriving(spark, sf_dir)
+    monitor.drain(monitor.windowed_counts(stream), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("stage", F.to_date("start").alias("day"), "n", "failures", "total")
 
 
+@query("q8_closed_rounds", "WITH d AS (SELECT event_type AS stage, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures, max(ts) AS closing FROM events WHERE ts IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, greatest(CAST(day + 1 AS TIMESTAMP), closing + INTERVAL 2 HOUR) AS due FROM d) SELECT * FROM u WHERE due <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def closed_rounds(spark, sf_dir):
+    """Rounds as a stream tells them: once each, by a timer of keyed state that then forgets them."""
+    own = keyed.timers(spark)
+    stream, folder = arriving(own, sf_dir)
+    monitor.drain(keyed.closed_rounds(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("stage", "day", "n", "failures", "closing", "due")
+
+
+@query("d25_sliding_counts", "WITH d AS (SELECT event_type AS stage, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures, sum(CAST(value AS DECIMAL(18,2))) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2), w AS (SELECT stage, day - k AS start, n, failures, total FROM d, (SELECT unnest(range(0, 14))::INTEGER AS k)) SELECT stage, start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(total) AS DOUBLE) AS total FROM w WHERE CAST(start + 14 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def sliding_counts(spark, sf_dir):
+    """Counts of 14 days from each day on, as far as they are closed; days are counted once and then put into windows."""
+    stream, folder = arriving(spark, sf_dir)
+    monitor.drain(keyed.sliding_counts(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").select("stage", F.to_date("start").alias("start"), "n", "failures", "total")
+
+
 @query("d25_anomalies", f"""WITH {FACTS_SQL}, {RUNS_SQL}, w AS (SELECT *, size > 80 AND NOT (stage = 'view' AND day < DATE '2024-01-23') AS warned FROM r WHERE started >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY AND started <= TIMESTAMP '2024-01-30'),
  k AS (SELECT stage, CAST(duration AS DOUBLE) AS d, row_number() OVER (PARTITION BY stage ORDER BY started DESC, run DESC) AS k FROM w), z AS (SELECT stage, (max(d) FILTER (WHERE k = 1) - avg(d) FILTER (WHERE k > 1)) / nullif(stddev_pop(d) FILTER (WHERE k > 1), 0) AS z FROM k GROUP BY 1 HAVING count(*) > 5),
  dd AS (SELECT stage, day, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS n, row_number() OVER (PARTITION BY stage ORDER BY day DESC) AS k FROM w GROUP BY 1, 2), zb AS (SELECT stage, (max(n) FILTER (WHERE k = 1) - avg(n) FILTER (WHERE k > 1)) / nullif(stddev_pop(n) FILTER (WHERE k > 1), 0) AS z FROM dd GROUP BY 1),
