@@ -365,11 +365,15 @@ def d18(spark, sf_dir):
 
 @query("d19_merge_split", "SELECT s_name AS name, s_suppkey AS keep, s_suppkey + 1000 AS \"drop\" FROM supplier WHERE s_suppkey % 4 = 1")
 def d19(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("game")).distinct()
-    split = lines.select(F.when((F.col("id") % 4 == 1) & (F.col("game") % 2 == 0), F.col("id") + 1000).otherwise(F.col("id")).alias("id"), "game")
-    p = players(spark, sf_dir)
-    names = p.select(F.col("player").alias("id"), "name").union(p.select((F.col("player") + 1000).alias("id"), "name"))
-    return Q.merge_split(split, names, lines.join(p.select(F.col("player").alias("id"), "name"), "id").select("name", "game"))
+    """Every fourth player's even games stand under a second record, told from all keys by its half; a name goes with its player, so namesakes stay apart."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("player"), F.col("l_orderkey").alias("game")).distinct()
+    record = lambda half: F.struct("player", half.alias("half")).alias("id")
+    split = lines.select(record(((F.col("player") % 4 == 1) & (F.col("game") % 2 == 0)).cast("int")), "game")
+    p = players(spark, sf_dir).select("player", F.struct("name", "player").alias("name"))
+    names = p.select(record(F.lit(0)), "name").union(p.select(record(F.lit(1)), "name"))
+    found = Q.merge_split(split, names, lines.join(p, "player").select("name", "game"))
+    number = lambda c: F.col(f"{c}.player") + 1000 * F.col(f"{c}.half")
+    return found.select("name.name", number("keep").alias("keep"), number("drop").alias("drop"))
 
 
 IMPORT_SQL = """so AS (SELECT l_suppkey AS player, l_orderkey AS fixture, count(*) FILTER (WHERE l_returnflag = 'R') AS goals, CAST(sum(CAST(l_discount AS DECIMAL(9,2))) AS DOUBLE) AS xg FROM lineitem GROUP BY 1, 2),
