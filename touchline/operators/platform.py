@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cuts import cut
@@ -60,12 +60,55 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = cut(seen.union(front))
 
 
-def jumps(parents: DataFrame) -> DataFrame:
-    """(node, up): the pointer of each node; one with more than one parent is refused."""
-    pointers = cut(parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("up")).distinct())
-    if pointers.groupBy("node").count().filter("count > 1").limit(1).count():
+#: pointers that are doubled as they are; of more, a quarter is taken out at a time until so many are left
+DOUBLED = 1_000_000
+
+
+def jumps(parents: DataFrame, start: DataFrame, on: list[str]) -> DataFrame:
+    """(node, up, hit): the pointer of each node, and whether one of its columns `on` is in start (node); a node with more than one parent is refused."""
+    kind = parents.select(F.coalesce("node", "parent").alias("k")).schema["k"].dataType
+    up = F.col("parent").cast(kind)
+    rows = parents.filter(F.col("parent").isNotNull()).groupBy(F.col("node").cast(kind).alias("node")).agg(F.min(up).alias("up"), (F.min(up) != F.max(up)).alias("_more"))
+    for c in on:
+        rows = rows.join(start.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    rows = cut(rows.select("node", "up", F.coalesce(*[F.col(f"_{c}") for c in on], F.lit(False)).alias("hit"), "_more"))
+    if not rows.filter("_more").isEmpty():
         raise ValueError("a node has more than one parent")
-    return pointers
+    return rows.drop("_more")
+
+
+def coin(c: str, k: int) -> Column:
+    """A draw of a node for round k, which follows from the two alone."""
+    return F.xxhash64(F.lit(k), F.col(c)).bitwiseAND(F.lit(1)) == 1
+
+
+def out(k: int) -> Column:
+    """Whether a pointer's node is taken out in round k: none of those leads to another, and about a quarter of all are."""
+    return coin("node", k) & ~coin("up", k)
+
+
+def thinned(rows: DataFrame, from_above: bool) -> list[DataFrame]:
+    """Rows (node, up, hit), and what is left of them after each round, until at most DOUBLED are.
+
+    Pointers that led to a node taken out lead to where that one did. Its hit
+    goes to the pointers that led to it, or, if not from above, to the node that
+    it led to; where that has no pointer of its own, a row with none says so.
+    All rounds together have four times the rows of the first. What leads to
+    itself, as a cycle does in the end, stays.
+    """
+    rounds = [rows]
+    while rounds[-1].filter("node <> up").count() > DOUBLED:
+        k, rows = len(rounds) - 1, rounds[-1].filter("up is not null")
+        gone = rows.filter(out(k)).select(F.col("node").alias("_via"), F.col("up").alias("_far"), F.col("hit").alias("_hit"))
+        stays = rows.filter(~out(k))
+        led = stays.filter(coin("up", k)).join(gone, F.col("up") == F.col("_via"), "left")
+        hit = F.col("hit") | F.coalesce("_hit", F.lit(False)) if from_above else F.col("hit")
+        left = stays.filter(~coin("up", k)).union(led.select("node", F.coalesce("_far", "up").alias("up"), hit.alias("hit")))
+        if not from_above:
+            told = gone.filter("_hit").select(F.col("_far").alias("node"), F.lit(None).cast(rows.schema["up"].dataType).alias("up"), F.lit(True).alias("hit"))
+            left = left.union(told.distinct()).groupBy("node").agg(F.max("up").alias("up"), F.bool_or("hit").alias("hit"))
+        rounds.append(cut(left))
+    return rounds
 
 
 def doubled(pointers: DataFrame) -> DataFrame:
@@ -73,38 +116,53 @@ def doubled(pointers: DataFrame) -> DataFrame:
     return cut(pointers.join(pointers.select(F.col("node").alias("up"), F.col("up").alias("_far")), "up").select("node", F.col("_far").alias("up")))
 
 
-def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
-    """(node): start (node) and all above it in a forest of (node, parent); cycles end by themselves.
-
-    Pointers are doubled each round, and what has been reached takes them once:
-    after k rounds all ancestors nearer than 2 ** k are there, so the rounds are
-    the logarithm of the depth.
-    """
-    pointers, seen = jumps(parents), cut(start.select("node").distinct())
+def reached(rows: DataFrame, follow) -> DataFrame:
+    """(node): all that hits of (node, up, hit) lead to: follow(pointers, seen) gives the nodes one pointer on, and pointers are doubled each round."""
+    seen, pointers = cut(rows.filter("hit").select("node").distinct()), cut(rows.filter("up is not null").select("node", "up"))
     n = seen.count()
     while True:
-        seen = cut(seen.union(pointers.join(seen, "node").select(F.col("up").alias("node"))).distinct())
+        seen = cut(seen.union(follow(pointers, seen)).distinct())
         before, n = n, seen.count()
         if n == before:
             return seen
         pointers = doubled(pointers)
 
 
+def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): start (node) and all above it in a forest of (node, parent); cycles end by themselves.
+
+    Nodes are taken out until few are left. There, pointers are doubled and what
+    has been reached takes them once a round. Then rounds come back in turn: a
+    node that was taken out is above start if it was hit, or if one that is led
+    to it.
+    """
+    start = cut(start.select("node").distinct())
+    rounds = thinned(jumps(parents, start, ["node"]), from_above=False)
+    found = reached(rounds[-1], lambda pointers, seen: pointers.join(seen, "node").select(F.col("up").alias("node")))
+    for k, rows in reversed(list(enumerate(rounds[:-1]))):
+        rows = rows.filter("up is not null")
+        led = rows.filter(~out(k) & coin("up", k)).join(found, "node", "left_semi").select(F.col("up").alias("node"))
+        gone = rows.filter(out(k))
+        found = cut(found.union(gone.filter("hit").select("node")).union(gone.filter("not hit").select("node").join(led, "node", "left_semi")))
+    for rows in rounds[1:]:
+        start = start.union(rows.filter("up is null").select("node"))
+    return cut(start.union(found).distinct())
+
+
 def descendants(parents: DataFrame, start: DataFrame) -> DataFrame:
-    """(node): start (node) and all below it in a forest of (node, parent), in as many rounds.
+    """(node): start (node) and all below it in a forest of (node, parent), in the same way.
 
-    A node is below start if the one its pointer leads to is, so each round
-    looks up what the last one knew at twice the distance.
+    A node is below start if the one its pointer leads to is, or is hit: start
+    or the like was on the way to there.
     """
-    pointers, seen = jumps(parents), cut(start.select("node").distinct())
-    n = seen.count()
-    while True:
-        below = pointers.join(seen.select(F.col("node").alias("up")), "up").select("node")
-        seen = cut(seen.union(below).distinct())
-        before, n = n, seen.count()
-        if n == before:
-            return seen
-        pointers = doubled(pointers)
+    start = cut(start.select("node").distinct())
+    rounds = thinned(jumps(parents, start, ["node", "up"]), from_above=True)
+    found = reached(rounds[-1], lambda pointers, seen: pointers.join(seen.select(F.col("node").alias("up")), "up").select("node"))
+    for k, rows in reversed(list(enumerate(rounds[:-1]))):
+        gone = rows.filter(out(k))
+        below = gone.filter("not hit").join(found.select(F.col("node").alias("up")), "up", "left_semi").select("node")
+        found = cut(found.union(gone.filter("hit").select("node")).union(below))
+    return cut(start.union(found).distinct())
 
 
 def season_status(have: DataFrame, stated: DataFrame, ran: DataFrame, rounds: int, now: str) -> DataFrame:
