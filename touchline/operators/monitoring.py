@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
 from .platform import last_against_rest, set_changes, severity, trust
 from .quality import orphans, report
 from .ordered import quantiles
@@ -34,7 +35,8 @@ def regression_diff(old: DataFrame, new: DataFrame, key: str, value: str, limits
     """One row that compares two tables of (key, value) and a verdict: SAFE, WARNING or CRITICAL."""
     lim = limits or DiffLimits()
     a, b = old.select(key, F.col(value).alias("x")), new.select(key, F.col(value).alias("y"))
-    both = a.join(b, key, "full")
+    # read by ranks, quantiles and counts: written once, so that the tables are made once
+    both = cut(a.join(b, key, "full"))
     pairs = both.filter("x is not null and y is not null")
     ranked = rank_average(rank_average(pairs, "x", [], "_u", floor=False), "y", [], "_v", floor=False)
     placed = place(place(ranked, "x", [key], "_i"), "y", [key], "_j")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import monitoring as M
 from touchline.operators import statistics as S
-from touchline.operators.cuts import shared_folder
+from touchline.operators.cuts import cut, shared_folder
 from touchline.operators.measures import mean
 from touchline.streaming import keyed, monitor
 
@@ -81,7 +81,7 @@ def d25(spark, sf_dir):
 @query("d24_verdicts", "SELECT * FROM (VALUES ('same', 'SAFE'), ('doubled', 'CRITICAL'), ('turned', 'CRITICAL')) AS t(change, verdict)")
 def d24_verdicts(spark, sf_dir):
     """The verdict on a table that is the same, doubled, and turned round."""
-    old = player_totals(spark, sf_dir).select("player", (F.col("xg") * 90 / F.col("mins")).alias("v"))
+    old = cut(player_totals(spark, sf_dir).select("player", (F.col("xg") * 90 / F.col("mins")).alias("v")))
     changes = {"same": F.col("v"), "doubled": F.col("v") * 2, "turned": -F.col("v")}
     parts = [M.regression_diff(old, old.withColumn("v", c), "player", "v").select(F.lit(name).alias("change"), "verdict") for name, c in changes.items()]
     return parts[0].union(parts[1]).union(parts[2])

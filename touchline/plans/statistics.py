@@ -460,7 +460,7 @@ def d23(spark, sf_dir):
 def d24(spark, sf_dir):
     from touchline.operators.monitoring import regression_diff
 
-    old = pairs(spark, sf_dir).select("player", F.col("x").alias("v"))
+    old = cut(pairs(spark, sf_dir).select("player", F.col("x").alias("v")))
     new = old.withColumn("v", F.col("v") * 1.02 + F.when(F.col("player") % 9 == 0, 0.2).otherwise(0.0))
     found = rounded(regression_diff(old, new, "player", "v"), "rho", "large_share", "top_delta", "mean_shift", "sd_shift", "p95_shift")
     return found.select("rho", "top10", "top20", "large_share", "top_delta", "mean_shift", "sd_shift", "p95_shift", "verdict")
